@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as vocabulary
 
-from corpusmill.llm import bpe, chat, exact_dedup, packing, pii
+from corpusmill.llm import bpe, chat, exact_dedup, fingerprint, language, near_dedup, packing, pii
 from corpusmill.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii_spans", lambda s: s["base"])
@@ -33,6 +37,19 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE_KINDS), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii_spans")).alias("spans"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = language.held_out(F.col("doc_id"))
+    model = language.fit(docs, ~fold)
+    out = language.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", fold.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), columns=["doc_id"])
     return out.select("doc_id", F.col("_keep_id").alias("keep_id"), F.col("_group_size").alias("group_size"), F.col("_kept").alias("kept"), F.col("_text_sha256").alias("text_sha256"))
@@ -48,7 +65,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.unionByName(probe)))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_transducer, op6_pii, op9_exact_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_transducer, op5_document_fingerprints, op6_pii, op7_language_id, op8_ngram_jaccard_join, op9_exact_dedup, op10_chat_format)}
 
 _RUNS = "'[ \\t\\n\\x0B\\x0C\\r]+'"
 
