@@ -1,12 +1,68 @@
-"""Five stages from raw documents to packed training sequences."""
+"""Five stages from raw documents to packed training sequences.
+
+Every stage reads what the one before it wrote, works on all of it, and its decisions take effect: the
+next stage sees only what stayed. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from public_tokenizers import path as vocabulary
+
+from corpusmill.llm import exact_dedup, language, near_dedup, packing, pii
+from corpusmill.llm.common import join_checked, stored, table
+
+#: Least language score of a document that stays; a text without letters has none.
+LANGUAGE_SCORE = 0.3
+#: Near duplicates: words of a shingle and the similarity, as a fraction.
+SHINGLE_WORDS, SIMILAR = 5, (8, 10)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language; the model learns from this stage's own labelled rows."""
+    model = language.fit(docs, F.lit(True))
+    out = language.predict(docs, model, out_col="_language")
+    return out.where((F.col("_language.lang") != language.UNKNOWN) & (F.col("_language.score") >= LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.exact_dedup(docs).where("_kept").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    found = near_dedup.near_duplicates(docs, SHINGLE_WORDS, *SIMILAR)
+    gone = stored(found.where("component_id <> id").select(F.col("id").alias("doc_id")).distinct(), "gone")
+    return join_checked(docs, gone, "doc_id", "left_anti")
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts replaced by its kind; n_chars follows the text."""
+    out = pii.redact_pii(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("PII", redact),
+    ("best-fit packing", pack),
+]
 
-STAGES: list = []
+#: Kernel regressions and token ids have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

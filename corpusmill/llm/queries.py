@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as vocabulary
 
-from corpusmill.llm import bpe, chat, exact_dedup, fingerprint, language, near_dedup, packing, pii
+from corpusmill.llm import bpe, chat, exact_dedup, fingerprint, html, language, near_dedup, packing, pii, quality
 from corpusmill.llm.common import table
 
 
@@ -26,6 +26,19 @@ def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host: the document's source; path: its language under that source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    out = quality.score(docs, model, F.col("source"), F.col("lang"))
+    return out.select("doc_id", F.col("_p").alias("doc_score"), F.col("_site").alias("site_score"), F.col("_score").alias("score"), F.col("_keep").alias("keep"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -65,7 +78,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.unionByName(probe)))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_transducer, op5_document_fingerprints, op6_pii, op7_language_id, op8_ngram_jaccard_join, op9_exact_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_transducer, op3_quality_classifier, op4_html_extraction, op5_document_fingerprints, op6_pii, op7_language_id, op8_ngram_jaccard_join, op9_exact_dedup, op10_chat_format)}
 
 _RUNS = "'[ \\t\\n\\x0B\\x0C\\r]+'"
 
