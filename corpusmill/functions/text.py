@@ -35,6 +35,11 @@ def clean(value: Column) -> Column:
     return F.trim(F.regexp_replace(text(value), SPACES, " "))
 
 
+def strip(value: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text(value), r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def clean_abstract(value: Column) -> Column:
     """Without trailing expand and collapse controls of web pages."""
     return F.trim(F.regexp_replace(clean(value), UI_CONTROLS, ""))
@@ -156,12 +161,12 @@ def translation_issue(value: Column, source: Column) -> Column:
 
 
 def sentences(value: Column) -> Column:
-    return F.filter(F.transform(F.split(text(value), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text(value), r"(?<=[.!?])\s+"), strip), lambda s: s != "")
 
 
 def section(value: Column, name: str) -> Column:
     """Text under the second-level heading `name`, up to the next one."""
-    return F.trim(F.regexp_extract(text(value), rf"(?ms)^##\s+\Q{name}\E\s*$\n(.*?)(?=^##\s+|\Z)", 1))
+    return strip(F.regexp_extract(text(value), rf"(?ms)^##\s+\Q{name}\E\s*$\n(.*?)(?=^##\s+|\Z)", 1))
 
 
 def between(value: Column, start: str, ends: list[str]) -> Column:
@@ -169,7 +174,7 @@ def between(value: Column, start: str, ends: list[str]) -> Column:
     at = F.locate(start, text(value))
     rest = F.substring(text(value), at + len(start), F.length(text(value)))
     stops = F.array_compact(F.array(*[F.when(F.locate(e, rest) > 0, F.locate(e, rest)) for e in ends]))
-    return F.when(at > 0, F.trim(F.substring(rest, F.lit(1), F.coalesce(F.array_min(stops) - 1, F.length(rest))))).otherwise("")
+    return F.when(at > 0, strip(F.substring(rest, F.lit(1), F.coalesce(F.array_min(stops) - 1, F.length(rest))))).otherwise("")
 
 
 def doi(value: Column) -> Column:

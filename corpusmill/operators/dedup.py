@@ -11,7 +11,7 @@ from corpusmill.functions import text as T
 def keep_best(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row a key, the first in `order`; Spark limits each task's groups before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
 def keep_longest_abstract(rows: DataFrame, key: str = "identity", text: str = "abstract", position: list[str] | None = None) -> DataFrame:
@@ -42,7 +42,7 @@ def newest_complete(copies: DataFrame) -> DataFrame:
 
 def first_of_key(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     """The first row of each key; rows without a key are dropped."""
-    return keep_best(rows.withColumn("_key", key).where(F.coalesce(F.col("_key").cast("string"), F.lit("")) != ""), ["_key"], order).drop("_key")
+    return keep_best(rows.withColumn("__key", key).where(F.coalesce(F.col("__key").cast("string"), F.lit("")) != ""), ["__key"], order).drop("__key")
 
 
 def union_sources(sources: list[DataFrame]) -> DataFrame:
