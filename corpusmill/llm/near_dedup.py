@@ -137,8 +137,9 @@ class Join:
         """Signatures of a set, and whether each of its bands showed the needed parts (else try another seed)."""
         out, whole = [], True
         for band, parts in self.bands(len(found)):
-            salt = np.uint64((band * 1_000_003 + self.seed * 7919 + 17) & 0xFFFFFFFF)
-            spread = mix(found ^ (salt * np.uint64(_BASE)))
+            number = band * 1_000_003 + self.seed * 7919 + 17
+            salt = np.uint64(number)
+            spread = mix(found ^ np.uint64(number * _BASE % 2**64))
             part = ((spread >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             sub = part * np.uint64(SUB_PARTS) + spread % np.uint64(SUB_PARTS)
             order = np.argsort(sub, kind="stable")

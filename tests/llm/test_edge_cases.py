@@ -1,0 +1,328 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns for every operator."""
+
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from corpusmill.llm import bpe, chat, components, exact_dedup, fingerprint, html, language, near_dedup, packing, pii, quality
+
+WORDS = [f"w{i}" for i in range(3000)]
+
+
+def long_text(seed, n=400):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+ROWS = [
+    (1, None, "en"),
+    (2, "", None),
+    (3, "  \n\t ", "en"),
+    (4, "short one", "en"),
+    (5, "short one", "en"),
+    (5, "short one", "en"),
+    (6, long_text(1), "en"),
+    (7, long_text(1) + " tail", "en"),
+    (8, "日本語" * 4000, None),
+    (9, "a" * 30_000, "en"),
+    (None, "short  one", "en"),
+    (10, "mail me@x.org or +1 (555) 010-2030", "en"),
+]
+CLASH = ["fp", "sha", "id", "text_", "_rank", "norm", "label", "n", "sig", "rep", "a", "b", "digest", "place", "d"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+    return df.withColumns({c: F.lit(7) for c in CLASH})
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+VOCAB, BYTES = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
+
+
+def test_packing(docs, empty):
+    rows = packing.pack(docs, VOCAB).collect()
+    assert sum(r.piece == 0 for r in rows) == len(ROWS)
+    lengths = {r.doc_id: r.length for r in rows if r.piece == 0}
+    assert lengths[1] == lengths[2] == lengths[3] == 1
+    assert max(r.piece for r in rows if r.doc_id == 8) >= 1
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in bins.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))] and sum(n for _, n in places) <= 4096
+    assert packing.pack(empty, VOCAB).count() == 0
+
+
+def test_best_fit_prefers_the_tightest_bin():
+    p = packing.BestFit(10, 2)
+    assert p.put(6) == (0, 0) and p.put(7) == (1, 0)
+    assert p.put(3) == (1, 7)  # fits both; bin 1 is the tighter one
+    assert p.put(9) == (2, 0) and p.put(8) == (3, 0)  # bin 2 is the fullest and closes
+    assert p.put(1) == (3, 8)
+
+
+def test_bpe_small_windows_and_special_tokens():
+    tok, enc = Tokenizer.from_file(BYTES), bpe.Encoder(BYTES, block=8)
+    r = random.Random(5)
+    parts = ["a", "the", " ", "  ", "\n", "'s", "é", "日", "1", "!", "\t", "ing", "<|endoftext|>", "\x1c", "\x85", "𝒳", "\0", "ab" * 300, "　"]
+    texts = ["", "a" * 4000, "ab" * 3000, " " * 500 + "x", *["".join(r.choice(parts) for _ in range(r.randint(1, 50))) for _ in range(200)]]
+    for text, got in zip(texts, enc.encode_many(texts)):
+        want = tok.encode(text, add_special_tokens=False).ids
+        assert got == np.array(want, "<u4").tobytes(), text[:60]
+        d = bpe.Decoder(enc.vocabulary)
+        assert "".join(d.feed([i]) for i in want) + d.finish() == tok.decode(want, skip_special_tokens=False)
+
+
+def test_lookahead_is_sufficient():
+    """No continuation changes tokens that end the lookahead before the known part's end."""
+    enc = bpe.Encoder(BYTES)
+    t, look = enc.transducer, enc.vocabulary.lookahead
+    r = random.Random(3)
+    for _ in range(20):
+        known = "".join(r.choice("aeinorst") for _ in range(look + 60))
+        heads = set()
+        for _ in range(8):
+            end, out = 0, []
+            for token in t.merge(known + "".join(r.choice("aeinorst") for _ in range(40))):
+                end += len(token)
+                if end > len(known) - look:
+                    break
+                out.append(token)
+            heads.add(tuple(out))
+        assert len(heads) == 1
+
+
+def test_bpe_columns(docs, empty):
+    out = bpe.encode_texts(docs, BYTES).withColumn("back", bpe.decoded(F.col("ids"), BYTES))
+    assert all(r.back == (r.text or "") for r in out.collect())
+    assert bpe.encode_texts(empty, BYTES).count() == 0
+
+
+def test_quality(spark, docs, empty):
+    labels = spark.createDataFrame([(4, 1), (6, 1), (9, 0), (8, 0), (1, None), (None, 1)], "doc_id long, quality int")
+    for rows, marks in ((docs, labels), (docs, labels.limit(0)), (docs, labels.where("quality = 1")), (empty, labels)):
+        out = quality.score(rows, quality.fit(rows, marks), F.col("source"), F.col("lang")).collect()
+        assert len(out) == rows.count() and all(0 <= r._score <= 1 for r in out)
+
+
+def test_quality_learns_and_shrinks(spark, sf):
+    from corpusmill.llm import queries
+
+    rows = {r.doc_id: r for r in queries.op3_quality_classifier(spark, sf).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    good, bad = [x for x in labels if x.quality], [x for x in labels if not x.quality]
+    assert sum(rows[x.doc_id].keep for x in good) >= 0.97 * len(good)
+    assert sum(not rows[x.doc_id].keep for x in bad) >= 0.9 * len(bad)
+
+
+def test_quality_sites(spark):
+    """A sparse site's posterior stays nearer to the global mean than a dense one's of the same raw share."""
+    model = quality.solve(np.zeros((0, quality.FEATURES)), np.zeros(0))
+    model = quality.Classifier(model.mean, model.scale, np.r_[np.zeros(quality.FEATURES - 1), -8.0], 3.0)
+    rows = [(i, "x y", "rest", "p") for i in range(200)] + [(1000 + i, "x|y|z|", "many", "p") for i in range(60)] + [(2000, "x|y|z|", "few", "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string, p string")
+    site = {r.h: r._site for r in quality.score(df, model, F.col("h"), F.col("p")).collect()}
+    assert site["many"] < site["few"] < site["rest"]
+
+
+def test_html(spark):
+    nav = '<div class="box">Subscribe to our daily letter now</div><div class="x"><a href="/">Home page of the site</a></div>'
+    page = lambda i: f'<html><body>{nav}<div class="text"><p>Story {i} has &amp; words</p><p>And {i} more<br>text</p></div><div>All rights reserved by us</div></body></html>'
+    rows = [(i, f"https://h.example/{i}", page(i)) for i in range(6)] + [(90, None, "<p>Alone"), (91, "https://h.example/x", None), (92, "bad url", ""), (93, "https://h.example/1", page(1))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "token", "texts", "main_slot", "kind", "path")})
+    found = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert len(found) == len(rows)
+    assert all(found[i] == f"Story {i} has & words\nAnd {i} more text" for i in range(6)) and found[93] == found[1]
+    assert (found[90], found[91], found[92]) == ("Alone", "", "")
+    assert html.extract(df.limit(0)).count() == 0
+    t = {r.host: r for r in html.templates(df.select(html.host_of(F.col("url")).alias("host"), "html")).collect()}["h.example"]
+    assert len(t.texts) >= 3 and t.main_slot.endswith("div.text")
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><h1>T</h1><p><b>a<br><p>b</article><footer>f", "T\na\nb"),
+        ('<main><h1>T</h1><section id="comments"><p>c</p></section><p>x</p></main><aside>s</aside>', "T\nx"),
+        ("<script>if (a < b) x('</p>')</script><p>k &lt;i&gt; &copy &amp l</p>", "k <i> © & l"),
+        ('<article><header><h1>H</h1></header><div class="advert">buy</div><form>q</form><p title="a>b">z</p></article>', "H\nz"),
+        ("<p>1<ul><li>2<li>3</ul>4 <!-- x -->5", "1\n2\n3\n4 5"),
+        ("plain < text", "plain < text"),
+    ],
+)
+def test_html_blocks(page, want):
+    assert html.main_text(page) == want
+
+
+def test_fingerprints(spark, docs, empty):
+    rows = fingerprint.fingerprints(docs).collect()
+    assert len(rows) == len(ROWS)
+    prints = {}
+    for r in rows:
+        prints.setdefault(r.doc_id, set()).add(r.fingerprint)
+    assert prints[1] == prints[2] == prints[3] and prints[4] == prints[5] == prints[None] and len(prints[5]) == 1
+    assert fingerprint.fingerprints(empty).count() == 0
+    df = spark.createDataFrame([(1, "Ａ  Ｆile"), (2, "a file"), (3, "STRASSE"), (4, "straße"), (5, "é"), (6, "É")], "doc_id long, text string")
+    f = [r.fingerprint for r in fingerprint.fingerprints(df).orderBy("doc_id").collect()]
+    assert f[0] == f[1] and f[2] == f[3] and f[4] == f[5] and len(set(f)) == 3
+
+
+def test_next_document_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 7)
+    ids = random.Random(1).sample(range(10_000), 100)
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "_id long, _text string").repartition(5)
+    order = sorted(ids)
+    want = {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
+    assert {r._id: r._next for r in fingerprint.with_next(df).collect()} == want
+
+
+def test_pii(docs, empty):
+    rows = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    assert [(s.kind, s.start, s.end) for s in rows[10].pii_spans] == [("email", 5, 13), ("phone", 17, 34)]
+    assert rows[1].pii_spans == []
+    assert pii.find_pii(empty).count() == 0
+    out = {r.doc_id: r.text for r in pii.redact_pii(docs).collect()}
+    assert out[10] == "mail [EMAIL] or [PHONE]" and out[1] is None
+    found = pii.find_spans("iban GB82 WEST 1234 5698 7654 32, ssn 123-45-6789; GB82WEST12345698765433")
+    assert [(k, s) for k, _, _, s, _ in found] == [("iban", 1.0), ("ssn", 0.6)]
+
+
+def test_language(spark, docs, empty):
+    out = language.predict(docs, language.fit(docs, F.lit(True)), out_col="o").collect()
+    by = {r.doc_id: r.o for r in out}
+    assert len(out) == len(ROWS) and (by[1].lang, by[1].score) == ("und", 0.0) and by[2].lang == by[3].lang == "und"
+    model = language.fit(empty, F.lit(True))
+    assert {r.o.lang for r in language.predict(docs, model, out_col="o").collect()} == {"und"}
+    assert language.predict(empty, model).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(2)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(4000, 4100)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    want = {x: root(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == want
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates(docs, empty):
+    rows = near_dedup.near_duplicates(docs, 3, 90, 100).collect()
+    assert len(rows) == len(ROWS)
+    by = {r.id: (r.n_shingles, r.component_id) for r in rows if r.id is not None}
+    assert by[1] == (0, 1) and by[2] == (0, 2) and by[4] == (1, 4) and by[5] == (1, 4)
+    assert by[7][1] == 6 and by[9] == (1, 9)
+    assert near_dedup.near_duplicates(empty, 3, 90, 100).count() == 0
+
+
+@pytest.mark.parametrize("num,den", [(90, 100), (8, 10)])
+def test_partenum_shares_a_signature_with_every_link(num, den):
+    join, r = near_dedup.Join(3, num, den), random.Random(num)
+    for size in [1, 2, 5, 9, 10, 20, 47, 48, 49, 76, 100, 300, 1000]:
+        for _ in range(12):
+            base = [r.getrandbits(64) for _ in range(size)]
+            # the most edits that keep the link: drop some, add some
+            drop = r.randint(0, max(0, int(size * (1 - num / den))))
+            other = base[drop:]
+            while True:
+                grown = [*other, r.getrandbits(64)]
+                if not join.links(size - drop, size, len(grown)):
+                    break
+                other = grown
+            if not other or not join.links(size - drop, size, len(other)):
+                continue
+            a, b = (np.unique(np.array(x, np.uint64)) for x in (base, other))
+            (sa, wa), (sb, wb) = join.signatures(a), join.signatures(b)
+            assert wa and wb and set(sa.tolist()) & set(sb.tolist())
+
+
+def test_exact_dedup(docs, empty):
+    rows = exact_dedup.exact_dedup(docs).collect()
+    assert len(rows) == len(ROWS)
+    group = [r for r in rows if r.text in ("short one", "short  one")]
+    assert {(r._keep_id, r._group_size) for r in group} == {(4, 4)} and sum(r._kept for r in group) == 1
+    assert sum(r._kept for r in rows if r.text in (None, "")) == 1
+    assert exact_dedup.exact_dedup(empty).count() == 0
+    twice = docs.where("doc_id = 5")
+    assert sum(r._kept for r in exact_dedup.exact_dedup(twice).collect()) == 1
+
+
+def test_counting_filters_merge_without_loss():
+    r = np.random.default_rng(1)
+    parts = [r.integers(0, 500, 300).astype(np.uint64) << np.uint64(50) for _ in range(4)]
+    whole = exact_dedup.CountingQuotientFilter()
+    for p in parts:
+        one = exact_dedup.CountingQuotientFilter()
+        one.merge(p, np.ones(len(p), np.int64))
+        whole.merge(one.fingerprints(), one.counts)
+    values, counts = np.unique(np.concatenate(parts), return_counts=True)
+    assert (whole.fingerprints() == values).all() and (whole.counts == counts).all()
+
+
+def test_chat(spark):
+    texts = ["</s>[INST] ok [/INST]", "\\", "a\\", "\\\\</s>", "]", "<s>[ROLE:x] y", None, ""]
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(texts)] + [(2, 0, "assistant", "x"), (2, 1, "odd] role", "y"), (3, 0, None, "z"), (None, 0, "user", "n"), (4, 0, "user", "p"), (4, 0, "user", "p")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("valid", "first", "segments")})
+    out = {r.conv_id: r for r in chat.read_back(chat.format_chats(df)).collect()}
+    assert len(out) == 5 and out[4].n_turns == 2 and out[1].n_turns == 8
+    want = "".join(f"{'user' if i % 2 == 0 else 'assistant'}\n{t or ''}\n" for i, t in enumerate(texts))
+    assert out[1].turns_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    said = "".join(t or "" for t in texts[1::2])
+    assert (out[1].loss_chars, out[1].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    assert (out[1].n_invalid, out[2].n_invalid, out[3].n_invalid, out[4].n_invalid) == (0, 2, 1, 1)
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, docs, empty):
+    names = [c for c in docs.columns if c not in CLASH]
+    kept = docs.select(*names)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, kept, "")
+        assert out.columns == names and out.count() <= kept.count()
+        assert stage(spark, empty.select(*names), "").count() == 0
+        kept = out
+    ids = sorted(r.doc_id for r in kept.collect())
+    assert ids == [4, 6, 8, 9, 10]
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()} == set(ids)
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    import re
+
+    from tests.llm.test_brute_force import plain_components
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    docs = {k: v for k, v in docs.items() if any(c.isalpha() for c in v)}
+    first = {}
+    for k in sorted(docs):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", docs[k]), k)
+    docs = {k: docs[k] for k in first.values()}
+    docs = {k: v for k, v in docs.items() if plain_components(docs, 5, 8, 10)[k][1] == k} if len(docs) < 50 else {k: docs[k] for k, (_, c) in plain_components(docs, 5, 8, 10).items() if c == k}
+    tok = Tokenizer.from_file(VOCAB)
+    want = {k: len(tok.encode(pii.redact(v), add_special_tokens=False).ids) + 1 for k, v in docs.items()}
+    got: dict = {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    assert got == want
