@@ -193,9 +193,20 @@ def write_json(path: str, value: Any) -> None:
     os.replace(draft, path)
 
 
-# Process exit statuses by outcome.
-EXIT = {"complete": 0, "complete_with_gaps": 0, "partial": 2, "blocked": 3, "error": 1}
-
-
-def exit_status(status: str) -> int:
-    return EXIT.get(status, 1)
+# The outcomes that let a step count as done; elsewhere only these outcomes mean that it is not.
+DONE = {
+    "metadata": {"complete"},
+    "random_shortlist": {"complete"},
+    "replace_failed": {"complete"},
+    "fulltext": {"complete", "complete_with_gaps"},
+    "validate_reads": {"complete"},
+    "complete": {"complete"},
+    "finish_stage": {"complete"},
+}
+NOT_DONE = {"error", "blocked", "temporarily_unresolved", "unavailable"}
+
+
+def exit_status(step: str, status: str) -> int:
+    """0 for a step that is done, 2 for one that isn't."""
+    done = status in DONE[step] if step in DONE else status not in NOT_DONE
+    return 0 if done else 2
