@@ -113,3 +113,15 @@ def catalog_verdict(discovered: int, rows: int, invalid_abstracts: int, minimum:
     if not rows and not discovered:
         return "authoritative_empty"
     return "incomplete" if invalid_abstracts or discovered != rows or (minimum and rows < minimum) else "complete"
+
+
+def same_ids(a: DataFrame, b: DataFrame, key: str = "identity") -> DataFrame:
+    """only_left, only_right, equal: whether two tables hold the same keys."""
+    left, right = a.select(key).distinct().withColumn("_l", F.lit(True)), b.select(key).distinct().withColumn("_r", F.lit(True))
+    both = left.join(right, key, "full")
+    return both.agg(F.count_if(F.col("_r").isNull()).alias("only_left"), F.count_if(F.col("_l").isNull()).alias("only_right")).withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
+
+
+def uncovered(wanted: DataFrame, given: DataFrame, key: str) -> DataFrame:
+    """Keys of wanted that given lacks."""
+    return wanted.select(key).distinct().join(given.select(key).distinct(), key, "left_anti")

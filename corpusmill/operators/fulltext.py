@@ -91,3 +91,10 @@ def files_valid(payloads: DataFrame, files: DataFrame) -> DataFrame:
 
 def max_cooldown(services: DataFrame) -> DataFrame:
     return services.agg(F.max("cooldown_seconds").alias("max_cooldown_seconds"))
+
+
+def publish(items: DataFrame, path: str) -> None:
+    """Accepted full texts (identity, aliases, text) under the digest of their content, and an alias table beside them."""
+    rows = items.withColumn("digest", F.sha2("text", 256)).withColumn("cache_dir", F.concat_ws("/", F.lit(path.rstrip("/")), "digest"))
+    rows.select("digest", "identity", "text").write.mode("append").parquet(f"{path}/texts")
+    rows.select(F.explode("aliases").alias("alias"), "cache_dir", "digest").write.mode("append").parquet(f"{path}/aliases")

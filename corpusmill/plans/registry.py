@@ -487,3 +487,34 @@ def script_counts(spark, sf):
 def distinct_incidents(spark, sf):
     """Each incident once: the first report of an id."""
     return dedup.first_of_key(table(spark, sf, "events"), F.col("event_type"), [F.col("event_id")]).select("event_type", "event_id")
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_left, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS only_right, false AS equal")
+def set_equality(spark, sf):
+    """Whether documents and labels hold the same ids."""
+    return audit.same_ids(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+
+
+@query(
+    """SELECT s_suppkey AS identity, first(c_mktsegment ORDER BY c_custkey) AS cache_dir, 'c' || min(c_custkey) AS cache_alias FROM supplier JOIN customer ON c_custkey IN (s_suppkey * 3, s_suppkey * 3 + 1) GROUP BY 1"""
+)
+def alias_lookup(spark, sf):
+    """The first of a paper's aliases that the alias table knows."""
+    aliases = F.array(*[F.concat(F.lit("c"), e.cast("string")) for e in (F.col("s_suppkey") * 3, F.col("s_suppkey") * 3 + 1)])
+    papers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("identity"), aliases.alias("aliases"))
+    known = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("alias"), F.col("c_mktsegment").alias("cache_dir"))
+    return enrich.alias_lookup(papers, known)
+
+
+@query(
+    """WITH i AS (SELECT regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS k, repeat(c_mktsegment, 12) AS a, 'd' || c_custkey AS d FROM customer),
+    r AS (SELECT s_suppkey, 'customer 00000' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') AS title, CASE WHEN s_suppkey % 3 = 0 THEN 'd' || s_suppkey WHEN s_suppkey % 3 = 1 THEN '' ELSE 'other' END AS doi FROM supplier)
+    SELECT s_suppkey, CASE WHEN doi IN ('', d) AND length(a) >= 80 THEN a ELSE '' END AS abstract FROM r LEFT JOIN i ON k = regexp_replace(lower(title), '[^a-z0-9]+', '', 'g')"""
+)
+def fill_by_title_compatible_doi(spark, sf):
+    """Abstracts by title from an index whose DOI doesn't contradict."""
+    index = table(spark, sf, "customer").select(F.col("c_name").alias("title"), F.concat(F.lit("d"), F.col("c_custkey").cast("string")).alias("doi"), F.repeat("c_mktsegment", 12).alias("abstract"), F.lit("").alias("pdf_url"), F.col("c_custkey").alias("_pos"))
+    key = F.col("s_suppkey")
+    doi = F.when(key % 3 == 0, F.concat(F.lit("d"), key.cast("string"))).when(key % 3 == 1, "").otherwise("other")
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("customer 00000"), F.lpad(key.cast("string"), 4, "0")).alias("title"), doi.alias("doi"), F.lit("").alias("abstract"), F.lit("").alias("pdf_url"))
+    return enrich.fill_by_title(rows, index).select("s_suppkey", "abstract")

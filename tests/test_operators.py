@@ -295,3 +295,23 @@ def test_data_source(spark, tmp_path):
     assert [r.title for r in spark.read.format("scholarly").options(**options).load().collect()] == ["T"]
     with pytest.raises(Exception, match="missing or broken"):
         spark.read.format("scholarly").options(**options, policy="only").load().collect()
+
+
+def test_indexes(spark, tmp_path):
+    from corpusmill.sources import indexes
+
+    (tmp_path / "w.json").write_text(json.dumps({"results": [{"doi": "https://doi.org/10.1234/A", "title": "T", "abstract_inverted_index": {"b": [1], "a": [0]}, "authorships": [{"author": {"display_name": "N"}}]}, {"title": "U"}]}))
+    r = indexes.inverted(spark, str(tmp_path / "w.json")).orderBy("title").collect()
+    assert (r[0].doi, r[0].abstract, r[0].authors, r[1].abstract) == ("10.1234/a", "a b", ["N"], "")
+    item = {"type": "publication", "mainTitle": "T", "descriptions": ["aa", "bbb"], "pids": [{"scheme": "DOI", "value": "10.1/X"}, {"scheme": "arXiv", "value": "1"}], "instances": [{"urls": ["https://h/x.pdf"], "alternateIdentifiers": [{"scheme": "doi", "value": "10.1/y"}]}]}
+    (tmp_path / "p.json").write_text(json.dumps({"results": [item, {"type": "dataset", "mainTitle": "D"}]}))
+    r = indexes.publications(spark, str(tmp_path / "p.json")).collect()
+    assert {x.doi for x in r} == {"10.1/x", "10.1/y"} and {(x.abstract, x.pdf_url) for x in r} == {("bbb", "https://h/x.pdf")}
+    got = spark.createDataFrame([('[{"$": "a"}, "b", ""]',), ('{"$": "c"}',), ("d",)], "v string").select(indexes.scalars(F.col("v"))).collect()
+    assert [x[0] for x in got] == [["a", "b"], ["c"], ["d"]]
+    rows = spark.range(3)
+    assert indexes.first_with_rows(rows.limit(0), rows).count() == 3
+    assert indexes.all_or_nothing(rows, F.col("id") < 3).count() == 3 and indexes.all_or_nothing(rows, F.col("id") < 2).count() == 0
+    lines = spark.createDataFrame([("d", i, t) for i, t in enumerate(["Session A", "A first long title", "x", "Track B", "A second long title"])], "document string, n int, line string")
+    assert {(x.title, x.track) for x in indexes.program_titles(lines, least=2).collect()} == {("A first long title", "Session A"), ("A second long title", "Track B")}
+    assert indexes.program_titles(lines, least=3).count() == 0
