@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from public_tokenizers import path as vocabulary
 
 from corpusmill.llm import exact_dedup, language, near_dedup, packing, pii
-from corpusmill.llm.common import join_checked, stored, table
+from corpusmill.llm.common import join_checked, small_batches, stored, table
 
 #: Least language score of a document that stays; a text without letters has none.
 LANGUAGE_SCORE = 0.3
@@ -21,6 +21,7 @@ SHINGLE_WORDS, SIMILAR = 5, (8, 10)
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; the model learns from this stage's own labelled rows."""
+    small_batches(spark)
     model = language.fit(docs, F.lit(True))
     out = language.predict(docs, model, out_col="_language")
     return out.where((F.col("_language.lang") != language.UNKNOWN) & (F.col("_language.score") >= LANGUAGE_SCORE)).select(*docs.columns)
@@ -28,11 +29,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    small_batches(spark)
     return exact_dedup.exact_dedup(docs).where("_kept").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
+    small_batches(spark)
     found = near_dedup.near_duplicates(docs, SHINGLE_WORDS, *SIMILAR)
     gone = stored(found.where("component_id <> id").select(F.col("id").alias("doc_id")).distinct(), "gone")
     return join_checked(docs, gone, "doc_id", "left_anti")
@@ -40,12 +43,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts replaced by its kind; n_chars follows the text."""
+    small_batches(spark)
     out = pii.redact_pii(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 

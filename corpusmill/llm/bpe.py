@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Memo
+from corpusmill.llm.common import Memo, own
 
 NO_RULE = 1 << 60
 #: Bytes merged at a time beyond the lookahead.
@@ -348,6 +348,7 @@ DECODE_PORTION = 4096
 
 
 def _encoder(path: str) -> Encoder:
+    own("bpe", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from itertools import chain
@@ -13,7 +16,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: Rows, and bytes where Spark knows that setting, of a batch between the JVM and Python: documents can be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps batches of whole texts small on both sides; a session's own setting of fewer rows stays."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark.conf.get(size, None) is not None:
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """df written once as parquet to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/corpusmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -83,3 +101,25 @@ class Memo:
         if new:
             table.update(learn(new))
         return [b"".join(map(table.__getitem__, keys)) for keys in lists]
+
+
+_OWNER: list[str] = [""]
+_RELEASE: dict = {}
+
+
+def own(owner: str, release=None) -> None:
+    """Says which operator a Python worker now works for; what others remember in it is let go.
+
+    Workers live on between stages, and their memory counts as their executor's.
+    """
+    if release is not None:
+        _RELEASE[owner] = release
+    if _OWNER[0] == owner:
+        return
+    _OWNER[0] = owner
+    for other, let_go in _RELEASE.items():
+        if other != owner:
+            let_go()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import join_checked, stored
+from corpusmill.llm.common import join_checked, own, stored
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bits of the quotient that name a block of the filter; blocks are what is shuffled and merged.
@@ -91,6 +91,7 @@ class CountingQuotientFilter:
 
 
 def _fingerprint(text: pa.Array) -> pa.Array:
+    own("exact dedup")
     prints, digests = [], []
     for value in text.cast(pa.large_binary()).to_pylist():
         norm = normalise(value or b"")
@@ -168,6 +169,7 @@ def _classes(groups: dict) -> pa.RecordBatch:
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each distinct text (compared by bytes) of a task, before anything is shuffled."""
+    own("exact dedup")
     groups, held = {}, 0
     for batch in batches:
         ids, texts, prints, digests = (batch.column(i) for i in range(4))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import crc_remainder
+from corpusmill.llm.common import crc_remainder, own
 
 GRAMS = (1, 2, 3, 4)
 DOMAIN_BITS = 17
@@ -39,6 +39,7 @@ _TABLES: dict[str, np.ndarray] = {}
 
 def _letters() -> np.ndarray:
     """For each BMP code point itself if it is a letter, else a space."""
+    own("language", _TABLES.clear)
     if "letters" not in _TABLES:
         table = np.full(0x10000, 32, np.uint32)
         for c in range(0x10000):

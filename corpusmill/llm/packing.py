@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.bpe import LETTERS, MARKS, PORTION, WIDTHS, WindowMerger, byte_alphabet
-from corpusmill.llm.common import Memo, stored
+from corpusmill.llm.common import Memo, own, stored
 
 CAPACITY = 4096
 OPEN_BINS = 1024
@@ -36,7 +36,7 @@ END_ID = 1
 #: Remainder pieces that one task of the second round packs.
 PIECES_A_TASK = 100_000
 #: Words whose ids a worker remembers, and the longest of them.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 400_000
 MEMO_CHARS = 48
 
 
@@ -142,6 +142,7 @@ _WORDS: dict[str, WordTokens] = {}
 
 def word_tokens(path: str) -> WordTokens:
     """One memo a Python worker, kept between its tasks."""
+    own("packing", _WORDS.clear)
     if path not in _WORDS:
         _WORDS[path] = WordTokens(path)
     return _WORDS[path]

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import own
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
 #: Code points on each side in which context words count, and the least score an added span needs.
@@ -159,10 +161,12 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int3
 
 
 def _spans(text: pa.Array) -> pa.Array:
+    own("pii")
     return pa.array([[dict(zip(("kind", "start", "end", "score", "base"), s)) for s in find_spans(t or "")] for t in text.to_pylist()], pa.list_(_SPAN))
 
 
 def _redacted(text: pa.Array) -> pa.Array:
+    own("pii")
     return pa.array([None if t is None else redact(t) for t in text.to_pylist()], pa.string())
 
 
