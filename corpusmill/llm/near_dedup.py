@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import join_checked, stored
+from corpusmill.llm.common import join_checked, own, stored
 from corpusmill.llm.components import components
 
 #: Sets up to this size are one band whose parts hold single shingles; above, bands grow by RATIO.
@@ -41,9 +41,9 @@ RATIO = 1.6
 #: Sub-parts of a part, and how many of them a subset leaves out (PartEnum's second level).
 SUB_PARTS, SPOILT = 1, 0
 #: Bytes of text hashed at a time.
-SEGMENT = 1 << 20
-#: Rows compared at a time inside a bucket.
-BLOCK = 512
+SEGMENT = 1 << 16
+#: Rows compared at a time inside a bucket, and words of sketches.
+BLOCK, SKETCH_CELLS = 1024, 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -177,19 +177,40 @@ def _edges() -> np.ndarray:
     return np.array(out)
 
 
-def sketch(found: np.ndarray) -> int:
-    """64 parities: two sets differ in at least as many shingles as their sketches in bits."""
-    bits = np.bincount((mix(found + np.uint64(99)) >> np.uint64(58)).astype(np.int64), minlength=64) & 1
-    return int(np.packbits(bits.astype(np.uint8)).view(">i8")[0])
+#: Most 64-bit words of a sketch; a larger set's sketch only rules out less.
+SKETCH_WORDS = 2048
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of the set's hashes, about two bits a shingle: two sets differ in at least as many shingles as bits.
+
+    A sketch folds to half its size by the exclusive or of its halves.
+    """
+    words = min(SKETCH_WORDS, 1 << max(0, (2 * len(found) - 1) // 64).bit_length())
+    bits = np.bincount((mix(found + np.uint64(99)) & np.uint64(words * 64 - 1)).astype(np.int64), minlength=words * 64) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """A row of 64-bit words for each sketch, all folded to the smallest one's size."""
+    least = min(map(len, sketches)) // 8
+    out = np.empty((len(sketches), least), np.uint64)
+    for i, raw in enumerate(sketches):
+        row = np.frombuffer(raw, np.uint64)
+        while len(row) > least:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out[i] = row
+    return out
 
 
 def _describe(words: int):
     def run(texts: pa.Array) -> pa.Array:
+        own("near dedup")
         rows = []
         for text in texts.to_pylist():
             found = shingles(text, words)
             rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), sketch(found)))
-        types = (("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.int64()))
+        types = (("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()))
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(types)], [n for n, _ in types])
 
     return run
@@ -201,6 +222,7 @@ SEEN = 200_000
 
 def _emit(join: Join):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("near dedup")
         seen: set[bytes] = set()
         for batch in batches:
             ids, sigs, held = [], [], 0
@@ -212,12 +234,12 @@ def _emit(join: Join):
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(digest)
-                own, whole = join.signatures(found)
+                made, whole = join.signatures(found)
                 if not whole:
                     raise ValueError("a set leaves too many parts empty under this seed; use another one")
-                ids.append(np.full(len(own), doc_id, np.int64))
-                sigs.append(own.view(np.int64))
-                held += len(own)
+                ids.append(np.full(len(made), doc_id, np.int64))
+                sigs.append(made.view(np.int64))
+                held += len(made)
                 if held > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], ["sig", "id"])
                     ids, sigs, held = [], [], 0
@@ -228,73 +250,84 @@ def _emit(join: Join):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in (sig, id) order: those whose signature another row also has. Holds one row between batches."""
+    """Rows in (sig, id) order: those whose signature another row also has, with the smallest id that has it.
+
+    Holds one row between batches, however many rows share a signature.
+    """
+
+    def out(sig, ids, pivot):
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids), pa.array(pivot)], ["sig", "id", "pivot"])
+
     sig, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    paired = False  # whether the held row's signature has already been seen before it
-    names = ["sig", "id"]
+    held_pivot, paired = 0, False  # of the held row: its bucket's smallest id, and whether a row came before it
     for batch in batches:
+        first = len(sig)
         sig = np.concatenate([sig, batch.column(0).to_numpy(zero_copy_only=False)])
         ids = np.concatenate([ids, batch.column(1).to_numpy(zero_copy_only=False)])
-        if len(sig) < 2:
+        if not len(sig):
             continue
-        same = sig[1:] == sig[:-1]
-        kept = np.r_[False, same] | np.r_[same, False]
-        kept[0] |= paired
-        yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][kept[:-1]]), pa.array(ids[:-1][kept[:-1]])], names)
-        paired = bool(same[-1])
-        sig, ids = sig[-1:], ids[-1:]
+        new = np.r_[True, sig[1:] != sig[:-1]]
+        bucket = np.cumsum(new) - 1
+        pivot = ids[np.flatnonzero(new)][bucket]
+        if first:
+            pivot[bucket == 0] = held_pivot
+        kept = np.r_[False, ~new[1:]] | np.r_[~new[1:], False]
+        kept[0] |= bool(first) and paired
+        yield out(sig[:-1][kept[:-1]], ids[:-1][kept[:-1]], pivot[:-1][kept[:-1]])
+        paired = not new[-1] or (len(sig) == 1 and bool(first) and paired)
+        sig, ids, held_pivot = sig[-1:], ids[-1:], pivot[-1]
     if len(sig) and paired:
-        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids)], names)
-
-
-def _bits(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+        yield out(sig, ids, np.array([held_pivot]))
 
 
 def _across(join: Join):
     """Rows in sig order: pairs of a bucket from different components that sizes and sketches allow."""
 
-    def pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids, label, size, bits = rows
+    def pairs(ids: np.ndarray, label: np.ndarray, size: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         order = np.argsort(size, kind="stable")
-        ids, label, size, bits = ids[order], label[order], size[order], bits[order].view(np.uint64)
-        left, right = [], []
+        ids, label, size = ids[order], label[order], size[order]
+        bits = folded([sketches[i] for i in order])
+        step = max(1, SKETCH_CELLS // bits.shape[1])
         for i in range(0, len(ids), BLOCK):
             a = slice(i, min(i + BLOCK, len(ids)))
             last = int(np.searchsorted(size, join.most_partner(int(size[a][-1])), "right"))
-            for j in range(i, last, BLOCK * 8):
-                b = slice(j, min(j + BLOCK * 8, last))
-                near = (label[a][:, None] != label[b][None, :]) & (size[b][None, :] * join.num <= size[a][:, None] * join.den)
-                near &= _bits(bits[a][:, None] ^ bits[b][None, :]) <= join.differences(size[a][:, None], size[b][None, :])
-                x, y = np.nonzero(near)
-                low, high = np.minimum(ids[a][x], ids[b][y]), np.maximum(ids[a][x], ids[b][y])
-                left.append(low)
-                right.append(high)
-        return np.concatenate(left), np.concatenate(right)
+            for j in range(i, last, BLOCK):
+                b = slice(j, min(j + BLOCK, last))
+                x, y = np.nonzero((label[a][:, None] != label[b][None, :]) & (size[b][None, :] * join.num <= size[a][:, None] * join.den))
+                x, y = x + i, y + j
+                x, y = x[x < y], y[x < y]
+                for k in range(0, len(x), step):
+                    p, q = x[k : k + step], y[k : k + step]
+                    near = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64) <= join.differences(size[p], size[q])
+                    yield np.minimum(ids[p], ids[q])[near], np.maximum(ids[p], ids[q])[near]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        marks: list[bytes] = []
         at = None
 
         def flush():
             if held:
-                rows = np.concatenate(held, 1)
-                if len(np.unique(rows[1])) > 1:
-                    a, b = pairs(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                ids, label, size = np.concatenate(held, 1)
+                if len(np.unique(label)) > 1:
+                    for a, b in pairs(ids, label, size, marks):
+                        if len(a):
+                            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             held.clear()
+            marks.clear()
 
         for batch in batches:
-            sig, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            sig, *rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             if not len(sig):
                 continue
-            rest = np.stack(rest)
+            sketches, rest = batch.column(4).to_pylist(), np.stack(rest)
             cuts = np.r_[0, np.flatnonzero(sig[1:] != sig[:-1]) + 1, len(sig)]
             for a, b in zip(cuts, cuts[1:]):
                 if sig[a] != at:
                     yield from flush()
                     at = sig[a]
                 held.append(rest[:, a:b])
+                marks += sketches[a:b]
         yield from flush()
 
     return run
@@ -334,30 +367,45 @@ def near_duplicates(docs: DataFrame, words: int, num: int, den: int, id_col: str
     """id, n_shingles, class_id (smallest id with the same set), component_id of every document."""
     join = Join(words, num, den)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    about = docs.select("id", F.arrow_udf(_describe(words), "struct<n:bigint,digest:binary,sketch:bigint>")("text").alias("s"))
+    about = docs.select("id", F.arrow_udf(_describe(words), "struct<n:bigint,digest:binary,sketch:binary>")("text").alias("s"))
     about = stored(about.select("id", "s.n", "s.digest", "s.sketch"), "sets-about")
-    classes = about.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-    member = stored(about.where("n > 0").select("id", "digest").join(classes, "digest").select("id", "rep", "n", "sketch"), "members")
+    classes = about.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    copies = join_checked(about.where("n > 0").select("id", "digest"), stored(classes.select("digest", "rep"), "classes"), "digest", "inner")
+    copies = stored(copies.where("id <> rep").select("id", "rep").distinct(), "copies")
+    n_copies = copies.count()
+
+    def represented(rows: DataFrame, column: str) -> DataFrame:
+        """rows with the ids in column replaced by the smallest id of the same set."""
+        named = copies.select(F.col("id").alias(column), F.col("rep").alias("_rep"))
+        return join_checked(rows, named, column, "left", n_copies).withColumn(column, F.coalesce("_rep", column)).drop("_rep")
 
     rows = docs.where("id IS NOT NULL").mapInArrow(_emit(join), "sig bigint, id bigint")
-    shared = rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_shared, "sig bigint, id bigint")
+    shared = rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_shared, "sig bigint, id bigint, pivot bigint")
     shared = stored(shared, "shared")
-    buckets = stored(shared.join(member.select("id", "rep").distinct(), "id").select("sig", "rep").distinct(), "buckets")
-    pivots = buckets.groupBy("sig").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("sig", "a")
-    star = stored(buckets.join(pivots, "sig").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "star")
+    star = represented(represented(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "a"), "b")
+    star = stored(star.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
     links = stored(verified(docs, star, join), "links")
     found = stored(components(links), "components")
+    n_found = found.count()
+
+    def labelled(rows: DataFrame, column: str, label: str) -> DataFrame:
+        """rows with the component of the ids in column."""
+        named = found.select(F.col("node").alias(column), F.col("label").alias(label))
+        return join_checked(rows, named, column, "left", n_found).withColumn(label, F.coalesce(label, column))
 
     # between components that the stars left apart: every pair that can still link
-    tagged = buckets.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    tagged = stored(tagged, "tagged")
-    apart = tagged.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
-    open_ = tagged.join(apart, "sig", "left_semi").join(member.where("id = rep").select("rep", "n", "sketch").distinct(), "rep")
-    more = open_.select("sig", "rep", "label", "n", "sketch").repartition("sig").sortWithinPartitions("sig").mapInArrow(_across(join), "a bigint, b bigint").distinct()
+    tagged = labelled(labelled(represented(represented(shared, "id"), "pivot"), "id", "label"), "pivot", "at")
+    apart = stored(tagged.where("label <> at").select("sig").distinct(), "apart")
+    tagged = stored(join_checked(tagged.select("sig", "id", "label"), apart, "sig", "left_semi"), "tagged")
+    wanted = stored(tagged.select("id").distinct(), "wanted")
+    sizes = stored(join_checked(about.select("id", "n", "sketch"), wanted, "id", "left_semi").dropDuplicates(["id"]), "sizes")
+    open_ = tagged.join(sizes, "id").select("sig", "id", "label", "n", "sketch")
+    more = open_.repartition("sig").sortWithinPartitions("sig").mapInArrow(_across(join), "a bigint, b bigint").distinct()
     more = stored(more.join(star, ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
         links = links.unionByName(stored(verified(docs, more, join), "links"))
         found = stored(components(links), "components")
 
-    result = about.join(member.select("id", "rep").distinct(), "id", "left").join(found.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    return result.select("id", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("label", "rep", "id").alias("component_id"))
+    result = join_checked(about.select("id", "n"), copies, "id", "left", n_copies)
+    result = join_checked(result.withColumn("rep", F.coalesce("rep", "id")), found.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    return result.select("id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id"))
