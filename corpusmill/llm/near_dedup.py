@@ -354,10 +354,36 @@ def _set_bytes(words: int):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
-    """Those pairs (a, b) of ids whose whole sets link; sets are made for the documents in pairs only."""
-    wanted = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
-    rows = join_checked(docs, wanted, "id", "left_semi").dropDuplicates(["id"])
+def _likely(join: Join):
+    """Whether sizes and sketches of two sets allow a link."""
+
+    def run(a: pa.Array, b: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for m, n, p, q in zip(a.to_pylist(), b.to_pylist(), x.to_pylist(), y.to_pylist()):
+            ok = min(m, n) * join.den >= max(m, n) * join.num
+            if ok:
+                left, right = folded([p, q])
+                ok = int(np.bitwise_count(left ^ right).sum(dtype=np.int64)) <= join.differences(m, n)
+            out.append(ok)
+        return pa.array(out, pa.bool_())
+
+    return run
+
+
+def verified(docs: DataFrame, about: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
+    """Those pairs (a, b) of ids whose whole sets link.
+
+    Sizes and sketches rule most other pairs out first; whole sets are made and moved for the rest only.
+    """
+
+    def ids(rows: DataFrame) -> DataFrame:
+        return stored(rows.select(F.col("a").alias("id")).unionByName(rows.select(F.col("b").alias("id"))).distinct(), "wanted")
+
+    sizes = stored(join_checked(about.select("id", "n", "sketch"), ids(pairs), "id", "left_semi").dropDuplicates(["id"]), "sizes")
+    side = lambda c, n, x: sizes.select(F.col("id").alias(c), F.col("n").alias(n), F.col("sketch").alias(x))
+    both = pairs.join(side("a", "m", "p"), "a").join(side("b", "n", "q"), "b")
+    pairs = stored(both.where(F.arrow_udf(_likely(join), "boolean")("m", "n", "p", "q")).select("a", "b"), "likely")
+    rows = join_checked(docs, ids(pairs), "id", "left_semi").dropDuplicates(["id"])
     sets = stored(rows.select("id", F.arrow_udf(_set_bytes(join.words), "binary")("text").alias("found")), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("found").alias("y")), "b")
     return both.where(F.arrow_udf(_verify(join), "boolean")("x", "y")).select("a", "b")
@@ -384,7 +410,7 @@ def near_duplicates(docs: DataFrame, words: int, num: int, den: int, id_col: str
     shared = stored(shared, "shared")
     star = represented(represented(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "a"), "b")
     star = stored(star.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
-    links = stored(verified(docs, star, join), "links")
+    links = stored(verified(docs, about, star, join), "links")
     found = stored(components(links), "components")
     n_found = found.count()
 
@@ -403,7 +429,7 @@ def near_duplicates(docs: DataFrame, words: int, num: int, den: int, id_col: str
     more = open_.repartition("sig").sortWithinPartitions("sig").mapInArrow(_across(join), "a bigint, b bigint").distinct()
     more = stored(more.join(star, ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
-        links = links.unionByName(stored(verified(docs, more, join), "links"))
+        links = links.unionByName(stored(verified(docs, about, more, join), "links"))
         found = stored(components(links), "components")
 
     result = join_checked(about.select("id", "n"), copies, "id", "left", n_copies)
