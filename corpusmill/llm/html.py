@@ -9,11 +9,12 @@ by one grouped aggregation that combines before its shuffle, however many pages
 
 A page's text is what its slots hold, without elements that are no article by their meaning (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments; told by tag, role or
-class words). Where the page marks its article, nothing inside it counts as template; elsewhere the
-host's main slot (most text, least of it links) is taken.
+class words). The template is deduced and taken off on every page, inside marked articles too, and a mark
+never hides the slots beside it; on a page without a mark the host's main slot (most text, least of it
+links) is taken.
 
 Edge cases: a null or empty html gives an empty text; a page without a url, or of a host with few pages,
-has no template; unclosed or misnested tags never lose text; repeated rows are extracted one by one; an
+has no template; a page that the template covers whole keeps its blocks; unclosed or misnested tags never lose text; repeated rows are extracted one by one; an
 empty table gives no rows; other columns pass through.
 """
 
@@ -300,14 +301,11 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str | None, template_texts=None, main_slot: str | None = None) -> str:
-    """Blocks of the article, joined by line ends."""
+    """Blocks of the slots that the host's template leaves, joined by line ends."""
     blocks = [b for b in parse(page or "")[0] if not b.dropped]
-    for marked in (lambda b: b.main and b.article, lambda b: b.article, lambda b: b.main, lambda b: b.content):
-        if found := [b for b in blocks if marked(b)]:
-            return "\n".join(b.text for b in found)
     known = set(template_texts or ())
     slots = [b for b in blocks if _text_token(b) not in known]
-    if main_slot:
+    if main_slot and not any(b.article or b.main or b.content for b in blocks):
         inside = [b for b in slots if b.path == main_slot or b.path.startswith(main_slot + ">")]
         slots = inside or slots
     return "\n".join(b.text for b in slots or blocks)

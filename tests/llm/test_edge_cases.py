@@ -152,6 +152,22 @@ def test_html(spark):
     assert len(t.texts) >= 3 and t.main_slot.endswith("div.text")
 
 
+def extracted(spark, pages):
+    """Texts of pages of one host, in their order."""
+    df = spark.createDataFrame([(i, f"https://h.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html.extract(df).orderBy("page_id").collect()]
+
+
+def test_html_template_inside_marked_articles(spark):
+    pages = [f"<body><article><h1>Title {i}</h1><p>Story {i}</p><div>Read our other stories</div></article></body>" for i in range(6)]
+    assert extracted(spark, pages) == [f"Title {i}\nStory {i}" for i in range(6)]
+
+
+def test_html_marks_hide_no_slots(spark):
+    pages = [f"<body><div class='text'><h1>Title {i}</h1><p>Story {i}</p></div><article>Teaser {i}</article><p>Our house rules</p></body>" for i in range(6)]
+    assert extracted(spark, pages) == [f"Title {i}\nStory {i}\nTeaser {i}" for i in range(6)]
+
+
 @pytest.mark.parametrize(
     "page,want",
     [
