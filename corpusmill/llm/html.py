@@ -9,9 +9,9 @@ by one grouped aggregation that combines before its shuffle, however many pages
 
 A page's text is what its slots hold, without elements that are no article by their meaning (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments; told by tag, role or
-class words). The template is deduced and taken off on every page, inside marked articles too, and a mark
-never hides the slots beside it; on a page without a mark the host's main slot (most text, least of it
-links) is taken.
+class words). The template is deduced and taken off on every page, inside marked articles too; all slots that
+it leaves stay, in page order. The host's main slot (most text, least of it links) is told beside the template
+and cuts nothing.
 
 Edge cases: a null or empty html gives an empty text; a page without a url, or of a host with few pages,
 has no template; a page that the template covers whole keeps its blocks; unclosed or misnested tags never lose text; repeated rows are extracted one by one; an
@@ -54,7 +54,6 @@ BOILERPLATE = frozenset(
 COMMENTS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 #: Words that are no reason to drop an element inside a marked article: its own heading.
 HEADING = frozenset({"header", "masthead", "banner"})
-CONTENT = frozenset("content article post entry story main articlebody maincontent".split())
 _CLOSED_BY = {
     "li": ("li",),
     "dt": ("dt", "dd"),
@@ -79,7 +78,6 @@ class Element:
     dropped: bool
     article: bool
     main: bool
-    content: bool
     link: bool
 
 
@@ -88,9 +86,6 @@ class Block:
     text: str
     path: str
     dropped: bool
-    article: bool
-    main: bool
-    content: bool
     link_chars: int
 
 
@@ -127,7 +122,6 @@ def _opened(tag: str, raw: str, up: Element | None) -> Element:
         dropped,
         (up is not None and up.article) or (tag == "article" and not dropped),
         (up is not None and up.main) or ((tag == "main" or role == "main") and not dropped),
-        (up is not None and up.content) or (tag in ("div", "section") and not dropped and bool(names & CONTENT)),
         (up is not None and up.link) or tag == "a",
     )
 
@@ -145,8 +139,8 @@ def parse(page: str) -> tuple[list[Block], Counter]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                top = stack[-1] if stack else Element("", "", False, False, False, False, False)
-                blocks.append(Block(text, top.path, top.dropped, top.article, top.main, top.content, link_chars))
+                top = stack[-1] if stack else Element("", "", False, False, False, False)
+                blocks.append(Block(text, top.path, top.dropped, link_chars))
             pieces.clear()
         link_chars = 0
 
@@ -300,14 +294,11 @@ def templates(pages: DataFrame) -> DataFrame:
     return nested.join(slots, "host").select("host", "tokens", texts.alias("texts"), "main_slot")
 
 
-def main_text(page: str | None, template_texts=None, main_slot: str | None = None) -> str:
+def main_text(page: str | None, template_texts=None) -> str:
     """Blocks of the slots that the host's template leaves, joined by line ends."""
     blocks = [b for b in parse(page or "")[0] if not b.dropped]
     known = set(template_texts or ())
     slots = [b for b in blocks if _text_token(b) not in known]
-    if main_slot and not any(b.article or b.main or b.content for b in blocks):
-        inside = [b for b in slots if b.path == main_slot or b.path.startswith(main_slot + ">")]
-        slots = inside or slots
     return "\n".join(b.text for b in slots or blocks)
 
 
@@ -315,14 +306,14 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
 
 
-def _extract(pages: pa.Array, texts: pa.Array, slots: pa.Array) -> pa.Array:
-    return pa.array([main_text(*row) for row in zip(pages.to_pylist(), texts.to_pylist(), slots.to_pylist())], pa.string())
+def _extract(pages: pa.Array, texts: pa.Array) -> pa.Array:
+    return pa.array([main_text(*row) for row in zip(pages.to_pylist(), texts.to_pylist())], pa.string())
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "text") -> DataFrame:
     """pages with out_col: the main text of each whole page."""
     known = stored(templates(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))), "templates")
-    known = known.select(F.col("host").alias("_host"), F.col("texts").alias("_texts"), F.col("main_slot").alias("_slot"))
+    known = known.select(F.col("host").alias("_host"), F.col("texts").alias("_texts"))
     out = join_checked(pages.withColumn("_at", host_of(F.col(url_col))), known, F.col("_at") == F.col("_host"), "left", limit=20_000)
-    text = F.arrow_udf(_extract, "string")(F.col(html_col).cast("string"), F.col("_texts"), F.col("_slot"))
-    return out.withColumn(out_col, text).drop("_at", "_host", "_texts", "_slot")
+    text = F.arrow_udf(_extract, "string")(F.col(html_col).cast("string"), F.col("_texts"))
+    return out.withColumn(out_col, text).drop("_at", "_host", "_texts")

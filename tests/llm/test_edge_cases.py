@@ -163,6 +163,14 @@ def test_html_template_inside_marked_articles(spark):
     assert extracted(spark, pages) == [f"Title {i}\nStory {i}" for i in range(6)]
 
 
+def test_html_keeps_all_slots(spark):
+    """Headline, intro and a second layout beside the host's main container."""
+    first = [f"<body><h1>Title {i}</h1><div class='intro'>Intro {i}</div><div class='text'><p>Long story {i} of many words</p></div><p>Our house rules</p></body>" for i in range(6)]
+    second = "<body><div class='text'>Note</div><section class='body'><p>Other layout</p></section><p>Our house rules</p></body>"
+    want = [f"Title {i}\nIntro {i}\nLong story {i} of many words" for i in range(6)]
+    assert extracted(spark, [*first, second]) == [*want, "Note\nOther layout"]
+
+
 def test_html_marks_hide_no_slots(spark):
     pages = [f"<body><div class='text'><h1>Title {i}</h1><p>Story {i}</p></div><article>Teaser {i}</article><p>Our house rules</p></body>" for i in range(6)]
     assert extracted(spark, pages) == [f"Title {i}\nStory {i}\nTeaser {i}" for i in range(6)]
