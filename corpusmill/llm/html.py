@@ -5,7 +5,8 @@ path and content. Over the pages of a host each token has an occurrence vector (
 each page); tokens with one vector form an equivalence class. Classes that are large and frequent enough
 are valid; ordered by place and nested where one lies within another, they are the host's template. What
 the template doesn't cover are slots. Vectors are compared through an order-free hash, so they are made
-by one grouped aggregation that combines before its shuffle, however many pages a host has.
+by one grouped aggregation that combines before its shuffle, however many pages a host has. Copies of a
+page count once.
 
 A page's text is what its slots hold, without elements that are no article by their meaning (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments; told by tag, role or
@@ -254,9 +255,10 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not host or not page:
                 continue
             blocks, paths = parse(page)
-            key = _hash("page", page)
-            rows.append((host, "n", 0, key, 1, 0.0, 0, None))
             size = max(1, len(paths) + len(blocks))
+            # pages that differ only in what has no token (scripts, comments, dropped texts) are copies, too
+            key = _hash("page", str(size), *(f"{p} {n}" for p, n in paths.items()), *(x for b in blocks if not b.dropped for x in (b.path, b.text, str(b.link_chars))))
+            rows.append((host, "n", 0, key, 1, 0.0, 0, None))
             rows += [(host, "p", _hash("path", p), key, n, i / size, 0, None) for i, (p, n) in enumerate(paths.items())]
             texts = Counter(_text_token(b) for b in blocks if not b.dropped)
             rows += [(host, "t", t, key, n, i / size, 0, None) for i, (t, n) in enumerate(texts.items())]
@@ -274,7 +276,7 @@ def templates(pages: DataFrame) -> DataFrame:
     pages: host, html. A token that stands on at least half of a host's pages is one of a bounded number:
     at most twice as many as a page has on average, so a template is never larger than pages are.
     """
-    rows = pages.mapInArrow(_emit, _TOKENS)
+    rows = pages.mapInArrow(_emit, _TOKENS).distinct()  # copies of a page give equal rows and count once
     tokens = rows.groupBy("host", "kind", "token").agg(
         F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count(F.lit(1)).alias("support"), F.avg("place").alias("place"), F.sum("chars").alias("chars"), F.first("path").alias("path")
     )

@@ -171,6 +171,15 @@ def test_html_keeps_all_slots(spark):
     assert extracted(spark, [*first, second]) == [*want, "Note\nOther layout"]
 
 
+@pytest.mark.parametrize("copies", [5, 6])
+def test_html_copies_of_a_page_count_once(spark, copies):
+    page = lambda i, k=0: f"<body><script>track({k})</script><p>Story {i}</p><p>More of {i}</p><p>Our house rules</p></body>"
+    many = [page(0)] * copies + [page(0, k) for k in range(copies)]
+    others = [page(i) for i in range(1, 5)]
+    kept = [p.replace("<p>Our", "<p>By line</p><p>Our") for p in many]
+    assert extracted(spark, [*kept, *others]) == ["Story 0\nMore of 0\nBy line"] * len(many) + [f"Story {i}\nMore of {i}" for i in range(1, 5)]
+
+
 def test_html_marks_hide_no_slots(spark):
     pages = [f"<body><div class='text'><h1>Title {i}</h1><p>Story {i}</p></div><article>Teaser {i}</article><p>Our house rules</p></body>" for i in range(6)]
     assert extracted(spark, pages) == [f"Title {i}\nStory {i}\nTeaser {i}" for i in range(6)]
