@@ -10,13 +10,15 @@ page count once.
 
 A page's text is what its slots hold, without elements that are no article by their meaning (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments; told by tag, role or
-class words). The template is deduced and taken off on every page, inside marked articles too; all slots that
-it leaves stay, in page order. The host's main slot (most text, least of it links) is told beside the template
-and cuts nothing.
+class words). Inside a marked article few class words do so alone, other words and ids only on block
+elements of which half of the text or more is template or links; headings are never dropped by words.
+The template is deduced and taken off on every page, inside marked articles too; all slots that it
+leaves stay, in page order. The host's main slot (most text, least of it links) is told beside the
+template and cuts nothing.
 
 Edge cases: a null or empty html gives an empty text; a page without a url, or of a host with few pages,
-has no template; a page that the template covers whole keeps its blocks; unclosed or misnested tags never lose text; repeated rows are extracted one by one; an
-empty table gives no rows; other columns pass through.
+has no template; a page that the template covers whole keeps its blocks; unclosed or misnested tags never
+lose text; repeated rows are extracted one by one; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -55,6 +57,9 @@ BOILERPLATE = frozenset(
 COMMENTS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 #: Words that are no reason to drop an element inside a marked article: its own heading.
 HEADING = frozenset({"header", "masthead", "banner"})
+#: Class words that alone drop an element inside a marked article (in <main>, ids as well).
+SURE = frozenset("advert adverts advertisement advertisements advertising adbox adslot comments commentlist disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _CLOSED_BY = {
     "li": ("li",),
     "dt": ("dt", "dd"),
@@ -80,6 +85,7 @@ class Element:
     article: bool
     main: bool
     link: bool
+    suspect: int
 
 
 @dataclass
@@ -88,30 +94,36 @@ class Block:
     path: str
     dropped: bool
     link_chars: int
+    suspect: int
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _names(attributes: dict[str, str]) -> set[str]:
-    said = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+def _names(attributes: dict[str, str], *which: str) -> set[str]:
+    said = " ".join(attributes.get(a, "") for a in which)
     return {w.lower() for w in _WORD.findall(said)} | set(re.split(r"[^a-z]+", said.lower()))
 
 
-def _opened(tag: str, raw: str, up: Element | None) -> Element:
+def _opened(tag: str, raw: str, up: Element | None, place: int) -> Element:
     attributes = _attributes(raw) if raw.strip(" /\n\t") else {}
-    names = _names(attributes) if "class" in attributes or "id" in attributes else set()
+    names = _names(attributes, "class", "id") if "class" in attributes or "id" in attributes else set()
     inside = up is not None and (up.article or up.main)
+    sure = suspect = False
+    if inside and tag not in HEADINGS and names & BOILERPLATE:
+        told = _names(attributes, "class") if up.article else names
+        sure = bool(told & SURE) or (tag == "article" and bool(_names(attributes, "class") & COMMENTS - {"discussion"}))
+        suspect = tag in BLOCKS and not names & BOILERPLATE <= HEADING
     role = attributes.get("role", "").lower()
     if tag in ("html", "body"):
         bad = False
     elif tag in ("article", "main"):
-        bad = bool(names & COMMENTS)
+        bad = sure if inside else bool(names & COMMENTS)
     elif tag == "header":
         bad = not inside
     else:
-        bad = tag in NEVER or role in ROLES or bool(names & BOILERPLATE) and not (inside and names & BOILERPLATE <= HEADING)
+        bad = tag in NEVER or role in ROLES or (sure if inside else bool(names & BOILERPLATE))
         bad = bad or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
     dropped = bad or (up is not None and up.dropped)
     path = up.path if up else ""
@@ -124,6 +136,7 @@ def _opened(tag: str, raw: str, up: Element | None) -> Element:
         (up is not None and up.article) or (tag == "article" and not dropped),
         (up is not None and up.main) or ((tag == "main" or role == "main") and not dropped),
         (up is not None and up.link) or tag == "a",
+        place if suspect else up.suspect if up else 0,
     )
 
 
@@ -140,8 +153,8 @@ def parse(page: str) -> tuple[list[Block], Counter]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                top = stack[-1] if stack else Element("", "", False, False, False, False)
-                blocks.append(Block(text, top.path, top.dropped, link_chars))
+                top = stack[-1] if stack else Element("", "", False, False, False, False, 0)
+                blocks.append(Block(text, top.path, top.dropped, link_chars, top.suspect))
             pieces.clear()
         link_chars = 0
 
@@ -210,7 +223,7 @@ def parse(page: str) -> tuple[list[Block], Counter]:
                 if stack[i].tag in BLOCKS:
                     break
         up = stack[-1] if stack else None
-        element = _opened(tag, raw, up)
+        element = _opened(tag, raw, up, at)
         if tag in BLOCKS:
             paths[element.path] += 1
         else:
@@ -300,7 +313,12 @@ def main_text(page: str | None, template_texts=None) -> str:
     """Blocks of the slots that the host's template leaves, joined by line ends."""
     blocks = [b for b in parse(page or "")[0] if not b.dropped]
     known = set(template_texts or ())
-    slots = [b for b in blocks if _text_token(b) not in known]
+    own = [_text_token(b) not in known for b in blocks]
+    size, proof = Counter(), Counter()
+    for b, new in zip(blocks, own):
+        size[b.suspect] += len(b.text)
+        proof[b.suspect] += b.link_chars if new else len(b.text)
+    slots = [b for b, new in zip(blocks, own) if new and not (b.suspect and 2 * proof[b.suspect] >= size[b.suspect])]
     return "\n".join(b.text for b in slots or blocks)
 
 

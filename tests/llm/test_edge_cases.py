@@ -180,6 +180,20 @@ def test_html_copies_of_a_page_count_once(spark, copies):
     assert extracted(spark, [*kept, *others]) == ["Story 0\nMore of 0\nBy line"] * len(many) + [f"Story {i}\nMore of {i}" for i in range(1, 5)]
 
 
+def test_html_words_inside_marked_articles():
+    page = "<article><h2 id='Related_work'>Related work</h2><p>a <span class='notice'>b</span> c</p><section id='discussion' class='discussion'><h2 class='skip'>Discussion</h2><p>We found d</p></section>{}</article>"
+    want = "Related work\na b c\nDiscussion\nWe found d"
+    assert html.main_text(page.format("")) == want
+    assert html.main_text(page.format("<div class='share'><a>Tell a friend</a> or <a>print</a></div>")) == want
+    assert html.main_text(page.format("<div id='comments'><p>e</p></div><div class='comments'><p>f</p></div>")) == want + "\ne"
+
+
+def test_html_template_confirms_words(spark):
+    box = "<div class='notice'><p>Our house rules are as follows</p><p>No {0}</p></div><div class='notice'><p>Proof {0} is new</p></div>"
+    pages = [f"<body><article><h1>Title {i}</h1><p>Story {i}</p>{box.format(i)}</article></body>" for i in range(6)]
+    assert extracted(spark, pages) == [f"Title {i}\nStory {i}\nProof {i} is new" for i in range(6)]
+
+
 def test_html_marks_hide_no_slots(spark):
     pages = [f"<body><div class='text'><h1>Title {i}</h1><p>Story {i}</p></div><article>Teaser {i}</article><p>Our house rules</p></body>" for i in range(6)]
     assert extracted(spark, pages) == [f"Title {i}\nStory {i}\nTeaser {i}" for i in range(6)]
