@@ -13,18 +13,20 @@ from public_tokenizers import path as vocabulary
 from corpusmill.llm import exact_dedup, language, near_dedup, packing, pii
 from corpusmill.llm.common import join_checked, small_batches, stored, table
 
-#: Least language score of a document that stays; a text without letters has none.
-LANGUAGE_SCORE = 0.3
+#: A text whose best margin and share of known n-grams are both below these has none of the languages.
+#: Neither depends on how many languages the labels have.
+LANGUAGE_MARGIN, LANGUAGE_KNOWN = 0.1, 0.6
 #: Near duplicates: words of a shingle and the similarity, as a fraction.
 SHINGLE_WORDS, SIMILAR = 5, (8, 10)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; the model learns from this stage's own labelled rows."""
+    """Documents whose text has one of the labels' languages; the model learns from this stage's own labelled rows."""
     small_batches(spark)
     model = language.fit(docs, F.lit(True))
-    out = language.predict(docs, model, out_col="_language")
-    return out.where((F.col("_language.lang") != language.UNKNOWN) & (F.col("_language.score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    out = language.predict(docs, model, out_col="_language", evidence=True)
+    told = (F.col("_language.margin") >= LANGUAGE_MARGIN) | (F.col("_language.known") >= LANGUAGE_KNOWN)
+    return out.where((F.col("_language.lang") != language.UNKNOWN) & told).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

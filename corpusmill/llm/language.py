@@ -92,6 +92,12 @@ class Model:
             out[i : i + BATCH] = presence @ self.weights
         return out
 
+    def known(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Share of each text's n-grams that the landmarks hold, less what chance hits in the hashed domain give."""
+        chance = len(self.weights) / len(self.column)
+        share = np.array([np.count_nonzero(self.column[ids] >= 0) / max(len(ids), 1) for ids in texts])
+        return (share - chance) / max(1 - chance, 1e-9)
+
 
 def solve(sample: list[tuple[str, np.ndarray]]) -> Model:
     """Nyström ridge regressions, one language against the rest, from (language, n-grams) rows."""
@@ -146,21 +152,31 @@ def _gram_bytes(texts: pa.Array) -> pa.Array:
     return pa.array([grams(t).tobytes() for t in texts.to_pylist()], pa.binary())
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "language") -> DataFrame:
-    """docs with out_col: struct of lang and score (0 to 1) for each whole text."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "language", evidence: bool = False) -> DataFrame:
+    """docs with out_col: struct of lang and score (0 to 1) for each whole text.
+
+    evidence adds what doesn't depend on the number of languages: margin, the best regression's value (1 for
+    a language's own texts, 0 for unknown n-grams), and known, the share of n-grams the model knows.
+    """
 
     def run(texts: pa.Array) -> pa.Array:
         sets = [grams(t) for t in texts.to_pylist()]
-        margins = model.scores(sets) * SHARPNESS
+        raw = model.scores(sets)
+        margins = raw * SHARPNESS
         langs, scores = [UNKNOWN] * len(sets), [0.0] * len(sets)
         if model.languages:
             odds = np.exp(margins - margins.max(1, keepdims=True)) if len(sets) else margins
             for i, best in enumerate(odds.argmax(1) if len(sets) else ()):
                 if len(sets[i]):
                     langs[i], scores[i] = model.languages[best], float(odds[i, best] / odds[i].sum())
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
-
-    return docs.withColumn(out_col, F.arrow_udf(run, "struct<lang:string,score:double>")(F.col(text_col).cast("string")))
+        columns = {"lang": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
+        if evidence:
+            columns["margin"] = pa.array(raw.max(1, initial=-1.0).astype(np.float64))
+            columns["known"] = pa.array(model.known(sets), pa.float64())
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+    kind = "struct<lang:string,score:double,margin:double,known:double>" if evidence else "struct<lang:string,score:double>"
+    return docs.withColumn(out_col, F.arrow_udf(run, kind)(F.col(text_col).cast("string")))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -355,6 +355,15 @@ def test_pipeline_stages(spark, docs, empty):
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()} == set(ids)
 
 
+@pytest.mark.parametrize("labels", [("en", "fr"), ("de", "en", "fr"), ("de", "en", "es", "fr")])
+def test_pipeline_rejects_foreign_texts(spark, sf, labels):
+    foreign = ["日本語のテキストはここにあります。" * 30, "Это обычный русский текст о погоде и городе.", "Αυτό είναι ένα απλό ελληνικό κείμενο για την πόλη.", "日本"]
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("lang").isin(*labels))
+    extra = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    kept = corpus_pipeline.language_id(spark, rows.unionByName(extra, allowMissingColumns=True), sf).select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(r.doc_id for r in rows.select("doc_id").collect())
+
+
 def test_pipeline_against_brute_force(spark, sf):
     import re
 
