@@ -28,6 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,9 @@ SMALL_PARTS = 1 << 16
 RATIO = 1.6
 #: Sub-parts of a part, and how many of them a subset leaves out (PartEnum's second level).
 SUB_PARTS, SPOILT = 1, 0
+#: Seeds of the partition tried before a set that shows too few parts ends the join.
+SEEDS = 8
+_EMPTY = "a set leaves too many parts empty under this seed"
 #: Bytes of text hashed at a time.
 SEGMENT = 1 << 16
 #: Rows compared at a time inside a bucket, and words of sketches.
@@ -236,7 +240,7 @@ def _emit(join: Join):
                 seen.add(digest)
                 made, whole = join.signatures(found)
                 if not whole:
-                    raise ValueError("a set leaves too many parts empty under this seed; use another one")
+                    raise ValueError(_EMPTY)
                 ids.append(np.full(len(made), doc_id, np.int64))
                 sigs.append(made.view(np.int64))
                 held += len(made)
@@ -391,7 +395,6 @@ def verified(docs: DataFrame, about: DataFrame, pairs: DataFrame, join: Join) ->
 
 def near_duplicates(docs: DataFrame, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, class_id (smallest id with the same set), component_id of every document."""
-    join = Join(words, num, den)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     about = docs.select("id", F.arrow_udf(_describe(words), "struct<n:bigint,digest:binary,sketch:binary>")("text").alias("s"))
     about = stored(about.select("id", "s.n", "s.digest", "s.sketch"), "sets-about")
@@ -405,9 +408,16 @@ def near_duplicates(docs: DataFrame, words: int, num: int, den: int, id_col: str
         named = copies.select(F.col("id").alias(column), F.col("rep").alias("_rep"))
         return join_checked(rows, named, column, "left", n_copies).withColumn(column, F.coalesce("_rep", column)).drop("_rep")
 
-    rows = docs.where("id IS NOT NULL").mapInArrow(_emit(join), "sig bigint, id bigint")
-    shared = rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_shared, "sig bigint, id bigint, pivot bigint")
-    shared = stored(shared, "shared")
+    for seed in range(SEEDS):
+        join = Join(words, num, den, seed)
+        rows = docs.where("id IS NOT NULL").mapInArrow(_emit(join), "sig bigint, id bigint")
+        shared = rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_shared, "sig bigint, id bigint, pivot bigint")
+        try:
+            shared = stored(shared, "shared")
+            break
+        except PythonException as e:  # all signatures are of one seed, so all sets try the next
+            if _EMPTY not in str(e) or seed == SEEDS - 1:
+                raise
     star = represented(represented(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "a"), "b")
     star = stored(star.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
     links = stored(verified(docs, about, star, join), "links")

@@ -284,6 +284,16 @@ def test_near_duplicates(docs, empty):
     assert near_dedup.near_duplicates(empty, 3, 90, 100).count() == 0
 
 
+def test_near_duplicates_tries_other_seeds(spark):
+    """Under seed 0 this set shows too few parts, under seed 1 enough."""
+    r = random.Random(22)
+    text = " ".join(f"w{r.randrange(3000)}" for _ in range(78))
+    found = near_dedup.shingles(text, 3)
+    assert [near_dedup.Join(3, 65, 100, seed).signatures(found)[1] for seed in (0, 1)] == [False, True]
+    df = spark.createDataFrame([(1, text), (2, text + " tail"), (3, "other words here")], "doc_id long, text string")
+    assert {r.id: r.component_id for r in near_dedup.near_duplicates(df, 3, 65, 100).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 @pytest.mark.parametrize("num,den", [(90, 100), (8, 10)])
 def test_partenum_shares_a_signature_with_every_link(num, den):
     join, r = near_dedup.Join(3, num, den), random.Random(num)
