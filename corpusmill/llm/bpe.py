@@ -22,24 +22,33 @@ import codecs
 import json
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Memo, own
+from corpusmill.llm.common import MARK, RARE_SPACE, Memo, own, plain_word, short_and
 
-NO_RULE = 1 << 60
 #: Bytes merged at a time beyond the lookahead.
 BLOCK_BYTES = 512
 #: Chunks whose ids a worker remembers.
 MEMO_SIZE = 800_000
 #: Longest chunk that is worth remembering.
 MEMO_CHARS = 48
-#: Chunks looked up at a time, and the widths of window batches; longer pre-tokens are streamed.
-PORTION = 300_000
-WIDTHS = (8, 16, 32, 64)
+#: Widths of window batches; longer pre-tokens take several windows.
+WIDTHS = (2, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64)
+#: Windows merged at a time: their matrices stay in a core's cache.
+ROWS = 4096
+#: Characters of a text, and of a chunk without a cut, read at a time; bytes fed at a time.
+TEXT_CHARS = 1 << 20
+PORTION_CHARS = 1 << 14
+PORTION_BYTES = 1 << 14
+#: Characters at a portion's end on which the cut before them can depend.
+MARGIN = 8
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -74,7 +83,6 @@ class Vocabulary:
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ids: dict[str, int] = model["vocab"]
-        self.raw = {token: i.to_bytes(4, "little") for token, i in self.ids.items()}
         self.rank = {pair: i for i, pair in enumerate(merges)}
         self.lookahead = sufficient_lookahead(merges)
         alphabet = byte_alphabet()
@@ -85,46 +93,75 @@ class Vocabulary:
 
 
 class Transducer:
-    """Streaming merges of one pre-token: feed() symbols, collect ids as they become stable."""
+    """Streaming merges of pre-tokens: feed() bytes, collect ids as they become stable, finish() a pre-token.
+
+    run() takes many whole pre-tokens at once: those that fit one window are fed and finished together as
+    rows of a matrix, longer ones window by window. `emitted` counts all ids that came out.
+    """
 
     def __init__(self, vocabulary: Vocabulary, block: int = BLOCK_BYTES):
-        self.vocabulary, self.limit = vocabulary, vocabulary.lookahead + block
-        self.buffer = ""
-
-    def merge(self, symbols: str) -> list[str]:
-        """Merges in rank order, equal ranks from the left."""
-        rank, none, parts = self.vocabulary.rank.get, NO_RULE, list(symbols)
-        ranks = [rank(p, none) for p in zip(parts, parts[1:])]
-        while ranks:
-            least = min(ranks)
-            if least == none:
-                break
-            i = ranks.index(least)
-            parts[i] += parts.pop(i + 1)
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
-            if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), none)
-        return parts
-
-    def feed(self, symbols: str) -> list[bytes]:
-        self.buffer += symbols
-        out: list[bytes] = []
-        while len(self.buffer) > self.limit:
-            window = self.buffer[: self.limit]
-            stable, end = len(window) - self.vocabulary.lookahead, 0
-            for token in self.merge(window):
-                if end + len(token) > stable:
+        self.lookahead, self.limit = vocabulary.lookahead, vocabulary.lookahead + block
+        self.start = [vocabulary.ids[vocabulary.of_byte[b]] for b in range(256)]
+        self.size = [len(vocabulary.bytes.get(i, b"")) for i in range(max(vocabulary.bytes) + 1)]
+        self.rules = {(vocabulary.ids[a], vocabulary.ids[b]): (rank, vocabulary.ids[a + b]) for (a, b), rank in vocabulary.rank.items()}
+        self.windows = WindowMerger(vocabulary.ids, list(vocabulary.rank))
+        self._starts = np.array(self.start, np.int32)
+        self.buffer, self.emitted = b"", 0
+
+    def merge(self, window: bytes) -> list[int]:
+        """Merges in rank order, equal ranks from the left: a heap of places over a linked list."""
+        tokens: list = [self.start[b] for b in window]
+        n = len(tokens)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rules = self.rules
+        heap = [(rule[0], i, pair, rule[1]) for i, pair in enumerate(zip(tokens, tokens[1:])) if (rule := rules.get(pair))]
+        heapify(heap)
+        while heap:
+            _, i, (left, right), joined = heappop(heap)
+            j = after[i]
+            if tokens[i] != left or j >= n or tokens[j] != right:
+                continue  # one of the two is gone
+            tokens[i], tokens[j] = joined, None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if rule := rules.get((joined, tokens[k])):
+                    heappush(heap, (rule[0], i, (joined, tokens[k]), rule[1]))
+            if (h := before[i]) >= 0 and (rule := rules.get((tokens[h], joined))):
+                heappush(heap, (rule[0], h, (tokens[h], joined), rule[1]))
+        return [t for t in tokens if t is not None]
+
+    def _out(self, ids: list[int]) -> bytes:
+        self.emitted += len(ids)
+        return np.array(ids, "<u4").tobytes()
+
+    def feed(self, raw: bytes) -> bytes:
+        """Ids (little-endian unsigned 32-bit) that no later byte can change."""
+        self.buffer += raw
+        out: list[int] = []
+        at = 0
+        while len(self.buffer) - at > self.limit:
+            stable = at + self.limit - self.lookahead
+            for token in self.merge(self.buffer[at : at + self.limit]):
+                if at + self.size[token] > stable:
                     break
-                end += len(token)
-                out.append(self.vocabulary.raw[token])
-            self.buffer = self.buffer[end:]
-        return out
-
-    def finish(self) -> list[bytes]:
-        out = [self.vocabulary.raw[t] for t in self.merge(self.buffer)]
-        self.buffer = ""
+                at += self.size[token]
+                out.append(token)
+        self.buffer = self.buffer[at:]
+        return self._out(out)
+
+    def finish(self) -> bytes:
+        out = self.merge(self.buffer)
+        self.buffer = b""
+        return self._out(out)
+
+    def run(self, pre_tokens: list[bytes]) -> list[bytes]:
+        """Ids of each whole pre-token."""
+        out = self.windows.ids(pre_tokens, self._starts)
+        self.emitted += sum(map(len, out)) // 4
+        for i, raw in enumerate(pre_tokens):
+            if len(raw) > WIDTHS[-1]:
+                out[i] = b"".join([*(self.feed(raw[k : k + PORTION_BYTES]) for k in range(0, len(raw), PORTION_BYTES)), self.finish()])
         return out
 
 
@@ -213,7 +250,7 @@ class WindowMerger:
             tokens[np.arange(tokens.shape[1])[None, :] < size[:, None]] = start[flat]
             if last is not None:
                 tokens[np.arange(len(chosen)), size - 1] = last[flat[np.cumsum(size) - 1]]
-            tokens = self.merge(tokens)
+            tokens = np.concatenate([self.merge(tokens[i : i + ROWS]) for i in range(0, len(tokens), ROWS)])
             raw, width, kept = tokens.astype("<u4").tobytes(), tokens.shape[1] * 4, (tokens >= 0).sum(1) * 4
             for k, (i, n) in enumerate(zip(chosen.tolist(), kept.tolist())):
                 out[i] = raw[k * width : k * width + n]
@@ -222,73 +259,101 @@ class WindowMerger:
 
 #: Marks a chunk key that is the chunk itself.
 RAW = "\0"
-_AROUND_LINE_END = f" {RAW}\n {RAW}"
-
-#: Latin-1 letters: plain in every pre-tokenizer here, and the same after Unicode composition.
-LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-#: Marks that follow a word and start no contraction.
-MARKS = "[.,;:!?|*#$%&()\"-]*"
+#: What a text of single spaces and line ends between words lacks; < may begin a special token.
+_UNEVEN = rf"[{RAW}\t\r<{RARE_SPACE}]|  |\n\n| \n|\n "
+#: White space that can be cut before a space and a word.
+_SAFE = re.compile(r" (?=\S)")
 
 
 class Encoder:
     """Ids of whole texts, as the library gives them.
 
-    A text is cut before each space that a non-space follows, where the pre-tokenizer always cuts too;
-    short chunks are remembered with their ids. Chunks new to the memo are cut into pre-tokens (plain
-    ones here, others by the library's pre-tokenizer); short pre-tokens are merged as windows of a batch,
-    longer ones stream through the transducer.
+    A text is cut before each space that a non-space follows, where the pre-tokenizer always cuts too. What
+    the transducer emitted for a short chunk is remembered; other chunks are cut into pre-tokens (plain ones
+    here, others by the library's pre-tokenizer), and every pre-token runs through the transducer. Texts and
+    chunks without a cut are read a portion at a time.
     """
 
-    def __init__(self, path: str, block: int = BLOCK_BYTES):
+    def __init__(self, path: str, block: int = BLOCK_BYTES, memo: int = MEMO_SIZE):
         from tokenizers import Tokenizer
 
         self.vocabulary = Vocabulary(path)
         self.transducer = Transducer(self.vocabulary, block)
-        self.merger = WindowMerger(self.vocabulary.ids, list(self.vocabulary.rank))
-        self.start = np.array([self.vocabulary.ids[self.vocabulary.of_byte[b]] for b in range(256)], np.int32)
         self.pre = Tokenizer.from_file(path).pre_tokenizer
-        self.memo = Memo(MEMO_SIZE)
+        self.memo = Memo(memo, MEMO_CHARS if memo else 0)
         special = self.vocabulary.special
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self._simple = re.compile(rf"( ?[{LETTERS}]+)({MARKS})")
         self._byte = {c: bytes([b]) for b, c in self.vocabulary.of_byte.items()}
 
-    def pre_tokens(self, key: str) -> list[bytes]:
-        chunk = key[1:] if key[:1] == RAW else " " + key
-        m = self._simple.fullmatch(chunk)
-        if m is None:
-            return [b"".join([self._byte[c] for c in symbols]) for symbols, _ in self.pre.pre_tokenize_str(chunk)]
-        return [m[1].encode(), m[2].encode()] if m[2] else [chunk.encode()]
-
-    def stream(self, pre_token: bytes) -> bytes:
-        """A long pre-token through the transducer, a window at a time."""
-        of_byte, size, ids = self.vocabulary.of_byte, self.transducer.limit, []
-        for i in range(0, len(pre_token), size):
-            ids += self.transducer.feed("".join([of_byte[b] for b in pre_token[i : i + size]]))
-        return b"".join([*ids, *self.transducer.finish()])
-
-    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+    def _raw(self, symbols: str) -> bytes:
+        return b"".join([self._byte[c] for c in symbols])
+
+    def learn(self, keys: list[str]) -> dict[str, bytes]:
         """Ids of distinct chunks that the memo lacks."""
-        cut = [self.pre_tokens(c) for c in chunks]
-        short = list(dict.fromkeys(p for parts in cut for p in parts if len(p) <= WIDTHS[-1]))
-        known = dict(zip(short, self.merger.ids(short, self.start)))
-        out = {}
-        for chunk, parts in zip(chunks, cut):
-            found = b"".join([known[p] if len(p) <= WIDTHS[-1] else self.stream(p) for p in parts])
-            out[chunk] = found
-            if len(chunk) <= MEMO_CHARS:
-                self.memo.put(chunk, found)
+        words: list[str] = []
+        cut: dict[str, list[bytes]] = {}
+        out: dict[str, bytes] = {}
+        for key in keys:
+            if plain_word(key):
+                words.append(key)
+                continue
+            bare = key[:1] == RAW
+            chunk = key[1:] if bare else " " + key
+            if bare and plain_word(chunk):
+                cut[key] = [chunk.encode()]
+            elif len(chunk) > PORTION_CHARS:
+                out[key] = b"".join(self.unbroken(chunk))
+            else:
+                cut[key] = [self._raw(symbols) for symbols, _ in self.pre.pre_tokenize_str(chunk)]
+        out.update(zip(words, self.transducer.run([b" " + word.encode() for word in words])))
+        new = list(dict.fromkeys(chain.from_iterable(cut.values())))
+        known = dict(zip(new, self.transducer.run(new)))
+        for key, parts in cut.items():
+            out[key] = b"".join([known[raw] for raw in parts])
         return out
 
+    def unbroken(self, chunk: str) -> Iterator[bytes]:
+        """Ids of a chunk of any length, a portion at a time.
+
+        What ends in a portion's last characters may go on in the next one. A pre-token that does is fed as
+        far as is sure; its last characters start the next portion, whose first pre-token goes on with it.
+        """
+        at, going = 0, False
+        while at < len(chunk):
+            portion = chunk[at : at + PORTION_CHARS]
+            final = at + len(portion) == len(chunk)
+            whole: list[bytes] = []
+            nxt = at + len(portion)
+            for symbols, (a, b) in self.pre.pre_tokenize_str(portion):
+                if not final and b > len(portion) - MARGIN:
+                    yield from self.transducer.run(whole)
+                    whole = []
+                    if len(portion) - a > 3 * MARGIN:
+                        b = len(portion) - 2 * MARGIN
+                        if going and a:
+                            yield self.transducer.finish()
+                        yield self.transducer.feed(portion[a:b].encode())
+                        going, nxt = True, at + b
+                    else:
+                        if going and a:
+                            yield self.transducer.finish()
+                        going, nxt = going and not a, at + a
+                    break
+                if going and not a:
+                    yield self.transducer.feed(self._raw(symbols))
+                    yield self.transducer.finish()
+                    going = False
+                else:
+                    whole.append(self._raw(symbols))
+            yield from self.transducer.run(whole)
+            at = nxt
+
     @staticmethod
     def cut(text: str) -> list[str]:
         """Keys of the text's chunks: a chunk after RAW, or one that begins with a space without that space.
 
         Python's white space holds the pre-tokenizer's, so where in doubt there is no cut.
         """
-        if RAW not in text and " ".join(text.split()) == text.replace("\n", " "):
-            # nothing but single spaces and line ends between words: a line end is a chunk, and so is each word
-            return (RAW + text.replace("\n", _AROUND_LINE_END)).split(" ")
         keys: list[str] = []
         parts = text.split(" ")
         held = RAW + parts[0]
@@ -301,27 +366,34 @@ class Encoder:
         keys.append(held)
         return keys
 
-    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text (little-endian unsigned 32-bit), looked up PORTION chunks or one text at a time."""
-        waiting, held = [], 0
-        for text in texts:
-            if self._special is not None and "<" in text and self._special.search(text):
-                out = []
-                for i, part in enumerate(self._special.split(text)):
-                    out.append(self.vocabulary.special[part].to_bytes(4, "little") if i % 2 else next(self.encode_many([part])))
-                yield from self.memo.lookup(waiting, self.learn)
-                waiting, held = [], 0
-                yield b"".join(out)
-                continue
-            waiting.append(self.cut(text) if text else [])
-            held += len(waiting[-1])
-            if held >= PORTION:
-                yield from self.memo.lookup(waiting, self.learn)
-                waiting, held = [], 0
-        yield from self.memo.lookup(waiting, self.learn)
+    def portions(self, text: str) -> Iterator[list[str]]:
+        """Keys of a text's chunks, TEXT_CHARS of it at a time; one chunk may be longer."""
+        at = 0
+        while at < len(text):
+            m = _SAFE.search(text, at + TEXT_CHARS) if len(text) - at > TEXT_CHARS else None
+            end = m.start() if m else len(text)
+            yield self.cut(text[at:end])
+            at = end
 
     def encode(self, text: str) -> bytes:
-        return next(self.encode_many([text]))
+        """Ids of a text of any length (little-endian unsigned 32-bit), a portion at a time."""
+        if self._special is not None and "<" in text and self._special.search(text):
+            parts = enumerate(self._special.split(text))
+            return b"".join([self.vocabulary.special[p].to_bytes(4, "little") if i % 2 else self.encode(p) for i, p in parts])
+        return b"".join([b"".join(self.memo.values(keys, self.learn)) for keys in self.portions(text)])
+
+    def encode_array(self, texts: pa.Array) -> pa.BinaryArray:
+        """Ids of each text. Texts with nothing but single spaces and line ends between words are cut all at once:
+        a line end is a chunk, and so are a word and the marks behind it."""
+        texts = pc.fill_null(texts, "")
+        even = short_and(texts, _UNEVEN, TEXT_CHARS)
+        plain = texts if even.all() else pc.if_else(pa.array(even), texts, "")
+        plain = pc.replace_substring_regex(plain, pattern=MARK, replacement=rf"\1 {RAW}\2\3")
+        plain = pc.replace_substring(plain, pattern="\n", replacement=f" {RAW}\n {RAW}")
+        out = self.memo.joined(pc.split_pattern(pc.binary_join_element_wise(RAW, plain, ""), " "), self.learn)
+        if even.all():
+            return out
+        return pc.replace_with_mask(out, pa.array(~even), pa.array([self.encode(texts[int(i)].as_py()) for i in np.flatnonzero(~even)], pa.binary()))
 
 
 class Decoder:
@@ -359,8 +431,7 @@ def encoded(text: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def run(texts: pa.Array) -> pa.Array:
-        encoder = _encoder(path)
-        return pa.array(list(encoder.encode_many([t or "" for t in texts.to_pylist()])), pa.binary())
+        return _encoder(path).encode_array(texts)
 
     return run(text.cast("string"))
 

@@ -7,8 +7,10 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset and the master is local, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.conf.get("spark.master", "").partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -61,6 +65,18 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int | No
     return left.join(F.broadcast(right) if rows <= limit else right.hint("merge"), on, how)
 
 
+def packed(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The caller's columns as one struct, so that no name of theirs can meet one of an operator's own."""
+    names = df.columns if columns is None else columns
+    return F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None).cast("struct<>")
+
+
+def unpacked(df: DataFrame, row: str, names: list[str], **more: Column) -> DataFrame:
+    """The fields of struct `row` as columns, with `more` beside them; a column of that name gives way."""
+    own = [F.col(row).getField(c).alias(c) for c in names if c not in more]
+    return df.select(*own, *[c.alias(n) for n, c in more.items()])
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -70,37 +86,77 @@ def crc_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
-class Memo:
-    """A bounded map of two generations: when the young one is full it becomes the old one, whose entries move up when used."""
+class Memo(dict):
+    """A bounded map of two generations, for lists of keys at a time.
 
-    def __init__(self, size: int):
-        self.half = size // 2
-        self.young: dict = {}
+    When the young generation is full it becomes the old one, whose entries move up when they are used.
+    Keys found young cost one dictionary lookup each and no Python call.
+    """
+
+    def __init__(self, size: int, longest: int):
+        super().__init__()
+        self.half, self.longest = size // 2, longest
         self.old: dict = {}
+        self.new: list = []
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            self.new.append(key)
+            return key  # stands in until it is learned
+        self[key] = found
+        return found
 
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
+    def known(self, key):
+        """The value of a key, or None."""
+        return self.get(key) or self.old.get(key)
+
+    def values(self, keys: list, learn) -> list[bytes]:
+        """The value of each key; learn(keys) gives those of distinct keys that are not remembered."""
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        found = list(map(self.__getitem__, keys))
+        if not self.new:
+            return found
+        new = learn(list(dict.fromkeys(self.new)))
+        self.new.clear()
+        found = [x if type(x) is bytes else new[x] for x in found]
+        self.update(new)
+        for key in new:
+            if len(key) > self.longest:
+                del self[key]
         return found
 
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.half:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
-    def lookup(self, lists: list[list], learn) -> list[bytes]:
-        """The values of each list's keys, joined; learn(keys) gives those of keys that are not remembered."""
-        table, new = {}, []
-        for key in dict.fromkeys(chain.from_iterable(lists)):
-            found = self.get(key)
-            if found is None:
-                new.append(key)
-            else:
-                table[key] = found
-        if new:
-            table.update(learn(new))
-        return [b"".join(map(table.__getitem__, keys)) for keys in lists]
+    def joined(self, lists: pa.ListArray, learn) -> pa.BinaryArray:
+        """The values of each list's keys, joined. Every distinct key is looked up once."""
+        keys = lists.flatten().dictionary_encode()
+        values = pa.array(self.values(keys.dictionary.to_pylist(), learn), pa.binary()).take(keys.indices)
+        places = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1) if len(values) else np.zeros(1, np.int32)
+        offsets = lists.offsets.to_numpy()
+        ends = places[offsets - offsets[0]]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.tobytes()), values.buffers()[2] if len(values) else pa.py_buffer(b"")])
+
+
+#: White space, as Python knows it, besides space, tab, line feed and carriage return; for both kinds of patterns.
+RARE_SPACE = "\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Latin-1 letters, and marks. Marks between a letter and white space are a pre-token of their own in every
+#: pre-tokenizer here.
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", '[.,;:!?|*#$%&()"-]'
+MARK = rf"([{_LETTERS}])({_MARKS}+)([ \n]|$)"
+
+
+def plain_word(word: str) -> bool:
+    """Whether a word has Latin-1 letters only.
+
+    Those are letters in every pre-tokenizer here, and Unicode composition leaves them as they are.
+    """
+    return word.isalpha() and (word.isascii() or max(word) < "\u0100")
+
+
+def short_and(texts: pa.Array, odd: str, chars: int) -> np.ndarray:
+    """Which texts have at most so many characters and no match of the pattern `odd`."""
+    return pc.and_(pc.less_equal(pc.utf8_length(texts), chars), pc.invert(pc.match_substring_regex(texts, odd))).to_numpy(zero_copy_only=False)
 
 
 _OWNER: list[str] = [""]

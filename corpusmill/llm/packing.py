@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.bpe import LETTERS, MARKS, PORTION, WIDTHS, WindowMerger, byte_alphabet
-from corpusmill.llm.common import Memo, own, stored
+from corpusmill.llm.bpe import TEXT_CHARS, WindowMerger, byte_alphabet
+from corpusmill.llm.common import MARK, RARE_SPACE, Memo, own, plain_word, short_and, stored
 
 CAPACITY = 4096
 OPEN_BINS = 1024
@@ -40,6 +41,10 @@ MEMO_WORDS = 400_000
 MEMO_CHARS = 48
 
 
+#: What a Latin-1 text without rare white space lacks.
+_NOT_PLAIN = rf"[^\x00-\x{{ff}}]|[{RARE_SPACE}]"
+
+
 class BestFit:
     """Open bins by free space in a bitset; put() returns (bin, offset), and closed bins are gone for good."""
 
@@ -86,10 +91,6 @@ class WordTokens:
     """
 
     _SPLIT = re.compile("[ \t\n\r]+")
-    #: White space that only Python, or not only Python, knows besides those four.
-    _OTHER = re.compile(r"[^\S \t\n\r]")
-    #: Words that the vocabulary's normaliser only lower-cases and its pre-tokenizer cuts before the marks.
-    _SIMPLE = re.compile(f"([{LETTERS}]+)({MARKS})")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -98,7 +99,7 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo = Memo(MEMO_WORDS)
+        self.memo = Memo(MEMO_WORDS, MEMO_CHARS)
         model = json.load(open(path, encoding="utf-8"))["model"]
         self.merger = WindowMerger(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         symbols = {b: c for c, b in byte_alphabet().items()}
@@ -107,34 +108,37 @@ class WordTokens:
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words: plain ones merged here as a batch, others by the library."""
-        cut, out = {}, {}
+        plain, other = [], []
         for word in words:
-            m = self._SIMPLE.fullmatch(word)
-            if m is None or len(word) > WIDTHS[-1] // 2:
-                out[word] = b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
-            else:
-                cut[word] = (m[1].lower().encode(), m[2].encode())
-        parts = list(dict.fromkeys(p for pair in cut.values() for p in pair if p))
-        known = dict(zip(parts, self.merger.ids(parts, self.start, self.last))) | {b"": b""}
-        out |= {word: known[a] + known[b] for word, (a, b) in cut.items()}
-        for word, found in out.items():
-            if len(word) <= MEMO_CHARS:
-                self.memo.put(word, found)
+            (plain if plain_word(word) and len(word) <= MEMO_CHARS // 2 else other).append(word)
+        low = [word.lower().encode() for word in plain]  # all that the normaliser does to them
+        out = dict(zip(plain, self.merger.ids(low, self.start, self.last)))
+        for word, found in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
+            out[word] = np.array(found.ids, "<u4").tobytes()
         return out
 
-    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers, PORTION words or one text at a time."""
-        waiting, held = [], 0
-        for text in texts:
-            waiting.append(text.split() if self._OTHER.search(text) is None else self._SPLIT.split(text))
-            held += len(waiting[-1])
-            if held >= PORTION:
-                yield from self.memo.lookup(waiting, self.learn)
-                waiting, held = [], 0
-        yield from self.memo.lookup(waiting, self.learn)
+    def portions(self, text: str) -> Iterator[list[str]]:
+        """The words of a text, TEXT_CHARS of it at a time; one word may be longer."""
+        at = 0
+        while at < len(text):
+            m = self._SPLIT.search(text, at + TEXT_CHARS) if len(text) - at > TEXT_CHARS else None
+            yield self._SPLIT.split(text[at : m.start()] if m else text[at:])
+            at = m.end() if m else len(text)
 
     def encode(self, text: str) -> bytes:
-        return next(self.encode_many([text]))
+        """Ids of a text of any length (little-endian unsigned 32-bit), a portion at a time."""
+        return b"".join([b"".join(self.memo.values(words, self.learn)) for words in self.portions(text)])
+
+    def encode_array(self, texts: pa.Array) -> pa.BinaryArray:
+        """Ids of each text. Latin-1 texts are cut all at once, in lower case; marks behind a word are a word."""
+        texts = pc.fill_null(texts, "")
+        plain = short_and(texts, _NOT_PLAIN, TEXT_CHARS)
+        some = texts if plain.all() else pc.if_else(pa.array(plain), texts, "")
+        some = pc.utf8_lower(pc.replace_substring_regex(some, pattern=MARK, replacement=r"\1 \2\3"))
+        out = self.memo.joined(pc.ascii_split_whitespace(some), self.learn)
+        if plain.all():
+            return out
+        return pc.replace_with_mask(out, pa.array(~plain), pa.array([self.encode(texts[int(i)].as_py()) for i in np.flatnonzero(~plain)], pa.binary()))
 
 
 _WORDS: dict[str, WordTokens] = {}
@@ -165,8 +169,7 @@ def _pack_texts(tokenizer: str, capacity: int, open_bins: int):
         held: dict[int, list[tuple]] = defaultdict(list)  # rows of bins that may still be open
         for batch in batches:
             done = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode_many(texts)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode_array(batch.column(1)).to_pylist()):
                 ids += END_ID.to_bytes(4, "little")
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
