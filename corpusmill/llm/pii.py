@@ -1,16 +1,21 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust a score.
 
-Kinds with a fixed contract ("base" spans): email, ip, card, phone. The method adds iban (mod-97) and
-ssn (needs a context word near it). A base span always stays; its score only says how sure it is.
-
-Edge cases: a null or empty text has no spans; repeated rows are handled one by one; offsets are code
-points with an exclusive end; scanning is linear in the text's length, whatever it holds.
+Kinds with a fixed contract ("base" spans): email, ip, card, phone. The method adds iban (mod-97), ssn
+and secret (keys, tokens and passwords: known formats, assignments, and strings whose entropy is high).
+Words near a span raise its score or lower it. An added span needs LEAST_SCORE to count at all; a base
+span is always told, but it is redacted only from that score on.
+
+Edge cases: a null or empty text has no spans (redacted: null stays null, empty stays empty); repeated rows
+are handled one by one; an empty table gives no rows; other columns pass through; offsets are code points
+with an exclusive end; of spans that begin at one place the kinds' order decides; scanning is linear in the
+text's length, whatever it holds.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from itertools import groupby
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,20 +24,34 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import own
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
-#: Code points on each side in which context words count, and the least score an added span needs.
+KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
+#: Code points on each side in which context words count, and the least score that counts.
 CONTEXT_WINDOW = 40
-ADDED_SCORE = 0.5
-CONTEXT = {
+LEAST_SCORE = 0.5
+#: A kind's own confidence, and what a word for or against it changes.
+CONFIDENCE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.3}
+SHIFT = 0.3
+#: Confidence in a secret of a known format or one that is assigned to a name.
+TOLD = 0.7
+FOR = {
     "email": ("mail", "contact", "write", "e-mail"),
     "ip": ("ip", "address", "host", "server"),
     "card": ("card", "credit", "visa", "mastercard", "debit", "tarjeta", "carte", "karte"),
     "phone": ("phone", "tel", "call", "mobile", "fax", "cell"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social security", "security number"),
+    "secret": ("token", "secret", "key", "password", "credential", "auth", "bearer"),
+}
+AGAINST = {
+    "email": ("noreply", "no-reply", "example"),
+    "ip": ("version", "release", "section", "chapter"),
+    "card": ("order", "tracking", "serial", "isbn"),
+    "phone": ("isbn", "order", "serial", "invoice"),
+    "iban": ("serial", "part no"),
+    "ssn": ("serial", "part no", "order"),
+    "secret": ("commit", "checksum", "sha1", "sha256", "md5", "digest"),
 }
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A maximal stretch that can hold an ip, card or phone (without its plus sign).
 _NUMBERS = re.compile(r"[0-9][\x20().0-9-]*")
@@ -79,7 +98,7 @@ def _ips(run: str):
     pos = 0
     for m in iter(lambda: _next_ip(run, pos), None):
         pos = m.end()
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             yield m.span()
 
 
@@ -129,27 +148,73 @@ def _plausible_ssn(found: str) -> bool:
     return area not in ("000", "666") and area[0] != "9" and group != "00" and serial != "0000"
 
 
-_SURE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+_KNOWN = re.compile(
+    r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,200}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,200}"
+    r"|eyJ[A-Za-z0-9_-]{8,4000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000})|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+)
+_ASSIGNED = re.compile(r"(?:passw(?:or)?d|pwd|secret|token|api[ _-]?key|access[ _-]?key)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"']{8,400})", re.I)
+_OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Longest string that is taken for a secret, and the least entropy of its characters in bits.
+MOST_SECRET, LEAST_ENTROPY = 400, 3.0
+
+
+def entropy(found: str) -> float:
+    """Bits a character."""
+    n = len(found)
+    return -sum(k / n * math.log2(k / n) for k in Counter(found).values())
+
+
+def secret_spans(text: str) -> list[tuple[int, int, float]]:
+    """(start, end, confidence), longer finds first where they overlap; letters and digits must both occur."""
+    out = [(*m.span(), TOLD) for m in _KNOWN.finditer(text)]
+    out += [(*m.span(1), TOLD) for m in _ASSIGNED.finditer(text) if _mixed(m[1])]
+    out += [(*m.span(), CONFIDENCE["secret"]) for m in _OPAQUE.finditer(text) if m.end() - m.start() <= MOST_SECRET and _mixed(m[0]) and entropy(m[0]) >= LEAST_ENTROPY]
+    kept: list[tuple[int, int, float]] = []
+    for a, b, sure in sorted(out, key=lambda s: (s[0], -s[2], -s[1])):
+        if not kept or a >= kept[-1][1]:
+            kept.append((a, b, sure))
+    return kept
 
 
-def score(text: str, kind: str, start: int, end: int) -> float:
-    """The kind's own confidence, raised by a context word within CONTEXT_WINDOW code points."""
+def _mixed(found: str) -> bool:
+    return any(c.isdigit() for c in found) and any(c.isalpha() for c in found)
+
+
+_NEAR = {kind: tuple(re.compile("|".join(rf"\b{re.escape(w)}" for w in words[kind])) for words in (FOR, AGAINST)) for kind in KINDS}
+
+
+def score(text: str, kind: str, start: int, end: int, sure: float | None = None) -> float:
+    """The kind's own confidence (or `sure`), raised by a word for it within CONTEXT_WINDOW code points and lowered by one against it."""
     near = (text[max(0, start - CONTEXT_WINDOW) : start] + " " + text[end : end + CONTEXT_WINDOW]).lower()
-    return min(1.0, _SURE[kind] + 0.3 * any(re.search(rf"\b{re.escape(w)}", near) for w in CONTEXT[kind]))
+    sure = CONFIDENCE[kind] if sure is None else sure
+    for words, shift in zip(_NEAR[kind], (SHIFT, -SHIFT)):
+        sure += shift * (words.search(near) is not None)
+    return min(1.0, max(0.0, round(sure, 6)))
 
 
 def find_spans(text: str) -> list[tuple[str, int, int, float, bool]]:
     """(kind, start, end, score, base), by start, then kind in the order of KINDS."""
-    spans = [(k, a, b, score(text, k, a, b), True) for k, a, b in base_spans(text)]
-    spans += [(k, a, b, s, False) for k, a, b in added_spans(text) if (s := score(text, k, a, b)) >= ADDED_SCORE]
+    base = base_spans(text)
+    spans = [(k, a, b, score(text, k, a, b), True) for k, a, b in base]
+    added = [(k, a, b, score(text, k, a, b)) for k, a, b in added_spans(text)]
+    taken = sorted((a, b) for _, a, b, *_ in base + added)
+    at = 0
+    for a, b, sure in secret_spans(text):  # not where another kind already stands
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if at == len(taken) or taken[at][0] >= b:
+            added.append(("secret", a, b, score(text, "secret", a, b, sure)))
+    spans += [(*s, False) for s in added if s[3] >= LEAST_SCORE]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def redact(text: str, spans=None) -> str:
-    """The text with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
+    """The text with every span of LEAST_SCORE replaced by its kind in brackets; overlapping spans become one, named by the first."""
     spans = find_spans(text) if spans is None else spans
     out, at = [], 0
-    for kind, start, end, *_ in spans:
+    for kind, start, end, sure, *_ in spans:
+        if sure < LEAST_SCORE:
+            continue
         if start >= at:
             out += [text[at:start], f"[{kind.upper()}]"]
         at = max(at, end)

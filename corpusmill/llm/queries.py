@@ -47,7 +47,18 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii_spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, pii.BASE_KINDS), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii_spans")).alias("spans"))
+    return found.select("doc_id", *map(count, pii.BASE_KINDS), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii_spans")).alias("spans"), *_more(F.col("pii_spans")))
+
+
+def _more(spans):
+    """Scores of all spans in their order, the highest of them (0 without spans), and how many the method added."""
+    scores = F.transform(spans, lambda s: s["score"])
+    return (
+        F.array_join(F.transform(scores, lambda x: F.format_string("%.2f", x)), ",").alias("scores"),
+        F.coalesce(F.array_max(scores), F.lit(0.0)).alias("score"),
+        F.size(F.filter(spans, lambda s: ~s["base"])).cast("bigint").alias("n_added"),
+        (F.size(spans) > 0).alias("private"),
+    )
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
