@@ -2,15 +2,18 @@
 
 A logistic model of surface features, fitted on a bounded sample of labelled documents, gives each
 document a probability. Grouped sums of these give every host, and every path of a host, a posterior
-mean: a Beta prior centred on the global mean shrinks a host, one centred on the host's posterior
-shrinks a path, so that sparse sites stay near what is above them. The priors' weights are moment
-estimates from the spread between sites. A document's own log odds are then moved by how far its site's
-posterior lies from the global mean.
+mean: a prior centred on the global mean shrinks a host, one centred on the host's posterior shrinks a
+path, so that sparse sites stay near what is above them. A prior's weight, in documents, is the spread
+within sites over the spread between them, by moments of a nested analysis of variance. A document's own
+evidence is left out of its site's sums, so that it counts once. Its log odds are then moved by how far
+the posterior of its site lies from the global mean.
 
 Edge cases: a null or empty text has the features of an empty one; a null host or path is a site of its
-own; labels that are null are not learned from; with labels of one kind only, or none, every document
-has that share (or a half) as its probability; repeated rows are scored one by one; an empty table gives
-no rows; other columns pass through.
+own; a site of one document has its host's posterior, a host of one document the global mean; labels that
+are null are not learned from; with labels of one kind only, or none, every document has that share (or a
+half) as its probability; repeated rows are scored one by one; an empty table gives no rows; other columns
+pass through, whatever their names, but for those named like a result (_p, _site, _score, _keep), which
+give way.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import join_checked, stored
+from corpusmill.llm.common import join_checked, packed, stored, unpacked
 
 #: Most labelled documents that the model is fitted on.
 SAMPLE = 5000
@@ -117,34 +120,49 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _weight(groups: DataFrame, mean: float) -> float:
-    """Weight of a Beta prior by moments: within-site against between-site spread (s: sum, n: count of each site)."""
-    row = groups.agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.lit(mean), 2)).alias("between"), F.sum(F.col("n") * F.col("n")).alias("squares")).first()
-    if not row["n"] or row["g"] < 2 or row["n"] * row["n"] == row["squares"]:
-        return WEIGHTS[1]
-    within = mean * (1 - mean)
-    between = max(0.0, (row["between"] - (row["g"] - 1) * within * 0.1) / (row["n"] - row["squares"] / row["n"]))
-    weight = within / between - 1 if between > 0 else WEIGHTS[1]
-    return min(max(weight, WEIGHTS[0]), WEIGHTS[1])
+def weight(within: float, between: float, degrees: float, spread: float) -> float:
+    """A prior's weight in documents: variance within sites over the variance between them.
+
+    between: weighted squares of site means around what is above them; degrees: its degrees of freedom;
+    spread: the weight of the variance between sites in its expectation.
+    """
+    variance = (between - degrees * within) / spread if spread > 0 else 0.0
+    found = within / variance if variance > 0 else WEIGHTS[1]
+    return min(max(found, WEIGHTS[0]), WEIGHTS[1])
 
 
 def score(docs: DataFrame, model: Classifier, host: Column, path: Column, text_col: str = "text") -> DataFrame:
-    """docs with _p (document alone), _site (posterior of its path), _score (combined, 0 to 1) and _keep."""
+    """docs without their text, with _p (document alone), _site (posterior of its path), _score (combined, 0 to 1) and _keep."""
 
     def run(texts: pa.Array) -> pa.Array:
         rows = np.array([features(t) for t in texts.to_pylist()]).reshape(-1, FEATURES)
         return pa.array(model.probabilities(rows), pa.float64())
 
-    marked = docs.withColumn("_host", F.coalesce(host.cast("string"), F.lit("\0"))).withColumn("_path", F.coalesce(path.cast("string"), F.lit("\0")))
-    marked = stored(marked.withColumn("_p", F.arrow_udf(run, "double")(F.col(text_col).cast("string"))).drop(text_col), "scored")
-    paths = stored(marked.groupBy("_host", "_path").agg(F.sum("_p").alias("s"), F.count(F.lit(1)).cast("double").alias("n")), "paths")
-    hosts = stored(paths.groupBy("_host").agg(F.sum("s").alias("s"), F.sum("n").alias("n")), "hosts")
-    total = hosts.agg(F.sum("s"), F.sum("n")).first()
-    mean = min(max(total[0] / total[1], 0.001), 0.999) if total[1] else 0.5
-    host_weight, path_weight = _weight(hosts, mean), _weight(paths, mean)
-    hosts = hosts.select("_host", ((F.col("s") + F.lit(host_weight * mean)) / (F.col("n") + F.lit(host_weight))).alias("_host_mean"))
-    sites = paths.join(hosts, "_host").select("_host", "_path", ((F.col("s") + F.lit(path_weight) * F.col("_host_mean")) / (F.col("n") + F.lit(path_weight))).alias("_site"))
-    out = join_checked(marked, stored(sites, "sites"), ["_host", "_path"], "left")
-    shift = F.lit(SITE_WEIGHT) * (_logit(F.col("_site")) - F.lit(math.log(mean / (1 - mean))))
-    out = out.withColumn("_score", 1 / (1 + F.exp(-(_logit(F.col("_p")) + shift))))
-    return out.withColumn("_keep", F.col("_score") >= KEEP).drop("_host", "_path")
+    names = [c for c in docs.columns if c != text_col]
+    named = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
+    marked = docs.select(packed(docs, names).alias("row"), named(host).alias("host"), named(path).alias("path"), F.arrow_udf(run, "double")(F.col(f"`{text_col}`").cast("string")).alias("p"))
+    marked = stored(marked, "scored")
+    paths = stored(marked.groupBy("host", "path").agg(F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("squares"), F.count(F.lit(1)).cast("double").alias("n")), "paths")
+    hosts = stored(paths.groupBy("host").agg(F.sum("s").alias("host_s"), F.sum("n").alias("host_n"), F.sum(F.col("n") * F.col("n")).alias("path_n2")), "hosts")
+    sites = stored(paths.join(hosts, "host"), "sites")
+
+    path_mean, host_mean = F.col("s") / F.col("n"), F.col("host_s") / F.col("host_n")
+    total = hosts.agg(F.sum("host_s").alias("s"), F.sum("host_n").alias("n"), F.count(F.lit(1)).alias("hosts"), F.sum(F.col("host_n") * F.col("host_n")).alias("host_n2"), F.sum(F.col("path_n2") / F.col("host_n")).alias("path_share")).first()
+    n = total["n"] or 0.0
+    mean = min(max(total["s"] / n, 0.001), 0.999) if n else 0.5
+    found = sites.agg(
+        F.count(F.lit(1)).alias("paths"), F.sum(F.col("squares") - F.col("n") * path_mean * path_mean).alias("within"), F.sum(F.col("n") * F.pow(path_mean - host_mean, 2)).alias("between_paths"), F.sum(F.col("n") * F.pow(host_mean - F.lit(mean), 2)).alias("between_hosts")
+    ).first()
+    host_weight = path_weight = WEIGHTS[1]
+    if n > found["paths"]:
+        within = max(found["within"], 0.0) / (n - found["paths"])
+        path_weight = weight(within, found["between_paths"], found["paths"] - total["hosts"], n - total["path_share"])
+        host_weight = weight(within, found["between_hosts"], total["hosts"] - 1, n - total["host_n2"] / n)
+
+    out = join_checked(marked, sites.select("host", "path", "s", "n", "host_s", "host_n"), ["host", "path"], "left")
+    above = (F.col("host_s") - F.col("p") + F.lit(host_weight * mean)) / (F.col("host_n") - 1 + F.lit(host_weight))
+    site = (F.col("s") - F.col("p") + F.lit(path_weight) * above) / (F.col("n") - 1 + F.lit(path_weight))
+    out = out.select("row", "p", F.least(F.greatest(site, F.lit(1e-6)), F.lit(1 - 1e-6)).alias("site"))
+    shift = F.lit(SITE_WEIGHT) * (_logit(F.col("site")) - F.lit(math.log(mean / (1 - mean))))
+    out = out.withColumn("score", 1 / (1 + F.exp(-(_logit(F.col("p")) + shift))))
+    return unpacked(out, "row", names, _p=F.col("p"), _site=F.col("site"), _score=F.col("score"), _keep=F.col("score") >= KEEP)
