@@ -8,17 +8,23 @@ the template doesn't cover are slots. Vectors are compared through an order-free
 by one grouped aggregation that combines before its shuffle, however many pages a host has. Copies of a
 page count once.
 
-A page's text is what its slots hold, without elements that are no article by their meaning (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments; told by tag, role or
-class words). Inside a marked article few class words do so alone, other words and ids only on block
-elements of which half of the text or more is template or links; headings are never dropped by words.
-The template is deduced and taken off on every page, inside marked articles too; all slots that it
+A slot is known by the path of its element. Over a host's pages it has a length and a share of links. Where
+the slot's element is in a valid class, these decide: a slot outside marked articles whose text is mostly
+links goes, though nothing in its marks says so; a slot that holds most of the host's text stays, though
+class words speak against it.
+
+A page's text is what its slots hold, without template texts and without elements that are no article by
+their meaning (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments; told
+by tag, role or class words). Inside a marked article few class words do so alone, other words and ids only
+on block elements of which half of the text or more is template or links; headings are never dropped by
+words. The template is deduced and taken off on every page, inside marked articles too; all slots that it
 leaves stay, in page order. The host's main slot (most text, least of it links) is told beside the
 template and cuts nothing.
 
 Edge cases: a null or empty html gives an empty text; a page without a url, or of a host with few pages,
 has no template; a page that the template covers whole keeps its blocks; unclosed or misnested tags never
-lose text; repeated rows are extracted one by one; an empty table gives no rows; other columns pass through.
+lose text; repeated rows are extracted one by one and count once in vectors; an empty table gives no rows;
+other columns pass through, whatever their names; one named like the result gives way.
 """
 
 from __future__ import annotations
@@ -34,12 +40,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import join_checked, stored
+from corpusmill.llm.common import join_checked, packed, stored, unpacked
 
 #: A valid class has this many tokens and stands on this share of the host's pages, and this many of them.
 CLASS_TOKENS = 2
 CLASS_SHARE = 0.5
 CLASS_PAGES = 4
+#: Share of links from which a slot is no text, share below which it can be, and share of a host's text that outweighs class words.
+LINK_SLOT, TEXT_SLOT, MOST_TEXT = 0.6, 0.3, 0.5
+#: Template tokens, of all hosts, up to which templates are broadcast (eight bytes each).
+BROADCAST_TOKENS = 1_000_000
 
 _BLOCKS = "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 BLOCKS = frozenset(_BLOCKS)
@@ -86,15 +96,19 @@ class Element:
     main: bool
     link: bool
     suspect: int
+    worded: str
 
 
 @dataclass
 class Block:
+    """worded: path of the outermost element that only class words speak against, if that is why it is dropped."""
+
     text: str
     path: str
     dropped: bool
     link_chars: int
     suspect: int
+    worded: str
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -116,6 +130,7 @@ def _opened(tag: str, raw: str, up: Element | None, place: int) -> Element:
         sure = bool(told & SURE) or (tag == "article" and bool(_names(attributes, "class") & COMMENTS - {"discussion"}))
         suspect = tag in BLOCKS and not names & BOILERPLATE <= HEADING
     role = attributes.get("role", "").lower()
+    soft = False
     if tag in ("html", "body"):
         bad = False
     elif tag in ("article", "main"):
@@ -123,9 +138,10 @@ def _opened(tag: str, raw: str, up: Element | None, place: int) -> Element:
     elif tag == "header":
         bad = not inside
     else:
-        bad = tag in NEVER or role in ROLES or (sure if inside else bool(names & BOILERPLATE))
+        bad = tag in NEVER or role in ROLES or (sure if inside else bool(names & COMMENTS))
         bad = bad or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
-    dropped = bad or (up is not None and up.dropped)
+        soft = not bad and not inside and bool(names & BOILERPLATE)
+    dropped = bad or soft or (up is not None and up.dropped)
     path = up.path if up else ""
     if tag in BLOCKS:
         path = f"{path}>{tag}" + "".join(f".{n}" for n in attributes.get("class", "").split()[:2])
@@ -137,6 +153,7 @@ def _opened(tag: str, raw: str, up: Element | None, place: int) -> Element:
         (up is not None and up.main) or ((tag == "main" or role == "main") and not dropped),
         (up is not None and up.link) or tag == "a",
         place if suspect else up.suspect if up else 0,
+        "" if bad else up.worded if up is not None and up.dropped else path if soft and tag in BLOCKS else "",
     )
 
 
@@ -153,8 +170,8 @@ def parse(page: str) -> tuple[list[Block], Counter]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                top = stack[-1] if stack else Element("", "", False, False, False, False, 0)
-                blocks.append(Block(text, top.path, top.dropped, link_chars, top.suspect))
+                top = stack[-1] if stack else Element("", "", False, False, False, False, 0, "")
+                blocks.append(Block(text, top.path, top.dropped, link_chars, top.suspect, top.worded))
             pieces.clear()
         link_chars = 0
 
@@ -255,13 +272,18 @@ def _text_token(block: Block) -> int:
     return _hash("text", block.path, block.text)
 
 
-_TOKENS = "host string, kind string, token bigint, page bigint, n int, place double, chars bigint, path string"
+_MARKED = re.compile(r">(?:article|main)\b")
+_TOKENS = "host string, kind string, token bigint, page bigint, n int, place double, chars bigint, links bigint, path string"
+
+
+def _slot(block: Block) -> str:
+    return block.worded or _container(block.path)
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct token of each page; kind p: path, t: text, s: slot with its text, n: the page itself."""
+    """A row for each distinct token of each page; kind p: path, t: text, s: slot, w: slot that only words speak against, n: the page itself."""
     names = [c.split()[0] for c in _TOKENS.split(", ")]
-    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.string()]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
     for batch in batches:
         rows = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -270,33 +292,37 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks, paths = parse(page)
             size = max(1, len(paths) + len(blocks))
             # pages that differ only in what has no token (scripts, comments, dropped texts) are copies, too
-            key = _hash("page", str(size), *(f"{p} {n}" for p, n in paths.items()), *(x for b in blocks if not b.dropped for x in (b.path, b.text, str(b.link_chars))))
-            rows.append((host, "n", 0, key, 1, 0.0, 0, None))
-            rows += [(host, "p", _hash("path", p), key, n, i / size, 0, None) for i, (p, n) in enumerate(paths.items())]
+            key = _hash("page", str(size), *(f"{p} {n}" for p, n in paths.items()), *(x for b in blocks if not b.dropped or b.worded for x in (b.path, b.text, str(b.link_chars))))
+            rows.append((host, "n", 0, key, 1, 0.0, 0, 0, None))
+            rows += [(host, "p", _hash("path", p), key, n, i / size, 0, 0, None) for i, (p, n) in enumerate(paths.items())]
             texts = Counter(_text_token(b) for b in blocks if not b.dropped)
-            rows += [(host, "t", t, key, n, i / size, 0, None) for i, (t, n) in enumerate(texts.items())]
-            slots: Counter = Counter()
+            rows += [(host, "t", t, key, n, i / size, 0, 0, None) for i, (t, n) in enumerate(texts.items())]
+            slots: dict[tuple[str, str], list[int]] = {}
             for b in blocks:
-                if not b.dropped:
-                    slots[_container(b.path)] += len(b.text) - 3 * b.link_chars
-            rows += [(host, "s", _hash("slot", p), key, 1, 0.0, n, p) for p, n in slots.items()]
+                if not b.dropped or b.worded:
+                    held = slots.setdefault(("w" if b.dropped else "s", _slot(b)), [0, 0])
+                    held[0] += len(b.text)
+                    held[1] += b.link_chars
+            rows += [(host, kind, _hash("path", p), key, 1, 0.0, n, links, p) for (kind, p), (n, links) in slots.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, tokens (of valid classes: token, kind, class, place, depth), texts (their text tokens), main_slot.
+    """host, tokens (of valid classes: token, kind, class, place, depth), texts (their text tokens), gone and kept
+    (paths of slots that their statistics decide), main_slot.
 
     pages: host, html. A token that stands on at least half of a host's pages is one of a bounded number:
     at most twice as many as a page has on average, so a template is never larger than pages are.
     """
     rows = pages.mapInArrow(_emit, _TOKENS).distinct()  # copies of a page give equal rows and count once
     tokens = rows.groupBy("host", "kind", "token").agg(
-        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count(F.lit(1)).alias("support"), F.avg("place").alias("place"), F.sum("chars").alias("chars"), F.first("path").alias("path")
+        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count(F.lit(1)).alias("support"), F.avg("place").alias("place"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.first("path").alias("path")
     )
-    tokens = stored(tokens.where("kind IN ('n', 's') OR support > 1"), "tokens")
+    tokens = stored(tokens.where("kind IN ('n', 's', 'w') OR support > 1"), "tokens")
     hosts = tokens.where("kind = 'n'").select("host", F.col("support").alias("pages"))
-    slots = tokens.where("kind = 's'").groupBy("host").agg(F.max_by("path", F.struct("chars", "path")).alias("main_slot"))
-    frequent = tokens.where("kind IN ('p', 't')").join(hosts.where(F.col("pages") >= CLASS_PAGES), "host").where((F.col("support") >= CLASS_PAGES) & (F.col("support") >= F.ceil(F.col("pages") * CLASS_SHARE)))
+    slots = tokens.where("kind = 's'").groupBy("host").agg(F.max_by("path", F.struct(F.col("chars") - 3 * F.col("links"), "path")).alias("main_slot"))
+    often = (F.col("support") >= CLASS_PAGES) & (F.col("support") >= F.ceil(F.col("pages") * CLASS_SHARE))
+    frequent = tokens.where("kind IN ('p', 't')").join(hosts.where(F.col("pages") >= CLASS_PAGES), "host").where(often)
     member = F.struct("place", "token", "kind")
     classes = frequent.groupBy("host", "vector", "support").agg(F.sort_array(F.collect_list(member)).alias("members")).where(F.size("members") >= CLASS_TOKENS)
     classes = classes.select("host", F.struct(F.element_at("members", 1)["place"].alias("start"), F.element_at("members", -1)["place"].alias("stop"), "vector", "members").alias("c"))
@@ -305,14 +331,23 @@ def templates(pages: DataFrame) -> DataFrame:
     depth = lambda c: F.size(F.filter("cs", lambda o: (o["start"] <= c["start"]) & (o["stop"] >= c["stop"]) & (o["vector"] != c["vector"])))
     flat = F.flatten(F.transform("cs", lambda c: F.transform(c["members"], lambda t: F.struct(t["place"].alias("place"), t["token"].alias("token"), t["kind"].alias("kind"), c["vector"].alias("class"), depth(c).alias("depth")))))
     nested = nested.select("host", F.sort_array(flat).alias("tokens"))
-    texts = F.transform(F.filter("tokens", lambda t: t["kind"] == "t"), lambda t: t["token"])
-    return nested.join(slots, "host").select("host", "tokens", texts.alias("texts"), "main_slot")
+    of_kind = lambda k: F.transform(F.filter("tokens", lambda t: t["kind"] == k), lambda t: t["token"])
+
+    held = tokens.where("kind IN ('s', 'w')")
+    total = held.groupBy("host").agg(F.sum("chars").alias("total"))
+    links = F.col("links") / F.greatest("chars", F.lit(1))
+    gone = (F.col("kind") == "s") & (links >= LINK_SLOT) & ~F.col("path").rlike(_MARKED.pattern)
+    kept = (F.col("kind") == "w") & (links < TEXT_SLOT) & (F.col("chars") > F.col("total") * MOST_TEXT)
+    told = held.join(hosts, "host").where(often).join(total, "host").where(gone | kept).groupBy("host").agg(F.collect_list(F.struct("kind", "token", "path")).alias("told"))
+    out = nested.join(slots, "host", "left").join(told, "host", "left").select("host", "tokens", of_kind("t").alias("texts"), of_kind("p").alias("paths"), "main_slot", F.coalesce("told", F.array().cast(told.schema["told"].dataType)).alias("told"))
+    named = lambda k: F.array_sort(F.transform(F.filter("told", lambda x: (x["kind"] == k) & F.array_contains("paths", x["token"])), lambda x: x["path"]))
+    return out.select("host", "tokens", "texts", named("s").alias("gone"), named("w").alias("kept"), "main_slot")
 
 
-def main_text(page: str | None, template_texts=None) -> str:
+def main_text(page: str | None, texts=None, gone=None, kept=None) -> str:
     """Blocks of the slots that the host's template leaves, joined by line ends."""
-    blocks = [b for b in parse(page or "")[0] if not b.dropped]
-    known = set(template_texts or ())
+    gone, kept, known = set(gone or ()), set(kept or ()), set(texts or ())
+    blocks = [b for b in parse(page or "")[0] if (not b.dropped and _slot(b) not in gone) or (b.worded and b.worded in kept)]
     own = [_text_token(b) not in known for b in blocks]
     size, proof = Counter(), Counter()
     for b, new in zip(blocks, own):
@@ -326,14 +361,17 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
 
 
-def _extract(pages: pa.Array, texts: pa.Array) -> pa.Array:
-    return pa.array([main_text(*row) for row in zip(pages.to_pylist(), texts.to_pylist())], pa.string())
+def _extract(*columns: pa.Array) -> pa.Array:
+    return pa.array([main_text(*row) for row in zip(*(c.to_pylist() for c in columns))], pa.string())
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "text") -> DataFrame:
     """pages with out_col: the main text of each whole page."""
-    known = stored(templates(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))), "templates")
-    known = known.select(F.col("host").alias("_host"), F.col("texts").alias("_texts"))
-    out = join_checked(pages.withColumn("_at", host_of(F.col(url_col))), known, F.col("_at") == F.col("_host"), "left", limit=20_000)
-    text = F.arrow_udf(_extract, "string")(F.col(html_col).cast("string"), F.col("_texts"))
-    return out.withColumn(out_col, text).drop("_at", "_host", "_texts")
+    url, page = F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")
+    known = stored(templates(pages.select(host_of(url).alias("host"), page.alias("html"))).drop("tokens", "main_slot"), "templates")
+    # hosts and their tokens: a broadcast is bounded by both
+    size = known.agg(F.count(F.lit(1)), F.sum(F.size("texts") + 8 * F.size("gone") + 8 * F.size("kept"))).first()
+    rows = size[0] if (size[1] or 0) <= BROADCAST_TOKENS else 1 << 60
+    out = join_checked(pages.select(packed(pages).alias("row"), host_of(url).alias("host"), page.alias("page")), known, "host", "left", rows, limit=20_000)
+    out = out.select("row", F.arrow_udf(_extract, "string")("page", "texts", "gone", "kept").alias("text"))
+    return unpacked(out, "row", pages.columns, **{out_col: F.col("text")})
