@@ -1,21 +1,27 @@
 """Exact deduplication with counting quotient filters.
 
 Every text is normalised (each run of ASCII white space becomes one space) and given a 64-bit
-fingerprint. Each partition builds a counting quotient filter of its fingerprints: the high bits
-(quotient) choose a slot run, the low bits (remainder) are kept sorted in that run, with a count.
-Two filters of one geometry merge without loss by merging their sorted remainders and adding counts,
-so filters travel as blocks of quotients and merge block by block. Fingerprints whose merged count
-is above one are the only ones whose texts are moved; those texts are compared byte by byte.
+fingerprint. Its high bits, the quotient, name a slot; its low bits, the remainder, are stored in that
+slot or, where it is taken, further on: remainders of one quotient form a sorted run, runs stand in the
+order of their quotients, and three bits a slot (occupied, continuation, shifted) tell whose a remainder
+is. A count above one takes further slots of the run for its digits, told by a fourth bit.
+
+Each partition builds a filter; filters of one geometry merge without loss by walking their sorted
+remainders and adding counts. What travels are blocks of quotients: remainders, never whole fingerprints.
+Fingerprints whose merged count is above one are the only ones whose texts are moved; those texts are
+compared byte by byte.
 
 Edge cases: a null text counts as empty; empty texts are equal to each other; a null doc_id sorts
 last, so it stays only in a group without any id; of rows that repeat one doc_id and text exactly one
-stays; an empty table gives an empty result; other columns pass through untouched.
+stays; an empty table gives an empty result; other columns pass through untouched, whatever their names,
+but for those named like a result (_keep_id, _group_size, _kept, _text_sha256), which give way.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import join_checked, own, stored
+from corpusmill.llm.common import join_checked, own, packed, stored, unpacked
 
 SPACES = b" \t\n\x0b\x0c\r"
-#: Bits of the quotient that name a block of the filter; blocks are what is shuffled and merged.
-BLOCK_BITS = 14
-#: Quotient bits of a filter (block bits included) and fingerprints held before a partition emits its filter.
-QUOTIENT_BITS = 20
+#: Bits of the quotient, so that a remainder takes six bytes.
+QUOTIENT_BITS = 16
+REMAINDER_BYTES = 6
+#: Bits of the quotient that name a block: at least the first, and so many that a merged block has about BLOCK_PRINTS.
+BLOCK_BITS, BLOCK_PRINTS = 8, 1 << 20
+#: Fingerprints held before a partition emits its filter and starts anew.
 FILTER_CAPACITY = 1_000_000
 #: Bytes of distinct texts a task keeps while it pre-aggregates; beyond that it emits and starts anew.
-COMBINE_BYTES = 48_000_000
+COMBINE_BYTES = 8_000_000
 
 
 def normalise(raw: bytes) -> bytes:
@@ -46,48 +54,112 @@ def normalise(raw: bytes) -> bytes:
     return out + b" " if raw[-1] in SPACES else out
 
 
+@dataclass
 class CountingQuotientFilter:
-    """Sorted remainders with counts under each quotient; lossless to merge.
+    """Slots with metadata bits for the quotients from `first` to `first + quotients - 1`.
 
-    `run_lengths[i]` remainders belong to the i-th quotient of `quotients` (the occupied ones).
+    There are a few more slots than quotients, for runs that the last ones shift out. remainders[i] is the
+    slot's content; occupied[q] says that quotient q has a run, continuation that a slot's run goes on
+    from the slot before, shifted that the slot isn't its quotient's own, counter that it holds a digit
+    of the count (less one) of the remainder before it, lowest digit first. A free slot has no bit set but
+    perhaps occupied.
     """
 
-    def __init__(self, quotient_bits: int = QUOTIENT_BITS):
-        self.remainder_bits = 64 - quotient_bits
-        self.quotients = np.zeros(0, np.uint64)
-        self.run_lengths = np.zeros(0, np.int64)
-        self.remainders = np.zeros(0, np.uint64)
-        self.counts = np.zeros(0, np.int64)
+    first: int
+    quotients: int
+    remainders: np.ndarray
+    occupied: np.ndarray
+    continuation: np.ndarray
+    shifted: np.ndarray
+    counter: np.ndarray
+    used: np.ndarray
+
+    @classmethod
+    def of(cls, prints: np.ndarray, counts: np.ndarray, first: int = 0, quotients: int = 1 << QUOTIENT_BITS) -> CountingQuotientFilter:
+        """Of sorted distinct fingerprints (uint64) and their counts."""
+        shift = np.uint64(64 - QUOTIENT_BITS)
+        quotient = (prints >> shift).astype(np.int64) - first
+        digits = np.zeros(len(prints), np.int64)
+        rest = counts.astype(np.uint64) - np.uint64(1)
+        while (rest > 0).any():
+            digits += rest > 0
+            rest >>= shift
+        n = digits + 1
+        quotient = np.repeat(quotient, n)
+        at = np.arange(len(quotient))
+        head = np.zeros(len(quotient), bool)
+        heads = np.cumsum(n) - n
+        head[heads] = True
+        place = np.maximum.accumulate(quotient - at) + at if len(at) else at  # the first free slot from its own on
+        slots = max(quotients, int(place[-1]) + 1 if len(place) else 0)
+        value = np.zeros(len(quotient), np.uint64)
+        value[heads] = prints & ((np.uint64(1) << shift) - np.uint64(1))
+        depth = at - np.repeat(heads, n) - 1
+        more = ~head
+        value[more] = ((np.repeat(counts.astype(np.uint64) - np.uint64(1), n) >> (np.maximum(depth, 0).astype(np.uint64) * shift)) & ((np.uint64(1) << shift) - np.uint64(1)))[more]
+        out = cls(first, quotients, np.zeros(slots, np.uint64), *(np.zeros(k, bool) for k in (quotients, slots, slots, slots, slots)))
+        out.occupied[quotient] = True
+        out.remainders[place] = value
+        out.used[place] = True
+        out.counter[place] = more
+        out.shifted[place] = place != quotient
+        out.continuation[place[1:]] = quotient[1:] == quotient[:-1]
+        return out
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted fingerprints and their counts, read from slots and bits: the k-th run is the k-th occupied quotient's."""
+        place = np.flatnonzero(self.used)
+        if not len(place):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        shift = np.uint64(64 - QUOTIENT_BITS)
+        quotient = np.flatnonzero(self.occupied)[np.cumsum(~self.continuation[place]) - 1]
+        value, digit = self.remainders[place], self.counter[place]
+        heads = np.flatnonzero(~digit)
+        depth = np.arange(len(place)) - heads[np.cumsum(~digit) - 1] - 1
+        weight = np.where(digit, value << (np.maximum(depth, 0).astype(np.uint64) * shift), np.uint64(1))
+        prints = ((quotient[heads] + self.first).astype(np.uint64) << shift) | value[heads]
+        return prints, np.add.reduceat(weight, heads).astype(np.int64)
 
     def __len__(self) -> int:
-        return len(self.remainders)
-
-    def fingerprints(self) -> np.ndarray:
-        return (np.repeat(self.quotients, self.run_lengths) << np.uint64(self.remainder_bits)) | self.remainders
-
-    def _fill(self, prints: np.ndarray, counts: np.ndarray) -> None:
-        shift = np.uint64(self.remainder_bits)
-        self.quotients, self.run_lengths = np.unique(prints >> shift, return_counts=True)
-        self.remainders = prints & ((np.uint64(1) << shift) - np.uint64(1))
-        self.counts = counts
-
-    def merge(self, prints: np.ndarray, counts: np.ndarray) -> None:
-        """Adds sorted or unsorted fingerprints with their counts; equal remainders of a quotient add up."""
-        every = np.concatenate([self.fingerprints(), prints.astype(np.uint64)])
-        weight = np.concatenate([self.counts, counts.astype(np.int64)])
-        order = np.argsort(every, kind="stable")
-        every, weight = every[order], weight[order]
-        if not len(every):
-            return
-        starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
-        self._fill(every[starts], np.add.reduceat(weight, starts))
-
-    def blocks(self, block_bits: int = BLOCK_BITS) -> Iterator[tuple[int, bytes, bytes]]:
-        prints = self.fingerprints()
-        block = (prints >> np.uint64(64 - block_bits)).astype(np.int64)
-        cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
-        for a, b in zip(cuts, np.r_[cuts[1:], len(block)]):
-            yield int(block[a]), prints[a:b].tobytes(), self.counts[a:b].tobytes()
+        return int((self.used & ~self.counter).sum())
+
+    @classmethod
+    def merged(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
+        """All filters of one geometry in one: their sorted entries are walked side by side, equal ones add their counts."""
+        entries = [f.entries() for f in filters]
+        prints, counts = (np.concatenate([e[i] for e in entries]) for i in (0, 1))
+        order = np.argsort(prints, kind="stable")  # of sorted runs: merges them
+        return cls.of(*_added(prints[order], counts[order]), filters[0].first, filters[0].quotients)
+
+    def block(self) -> tuple[bytes, bytes, bytes, bytes]:
+        """Occupied bits, continuation and counter bits of the used slots, and their remainders; places follow from these."""
+        raw = self.remainders[self.used].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :REMAINDER_BYTES]
+        return (np.packbits(self.occupied).tobytes(), np.packbits(self.continuation[self.used]).tobytes(), np.packbits(self.counter[self.used]).tobytes(), raw.tobytes())
+
+    @classmethod
+    def of_block(cls, first: int, quotients: int, occupied: bytes, continuation: bytes, counter: bytes, remainders: bytes) -> CountingQuotientFilter:
+        """The filter that a block was made from."""
+        n = len(remainders) // REMAINDER_BYTES
+        value = np.zeros((n, 8), np.uint8)
+        value[:, :REMAINDER_BYTES] = np.frombuffer(remainders, np.uint8).reshape(n, REMAINDER_BYTES)
+        goes_on, digit = (np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b in (continuation, counter))
+        has_run = np.unpackbits(np.frombuffer(occupied, np.uint8), count=quotients).astype(bool)
+        own = np.flatnonzero(has_run)[np.cumsum(~goes_on) - 1] if n else np.zeros(0, np.int64)
+        at = np.arange(n)
+        place = np.maximum.accumulate(own - at) + at if n else at
+        slots = max(quotients, int(place[-1]) + 1 if n else 0)
+        out = cls(first, quotients, np.zeros(slots, np.uint64), has_run, *(np.zeros(slots, bool) for _ in range(4)))
+        out.remainders[place] = value.view("<u8")[:, 0]
+        out.continuation[place], out.counter[place], out.shifted[place], out.used[place] = goes_on, digit, place != own, True
+        return out
+
+
+def _added(prints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of sorted prints, with the sums of their counts."""
+    if not len(prints):
+        return prints, counts
+    starts = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]])
+    return prints[starts], np.add.reduceat(counts, starts)
 
 
 def _fingerprint(text: pa.Array) -> pa.Array:
@@ -101,51 +173,79 @@ def _fingerprint(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([fp, pa.array(digests, pa.string())], ["fp", "sha"])
 
 
-_BLOCKS = "block int, prints binary, counts binary"
+_BLOCKS = "block int, occupied binary, continuation binary, counter binary, remainders binary"
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(cqf: CountingQuotientFilter) -> pa.RecordBatch:
-        rows = list(cqf.blocks())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-            ["block", "prints", "counts"],
-        )
+def _build(block_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("exact dedup")
+        wide = 1 << (QUOTIENT_BITS - block_bits)
+        names = [c.split()[0] for c in _BLOCKS.split(", ")]
 
-    cqf = CountingQuotientFilter()
-    for batch in batches:
-        prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        cqf.merge(prints, np.ones(len(prints), np.int64))
-        if len(cqf) >= FILTER_CAPACITY:
-            yield out(cqf)
-            cqf = CountingQuotientFilter()
-    if len(cqf):
-        yield out(cqf)
+        def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+            prints = np.sort(np.concatenate(parts))
+            prints, counts = _added(prints, np.ones(len(prints), np.int64))
+            block = (prints >> np.uint64(64 - block_bits)).astype(np.int64)
+            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            rows = [(int(block[a]), *CountingQuotientFilter.of(prints[a:b], counts[a:b], int(block[a]) * wide, wide).block()) for a, b in zip(cuts, np.r_[cuts[1:], len(block)])]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(5)], names)
 
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            n += len(held[-1])
+            if n >= FILTER_CAPACITY:
+                yield out(held)
+                held, n = [], 0
+        if n:
+            yield out(held)
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks arrive in block order; each is merged and its repeated fingerprints are emitted."""
+    return run
 
-    def out(cqf: CountingQuotientFilter) -> pa.RecordBatch:
-        more = cqf.counts > 1
-        return pa.RecordBatch.from_arrays([pa.array(cqf.fingerprints()[more].view(np.int64)), pa.array(cqf.counts[more])], ["fp", "n"])
 
-    at, cqf = None, CountingQuotientFilter()
-    for batch in batches:
-        for block, prints, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if block != at:
-                if len(cqf):
-                    yield out(cqf)
-                at, cqf = block, CountingQuotientFilter()
-            cqf.merge(np.frombuffer(prints, np.uint64), np.frombuffer(counts, np.int64))
-    if len(cqf):
-        yield out(cqf)
+#: Blocks merged at a time.
+MERGE_AT_ONCE = 32
 
 
-def repeated_fingerprints(prints: DataFrame) -> DataFrame:
-    """fp, n of every fingerprint that occurs more than once in the single bigint column of `prints`."""
-    blocks = prints.mapInArrow(_build, _BLOCKS)
-    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "fp bigint, n bigint")
+def _merge(block_bits: int):
+    """Blocks arrive in block order; each is merged and its repeated fingerprints are emitted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("exact dedup")
+        wide = 1 << (QUOTIENT_BITS - block_bits)
+        at, levels = None, []  # filters merged of as many others each, by halves
+
+        def out() -> pa.RecordBatch:
+            prints, counts = CountingQuotientFilter.merged([f for level in levels for f in level]).entries()
+            more = counts > 1
+            return pa.RecordBatch.from_arrays([pa.array(prints[more].view(np.int64)), pa.array(counts[more])], ["fp", "n"])
+
+        for batch in batches:
+            for block, *parts in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != at:
+                    if levels:
+                        yield out()
+                    at, levels = block, []
+                more = CountingQuotientFilter.of_block(block * wide, wide, *parts)
+                for level in levels:
+                    level.append(more)
+                    if len(level) < MERGE_AT_ONCE:
+                        break
+                    more = CountingQuotientFilter.merged(level)
+                    level.clear()
+                else:
+                    levels.append([more])
+        if levels:
+            yield out()
+
+    return run
+
+
+def repeated_fingerprints(prints: DataFrame, rows: int) -> DataFrame:
+    """fp, n of every fingerprint that occurs more than once in the single bigint column of `prints` (of `rows` rows)."""
+    bits = min(QUOTIENT_BITS, max(BLOCK_BITS, (rows // BLOCK_PRINTS).bit_length()))
+    blocks = prints.mapInArrow(_build(bits), _BLOCKS)
+    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_merge(bits), "fp bigint, n bigint")
 
 
 _CLASSES = "fp bigint, sha string, norm binary, keep_id bigint, group_size bigint, n_keep bigint"
@@ -210,32 +310,30 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """Every row of docs (its `columns`, all by default) with _keep_id, _group_size, _kept and _text_sha256."""
-    marked = docs.withColumn("_id", F.col(id_col).cast("bigint")).withColumn("_print", F.arrow_udf(_fingerprint, "struct<fp:bigint,sha:string>")(F.col(text_col).cast("string")))
-    light = stored(marked.select(F.col("_print.fp").alias("fp")), "prints")
-    repeated = stored(repeated_fingerprints(light), "repeated")
-    routed = join_checked(marked.select("_id", F.col(text_col).cast("string").alias("_text"), F.col("_print.fp").alias("fp"), F.col("_print.sha").alias("sha")), repeated.select("fp"), "fp", "left_semi")
-    partial = routed.select("_id", "_text", "fp", "sha").mapInArrow(_combine, _CLASSES)
+    names = list(docs.columns if columns is None else columns)
+    text = F.col(f"`{text_col}`").cast("string")
+    marked = docs.select(packed(docs, names).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), text.alias("text"), F.arrow_udf(_fingerprint, "struct<fp:bigint,sha:string>")(text).alias("print"))
+    repeated = stored(repeated_fingerprints(marked.select(F.col("print.fp").alias("fp")), docs.count()), "repeated")
+    routed = join_checked(marked.select("id", "text", F.col("print.fp").alias("fp"), F.col("print.sha").alias("sha")), repeated.select("fp"), "fp", "left_semi")
+    partial = routed.select("id", "text", "fp", "sha").mapInArrow(_combine, _CLASSES)
     classes = stored(partial.repartition("fp").sortWithinPartitions("fp", "sha", "norm").mapInArrow(_verify, _CLASSES).drop("norm").where("group_size > 1"), "classes")
-    classes = classes.select(F.col("fp").alias("_c_fp"), F.col("sha").alias("_c_sha"), F.col("keep_id").alias("_c_keep"), F.col("group_size").alias("_c_size"), F.col("n_keep").alias("_c_n"))
-
-    keep = list(docs.columns if columns is None else columns)
-    rows = marked.select(*keep, "_id", "_print")
-    on = (F.col("_print.fp") == F.col("_c_fp")) & (F.col("_print.sha") == F.col("_c_sha"))
-    out = join_checked(rows, classes, on, "left")
-    alone = F.col("_c_size").isNull()
-    first = alone | F.col("_id").eqNullSafe(F.col("_c_keep"))
+    classes = classes.select(F.col("fp").alias("c_fp"), F.col("sha").alias("c_sha"), F.col("keep_id").alias("c_keep"), F.col("group_size").alias("c_size"), F.col("n_keep").alias("c_n"))
+
+    on = (F.col("print.fp") == F.col("c_fp")) & (F.col("print.sha") == F.col("c_sha"))
+    out = join_checked(marked.select("row", "id", "print"), classes, on, "left")
+    alone = F.col("c_size").isNull()
     out = out.select(
-        *keep,
-        F.when(alone, F.col("_id")).otherwise(F.col("_c_keep")).alias("_keep_id"),
-        F.coalesce(F.col("_c_size"), F.lit(1).cast("bigint")).alias("_group_size"),
-        first.alias("_kept"),
-        F.col("_print.sha").alias("_text_sha256"),
-        (F.coalesce(F.col("_c_n"), F.lit(0)) > 1).alias("_tied"),
+        "row",
+        F.when(alone, F.col("id")).otherwise(F.col("c_keep")).alias("keep_id"),
+        F.coalesce("c_size", F.lit(1).cast("bigint")).alias("size"),
+        (alone | F.col("id").eqNullSafe(F.col("c_keep"))).alias("kept"),
+        F.col("print.sha").alias("sha"),
+        (F.coalesce("c_n", F.lit(0)) > 1).alias("tied"),
     )
-    if classes.where("_c_n > 1").limit(1).count() == 0:
-        return out.drop("_tied")
-    # some kept id repeats with its text: exactly one such row of each group stays
-    out = stored(out.withColumn("_row", F.monotonically_increasing_id()), "tied")
-    chosen = stored(out.where("_tied and _kept").groupBy("_text_sha256").agg(F.min("_row").alias("_row")).select("_row", F.lit(True).alias("_first")), "chosen")
-    out = join_checked(out, chosen, "_row", "left")
-    return out.withColumn("_kept", F.col("_kept") & (~F.col("_tied") | F.col("_first").isNotNull())).drop("_row", "_first", "_tied")
+    if classes.where("c_n > 1").limit(1).count():
+        # some kept id repeats with its text: exactly one such row of each group stays
+        out = stored(out.withColumn("place", F.monotonically_increasing_id()), "tied")
+        chosen = stored(out.where("tied and kept").groupBy("sha").agg(F.min("place").alias("place")).select("place", F.lit(True).alias("chosen")), "chosen")
+        out = join_checked(out, chosen, "place", "left")
+        out = out.withColumn("kept", F.col("kept") & (~F.col("tied") | F.col("chosen").isNotNull()))
+    return unpacked(out, "row", names, _keep_id=F.col("keep_id"), _group_size=F.col("size"), _kept=F.col("kept"), _text_sha256=F.col("sha"))
