@@ -69,10 +69,16 @@ def spaced_key(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(clean(value)), "[^a-z0-9]+", " "))
 
 
+def casefold(value: Column) -> Column:
+    """Unicode case folding; plain lower case where the text is ASCII."""
+    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), value, F.lit(True))
+    return F.when(F.length(value) == F.octet_length(value), F.lower(value)).otherwise(folded)
+
+
 def normalized_title(value: Column) -> Column:
-    """Dashes folded, marks as spaces, lower case."""
+    """Dashes folded, marks as spaces, case folded (sharp s as ss, final sigma as sigma)."""
     dashed = F.regexp_replace(F.regexp_replace(clean(value), r"[\u2010-\u2015\u2212]", "-"), r"\s*-\s*", "-")
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(dashed, r"(?U)[^\w-]+", " ")), " +", " "))
+    return F.trim(F.regexp_replace(casefold(F.regexp_replace(dashed, r"(?U)[^\w-]+", " ")), " +", " "))
 
 
 def split_authors(value: Column) -> Column:
@@ -157,7 +163,7 @@ def translation_issue(value: Column, source: Column) -> Column:
     """Why a Chinese text is no translation of an English one; empty if it may be."""
     chinese, latin = cjk_count(value), F.size(F.regexp_extract_all(text(value), F.lit("[A-Za-z]"), F.lit(0)))
     thin = (chinese < 4) | ((latin > 0) & (chinese / (chinese + latin) < 0.15))
-    return F.when(thin, "missing_substantive_chinese").when(copied(source, value), "copied_english_source").when(long_english_prose(value), "long_english_prose").otherwise("")
+    return F.when(thin, "little_chinese").when(copied(source, value), "copies_source").when(long_english_prose(value), "english_sentences").otherwise("")
 
 
 def sentences(value: Column) -> Column:
@@ -209,11 +215,11 @@ def formula_error(value: Column) -> Column:
 
     def step(state: Column, token: Column) -> Column:
         dollar = token.isin("$", "$$")
-        error = F.when(state["error"] != "", state["error"]).when((token == "\n") & (state["open"] == "$"), "inline formula is not closed on one line").when(dollar & (state["open"] != "") & (state["open"] != token), "mismatched formula delimiters").otherwise("")
+        error = F.when(state["error"] != "", state["error"]).when((token == "\n") & (state["open"] == "$"), "formula_runs_over_line").when(dollar & (state["open"] != "") & (state["open"] != token), "formula_marks_differ").otherwise("")
         opened = F.when(~dollar, state["open"]).when(state["open"] != "", "").otherwise(token)
         return F.struct(opened.alias("open"), error.alias("error"))
 
-    return F.aggregate(tokens, start, step, lambda s: F.when(s["error"] != "", s["error"]).when(s["open"] != "", "unclosed formula delimiter").otherwise(""))
+    return F.aggregate(tokens, start, step, lambda s: F.when(s["error"] != "", s["error"]).when(s["open"] != "", "formula_left_open").otherwise(""))
 
 
 def fingerprint(*values: Column) -> Column:

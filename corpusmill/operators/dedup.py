@@ -17,16 +17,22 @@ def keep_best(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 def keep_longest_abstract(rows: DataFrame, key: str = "identity", text: str = "abstract", position: list[str] | None = None) -> DataFrame:
     """The row with the longest abstract of each identity, ties to the earliest; first_position is the key's first place.
 
-    A grouped maximum instead of a window: combined before the shuffle, so a key with many rows is no hot task.
+    A place (`position`) names one row. A grouped maximum of lengths and places finds each key's winner; it is
+    combined before its shuffle, so a key with many rows is no hot task, and moves no texts. The winners' other
+    columns are then fetched by place: only those that are used later.
     """
     position = position or ["_source_index", "_source_pos"]
     place = F.struct(*position)
-    others = [c for c in rows.columns if c != key]
     # largest length first, then the smallest place: max over (length, negated place)
     back = [(-F.col(p)).alias(f"_{i}") for i, p in enumerate(position)]
-    best = F.max_by(F.struct(*others), F.struct(F.length(T.clean(F.col(text))).alias("_n"), *back))
-    out = rows.groupBy(key).agg(best.alias("_best"), F.min(place).alias("first_position"))
-    return out.select(key, "_best.*", "first_position")
+    best = rows.groupBy(F.col(key).alias("__key")).agg(
+        F.max_by(place, F.struct(F.length(T.clean(F.col(text))).alias("_n"), *back)).alias("__place"), F.min(place).alias("first_position")
+    )
+    best = best.select("__key", F.col("first_position"), *[F.col(f"__place.{p}").alias(f"__{p}") for p in position])
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    for p in position:
+        same = same & (F.col(p) == F.col(f"__{p}"))
+    return rows.join(best, same).select(*rows.columns, "first_position")
 
 
 def latest_version(rows: DataFrame, key: str = "identity", version: str = "version") -> DataFrame:

@@ -56,6 +56,12 @@ def fill_by_doi_and_title(rows: DataFrame, index: DataFrame, fields=("abstract",
     return out.withColumns({f: filled(rows, f, F.col(f"_i_{f}")) for f in fields}).select(*rows.columns)
 
 
+def _row_key(rows: DataFrame) -> Column:
+    """128 bits of a row's values; rows that are equal throughout share a key, and are filled alike."""
+    values = [F.to_json(c) if "map" in t else F.col(c) for c, t in rows.dtypes]
+    return F.struct(F.xxhash64(F.lit(1), *values), F.xxhash64(F.lit(2), *values))
+
+
 def fill_by_title(rows: DataFrame, index: DataFrame, fields=("abstract", "pdf_url"), authors_overlap: bool = False) -> DataFrame:
     """Fields from the index row with the same title whose DOI doesn't differ (and, if asked, with a common author).
 
@@ -63,7 +69,7 @@ def fill_by_title(rows: DataFrame, index: DataFrame, fields=("abstract", "pdf_ur
     """
     position = F.col("_i__pos") if "_pos" in index.columns else F.lit(0)
     right = index.select(T.title_key(F.col("title")).alias("_t"), *[F.col(c).alias(f"_i_{c}") for c in index.columns]).where("_t <> ''")
-    left = rows.withColumn("_t", T.title_key(F.col("title"))).withColumn("_row", F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]))
+    left = rows.withColumn("_t", T.title_key(F.col("title"))).withColumn("_row", _row_key(rows))
     own, other = F.lower(T.clean(F.col("doi"))), F.lower(T.clean(F.col("_i_doi")))
     fits = (own == "") | (other == "") | (own == other)
     if authors_overlap:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators.records import service
+from corpusmill.session import exists
 
 #: An attempt: kind, url, status_code, accepted, reason, status, error_type, message.
 ATTEMPT = "struct<kind:string,url:string,status_code:int,accepted:boolean,reason:string,status:string,error_type:string,message:string>"
@@ -94,7 +95,14 @@ def max_cooldown(services: DataFrame) -> DataFrame:
 
 
 def publish(items: DataFrame, path: str) -> None:
-    """Accepted full texts (identity, aliases, text) under the digest of their content, and an alias table beside them."""
+    """Accepted full texts (identity, aliases, text) under the digest of their content, and an alias table beside them.
+
+    What is there already is not written again, so a repeated run adds nothing.
+    """
     rows = items.withColumn("digest", F.sha2("text", 256)).withColumn("cache_dir", F.concat_ws("/", F.lit(path.rstrip("/")), "digest"))
-    rows.select("digest", "identity", "text").write.mode("append").parquet(f"{path}/texts")
-    rows.select(F.explode("aliases").alias("alias"), "cache_dir", "digest").write.mode("append").parquet(f"{path}/aliases")
+    new = {"texts": rows.select("digest", "identity", "text").dropDuplicates(["digest", "identity"]), "aliases": rows.select(F.explode("aliases").alias("alias"), "cache_dir", "digest").distinct()}
+    for name, keys in (("texts", ["digest", "identity"]), ("aliases", ["alias", "digest"])):
+        if exists(items.sparkSession, f"{path}/{name}"):
+            known = items.sparkSession.read.parquet(f"{path}/{name}").select(*keys)
+            new[name] = new[name].join(known, keys, "left_anti")
+        new[name].write.mode("append").parquet(f"{path}/{name}")

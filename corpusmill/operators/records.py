@@ -46,6 +46,16 @@ SERVICES = [
 DBLP_HOSTS = ["dblp.org", "www.dblp.org", "dblp.uni-trier.de", "dblp.dagstuhl.de"]
 ARXIV_CATEGORIES = ["cs.AI", "cs.LG", "cs.CL", "cs.CV", "cs.IR", "cs.MA", "cs.NE", "cs.RO", "cs.HC", "stat.ML"]
 
+# Pages of publishers whose papers have a PDF beside them.
+PAGES = {
+    "neurips": r"(?:papers\.nips\.cc|proceedings\.neurips\.cc)/paper_files/paper/(\d{4})/hash/([A-Za-z0-9]+)-Abstract-([^\"'<>\s/]+)\.html",
+    "pmlr": r"proceedings\.mlr\.press/(v\d+)/([A-Za-z0-9_.-]+)\.html",
+    "acl": r"aclanthology\.org/([0-9]{4}\.[A-Za-z0-9-]+\.\d+)/?",
+    "cvf": r"openaccess\.thecvf\.com/content/([^/]+)/html/([^\"'<>\s]+)\.html",
+    "ijcai": r"ijcai\.org/proceedings/(\d{4})/(\d+)",
+    "ecva": r"ecva\.net/papers/eccv_(\d{4})/papers_ECCV/html/(\d+)_ECCV_(\d{4})_paper\.php",
+}
+
 
 def identifier(name: str) -> Column:
     return F.lower(T.clean(F.col("identifiers")[name]))
@@ -99,6 +109,25 @@ def channel(names: list[Column], urls: list[Column]) -> Column:
     return F.coalesce(*found)
 
 
+def dblp_mirrors(url: Column) -> Column:
+    """A bibliography link on each of its hosts, its own first; any other link by itself."""
+    own = F.regexp_replace(F.regexp_extract(url_host(url), r"^(?:[^@]*@)?([^:]*)", 1), r"^www\.dblp\.org$", "dblp.org")
+    hosts = F.array_distinct(F.concat(F.array(own), F.array(*[F.lit(h) for h in DBLP_HOSTS if not h.startswith("www.")])))
+    rest = F.regexp_replace(T.strip(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
+    return F.when(own.isin(DBLP_HOSTS), F.transform(hosts, lambda h: F.concat(F.lit("https://"), h, rest))).otherwise(F.array(url))
+
+
+def arxiv_id(url: Column) -> Column:
+    """The identifier at a link's end, without its version."""
+    return F.regexp_extract(T.clean(url), r"([^/]+?)(?:v\d+)?/?$", 1)
+
+
+def arxiv_query(category: Column, first: Column, last: Column) -> Column:
+    """What a preprint server is asked for a category's days."""
+    day = lambda d: F.date_format(d, "yyyyMMdd")
+    return F.concat(F.lit("cat:"), category, F.lit(" AND submittedDate:["), day(first), F.lit("0000 TO "), day(last), F.lit("2359]"))
+
+
 def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(T.text(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
@@ -145,29 +174,23 @@ def pdf_candidates(channel_name: Column) -> Column:
         return F.transform(_all(blob, f"(?i){pattern}", 0), build)
 
     part = lambda m, pattern, i: F.regexp_extract(m, f"(?i){pattern}", i)
-    neurips = r"(?:papers\.nips\.cc|proceedings\.neurips\.cc)/paper_files/paper/(\d{4})/hash/([A-Za-z0-9]+)-Abstract-([^\"'<>\s/]+)\.html"
-    pmlr = r"proceedings\.mlr\.press/(v\d+)/([A-Za-z0-9_.-]+)\.html"
-    acl = r"aclanthology\.org/([0-9]{4}\.[A-Za-z0-9-]+\.\d+)/?"
-    cvf = r"openaccess\.thecvf\.com/content/([^/]+)/html/([^\"'<>\s]+)\.html"
-    ijcai = r"ijcai\.org/proceedings/(\d{4})/(\d+)"
-    ecva = r"ecva\.net/papers/eccv_(\d{4})/papers_ECCV/html/(\d+)_ECCV_(\d{4})_paper\.php"
     patterns = {
-        "neurips": rewritten(neurips, lambda m: F.format_string("https://proceedings.neurips.cc/paper_files/paper/%s/file/%s-Paper-%s.pdf", *[part(m, neurips, i) for i in (1, 2, 3)])),
+        "neurips": rewritten(PAGES["neurips"], lambda m: F.format_string("https://proceedings.neurips.cc/paper_files/paper/%s/file/%s-Paper-%s.pdf", *[part(m, PAGES["neurips"], i) for i in (1, 2, 3)])),
         "icml": F.flatten(
             rewritten(
-                pmlr,
+                PAGES["pmlr"],
                 lambda m: F.array(
-                    F.format_string("https://proceedings.mlr.press/%s/%s/%s.pdf", part(m, pmlr, 1), part(m, pmlr, 2), part(m, pmlr, 2)),
-                    F.format_string("https://raw.githubusercontent.com/mlresearch/%s/main/assets/%s/%s.pdf", part(m, pmlr, 1), part(m, pmlr, 2), part(m, pmlr, 2)),
+                    F.format_string("https://proceedings.mlr.press/%s/%s/%s.pdf", part(m, PAGES["pmlr"], 1), part(m, PAGES["pmlr"], 2), part(m, PAGES["pmlr"], 2)),
+                    F.format_string("https://raw.githubusercontent.com/mlresearch/%s/main/assets/%s/%s.pdf", part(m, PAGES["pmlr"], 1), part(m, PAGES["pmlr"], 2), part(m, PAGES["pmlr"], 2)),
                 ),
             )
         ),
-        "acl": rewritten(acl, lambda m: F.format_string("https://aclanthology.org/%s.pdf", part(m, acl, 1))),
-        "cvpr": rewritten(cvf, lambda m: F.format_string("https://openaccess.thecvf.com/content/%s/papers/%s.pdf", part(m, cvf, 1), part(m, cvf, 2))),
-        "ijcai": rewritten(ijcai, lambda m: F.format_string("https://www.ijcai.org/proceedings/%s/%s.pdf", part(m, ijcai, 1), F.lpad(F.regexp_replace(part(m, ijcai, 2), "^0+(?=.)", ""), 4, "0"))),
+        "acl": rewritten(PAGES["acl"], lambda m: F.format_string("https://aclanthology.org/%s.pdf", part(m, PAGES["acl"], 1))),
+        "cvpr": rewritten(PAGES["cvf"], lambda m: F.format_string("https://openaccess.thecvf.com/content/%s/papers/%s.pdf", part(m, PAGES["cvf"], 1), part(m, PAGES["cvf"], 2))),
+        "ijcai": rewritten(PAGES["ijcai"], lambda m: F.format_string("https://www.ijcai.org/proceedings/%s/%s.pdf", part(m, PAGES["ijcai"], 1), F.lpad(F.regexp_replace(part(m, PAGES["ijcai"], 2), "^0+(?=.)", ""), 4, "0"))),
         "eccv": F.transform(
-            F.filter(_all(blob, f"(?i){ecva}", 0), lambda m: part(m, ecva, 1) == part(m, ecva, 3)),
-            lambda m: F.format_string("https://www.ecva.net/papers/eccv_%s/papers_ECCV/papers/%s.pdf", part(m, ecva, 1), F.lpad(F.regexp_replace(part(m, ecva, 2), "^0+(?=.)", ""), 5, "0")),
+            F.filter(_all(blob, f"(?i){PAGES['ecva']}", 0), lambda m: part(m, PAGES["ecva"], 1) == part(m, PAGES["ecva"], 3)),
+            lambda m: F.format_string("https://www.ecva.net/papers/eccv_%s/papers_ECCV/papers/%s.pdf", part(m, PAGES["ecva"], 1), F.lpad(F.regexp_replace(part(m, PAGES["ecva"], 2), "^0+(?=.)", ""), 5, "0")),
         ),
     }
     patterns["emnlp"], patterns["iccv"] = patterns["acl"], patterns["cvpr"]

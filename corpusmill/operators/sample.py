@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import checkpointed
+
 
 def draw_order(seed: str, key: Column) -> Column:
     """A seed-stable uniform order: the digest of seed and key."""
@@ -59,7 +61,8 @@ def with_positions(rows: DataFrame, order: list[Column]) -> DataFrame:
     """position: 1-based place of each row in the total order of `order`, by range partitions and their sizes."""
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     part, inside = F.shiftright("_id", 33).cast("int"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = placed.withColumn("_part", part).withColumn("_inside", inside).drop("_id").cache()
+    placed = placed.withColumn("_part", part).withColumn("_inside", inside).drop("_id")
+    placed = checkpointed(placed)  # ranges are sampled: every use must see the same ones
     sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number a partition
     offset, starts = 0, []
     for p in sorted(sizes):

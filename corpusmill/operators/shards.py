@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.operators.dedup import keep_best
+
 SCHEMA_VERSION = 2
 #: Closed days that are read again for late records, and how old such a reading may be.
 RECHECK_DAYS, RECHECK_AGE = 3, 1.0
@@ -63,9 +65,18 @@ def manifest_of(rows: DataFrame, wanted: DataFrame, as_of: Column, keys: list[st
 
 
 def publish(rows: DataFrame, manifest: DataFrame, path: str, keys: list[str]) -> None:
-    """Replaces only the partitions that rows hold, then records every shard, empty ones too."""
+    """Replaces only the partitions that rows hold, then records every shard, empty ones too.
+
+    The manifest is a log: a shard's latest record supersedes the ones before (see manifest), so publishing
+    again changes nothing but the time of recording.
+    """
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/data")
-    manifest.write.mode("append").parquet(f"{path}/manifest")
+    manifest.withColumn("recorded_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/manifest")
+
+
+def manifest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The latest record of every published shard."""
+    return keep_best(spark.read.parquet(f"{path}/manifest"), keys, [F.col("recorded_at").desc()]).drop("recorded_at")
 
 
 def read_range(spark: SparkSession, path: str, first: str, last: str, day: str = "day") -> DataFrame:

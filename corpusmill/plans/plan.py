@@ -181,6 +181,40 @@ def unchanged(plan: dict, recorded: str) -> bool:
     return fingerprint(plan) == recorded
 
 
+#: What a child run takes over from a finished parent whose reading preference was locked.
+LOCKED = {"reading_preference": "codex_fast", "user_disabled_claude": True, "reading_preference_scope": "conversation", "conversation_reading_preference_locked": True}
+
+
+def inherited(parent: Any) -> dict:
+    """Workflow settings that a child of this plan must keep; none unless the parent locked them for the conversation."""
+    workflow = parent.get("workflow") if isinstance(parent, dict) else None
+    if not isinstance(workflow, dict):
+        return {}
+    locked = workflow.get("user_disabled_claude") is True and workflow.get("conversation_reading_preference_locked") is True
+    return dict(LOCKED) if locked and _text(workflow.get("reading_preference_scope")).lower() == "conversation" else {}
+
+
+def child(plan: dict, parent: Any) -> dict:
+    """A child's plan with what it inherits; settings that contradict it are an error."""
+    kept = inherited(parent)
+    workflow = dict(plan.get("workflow") or {})
+    for key, value in kept.items():
+        _need(workflow.get(key, value) == value, f"workflow.{key} is locked by the parent run")
+    return {**plan, "workflow": {**workflow, **kept}} if kept else plan
+
+
+def write_text(path: str, value: str) -> None:
+    """A small driver-side text, replaced at once or not at all, with a line end at its end."""
+    folder = os.path.dirname(path) or "."
+    os.makedirs(folder, exist_ok=True)
+    handle, draft = tempfile.mkstemp(dir=folder, suffix=".tmp")
+    with os.fdopen(handle, "w", encoding="utf-8") as f:
+        f.write(value.rstrip("\n") + "\n")
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(draft, path)
+
+
 def write_json(path: str, value: Any) -> None:
     """A small driver-side document, replaced at once or not at all."""
     folder = os.path.dirname(path) or "."

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import audit, dedup, fulltext, reads, records, runs, sample, score
 from corpusmill.plans import plan as P
+from corpusmill.session import exists
 
 
 class StaleError(RuntimeError):
@@ -33,8 +34,7 @@ class Run:
     # storage
 
     def _exists(self, name: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        return exists(self.spark, f"{self.path}/{name}")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -102,13 +102,24 @@ class Run:
     # steps
 
     def metadata(self, plan: dict, sources: list[DataFrame], errors: dict[int, str] | None = None) -> str:
-        """Reads every source of the plan, audits it before any filter, deduplicates; returns the status."""
-        plan, errors = P.validate(plan), errors or {}
+        """Reads every source of the plan, audits it before any filter, deduplicates; returns the status.
+
+        errors: what is known to be wrong with a source, by its place. A catalog that fails its audit is a gap,
+        too: its rows stay in the raw table and reach no later step.
+        """
+        plan, errors = P.validate(plan), dict(errors or {})
+        if len(sources) != len(plan["sources"]):
+            raise ValueError(f"the plan has {len(plan['sources'])} sources, {len(sources)} were given")
         rows = [records.normalize(s, str(spec["type"]).lower()) for s, spec in zip(sources, plan["sources"])]
         raw = self._write("raw", dedup.union_sources(rows))
         coverage = self._write("receipts", audit.field_coverage(raw, ["_source_index"]))
         notices = audit.coverage_notices(coverage, ["_source_index"]).count()
-        papers = self._write("papers", dedup.keep_longest_abstract(raw))
+        audits = self._write("audits", audit.venue_audit(raw, ["_source_index"]))
+        whole = {r["_source_index"]: r["metadata_completeness_ok"] for r in audits.collect()}  # a row a source
+        failed = [i for i, spec in enumerate(plan["sources"]) if str(spec["type"]).lower() == "venue" and not whole.get(i)]
+        for i in failed:
+            errors.setdefault(i, "the catalog fails its audit")
+        papers = self._write("papers", dedup.keep_longest_abstract(raw.where(~F.col("_source_index").isin(failed))))
         n, m = papers.count(), raw.count()
         warnings = sorted(f"source {i}: {e}" for i, e in errors.items())
         status = "complete" if n and not warnings else "complete_with_gaps" if n else "blocked"

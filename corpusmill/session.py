@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", app: str = "corpusmill", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -24,3 +26,25 @@ def build_session(master: str = "local[*]", app: str = "corpusmill", shuffle_par
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One parquet table of a data directory, any file system Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """rows written once to the checkpoint folder: evaluated once, and safe when executors are lost.
+
+    The folder is spark.checkpoint.dir; where that is unset and the master is local, a temporary one.
+    """
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if spark.conf.get("spark.master", "").partition("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            found = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+        spark.sparkContext.setCheckpointDir(found)
+    return rows.checkpoint()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.session import exists
 
 JSON_SCORE = "identity string, metadata_score string, components struct<topic_fit:string,transferability_potential:string,abstract_specificity:string>, reason string, uncertainty string"
 
@@ -24,8 +25,7 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One document a file; a missing path or broken document gives no row."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path).where("_bad IS NULL").drop("_bad")
 

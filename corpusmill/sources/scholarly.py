@@ -4,7 +4,14 @@
     spark.read.format("scholarly").option("path", ...).option("source", "arxiv").option("start", ...).option("end", ...).load()
 
 Shards are JSON files `<path>/<source>/<category>/<day>.json` on storage that every executor mounts, each an
-envelope with its papers; use shards.read_range for published parquet shards on other stores.
+envelope with its papers; use shards.read_range for published parquet shards on other stores. A category's
+`index.json` may tell how many rows each day has: ranges are then halved until each has fewer than `ceiling`.
+
+No shard is passed over in silence. A wanted day whose shard can't be used gives one row with its status
+(missing, invalid or stale) and no paper; `papers` refuses a table that has such rows, `to_fetch` lists them.
+Policies: reuse takes valid shards that are fresh enough (maxAgeDays; closed days of biorxiv don't age but for
+their recheck), refresh only those that were fetched since `now`, so that all others are listed to be fetched
+again, only takes every valid closed shard and fails on any other.
 """
 
 from __future__ import annotations
@@ -12,11 +19,18 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "source string, category string, day date, complete boolean, provisional boolean, title string, abstract string, authors array<string>, url string, pdf_url string, identifiers map<string,string>"
+from corpusmill.operators.shards import RECHECK_AGE, RECHECK_DAYS, SCHEMA_VERSION, bisect
+
+SCHEMA = (
+    "source string, category string, day date, status string, complete boolean, provisional boolean, title string, abstract string, authors array<string>, "
+    "url string, pdf_url string, identifiers map<string,string>"
+)
 POLICIES = ("reuse", "refresh", "only")
 
 
@@ -25,35 +39,94 @@ class DayRange(InputPartition):
         self.category, self.days = category, days
 
 
+def shard_valid(shard: object, source: str, category: str, day: str) -> bool:
+    """The known version, of this source, category and day, with a list of rows that each have a title, an abstract and
+    authors, none twice; a biorxiv shard also holds as many rows as its server told."""
+    if not isinstance(shard, dict) or shard.get("schema_version") != SCHEMA_VERSION or shard.get("source") != source or shard.get("date") != day:
+        return False
+    papers = shard.get("papers")
+    if not isinstance(papers, list) or shard.get("category", category) != category:
+        return False
+    seen = set()
+    for p in papers:
+        ids = p.get("identifiers") if isinstance(p, dict) else None
+        if not isinstance(ids, dict) or not all(str(p.get(k) or "").strip() for k in ("title", "abstract")) or not p.get("authors"):
+            return False
+        seen.add((str(ids.get("arxiv_id") or ids.get("doi") or "").lower(), str(ids.get("biorxiv_version") or "")))
+    return len(seen) == len(papers) and ("", "") not in seen and (source != "biorxiv" or shard.get("server_total") == len(papers))
+
+
 class ShardReader(DataSourceReader):
     def __init__(self, options: dict):
+        options = {k.lower(): v for k, v in options.items()}  # option names have no case
         self.path, self.source = options["path"], options.get("source", "arxiv")
         self.policy = options.get("policy", "reuse")
         if self.policy not in POLICIES:
             raise ValueError(f"policy must be one of {POLICIES}")
         self.categories = [c for c in options.get("categories", "all").split(",") if c]
         self.first, self.last = date.fromisoformat(options["start"]), date.fromisoformat(options["end"])
-        self.days_a_partition = int(options.get("daysPerPartition", "31"))
+        self.now = datetime.fromisoformat(options.get("now") or datetime.now().isoformat(timespec="seconds"))
+        self.max_age = float(options.get("maxagedays") or 7.0)
+        self.days_a_partition = int(options.get("daysperpartition") or 31)
+        self.ceiling = int(options.get("ceiling") or 10_000)
+
+    def _counts(self, category: str) -> dict[str, int]:
+        try:
+            with open(os.path.join(self.path, self.source, category, "index.json"), encoding="utf-8") as f:
+                return {str(k): int(v) for k, v in json.load(f).items()}
+        except FileNotFoundError:
+            return {}
 
     def partitions(self) -> list[DayRange]:
         days = [(self.first + timedelta(i)).isoformat() for i in range((self.last - self.first).days + 1)]
-        return [DayRange(c, days[i : i + self.days_a_partition]) for c in self.categories for i in range(0, len(days), self.days_a_partition)]
+        out = []
+        for category in self.categories:
+            counts = self._counts(category)
+            for i in range(0, len(days), self.days_a_partition):
+                own = days[i : i + self.days_a_partition]
+                out += [DayRange(category, own[own.index(a) : own.index(b) + 1]) for a, b in bisect(counts, 0, len(own) - 1, own, self.ceiling)]
+        return out
+
+    def _usable(self, shard: dict, day: str) -> bool:
+        closed = day < self.now.date().isoformat() and bool(shard.get("complete")) and not shard.get("provisional")
+        try:
+            age = (self.now - datetime.fromisoformat(str(shard.get("fetched_at")))).total_seconds() / 86400
+        except ValueError:
+            age = float("inf")
+        if self.policy == "refresh":
+            return age <= 0
+        if self.policy == "only":
+            return closed
+        if self.source == "biorxiv":
+            late = (self.now.date() - date.fromisoformat(day)).days <= RECHECK_DAYS
+            return closed and bool(shard.get("exhaustion_proof")) and (not late or age <= min(self.max_age, RECHECK_AGE))
+        return closed and age <= self.max_age
+
+    def _shard(self, category: str, day: str) -> tuple[str, dict]:
+        try:
+            with open(os.path.join(self.path, self.source, category, f"{day}.json"), encoding="utf-8") as f:
+                shard = json.load(f)
+        except FileNotFoundError:
+            return "missing", {}
+        except ValueError:
+            return "invalid", {}
+        if not shard_valid(shard, self.source, category, day):
+            return "invalid", {}
+        return ("ok", shard) if self._usable(shard, day) else ("stale", {})
 
     def read(self, partition: DayRange) -> Iterator[tuple]:
         for day in partition.days:
-            name = os.path.join(self.path, self.source, partition.category, f"{day}.json")
-            try:
-                with open(name, encoding="utf-8") as f:
-                    shard = json.load(f)
-            except (FileNotFoundError, ValueError):
+            status, shard = self._shard(partition.category, day)
+            if status != "ok":
                 if self.policy == "only":
-                    raise ValueError(f"shard {name} is missing or broken") from None
-                continue
+                    raise ValueError(f"shard {self.source}/{partition.category}/{day} is {status}")
+                yield (self.source, partition.category, date.fromisoformat(day), status, False, None, None, None, None, None, None, None)
             for p in shard.get("papers") or []:
                 yield (
                     self.source,
                     partition.category,
                     date.fromisoformat(day),
+                    status,
                     bool(shard.get("complete")),
                     bool(shard.get("provisional")),
                     p.get("title"),
@@ -75,3 +148,15 @@ class ScholarlySource(DataSource):
 
     def reader(self, schema) -> ShardReader:
         return ShardReader(dict(self.options))
+
+
+def to_fetch(rows: DataFrame) -> DataFrame:
+    """source, category, day, status of every wanted shard that could not be used."""
+    return rows.where("status <> 'ok'").select("source", "category", "day", "status")
+
+
+def papers(rows: DataFrame) -> DataFrame:
+    """The papers of a scan; a shard that could not be used fails the query and names itself."""
+    name = F.concat_ws("/", "source", "category", F.col("day").cast("string"), "status")
+    whole = F.when(F.col("status") == "ok", F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unusable shard "), name)).cast("boolean"))
+    return rows.where(whole).drop("status")

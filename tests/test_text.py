@@ -73,15 +73,15 @@ def formula_error(text):
             i += 2
         elif c != "$":
             if opened == "$" and c == "\n":
-                return "inline formula is not closed on one line"
+                return "formula_runs_over_line"
             i += 1
         else:
             mark = "$$" if scrubbed[i : i + 2] == "$$" else "$"
             if opened and mark != opened:
-                return "mismatched formula delimiters"
+                return "formula_marks_differ"
             opened = "" if opened else mark
             i += len(mark)
-    return "unclosed formula delimiter" if opened else ""
+    return "formula_left_open" if opened else ""
 
 
 @pytest.mark.parametrize("value", ["a $x$ b", "a $x\ny$", "$$a\nb$$", "$$a$ b", "open $x", "esc \\$5 and `$`", "```$```"])
