@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from public_tokenizers import path as vocabulary
 
 from corpusmill.llm import exact_dedup, language, near_dedup, packing, pii
-from corpusmill.llm.common import join_checked, small_batches, stored, table
+from corpusmill.llm.common import join_checked, packed, small_batches, stored, table, unpacked
 
 #: A text whose best margin and share of known n-grams are both below these has none of the languages.
 #: Neither depends on how many languages the labels have.
@@ -21,37 +21,42 @@ SHINGLE_WORDS, SIMILAR = 5, (8, 10)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has one of the labels' languages; the model learns from this stage's own labelled rows."""
+    """Documents whose text has one of the labels' languages; the model learns from this stage's own labelled rows.
+
+    Null texts, and those without a letter, have no language and go; a table without labels keeps nothing;
+    repeated rows are judged one by one.
+    """
     small_batches(spark)
     model = language.fit(docs, F.lit(True))
-    out = language.predict(docs, model, out_col="_language", evidence=True)
-    told = (F.col("_language.margin") >= LANGUAGE_MARGIN) | (F.col("_language.known") >= LANGUAGE_KNOWN)
-    return out.where((F.col("_language.lang") != language.UNKNOWN) & told).select(*docs.columns)
+    out = language.predict(docs.select(packed(docs).alias("row"), "text"), model, out_col="told", evidence=True)
+    told = (F.col("told.margin") >= LANGUAGE_MARGIN) | (F.col("told.known") >= LANGUAGE_KNOWN)
+    return unpacked(out.where((F.col("told.lang") != language.UNKNOWN) & told), "row", docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, that with the smallest id; null texts are empty ones."""
     small_batches(spark)
-    return exact_dedup.exact_dedup(docs).where("_kept").select(*docs.columns)
+    out = exact_dedup.exact_dedup(docs.select(packed(docs).alias("row"), "doc_id", "text"), columns=["row"])
+    return unpacked(out.where("_kept"), "row", docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near duplicates; null ids, null and empty texts stay."""
     small_batches(spark)
     found = near_dedup.near_duplicates(docs, SHINGLE_WORDS, *SIMILAR)
     gone = stored(found.where("component_id <> id").select(F.col("id").alias("doc_id")).distinct(), "gone")
-    return join_checked(docs, gone, "doc_id", "left_anti")
+    return join_checked(docs, gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts replaced by its kind; n_chars follows the text."""
+    """Personal data in texts replaced by its kind; n_chars follows the text; null texts stay null."""
     small_batches(spark)
     out = pii.redact_pii(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens."""
+    """Sequences of at most 4096 tokens; null texts are empty, an empty table gives no pieces."""
     small_batches(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
