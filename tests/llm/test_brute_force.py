@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers as P
@@ -11,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from corpusmill.llm import pii, queries
+from corpusmill.llm import html, pii, queries
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +59,172 @@ def test_op2_equals_the_library(spark, sf, docs):
         assert r.decoded_sha256 == sha(tok.decode(ids, skip_special_tokens=False))
 
 
+class Article(HTMLParser):
+    """Blocks of the one <article> of these pages, without elements that are none of it."""
+
+    OUT = {"nav", "aside", "form", "script", "style", "footer"}
+    INLINE = {"a", "b", "i", "em", "strong", "span", "code", "u", "small", "sup", "sub"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.out, self.blocks, self.held = 0, [], [], ""
+
+    def close_block(self):
+        text = " ".join(self.held.split())
+        if text:
+            self.blocks.append(text)
+        self.held = ""
+
+    def handle_starttag(self, tag, attrs):
+        said = dict(attrs).get("class") or ""
+        if tag == "article":
+            self.inside += 1
+        elif self.out or tag in self.OUT or said in ("ad", "comments", "share"):
+            if tag not in ("br", "img", "hr"):
+                self.out.append(tag)
+        elif tag == "br":
+            self.held += " "
+        elif tag not in self.INLINE:
+            self.close_block()
+
+    def handle_endtag(self, tag):
+        if self.out:
+            if tag in self.out:
+                del self.out[len(self.out) - 1 - self.out[::-1].index(tag) :]
+        elif tag == "article":
+            self.close_block()
+            self.inside -= 1
+        elif tag not in self.INLINE:
+            self.close_block()
+
+    def handle_data(self, data):
+        if self.inside and not self.out:
+            self.held += data
+
+
+def test_op4_articles(spark):
+    """The tables' pages mark their article: a plain reader of it gives the same text."""
+    path = "/root/testdata/sf0.01"
+    pages = {r["page_id"]: r["html"] or "" for r in pq.read_table(f"{path}/pages.parquet").to_pylist()}
+    got = {r.page_id: r for r in queries.op4_html_extraction(spark, path).collect()}
+    assert set(got) == set(pages)
+    for page_id, page in pages.items():
+        reader = Article()
+        reader.feed(page)
+        reader.close()
+        assert got[page_id].text == "\n".join(reader.blocks), page_id
+        assert got[page_id].n_chars == len(got[page_id].text)
+
+
+def plain_templates(pages):
+    """Classes by whole occurrence vectors over distinct pages: {host: {token: (kind, depth)}}, and slots by their statistics."""
+    hosts = defaultdict(dict)
+    for host, page in pages:
+        blocks, paths = html.parse(page)
+        hosts[host][(tuple(paths.items()), tuple((b.path, b.text, b.link_chars) for b in blocks if not b.dropped or b.worded))] = (blocks, paths)
+    out = {}
+    for host, found in hosts.items():
+        vectors, places, n = defaultdict(dict), defaultdict(list), len(found)
+        length, links, seen, total = Counter(), Counter(), defaultdict(set), 0
+        for k, (blocks, paths) in enumerate(found.values()):
+            size = max(1, len(paths) + len(blocks))
+            texts = Counter((b.path, b.text) for b in blocks if not b.dropped)
+            for kind, counted in (("p", paths), ("t", texts)):
+                for i, (token, times) in enumerate(counted.items()):
+                    vectors[kind, token][k] = times
+                    places[kind, token].append(i / size)
+            for b in blocks:
+                if not b.dropped or b.worded:
+                    slot = "w" if b.dropped else "s", html._slot(b)
+                    length[slot] += len(b.text)
+                    links[slot] += b.link_chars
+                    seen[slot].add(k)
+                    total += len(b.text)
+        classes = defaultdict(list)
+        for token, vector in vectors.items():
+            if n >= 4 and len(vector) >= 4 and 2 * len(vector) >= n:
+                classes[tuple(sorted(vector.items()))].append(token)
+        valid = {v: ts for v, ts in classes.items() if len(ts) >= 2}
+        if not valid:
+            continue
+        spans = {v: (min(np.mean(places[t]) for t in ts), max(np.mean(places[t]) for t in ts)) for v, ts in valid.items()}
+        depth = {v: sum(o != v and spans[o][0] <= spans[v][0] and spans[o][1] >= spans[v][1] for o in valid) for v in valid}
+        tokens = {t: depth[v] for v, ts in valid.items() for t in ts}
+        often = [s for s in length if len(seen[s]) >= 4 and 2 * len(seen[s]) >= n and ("p", s[1]) in tokens]
+        gone = {p for k, p in often if k == "s" and links[k, p] >= 0.6 * length[k, p] and not re.search(r">(article|main)\b", p)}
+        kept = {p for k, p in often if k == "w" and links[k, p] < 0.3 * length[k, p] and length[k, p] > total / 2}
+        out[host] = tokens, gone, kept
+    return out
+
+
+def made_pages():
+    """Hosts whose pages share menus without marks, texts under misleading words, and copies."""
+    out = []
+    for k in range(12):
+        words = " ".join(f"w{k}x{i}" for i in range(60))
+        menu = "".join(f"<li><a href=/{k}/{i}>go {k} {i}</a></li>" for i in range(4))
+        out.append(("a.example", f"<body><div class=top><ul>{menu}</ul></div><div class='story related'><p>{words}</p></div><div class=promo><p>Buy {k}</p></div><p class=legal>All rights kept</p><div class=end><p>Same end</p></div></body>"))
+        if k % 3 == 0:
+            out += [out[-1]] * 2
+        out.append(("b.example", f"<body><h1>Head {k}</h1><div><p>{words}</p></div>" + ("<div><p>Now and then</p><p>And again</p></div>" if k % 2 else "") + "</body>"))
+    return out
+
+
+@pytest.mark.parametrize("source", ["sf0.001", "sf0.01", "made"])
+def test_op4_classes_and_nesting(spark, source):
+    if source == "made":
+        pages = made_pages()
+    else:
+        rows = pq.read_table(f"/root/testdata/{source}/pages.parquet").to_pylist()
+        pages = [(re.match(r"https?://([^/]+)", r["url"])[1].lower(), r["html"] or "") for r in rows]
+    want = plain_templates(pages)
+    df = spark.createDataFrame(pages, "host string, html string")
+    got = {r.host: r for r in html.templates(df).collect()}
+    assert set(got) == set(want)
+    for host, (tokens, gone, kept) in want.items():
+        hashed = {(k, html._hash("path", t) if k == "p" else html._hash("text", *t)): d for (k, t), d in tokens.items()}
+        assert {(t.kind, t.token): t.depth for t in got[host].tokens} == hashed
+        assert (set(got[host].gone), set(got[host].kept)) == (gone, kept)
+    if source == "made":
+        assert want["a.example"][1] and want["a.example"][2]
+        rows = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string")
+        text = {r.page_id: r.text for r in html.extract(rows).collect()}
+        for i, (host, page) in enumerate(pages):
+            assert "w" in text[i] and "go " not in text[i] and "Same end" not in text[i] and "Buy" not in text[i]
+            assert host == "a.example" or "Head" in text[i]
+            assert text[i] != html.main_text(page) or host == "b.example"  # the template decides
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_op3_posteriors(spark, folder):
+    """Site posteriors without the document itself, and scores, from the documents' own probabilities."""
+    path = f"/root/testdata/{folder}"
+    site = {r["doc_id"]: (r["source"], r["lang"]) for r in pq.read_table(f"{path}/documents.parquet", columns=["doc_id", "source", "lang"]).to_pylist()}
+    rows = {r.doc_id: r for r in queries.op3_quality_classifier(spark, path).collect()}
+    assert set(rows) == set(site)
+    paths, hosts = defaultdict(list), defaultdict(list)
+    for k, (host, lang) in site.items():
+        paths[host, lang].append(rows[k].doc_score)
+        hosts[host].append(rows[k].doc_score)
+    n, every = len(rows), [r.doc_score for r in rows.values()]
+    mean = sum(every) / n
+    within = sum(sum((x - np.mean(v)) ** 2 for x in v) for v in paths.values()) / (n - len(paths))
+    around = sum(len(v) * (np.mean(v) - np.mean(hosts[h])) ** 2 for (h, _), v in paths.items()) - (len(paths) - len(hosts)) * within
+    size = n - sum(len(v) ** 2 / len(hosts[h]) for (h, _), v in paths.items())
+    path_weight = np.clip(within / (around / size) if size and around > 0 else 1000.0, 2, 1000)
+    around = sum(len(v) * (np.mean(v) - mean) ** 2 for v in hosts.values()) - (len(hosts) - 1) * within
+    size = n - sum(len(v) ** 2 for v in hosts.values()) / n
+    host_weight = np.clip(within / (around / size) if size and around > 0 else 1000.0, 2, 1000)
+    logit = lambda p: np.log(p / (1 - p))
+    for k, (host, lang) in site.items():
+        p, mine, all_ = rows[k].doc_score, paths[host, lang], hosts[host]
+        above = (sum(all_) - p + host_weight * mean) / (len(all_) - 1 + host_weight)
+        want = (sum(mine) - p + path_weight * above) / (len(mine) - 1 + path_weight)
+        assert rows[k].site_score == pytest.approx(want, rel=1e-6)
+        score = 1 / (1 + np.exp(-(logit(p) + 0.5 * (logit(want) - logit(mean)))))
+        assert rows[k].score == pytest.approx(score, rel=1e-6) and rows[k].keep == (rows[k].score >= 0.5)
+
+
 def test_op5_edits_and_equal_fingerprints(spark, sf, docs):
     rows = {r.doc_id: r for r in queries.op5_document_fingerprints(spark, sf).collect()}
     assert set(rows) == set(docs)
