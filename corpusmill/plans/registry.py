@@ -6,31 +6,19 @@ labels for scores, events for requests and attempts, pages for catalog pages, co
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import audit, dedup, enrich, fulltext, records, runs, sample, score, shards
+from corpusmill.plans import queries_records, queries_sources, queries_state, queries_text  # noqa: F401  they register themselves
+from corpusmill.plans.catalog import ORACLE_SQL, QUERIES, REAL, query  # noqa: F401
 from corpusmill.session import table
 from corpusmill.sources import files, pages
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "shortlist_topk"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _papers(spark: SparkSession, sf: str) -> DataFrame:
     """documents as papers: the key of the whole text is the identity."""
     docs = table(spark, sf, "documents")
@@ -165,11 +153,6 @@ def coverage_notices(spark, sf):
     return audit.coverage_notices(audit.field_coverage(_papers(spark, sf), ["venue"]), ["venue"])
 
 
-#: Words and letters for an engine without Unicode word boundaries.
-REAL = """(length(abstract) >= 50 AND len(regexp_extract_all(abstract, '[\\p{L}\\p{M}\\p{N}_''-]*[\\p{L}\\p{M}\\p{N}_][\\p{L}\\p{M}\\p{N}_''-]*')) >= 8
-    AND NOT regexp_matches(abstract, '(?is)\\.\\s+(?:proceedings|findings)\\s+of\\s+the\\b.*\\b(?:19|20)\\d{2}\\.?$'))"""
-
-
 @query(
     f"""WITH {PAPERS}, a AS (SELECT venue, count(*) AS n, count(DISTINCT identity) AS u, count(*) FILTER ({REAL}) AS r FROM p GROUP BY venue)
     SELECT venue, n AS record_count, u AS unique_identity_count, n - u AS duplicate_count, 1.0::DOUBLE AS title_coverage, 1.0::DOUBLE AS author_coverage, 1.0::DOUBLE AS link_coverage,
@@ -483,12 +466,6 @@ def script_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.cjk_count(F.col("text")).cast("bigint").alias("cjk"), F.size(T.english_words(F.col("text"))).cast("bigint").alias("english"))
 
 
-@query("SELECT event_type, min(event_id) AS event_id FROM events GROUP BY event_type")
-def distinct_incidents(spark, sf):
-    """Each incident once: the first report of an id."""
-    return dedup.first_of_key(table(spark, sf, "events"), F.col("event_type"), [F.col("event_id")]).select("event_type", "event_id")
-
-
 @query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_left, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS only_right, false AS equal")
 def set_equality(spark, sf):
     """Whether documents and labels hold the same ids."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,17 +35,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset and the master is local, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.conf.get("spark.master", "").partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place below the shared folder."""
+    return f"{shared_dir(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(rows: DataFrame) -> DataFrame:
-    """rows written once to the checkpoint folder: evaluated once, and safe when executors are lost.
-
-    The folder is spark.checkpoint.dir; where that is unset and the master is local, a temporary one.
-    """
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if spark.conf.get("spark.master", "").partition("[")[0] != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            found = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-        spark.sparkContext.setCheckpointDir(found)
+    """rows written once to the shared folder: evaluated once, and safe when executors are lost."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(rows.sparkSession))
     return rows.checkpoint()

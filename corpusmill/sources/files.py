@@ -16,7 +16,12 @@ JSON_SCORE = "identity string, metadata_score string, components struct<topic_fi
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects line by line, blank lines aside; a line that is no object fails the query and names itself."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    return jsonl_rows(spark.read.text(path), schema)
+
+
+def jsonl_rows(lines: DataFrame, schema: str) -> DataFrame:
+    """Objects of lines (value)."""
+    lines = lines.where(F.trim("value") != "")
     parsed = lines.select("value", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     good = F.ltrim("value").startswith("{") & F.col("r").isNotNull() & F.col("r._bad").isNull()
     failed = F.raise_error(F.concat(F.lit("invalid JSONL line: "), F.substring("value", 1, 80))).cast("boolean")
@@ -32,8 +37,12 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def scores(spark: SparkSession, path: str) -> DataFrame:
     """Score rows of a file that is a list, or an object with scores, papers or items."""
+    return score_rows(spark.read.text(path, wholetext=True))
+
+
+def score_rows(whole: DataFrame) -> DataFrame:
+    """Score rows of documents (value), each in one of those forms."""
     item = f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in _split(JSON_SCORE))}>>"
-    whole = spark.read.text(path, wholetext=True)
     as_list = F.from_json("value", item)
     keyed = [F.from_json(F.get_json_object("value", f"$.{k}"), item) for k in ("scores", "papers", "items")]
     rows = F.when(F.ltrim("value").startswith("["), as_list).otherwise(F.coalesce(*keyed))
@@ -60,7 +69,11 @@ ATOM = (
 
 def atom(spark: SparkSession, path: str, keep_archive: bool = True) -> DataFrame:
     """Entries of Atom feeds. keep_archive: old identifiers keep their archive prefix."""
-    rows = spark.read.format("xml").option("rowTag", "entry").schema(ATOM).load(path)
+    return atom_rows(spark.read.format("xml").option("rowTag", "entry").schema(ATOM).load(path), keep_archive)
+
+
+def atom_rows(rows: DataFrame, keep_archive: bool = True) -> DataFrame:
+    """Entries of the schema ATOM as papers."""
     pattern = r"abs/(.+?)(?:v\d+)?/?$" if keep_archive else r"([^/]+?)(?:v[^/]*)?/?$"
     arxiv_id = F.regexp_extract(T.clean(F.col("id")), pattern, 1)
     pdf = F.get(F.filter("link", lambda x: x["_title"] == "pdf"), F.lit(0))["_href"]
@@ -77,10 +90,16 @@ def atom(spark: SparkSession, path: str, keep_archive: bool = True) -> DataFrame
     )
 
 
+PREPRINTS = "array<struct<doi:string,title:string,authors:string,date:string,version:string,category:string,abstract:string>>"
+
+
 def preprint_json(spark: SparkSession, path: str) -> DataFrame:
     """Items of paged preprint listings ({"collection": [...]})."""
-    item = "array<struct<doi:string,title:string,authors:string,date:string,version:string,category:string,abstract:string>>"
-    rows = spark.read.schema(f"collection {item}").option("multiLine", True).json(path).select(F.explode("collection").alias("i")).select("i.*")
+    return preprint_rows(spark.read.schema(f"collection {PREPRINTS}").option("multiLine", True).json(path).select(F.explode("collection").alias("i")).select("i.*"))
+
+
+def preprint_rows(rows: DataFrame) -> DataFrame:
+    """Listed items as papers."""
     version = F.coalesce(F.nullif(T.clean(F.col("version")), F.lit("")), F.lit("1"))
     page = F.concat(F.lit("https://www.biorxiv.org/content/"), T.clean(F.col("doi")), F.lit("v"), version)
     return rows.select(
@@ -98,13 +117,19 @@ def preprint_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unwrap(json: Column, path: str) -> Column:
-    """A value that may be wrapped as {"value": ...}."""
-    return F.coalesce(F.get_json_object(json, f"{path}.value"), F.get_json_object(json, path))
+    """A value that may be wrapped as {"value": ...}; an object without one is none."""
+    bare = F.get_json_object(json, path)
+    return F.when(F.ltrim(bare).startswith("{"), F.get_json_object(json, f"{path}.value")).otherwise(bare)
 
 
 def openreview(spark: SparkSession, path: str, venue: str, year: int) -> DataFrame:
     """Notes of review-platform pages ({"notes": [{"id", "content": {...}}]}); values may be wrapped."""
-    notes = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", "$.notes"), "array<string>")).alias("n"))
+    return openreview_rows(spark.read.text(path, wholetext=True), venue, year)
+
+
+def openreview_rows(documents: DataFrame, venue: str, year: int) -> DataFrame:
+    """Notes of documents (value) as papers."""
+    notes = documents.select(F.explode(F.from_json(F.get_json_object("value", "$.notes"), "array<string>")).alias("n"))
     names = F.coalesce(F.from_json(unwrap(F.col("n"), "$.content.authors"), "array<string>"), F.array(unwrap(F.col("n"), "$.content.authors")))
     words = F.coalesce(F.from_json(unwrap(F.col("n"), "$.content.keywords"), "array<string>"), F.array().cast("array<string>"))
     note = F.get_json_object("n", "$.id")
@@ -130,7 +155,11 @@ ANTHOLOGY = (
 
 def anthology(spark: SparkSession, path: str, venue: str, year: int, volume: str = "main") -> DataFrame:
     """Papers of an anthology's XML volumes."""
-    rows = spark.read.format("xml").option("rowTag", "paper").schema(ANTHOLOGY).load(path)
+    return anthology_rows(spark.read.format("xml").option("rowTag", "paper").schema(ANTHOLOGY).load(path), venue, year, volume)
+
+
+def anthology_rows(rows: DataFrame, venue: str, year: int, volume: str = "main") -> DataFrame:
+    """Entries of the schema ANTHOLOGY as papers."""
     own = F.coalesce(F.nullif(T.clean(F.col("url")), F.lit("")), F.concat(F.lit(f"{year}.{venue.lower()}-{volume}."), F.col("_id")))
     page = F.concat(F.lit("https://aclanthology.org/"), F.regexp_replace(own, "^/+|/+$", ""), F.lit("/"))
     name = lambda a: F.array_join(F.filter(F.array(T.clean(a["first"]), T.clean(a["middle"]), T.clean(a["last"])), lambda x: x != ""), " ")
@@ -157,7 +186,11 @@ DBLP = "_key string, title string, year string, author array<string>, ee array<s
 
 def dblp(spark: SparkSession, path: str, venue: str, year: int) -> DataFrame:
     """Proceedings entries of a bibliography dump, one a title; a seed without abstracts."""
-    rows = spark.read.format("xml").option("rowTag", "inproceedings").schema(DBLP).load(path)
+    return dblp_rows(spark.read.format("xml").option("rowTag", "inproceedings").schema(DBLP).load(path), venue, year)
+
+
+def dblp_rows(rows: DataFrame, venue: str, year: int) -> DataFrame:
+    """Entries of the schema DBLP as a venue's titles."""
     rows = rows.where((F.coalesce("year", F.lit("")) == "") | (T.clean(F.col("year")) == str(year))).where(T.looks_like_title(F.col("title")))
     links = F.coalesce(F.transform("ee", T.clean), F.array().cast("array<string>"))
     doi = F.regexp_replace(F.regexp_extract(F.array_join(links, " "), r"(?i)doi\.org/(10\.\d{4,9}/\S+)", 1), r"[.,)]+$", "")
@@ -179,9 +212,13 @@ def dblp(spark: SparkSession, path: str, venue: str, year: int) -> DataFrame:
 
 def article_xml(spark: SparkSession, path: str) -> DataFrame:
     """path, text of each XML article: all character data, tags as line ends."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    bare = F.regexp_replace(F.regexp_replace("value", r"<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<![^>]*>", " "), r"<[^>]+>", "\n")
-    return whole.select("path", F.trim(F.regexp_replace(F.regexp_replace(bare, r"[ \t\x0b\f\r]+", " "), r"\s*\n\s*", "\n")).alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), article_text(F.col("value")).alias("text"))
+
+
+def article_text(value: Column) -> Column:
+    """Character data of an XML article, tags as line ends."""
+    bare = F.regexp_replace(F.regexp_replace(value, r"<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<![^>]*>", " "), r"<[^>]+>", "\n")
+    return T.strip(F.regexp_replace(F.regexp_replace(bare, r"[ \t\x0b\f\r]+", " "), r"\s*\n\s*", "\n"))
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:

@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 
+WORK = "struct<doi:string,title:string,abstract_inverted_index:map<string,array<int>>,best_oa_location:struct<pdf_url:string>,authorships:array<struct<author:struct<display_name:string>>>>"
+PIDS = "array<struct<scheme:string,value:string>>"
+PRODUCT = f"struct<type:string,mainTitle:string,descriptions:array<string>,pids:{PIDS},instances:array<struct<urls:array<string>,alternateIdentifiers:{PIDS}>>>"
 PDF = r"(?i)\.pdf(?:$|[?#])"
 
 
 def inverted(spark: SparkSession, path: str) -> DataFrame:
     """Works whose abstracts are inverted indexes ({"results": [...]})."""
-    work = "struct<doi:string,title:string,abstract_inverted_index:map<string,array<int>>,best_oa_location:struct<pdf_url:string>,authorships:array<struct<author:struct<display_name:string>>>>"
-    rows = spark.read.schema(f"results array<{work}>").option("multiLine", True).json(path).select(F.explode("results").alias("w")).select("w.*")
+    return inverted_rows(spark.read.schema(f"results array<{WORK}>").option("multiLine", True).json(path).select(F.explode("results").alias("w")).select("w.*"))
+
+
+def inverted_rows(rows: DataFrame) -> DataFrame:
+    """Works of the type WORK as index rows."""
     return rows.select(
         T.clean(F.col("title")).alias("title"),
         T.doi(F.col("doi")).alias("doi"),
@@ -38,9 +44,13 @@ def scalars(json: Column) -> Column:
 
 def publications(spark: SparkSession, path: str) -> DataFrame:
     """Research products ({"results": [...]}) of type publication: every DOI of theirs is one row."""
-    pid = "array<struct<scheme:string,value:string>>"
-    item = f"struct<type:string,mainTitle:string,descriptions:array<string>,pids:{pid},instances:array<struct<urls:array<string>,alternateIdentifiers:{pid}>>>"
-    rows = spark.read.schema(f"results array<{item}>").option("multiLine", True).json(path).select(F.explode("results").alias("w")).select("w.*").where("type = 'publication'")
+    return publication_rows(spark.read.schema(f"results array<{PRODUCT}>").option("multiLine", True).json(path).select(F.explode("results").alias("w")).select("w.*"))
+
+
+def publication_rows(rows: DataFrame) -> DataFrame:
+    """Products of the type PRODUCT as index rows."""
+    pid = PIDS
+    rows = rows.where("type = 'publication'")
     none = F.array().cast(pid)
     ids = F.concat(F.coalesce("pids", none), F.coalesce(F.flatten(F.transform("instances", lambda i: F.coalesce(i["alternateIdentifiers"], none))), none))
     dois = F.array_distinct(F.transform(F.filter(ids, lambda p: F.lower(T.clean(p["scheme"])) == "doi"), lambda p: F.lower(T.clean(p["value"]))))
