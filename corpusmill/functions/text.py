@@ -142,6 +142,16 @@ def shingles(words: Column, n: int) -> Column:
     return let(words, made)
 
 
+def shingle_hashes(words: Column, n: int) -> Column:
+    """Distinct 64-bit hashes of runs of n words; empty with fewer words."""
+
+    def made(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
+        return F.when(F.size(w) >= n, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " "))))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words, made)
+
+
 def copied(source: Column, candidate: Column, n: int = 10) -> Column:
     """Whether the two share a run of n English words."""
     return F.arrays_overlap(shingles(english_words(source), n), shingles(english_words(candidate), n))

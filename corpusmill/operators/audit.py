@@ -146,6 +146,11 @@ def same_ids(a: DataFrame, b: DataFrame, key: str = "identity") -> DataFrame:
     return both.agg(F.count_if(F.col("_r").isNull()).alias("only_left"), F.count_if(F.col("_l").isNull()).alias("only_right")).withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
 
 
+def shared(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """Distinct combinations of `on` that both tables hold, nulls included."""
+    return a.select(*on).intersect(b.select(*on))
+
+
 def uncovered(wanted: DataFrame, given: DataFrame, key: str) -> DataFrame:
     """Keys of wanted that given lacks."""
     return wanted.select(key).distinct().join(given.select(key).distinct(), key, "left_anti")

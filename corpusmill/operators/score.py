@@ -73,11 +73,11 @@ def ranked(rows: DataFrame, score: str, target: int, key: str = "identity") -> D
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc(), F.col(key))))
 
 
-def shortlist(papers: DataFrame, scores: DataFrame, target: int = 100) -> DataFrame:
-    """Scored papers with their evaluation, cut to the target."""
+def shortlist(papers: DataFrame, scores: DataFrame, target: int = 100, on: str = "identity") -> DataFrame:
+    """Scored papers with their evaluation, cut to the target. Scores are joined by `on`; ties go by identity."""
     total = _total(METADATA_MAXIMA, lambda name: F.col("components")[name])
-    evaluation = scores.select("identity", total.alias("metadata_score"), F.struct(*[F.col(c) for c in scores.columns if c != "identity"]).alias("metadata_evaluation"))
-    return ranked(papers.join(evaluation, "identity"), "metadata_score", target)
+    evaluation = scores.select(on, total.alias("metadata_score"), F.struct(*[F.col(c) for c in scores.columns if c != on]).alias("metadata_evaluation"))
+    return ranked(papers.join(evaluation, on), "metadata_score", target)
 
 
 def final_ranking(ready: DataFrame, cards: DataFrame, target: int = 20) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.plans.catalog import query
-from corpusmill.session import table
-from corpusmill.sources import files, indexes, pages, venues
+from corpusmill.session import scratch, table
+from corpusmill.sources import files, indexes, pages, pdf, scholarly, venues
 
 
 def _xml(rows: DataFrame, document: str, schema: str) -> DataFrame:
@@ -207,3 +207,70 @@ def wrapped_values(spark, sf):
     """Values that may be wrapped."""
     doc = F.to_json(F.struct(F.struct(F.lower("c_mktsegment").alias("value")).alias("a"), F.expr("concat('w', c_custkey)").alias("b")))
     return table(spark, sf, "customer").select("c_custkey", T.clean(files.unwrap(doc, "$.a")).alias("found"), files.unwrap(doc, "$.b").alias("bare"))
+
+
+@query(
+    """WITH d AS (SELECT CAST(unnest(generate_series(DATE '2023-12-30', DATE '2024-02-02', INTERVAL 1 DAY)) AS DATE) AS day), c AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1),
+    s AS (SELECT d.day, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'missing' WHEN day(d.day) % 5 = 0 THEN 'invalid' WHEN day(d.day) % 7 = 0 THEN 'stale' ELSE 'ok' END AS status FROM d LEFT JOIN c ON c.day = d.day)
+    SELECT CAST(day AS VARCHAR) AS day, status, CASE WHEN status = 'ok' THEN n ELSE 0 END AS papers FROM s"""
+)
+def scanned_shards(spark, sf):
+    """A scan of day shards under the reuse policy: every wanted day with its papers, or why it can't be used."""
+    at = scratch(spark, "shards").removeprefix("file://")
+    paper = F.struct(F.lit("T").alias("title"), F.lit("A").alias("abstract"), F.array(F.lit("N")).alias("authors"), F.struct(F.col("event_id").cast("string").alias("arxiv_id")).alias("identifiers"))
+    day = F.date_format("ts", "yyyy-MM-dd")
+    days = table(spark, sf, "events").groupBy(day.alias("date")).agg(F.collect_list(paper).alias("papers"))
+    of_month = F.dayofmonth(F.col("date").cast("date"))
+    fetched = F.when(of_month % 7 == 0, "2024-01-01T00:00:00").otherwise("2024-02-09T00:00:00")
+    shard = F.struct(F.when(of_month % 5 == 0, 1).otherwise(2).alias("schema_version"), F.lit("arxiv").alias("source"), "date", F.lit(True).alias("complete"), F.lit(False).alias("provisional"), fetched.alias("fetched_at"), "papers")
+
+    def write(rows):
+        import os
+
+        folder = f"{at}/arxiv/all"
+        os.makedirs(folder, exist_ok=True)
+        for row in rows:
+            with open(f"{folder}/{row.date}.json", "w", encoding="utf-8") as f:
+                f.write(row.shard)
+
+    days.select("date", F.to_json(shard).alias("shard")).foreachPartition(write)  # a source of one mount, as its reader's
+    spark.dataSource.register(scholarly.ScholarlySource)
+    options = {"path": at, "source": "arxiv", "start": "2023-12-30", "end": "2024-02-02", "now": "2024-02-10T00:00:00", "daysPerPartition": "10"}
+    scan = spark.read.format("scholarly").options(**options).load()
+    return scan.groupBy(F.col("day").cast("string").alias("day"), "status").agg(F.count("title").alias("papers"))
+
+
+@query("SELECT c_custkey AS k, c_name || chr(10) || 'costs (' || c_custkey || ') in all' AS text FROM customer")
+def pdf_texts(spark, sf):
+    """Text of PDF files: lines by their height on the page."""
+    stream = F.expr(r"concat('BT /F1 10 Tf 72 700 Td (', c_name, ') Tj 0 -12 Td [(costs \\(', c_custkey, '\\)) -300 (in) -300 (all)] TJ ET')")
+    content = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< /Length 1 >>\nstream\n"), stream, F.lit("\nendstream\nendobj\n")).cast("binary")
+    text = F.regexp_replace(pdf.text(content), r"\)\s*in\s*all", ") in all")
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), text.alias("text"))
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{c}' AS channel, count(*) AS titles FROM customer WHERE c_custkey % 8 = {i}" for i, c in enumerate(pages.INDEX_LINKS))
+)
+def index_links(spark, sf):
+    """Titles that the index pages of eight kinds of venues link to."""
+    links = ["/paper_files/paper/2023/hash/a{}", "/virtual/2024/poster/{}", "/virtual/2024/oral/{}", "/content/CVPR/html/{}.html", "/content/ICCV/html/{}.html", "/article/view/{}", "/proceedings/2024/{}", "/doi/10.1145/{}"]
+    out = None
+    for i, (channel, pattern) in enumerate(pages.INDEX_LINKS.items()):
+        before, after = links[i].split("{}")
+        html = F.concat(F.lit(f'<a href="{before}'), F.col("c_custkey").cast("string"), F.lit(f'{after}">'), F.col("c_name"), F.lit(' one</a><a href="/about">About this conference</a>'))
+        rows = table(spark, sf, "customer").where(f"c_custkey % 8 = {i}").select(F.lit("https://v.org/").alias("url"), html.alias("html"))
+        found = pages.index(rows, pattern).agg(F.count(F.lit(1)).alias("titles")).select(F.lit(channel).alias("channel"), "titles")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("SELECT c_custkey % 2 AS source, count(*) AS n FROM customer WHERE c_custkey % 2 = 1 GROUP BY 1 UNION ALL SELECT 2, count(*) FROM supplier")
+def first_sources(spark, sf):
+    """The first source that has rows; a proceedings page counts only if every row of it is valid."""
+    cust = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    odd = cust.where("k % 2 = 1")
+    one = indexes.first_with_rows(cust.limit(0), odd, cust).agg(F.count(F.lit(1)).alias("n")).select(F.lit(1).alias("source"), "n")
+    pool = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    two = venues.from_first(cust, F.col("k") > 0, pool).agg(F.count(F.lit(1)).alias("n")).select(F.lit(2).alias("source"), "n")
+    return one.unionByName(two)

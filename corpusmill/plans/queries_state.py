@@ -195,3 +195,27 @@ def run_metadata_counts(spark, sf):
     run = Run(spark, scratch(spark, "run"))
     run.metadata(plan, [papers])
     return spark.createDataFrame(sorted(run.state()["counts"].items()), "name string, value bigint")
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS row_count, CASE WHEN CAST(ts AS DATE) < DATE '2024-01-20' THEN 'closed' ELSE 'provisional' END AS temporal_status FROM events GROUP BY 1, 3")
+def published_shards(spark, sf):
+    """Day shards published twice: the second time replaces partitions and supersedes the manifest."""
+    rows = table(spark, sf, "events").select(F.to_date("ts").alias("day"), "event_id")
+    at, wanted = scratch(spark, "published"), rows.select("day").distinct()
+    for some in (rows.where("event_id % 2 = 0"), rows):
+        shards.publish(some, shards.manifest_of(some, wanted, F.lit("2024-01-20").cast("date"), ["day"]), at, ["day"])
+    held = shards.read_range(spark, at, "2000-01-01", "2100-01-01").groupBy("day").agg(F.count(F.lit(1)).alias("held"))
+    out = shards.manifest(spark, at, ["day"]).join(held, "day").where("held = row_count")
+    return out.select(F.col("day").cast("string").alias("day"), "row_count", "temporal_status")
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS papers, CAST(2 * count(*) AS BIGINT) AS aliases FROM documents GROUP BY 1")
+def published_texts(spark, sf):
+    """Full texts published twice under the digests of their content, with their aliases: nothing doubles."""
+    docs = table(spark, sf, "documents")
+    items = docs.select(F.col("doc_id").alias("identity"), F.array(F.expr("concat('a', doc_id)"), F.expr("concat('b', doc_id)")).alias("aliases"), "text")
+    at = scratch(spark, "texts")
+    for _ in range(2):
+        fulltext.publish(items, at)
+    papers = spark.read.parquet(f"{at}/texts").groupBy("digest").agg(F.count(F.lit(1)).alias("papers"))
+    return papers.join(spark.read.parquet(f"{at}/aliases").groupBy("digest").agg(F.count(F.lit(1)).alias("aliases")), "digest")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import audit, dedup, enrich, fulltext, records, runs, sample, score, shards
+from corpusmill.operators import audit, dedup, enrich, fulltext, overlap, records, runs, sample, score, shards
 from corpusmill.plans import queries_records, queries_sources, queries_state, queries_text  # noqa: F401  they register themselves
 from corpusmill.plans.catalog import ORACLE_SQL, QUERIES, REAL, query  # noqa: F401
 from corpusmill.session import table
@@ -63,8 +63,7 @@ SCORES = "s AS (SELECT doc_id, quality * 40.0 + doc_id % 10 + 30 - toxic * 20 +
 def shortlist_topk(spark, sf):
     """Deduplicate, join scores, rank, keep the target number."""
     best = dedup.keep_longest_abstract(_papers(spark, sf))
-    scores = best.select("identity", "doc_id").join(_scores(spark, sf), "doc_id").drop("doc_id")
-    return score.shortlist(best.select("doc_id", "identity", "venue"), scores, 100).select("doc_id", "identity", "venue", "metadata_score", "rank")
+    return score.shortlist(best.select("doc_id", "identity", "venue"), _scores(spark, sf), 100, on="doc_id").select("doc_id", "identity", "venue", "metadata_score", "rank")
 
 
 @query(
@@ -113,15 +112,20 @@ def final_topk(spark, sf):
     return score.ranked(sold.join(parts, "identity"), "sold", 20).select("identity", "p_brand", "sold", "rank")
 
 
-@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id AS identity FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unscored_documents(spark, sf):
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id", "source")
+    """Papers that still lack a score."""
+    found = score.score_violations(_scores(spark, sf).withColumnRenamed("doc_id", "identity"), table(spark, sf, "documents").select(F.col("doc_id").alias("identity")))
+    return found.where("violation = 'missing_identity'").select("identity")
 
 
-@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+@query("SELECT doc_id AS identity, 'foreign_identity' AS violation FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'duplicate_identity' FROM labels WHERE doc_id % 4 = 0")
 def foreign_scores(spark, sf):
-    known = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf, "orders").join(known, "o_custkey", "left_anti").select("o_custkey", "o_orderkey")
+    """Scores of papers that nobody asked for, and papers scored twice."""
+    scores = _scores(spark, sf).withColumnRenamed("doc_id", "identity")
+    papers = table(spark, sf, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("identity"))
+    found = score.score_violations(scores.unionByName(scores.where("identity % 4 = 0")), papers)
+    return found.where("violation IN ('foreign_identity', 'duplicate_identity')").distinct()
 
 
 @query(
@@ -138,28 +142,44 @@ def score_violations(spark, sf):
     return score.score_violations(broken, table(spark, sf, "documents").select(F.col("doc_id").alias("identity")))
 
 
-COVERAGE = """SELECT source AS venue, count(*) AS record_count, count(*) AS title_count, 1.0::DOUBLE AS title_coverage, count(*) AS authors_count, 1.0::DOUBLE AS authors_coverage,
-    count(*) AS abstract_count, 1.0::DOUBLE AS abstract_coverage, count(*) AS url_count, 1.0::DOUBLE AS url_coverage,
-    count(*) FILTER (lang = 'en') AS pdf_url_count, round(count(*) FILTER (lang = 'en') / count(*), 6) AS pdf_url_coverage FROM documents GROUP BY source"""
+def _gappy(spark, sf):
+    """papers of which some lack a title, authors or a link."""
+    papers, key = _papers(spark, sf), F.col("doc_id")
+    return papers.withColumns(
+        {
+            "title": F.when(key % 10 != 0, F.col("title")),
+            "authors": F.when(key % 7 != 0, F.col("authors")).otherwise(F.array().cast("array<string>")),
+            "url": F.when(key % 4 == 0, F.lit(" ")).otherwise(F.col("url")),
+            "categories": F.when(key % 9 != 0, F.col("categories")),
+        }
+    )
+
+
+SOME = {"title": "doc_id % 10 <> 0 AND trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g')) <> ''", "authors": "doc_id % 7 <> 0", "abstract": "trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''", "url": "doc_id % 4 <> 0", "pdf_url": "lang = 'en'"}
+COVERAGE = "SELECT source AS venue, count(*) AS record_count, " + ", ".join(f"count(*) FILTER ({c}) AS {f}_count, round(count(*) FILTER ({c}) / count(*), 6) AS {f}_coverage" for f, c in SOME.items()) + " FROM documents GROUP BY source"
 
 
 @query(COVERAGE)
 def field_coverage(spark, sf):
-    return audit.field_coverage(_papers(spark, sf), ["venue"])
+    return audit.field_coverage(_gappy(spark, sf), ["venue"])
 
 
-@query(f"WITH c AS ({COVERAGE}) SELECT venue, record_count, 'pdf_url' AS field, pdf_url_count AS present_count, pdf_url_coverage AS coverage, record_count - pdf_url_count AS missing_count, 'pdf_url_incomplete' AS kind FROM c WHERE pdf_url_count < record_count")
+@query(
+    f"WITH c AS ({COVERAGE}) "
+    + " UNION ALL ".join(f"SELECT venue, record_count, '{f}' AS field, {f}_count AS present_count, {f}_coverage AS coverage, record_count - {f}_count AS missing_count, '{f}_incomplete' AS kind FROM c WHERE {f}_count < record_count" for f in ("authors", "abstract", "pdf_url"))
+)
 def coverage_notices(spark, sf):
-    return audit.coverage_notices(audit.field_coverage(_papers(spark, sf), ["venue"]), ["venue"])
+    return audit.coverage_notices(audit.field_coverage(_gappy(spark, sf), ["venue"]), ["venue"])
 
 
 @query(
-    f"""WITH {PAPERS}, a AS (SELECT venue, count(*) AS n, count(DISTINCT identity) AS u, count(*) FILTER ({REAL}) AS r FROM p GROUP BY venue)
-    SELECT venue, n AS record_count, u AS unique_identity_count, n - u AS duplicate_count, 1.0::DOUBLE AS title_coverage, 1.0::DOUBLE AS author_coverage, 1.0::DOUBLE AS link_coverage,
-    round(r / n, 6) AS abstract_coverage, n - r AS invalid_abstract_count, 1.0::DOUBLE AS category_coverage, (u = n AND r = n) AS metadata_completeness_ok FROM a"""
+    f"""WITH {PAPERS}, a AS (SELECT venue, count(*) AS n, count(DISTINCT identity) AS u, count(*) FILTER ({REAL}) AS r, count(*) FILTER ({SOME['title'].replace('text', 'raw_text')}) AS t, count(*) FILTER (doc_id % 7 <> 0) AS w,
+        count(*) FILTER (doc_id % 4 <> 0 OR lang = 'en') AS l, count(*) FILTER (doc_id % 9 <> 0) AS c FROM p JOIN (SELECT doc_id, text AS raw_text FROM documents) USING (doc_id) GROUP BY venue)
+    SELECT venue, n AS record_count, u AS unique_identity_count, n - u AS duplicate_count, round(t / n, 6) AS title_coverage, round(w / n, 6) AS author_coverage, round(l / n, 6) AS link_coverage,
+    round(r / n, 6) AS abstract_coverage, n - r AS invalid_abstract_count, round(c / n, 6) AS category_coverage, (u = n AND r = n AND t = n AND c = n AND w >= 0.95 * n AND l >= 0.95 * n) AS metadata_completeness_ok FROM a"""
 )
 def catalog_audit(spark, sf):
-    return audit.venue_audit(_papers(spark, sf), ["venue"], require_categories=True)
+    return audit.venue_audit(_gappy(spark, sf), ["venue"], require_categories=True)
 
 
 @query(f"WITH {PAPERS} SELECT doc_id, {REAL} AS is_real FROM p")
@@ -214,9 +234,7 @@ GRAMS = "SELECT {id}, array_to_string(w[i : i + 9], ' ') AS g FROM (SELECT {id},
 @query(f"WITH d AS ({GRAMS.format(id='doc_id', t='documents')}), b AS ({GRAMS.format(id='item_id', t='benchmark')}) SELECT DISTINCT doc_id, item_id FROM d JOIN b USING (g)")
 def shared_10gram_contamination(spark, sf):
     """Documents that share a run of ten English words with a benchmark item."""
-    grams = lambda rows, key: rows.select(key, F.explode(T.shingles(T.english_words(F.col("text")), 10)).alias("g")).select(key, F.xxhash64("g").alias("h"), "g")
-    items = grams(table(spark, sf, "benchmark"), "item_id")
-    return grams(table(spark, sf, "documents"), "doc_id").join(items, ["h", "g"]).select("doc_id", "item_id").distinct()
+    return overlap.shared_runs(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"), "doc_id", "item_id")
 
 
 AS_OF = "2024-01-20"
@@ -362,20 +380,14 @@ def page_details(spark, sf):
     return pages.details(table(spark, sf, "pages").select("url", "html"))
 
 
-@query("SELECT doc_id, length(text) >= 8000 AS ok FROM documents")
-def body_sections_ok(spark, sf):
-    """Long texts pass; these hold no section headings, so shorter ones don't."""
-    return table(spark, sf, "documents").select("doc_id", T.body_ok(F.col("text")).alias("ok"))
-
-
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE contains(lower('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}'), 'an')")
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE contains(lower('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}'), 'tion_1')")
 def catalog_search(spark, sf):
-    return files.search_catalog(table(spark, sf, "nation"), "AN")
+    return files.search_catalog(table(spark, sf, "nation"), "TION_1")
 
 
 @query("SELECT doc_id, sha256(array_to_string(list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> ''), ' ')) AS text_sha256 FROM documents")
@@ -387,13 +399,6 @@ def inverted_index_roundtrip(spark, sf):
     return index.select("doc_id", F.sha2(T.from_inverted_index(F.col("index")), 256).alias("text_sha256"))
 
 
-@query("SELECT conv_id, turn, text AS body FROM conversations")
-def section_extract(spark, sf):
-    """A section between headings."""
-    page = F.concat(F.lit("# T\n## 摘要\nx\n## 方法\n"), F.col("text"), F.lit("\n## 实验结果\ny\n"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.section(page, "方法").alias("body"))
-
-
 @query(
     """WITH c AS (SELECT doc_id AS identity, CAST(quality * 6 + doc_id % 4 AS DOUBLE) AS m, CAST(10 - toxic * 5 - doc_id % 3 AS DOUBLE) AS t FROM labels)
     SELECT identity, m + t AS final_score, row_number() OVER (ORDER BY m + t DESC, identity) AS rank FROM c JOIN documents ON doc_id = identity QUALIFY rank <= 20"""
@@ -430,7 +435,7 @@ def run_state_fold(spark, sf):
 @query("SELECT source, lang FROM (SELECT DISTINCT source, lang FROM documents INTERSECT SELECT DISTINCT source, lang FROM documents JOIN labels USING (doc_id) WHERE quality = 0)")
 def set_intersect(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    return docs.select("source", "lang").intersect(docs.join(labels.where("quality = 0"), "doc_id").select("source", "lang"))
+    return audit.shared(docs, docs.join(labels.where("quality = 0"), "doc_id"), ["source", "lang"])
 
 
 @query("SELECT o_orderkey, o_orderpriority || '|' || o_orderstatus || '|Zed' AS authors FROM orders")
@@ -466,10 +471,17 @@ def script_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.cjk_count(F.col("text")).cast("bigint").alias("cjk"), F.size(T.english_words(F.col("text"))).cast("bigint").alias("english"))
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_left, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS only_right, false AS equal")
+@query(
+    """WITH a AS (SELECT DISTINCT doc_id % 10 AS part, doc_id FROM documents WHERE doc_id % 10 <> 3), b AS (SELECT DISTINCT doc_id % 10 AS part, doc_id FROM labels UNION SELECT doc_id % 10, doc_id FROM documents WHERE doc_id % 10 < 5),
+    p AS (SELECT unnest([0, 3, 7]) AS part), n AS (SELECT part, (SELECT count(*) FROM a WHERE a.part = p.part AND a.doc_id NOT IN (SELECT doc_id FROM b)) AS l, (SELECT count(*) FROM b WHERE b.part = p.part AND b.doc_id NOT IN (SELECT doc_id FROM a)) AS r FROM p)
+    SELECT part, l AS only_left, r AS only_right, l = 0 AND r = 0 AS equal FROM n"""
+)
 def set_equality(spark, sf):
-    """Whether documents and labels hold the same ids."""
-    return audit.same_ids(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+    """Whether two tables hold the same ids: in tenths that are equal, that the right has alone, and that differ."""
+    docs, labels = table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id")
+    left, right = docs.where("doc_id % 10 <> 3"), labels.unionByName(docs.where("doc_id % 10 < 5"))
+    each = [audit.same_ids(left.where(f"doc_id % 10 = {p}"), right.where(f"doc_id % 10 = {p}"), "doc_id").withColumn("part", F.lit(p)) for p in (0, 3, 7)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query(
