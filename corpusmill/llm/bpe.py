@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import MARK, RARE_SPACE, Memo, own, plain_word, short_and
+from corpusmill.llm.common import MARK, RARE_SPACE, Memo, array_udf, own, plain_word, release, short_and
 
 #: Bytes merged at a time beyond the lookahead.
 BLOCK_BYTES = 512
@@ -423,23 +423,22 @@ def _encoder(path: str) -> Encoder:
     own("bpe", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+        release(True)  # the files that it was read from
     return _ENCODERS[path]
 
 
 def encoded(text: Column, path: str) -> Column:
     """ids of each text as bytes (little-endian unsigned 32-bit); of null, as of an empty text."""
 
-    @F.arrow_udf("binary")
     def run(texts: pa.Array) -> pa.Array:
         return _encoder(path).encode_array(texts)
 
-    return run(text.cast("string"))
+    return array_udf(run, "binary")(text.cast("string"))
 
 
 def decoded(ids: Column, path: str) -> Column:
     """The text of each ids column that `encoded` made."""
 
-    @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
         decoder, out = Decoder(_encoder(path).vocabulary), []
         for raw in column.to_pylist():
@@ -448,7 +447,7 @@ def decoded(ids: Column, path: str) -> Column:
             out.append("".join([*text, decoder.finish()]))
         return pa.array(out, pa.string())
 
-    return run(ids)
+    return array_udf(run, "string")(ids)
 
 
 def encode_texts(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import map_batches
+
 #: States of the machine: the last role seen, "" before the first turn. A missing entry is an invalid turn.
 ORDER: dict[str, frozenset[str]] = {
     "": frozenset({"system", "user"}),
@@ -150,7 +152,7 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
     """One row a turn, in (conv_id, turn) order within tasks: its segments with loss flags, whether the machine allowed it, and whether it is its conversation's first or last."""
     rows = turns.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col("role").cast("string"), F.col("text").cast("string"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(_format(template), _OUT)
+    return map_batches(ordered, _format(template), _OUT)
 
 
 _READ = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_invalid bigint"
@@ -189,4 +191,4 @@ def _read_back(template: Template | None):
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
     """Per conversation, from the formatted segments alone: turns and loss text parsed back, as counts and digests."""
-    return formatted.mapInArrow(_read_back(template), _READ)
+    return map_batches(formatted, _read_back(template), _READ)

@@ -6,7 +6,9 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join is broadcast; its count is always checked first.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side of a join is broadcast; both are always checked first.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Bytes that a value of a type is taken for, and of any other type.
+_BYTES, _OTHER_BYTES = {"bigint": 8, "int": 4, "double": 8, "boolean": 1, "string": 64, "binary": 64}, 256
 
 
 #: Rows, and bytes where Spark knows that setting, of a batch between the JVM and Python: documents can be long.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -27,7 +31,8 @@ def small_batches(spark: SparkSession) -> None:
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
-    if spark.conf.get(size, None) is not None:
+    now = spark.conf.get(size, None)
+    if now is not None and not 0 < int(now) <= BATCH_BYTES:
         spark.conf.set(size, str(BATCH_BYTES))
 
 
@@ -57,12 +62,13 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
 
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """left join right; right is broadcast only if it has at most `limit` rows, else both sides are shuffled.
+    """left join right; right is broadcast only if it has at most `limit` rows and BROADCAST_BYTES, else both sides are shuffled.
 
     right should be a stored table of narrow rows, so that counting it is cheap.
     """
     rows = right.count() if rows is None else rows
-    return left.join(F.broadcast(right) if rows <= limit else right.hint("merge"), on, how)
+    small = rows <= limit and rows * sum(_BYTES.get(t, _OTHER_BYTES) for _, t in right.dtypes) <= BROADCAST_BYTES
+    return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
 
 
 def packed(df: DataFrame, columns: list[str] | None = None) -> Column:
@@ -161,21 +167,56 @@ def short_and(texts: pa.Array, odd: str, chars: int) -> np.ndarray:
 
 _OWNER: list[str] = [""]
 _RELEASE: dict = {}
+#: Seconds between two returns of a worker's free memory to its system, and the last one's time.
+RELEASE_S, _LAST = 0.25, [0.0]
 
 
-def own(owner: str, release=None) -> None:
-    """Says which operator a Python worker now works for; what others remember in it is let go.
+def release(always: bool = False) -> None:
+    """Gives free memory back: workers live on between tasks, and their memory counts as their executor's."""
+    now = time.monotonic()
+    if not always and now - _LAST[0] < RELEASE_S:
+        return
+    _LAST[0] = now
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
-    Workers live on between stages, and their memory counts as their executor's.
-    """
-    if release is not None:
-        _RELEASE[owner] = release
+
+def own(owner: str, let_go=None) -> None:
+    """Says which operator a Python worker now works for; what others remember in it is let go."""
+    if let_go is not None:
+        _RELEASE[owner] = let_go
     if _OWNER[0] == owner:
         return
     _OWNER[0] = owner
-    for other, let_go in _RELEASE.items():
+    for other, forget in _RELEASE.items():
         if other != owner:
-            let_go()
+            forget()
     gc.collect()
-    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
-        ctypes.CDLL(None).malloc_trim(0)
+    release(True)
+
+
+def array_udf(f, kind: str):
+    """f, on Arrow arrays, as a column function; its worker gives memory back between batches."""
+
+    @wraps(f)
+    def run(*columns):
+        out = f(*columns)
+        release()
+        return out
+
+    return F.arrow_udf(run, kind)
+
+
+def map_batches(rows: DataFrame, f, schema: str) -> DataFrame:
+    """f, on an iterator of Arrow batches, over every partition; its worker gives memory back between batches and at the end."""
+
+    def run(batches):
+        try:
+            for out in f(batches):
+                yield out
+                release()
+        finally:
+            release(True)
+
+    return rows.mapInArrow(run, schema)

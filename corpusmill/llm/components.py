@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every step is a grouped minimum (combined before its shuffle) and a join back; edges are stored between
-rounds. Labels are the smallest node id of a component. Nothing is collected but two sums a round.
+rounds. Labels are the smallest node id of a component. Nothing is collected but two sums a round. A node with
+very many edges is a skewed key of the join back, whose other side has one row a node: adaptive execution splits it.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Exact deduplication with counting quotient filters.
 
 Every text is normalised (each run of ASCII white space becomes one space) and given a 64-bit
-fingerprint. Its high bits, the quotient, name a slot; its low bits, the remainder, are stored in that
+fingerprint (xxhash, by Spark). Its high bits, the quotient, name a slot; its low bits, the remainder, are stored in that
 slot or, where it is taken, further on: remainders of one quotient form a sorted run, runs stand in the
 order of their quotients, and three bits a slot (occupied, continuation, shifted) tell whose a remainder
 is. A count above one takes further slots of the run for its digits, told by a fourth bit.
@@ -19,19 +19,16 @@ but for those named like a result (_keep_id, _group_size, _kept, _text_sha256),
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import join_checked, own, packed, stored, unpacked
+from corpusmill.llm.common import join_checked, map_batches, own, packed, stored, unpacked
 
-SPACES = b" \t\n\x0b\x0c\r"
 #: Bits of the quotient, so that a remainder takes six bytes.
 QUOTIENT_BITS = 16
 REMAINDER_BYTES = 6
@@ -43,15 +40,9 @@ FILTER_CAPACITY = 1_000_000
 COMBINE_BYTES = 8_000_000
 
 
-def normalise(raw: bytes) -> bytes:
-    """Each run of ASCII white space as one space; nothing is trimmed."""
-    words = raw.split()
-    if not words:
-        return b" " if raw else b""
-    out = b" ".join(words)
-    if raw[0] in SPACES:
-        out = b" " + out
-    return out + b" " if raw[-1] in SPACES else out
+def normalised(text: Column) -> Column:
+    """Each run of ASCII white space as one space; nothing is trimmed. Single spaces are left where they are."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
 
 
 @dataclass
@@ -162,17 +153,6 @@ def _added(prints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return prints[starts], np.add.reduceat(counts, starts)
 
 
-def _fingerprint(text: pa.Array) -> pa.Array:
-    own("exact dedup")
-    prints, digests = [], []
-    for value in text.cast(pa.large_binary()).to_pylist():
-        norm = normalise(value or b"")
-        prints.append(xxhash.xxh3_64_intdigest(norm))
-        digests.append(hashlib.sha256(norm).hexdigest())
-    fp = pa.array(np.array(prints, np.uint64).view(np.int64))
-    return pa.StructArray.from_arrays([fp, pa.array(digests, pa.string())], ["fp", "sha"])
-
-
 _BLOCKS = "block int, occupied binary, continuation binary, counter binary, remainders binary"
 
 
@@ -244,8 +224,8 @@ def _merge(block_bits: int):
 def repeated_fingerprints(prints: DataFrame, rows: int) -> DataFrame:
     """fp, n of every fingerprint that occurs more than once in the single bigint column of `prints` (of `rows` rows)."""
     bits = min(QUOTIENT_BITS, max(BLOCK_BITS, (rows // BLOCK_PRINTS).bit_length()))
-    blocks = prints.mapInArrow(_build(bits), _BLOCKS)
-    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_merge(bits), "fp bigint, n bigint")
+    blocks = map_batches(prints, _build(bits), _BLOCKS)
+    return map_batches(blocks.repartition("block").sortWithinPartitions("block"), _merge(bits), "fp bigint, n bigint")
 
 
 _CLASSES = "fp bigint, sha string, norm binary, keep_id bigint, group_size bigint, n_keep bigint"
@@ -272,9 +252,9 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own("exact dedup")
     groups, held = {}, 0
     for batch in batches:
-        ids, texts, prints, digests = (batch.column(i) for i in range(4))
-        for doc_id, raw, fp, sha in zip(ids.to_pylist(), texts.cast(pa.large_binary()).to_pylist(), prints.to_pylist(), digests.to_pylist()):
-            key = (fp, sha, normalise(raw or b""))
+        ids, texts, prints, digests = batch.columns
+        for doc_id, norm, fp, sha in zip(ids.to_pylist(), texts.cast(pa.large_binary()).to_pylist(), prints.to_pylist(), digests.to_pylist()):
+            key = (fp, sha, norm)
             if key not in groups:
                 held += len(key[2]) + 200
                 groups[key] = ((doc_id, 1), 1)
@@ -311,23 +291,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """Every row of docs (its `columns`, all by default) with _keep_id, _group_size, _kept and _text_sha256."""
     names = list(docs.columns if columns is None else columns)
-    text = F.col(f"`{text_col}`").cast("string")
-    marked = docs.select(packed(docs, names).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), text.alias("text"), F.arrow_udf(_fingerprint, "struct<fp:bigint,sha:string>")(text).alias("print"))
-    repeated = stored(repeated_fingerprints(marked.select(F.col("print.fp").alias("fp")), docs.count()), "repeated")
-    routed = join_checked(marked.select("id", "text", F.col("print.fp").alias("fp"), F.col("print.sha").alias("sha")), repeated.select("fp"), "fp", "left_semi")
-    partial = routed.select("id", "text", "fp", "sha").mapInArrow(_combine, _CLASSES)
-    classes = stored(partial.repartition("fp").sortWithinPartitions("fp", "sha", "norm").mapInArrow(_verify, _CLASSES).drop("norm").where("group_size > 1"), "classes")
+    marked = docs.select(packed(docs, names).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), normalised(F.col(f"`{text_col}`").cast("string")).alias("norm"))
+    marked = marked.select("row", "id", "norm", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("sha"))
+    repeated = stored(repeated_fingerprints(marked.select("fp"), docs.count()), "repeated")
+    routed = join_checked(marked.select("id", "norm", "fp", "sha"), repeated.select("fp"), "fp", "left_semi")
+    partial = map_batches(routed.select("id", "norm", "fp", "sha"), _combine, _CLASSES)
+    classes = stored(map_batches(partial.repartition("fp").sortWithinPartitions("fp", "sha", "norm"), _verify, _CLASSES).drop("norm").where("group_size > 1"), "classes")
     classes = classes.select(F.col("fp").alias("c_fp"), F.col("sha").alias("c_sha"), F.col("keep_id").alias("c_keep"), F.col("group_size").alias("c_size"), F.col("n_keep").alias("c_n"))
 
-    on = (F.col("print.fp") == F.col("c_fp")) & (F.col("print.sha") == F.col("c_sha"))
-    out = join_checked(marked.select("row", "id", "print"), classes, on, "left")
+    on = (F.col("fp") == F.col("c_fp")) & (F.col("sha") == F.col("c_sha"))
+    out = join_checked(marked.select("row", "id", "fp", "sha"), classes, on, "left")
     alone = F.col("c_size").isNull()
     out = out.select(
         "row",
         F.when(alone, F.col("id")).otherwise(F.col("c_keep")).alias("keep_id"),
         F.coalesce("c_size", F.lit(1).cast("bigint")).alias("size"),
         (alone | F.col("id").eqNullSafe(F.col("c_keep"))).alias("kept"),
-        F.col("print.sha").alias("sha"),
+        "sha",
         (F.coalesce("c_n", F.lit(0)) > 1).alias("tied"),
     )
     if classes.where("c_n > 1").limit(1).count():

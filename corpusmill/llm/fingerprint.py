@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import join_checked, stored, text_or_empty
 
-#: Documents in a range of ids that is sorted as one group, and most ranges (ids of their borders reach the driver).
+#: Documents in a range of ids that is sorted as one group, and most ranges (their borders, eight bytes each, reach the
+#: driver); beyond MOST_RANGES x RANGE_ROWS documents ranges grow, and their sort spills.
 RANGE_ROWS = 4000
-MOST_RANGES = 4096
+MOST_RANGES = 65_536
+#: Borders compared at a time.
+BORDERS = 256
 
 
 def canonical(text: Column) -> Column:
@@ -48,36 +51,31 @@ def with_next(docs: DataFrame, id_col: str = "_id", text_col: str = "_text") ->
     """
     rows = docs.count()
     ranges = max(1, min(MOST_RANGES, rows // RANGE_ROWS))
-    marks = docs.select(F.coalesce(F.col(id_col), F.lit(-(1 << 62))).alias("i"))
-    cuts = sorted({int(x) for x in marks.approxQuantile("i", [k / ranges for k in range(1, ranges)], 0.2 / ranges)}) if ranges > 1 else []
-    at = _range_of(F.coalesce(F.col(id_col), F.lit(-(1 << 62))), cuts)
-    # the smallest id of each range that has rows: at most one a range
-    found = sorted((r["_range"], r["head"]) for r in docs.groupBy(at.alias("_range")).agg(F.min(id_col).alias("head")).collect())
-    before = {r: found[k - 1][0] for k, (r, _) in enumerate(found)}
-    heads = [(r, h, before[r]) for r, h in found]
-    place = F.lit(None).cast("int")
-    if heads:
-        host = F.create_map(*[F.lit(v) for r, _, b in heads for v in (r, b)])
-        head = F.create_map(*[F.lit(v) for r, h, _ in heads if h is not None for v in (r, h)]) if any(h is not None for _, h, _ in heads) else None
-        is_head = F.col(id_col).isNull() if head is None else F.coalesce(F.col(id_col) == F.element_at(head, F.col("_range")), F.col(id_col).isNull())
-        place = F.when(is_head, F.element_at(host, F.col("_range")))
-    spread = docs.withColumn("_range", at).withColumn("_place", F.explode(F.array_compact(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("guest")), F.when(place.isNotNull(), F.struct(place.alias("r"), F.lit(1).alias("guest")))))))
-    spread = spread.withColumn("_guest", F.col("_place.guest")).withColumn("_range", F.col("_place.r")).drop("_place")
+    place = F.coalesce(F.col(id_col), F.lit(-(1 << 62)))
+    cuts = sorted({int(x) for x in docs.select(place.alias("i")).approxQuantile("i", [k / ranges for k in range(1, ranges)], 0.2 / ranges)}) if ranges > 1 else []
+    marked = _ranged(docs, place, cuts)
+    # the smallest id of each range that has rows, and the range before it; before the first comes the last
+    heads = stored(marked.groupBy("_range").agg(F.min(id_col).alias("_head")), "heads")
+    n_heads, last = heads.agg(F.count(F.lit(1)), F.max("_range")).first()
+    ring = heads.withColumn("_before", F.coalesce(F.lag("_range").over(Window.orderBy("_range")), F.lit(last)))  # at most MOST_RANGES rows
+    marked = join_checked(marked, ring, "_range", "left", n_heads)
+    is_head = F.coalesce(F.col(id_col) == F.col("_head"), F.col(id_col).isNull())
+    place = F.array_compact(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("guest")), F.when(is_head, F.struct(F.col("_before").alias("r"), F.lit(1).alias("guest")))))
+    spread = marked.withColumn("_place", F.explode(place)).withColumn("_guest", F.col("_place.guest")).withColumn("_range", F.col("_place.r")).drop("_place", "_head", "_before")
     order = Window.partitionBy("_range").orderBy("_guest", F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
     return spread.withColumn("_next", F.lead(text_col).over(order)).withColumn("_next_id", F.lead(id_col).over(order)).where("_guest = 0").drop("_guest", "_range")
 
 
-def _range_of(value: Column, cuts: list[int]) -> Column:
-    """How many of the sorted cuts are at or below value, found in two steps."""
-    if not cuts:
-        return F.lit(0)
-    step = max(1, int(len(cuts) ** 0.5))
-    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+def _ranged(docs: DataFrame, value: Column, cuts: list[int]) -> DataFrame:
+    """docs with _range: how many of the sorted cuts are at or below value. Many cuts are compared in two steps, joined by block."""
     below = lambda array, v: F.size(F.filter(array, lambda x: x <= v))
-    firsts = F.lit([b[0] for b in blocks])
-    block = below(firsts, value)
-    fine = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.greatest(block, F.lit(1)))
-    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + below(fine, value))
+    if len(cuts) <= BORDERS:
+        return docs.withColumn("_range", below(F.lit(cuts), value) if cuts else F.lit(0))
+    step = -(-len(cuts) // BORDERS)
+    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    fine = docs.sparkSession.createDataFrame(list(enumerate(blocks, 1)), "_block int, _fine array<bigint>")
+    out = docs.withColumn("_block", below(F.lit([b[0] for b in blocks]), value)).join(F.broadcast(fine), "_block", "left")  # MOST_RANGES borders
+    return out.withColumn("_range", F.when(F.col("_block") == 0, F.lit(0)).otherwise((F.col("_block") - 1) * step + below(F.col("_fine"), value))).drop("_block", "_fine")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import join_checked, packed, stored, unpacked
+from corpusmill.llm.common import array_udf, join_checked, map_batches, own, packed, stored, unpacked
 
 #: A valid class has this many tokens and stands on this share of the host's pages, and this many of them.
 CLASS_TOKENS = 2
@@ -314,7 +314,7 @@ def templates(pages: DataFrame) -> DataFrame:
     pages: host, html. A token that stands on at least half of a host's pages is one of a bounded number:
     at most twice as many as a page has on average, so a template is never larger than pages are.
     """
-    rows = pages.mapInArrow(_emit, _TOKENS).distinct()  # copies of a page give equal rows and count once
+    rows = map_batches(pages, _emit, _TOKENS).distinct()  # copies of a page give equal rows and count once
     tokens = rows.groupBy("host", "kind", "token").agg(
         F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count(F.lit(1)).alias("support"), F.avg("place").alias("place"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.first("path").alias("path")
     )
@@ -362,6 +362,7 @@ def host_of(url):
 
 
 def _extract(*columns: pa.Array) -> pa.Array:
+    own("html")
     return pa.array([main_text(*row) for row in zip(*(c.to_pylist() for c in columns))], pa.string())
 
 
@@ -373,5 +374,5 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_
     size = known.agg(F.count(F.lit(1)), F.sum(F.size("texts") + 8 * F.size("gone") + 8 * F.size("kept"))).first()
     rows = size[0] if (size[1] or 0) <= BROADCAST_TOKENS else 1 << 60
     out = join_checked(pages.select(packed(pages).alias("row"), host_of(url).alias("host"), page.alias("page")), known, "host", "left", rows, limit=20_000)
-    out = out.select("row", F.arrow_udf(_extract, "string")("page", "texts", "gone", "kept").alias("text"))
+    out = out.select("row", array_udf(_extract, "string")("page", "texts", "gone", "kept").alias("text"))
     return unpacked(out, "row", pages.columns, **{out_col: F.col("text")})

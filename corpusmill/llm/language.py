@@ -9,7 +9,8 @@ each n-gram and language and scores batches of texts as matrix products.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; labels that are null are not
 learned from; repeated rows are predicted one by one; with no labelled row at all everything is `und`;
-an empty table gives no rows; other columns pass through.
+an empty table gives no rows; other columns pass through; of equally frequent labels and of rows with equal
+hashes the smaller come first.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import crc_remainder, own
+from corpusmill.llm.common import array_udf, crc_remainder, own
 
 GRAMS = (1, 2, 3, 4)
 DOMAIN_BITS = 17
-#: Bounds of the training sample and of the landmarks in it, for each language.
+#: Bounds of the training sample and of the landmarks in it, for each language, and of languages: the most frequent labels.
 SAMPLE_A_LANGUAGE = 250
 LANDMARKS_A_LANGUAGE = 60
+MOST_LANGUAGES = 200
 RIDGE = 0.01
 #: Sharpness of the score: margins times this go through a softmax.
 SHARPNESS = 6.0
@@ -128,19 +130,20 @@ def solve(sample: list[tuple[str, np.ndarray]]) -> Model:
 
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
-    """A model from at most SAMPLE_A_LANGUAGE documents of each label among the rows where `train` holds.
+    """A model from at most SAMPLE_A_LANGUAGE documents of each of the MOST_LANGUAGES most frequent labels, where `train` holds.
 
     The sample is drawn by a hash of the id, at a rate for each label that its count sets; only n-gram ids
-    of whole sampled texts reach the driver, so its share is bounded by the number of labels.
+    of whole sampled texts reach the driver, so its share is bounded by both numbers.
     """
-    rows = docs.where(train & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(label_col).cast("string").alias("_label"))
-    counts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
+    rows = docs.where(train & F.col(label_col).isNotNull()).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), F.col(f"`{label_col}`").cast("string").alias("_label"))
+    most = rows.groupBy("_label").count().orderBy(F.col("count").desc(), "_label").limit(MOST_LANGUAGES)
+    counts = {r["_label"]: r["count"] for r in most.collect()}
     if not counts:
         return solve([])
     order = F.pmod(F.xxhash64("_id", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rates = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.5 * SAMPLE_A_LANGUAGE / n))])
-    drawn = rows.withColumn("_order", order).where(F.col("_order") < F.element_at(rates, F.col("_label")))
-    found = drawn.select("_label", "_order", F.arrow_udf(_gram_bytes, "binary")("_text").alias("_grams")).collect()
+    drawn = rows.withColumn("_order", order).where(F.col("_order") < F.try_element_at(rates, F.col("_label")))
+    found = drawn.select("_label", "_order", array_udf(_gram_bytes, "binary")("_text").alias("_grams")).collect()
     sample: list[tuple[str, np.ndarray]] = []
     for label in counts:
         own = sorted((r["_order"], bytes(r["_grams"])) for r in found if r["_label"] == label and r["_grams"])
@@ -176,7 +179,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
         return pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
     kind = "struct<lang:string,score:double,margin:double,known:double>" if evidence else "struct<lang:string,score:double>"
-    return docs.withColumn(out_col, F.arrow_udf(run, kind)(F.col(text_col).cast("string")))
+    return docs.withColumn(out_col, array_udf(run, kind)(F.col(text_col).cast("string")))
 
 
 def held_out(doc_id: Column) -> Column:

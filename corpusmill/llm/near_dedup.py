@@ -43,7 +43,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import join_checked, own, stored
+from corpusmill.llm.common import array_udf, join_checked, map_batches, own, stored
 from corpusmill.llm.components import components
 
 #: Sets up to this size are one band whose parts hold single shingles; above, bands grow by RATIO.
@@ -487,19 +487,19 @@ def verified(docs: DataFrame, about: DataFrame, pairs: DataFrame, join: Join) ->
     sizes = those(about.where("n > 0"), pairs, pairs.count()).dropDuplicates(["id", "digest"])
     side = lambda c, n, x: sizes.select(F.col("id").alias(c), F.col("n").alias(n), F.col("sketch").alias(x))
     both = pairs.join(side("a", "m", "p"), "a").join(side("b", "n", "q"), "b")
-    pairs = stored(both.where(F.arrow_udf(_likely(join), "boolean")("m", "n", "p", "q")).select("a", "b").distinct(), "likely")
+    pairs = stored(both.where(array_udf(_likely(join), "boolean")("m", "n", "p", "q")).select("a", "b").distinct(), "likely")
     rows = those(docs, pairs, pairs.count()).select("id", "text", F.sha2("text", 256).alias("sha")).dropDuplicates(["id", "sha"])
-    sets = stored(rows.select("id", F.arrow_udf(_set_bytes(join.words), "binary")("text").alias("found")), "sets")
+    sets = stored(rows.select("id", array_udf(_set_bytes(join.words), "binary")("text").alias("found")), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("found").alias("y")), "b")
-    return both.where(F.arrow_udf(_verify(join), "boolean")("x", "y")).select("a", "b").distinct()
+    return both.where(array_udf(_verify(join), "boolean")("x", "y")).select("a", "b").distinct()
 
 
 def _signed(docs: DataFrame, words: int, num: int, den: int, risk: float) -> tuple[DataFrame, Join]:
     """sig, id, pivot of every signature that more than one distinct set has, and the join that made them."""
     for seed in range(SEEDS):
         join = Join(words, num, den, seed, risk)
-        rows = docs.where("id IS NOT NULL").mapInArrow(_emit(join), _SIGNED)
-        shared = rows.repartition("sig", "deal").sortWithinPartitions("sig", "deal", "id").mapInArrow(_shared, "sig bigint, id bigint, pivot bigint")
+        rows = map_batches(docs.where("id IS NOT NULL"), _emit(join), _SIGNED)
+        shared = map_batches(rows.repartition("sig", "deal").sortWithinPartitions("sig", "deal", "id"), _shared, "sig bigint, id bigint, pivot bigint")
         try:
             return stored(shared, "shared"), join
         except PythonException as e:  # all signatures are of one seed, so all sets try the next
@@ -508,29 +508,30 @@ def _signed(docs: DataFrame, words: int, num: int, den: int, risk: float) -> tup
     raise AssertionError("unreachable")
 
 
-def _open_pairs(about: DataFrame, members: DataFrame, found: DataFrame, join: Join, whole: bool) -> DataFrame | None:
-    """Pairs (a, b) of ids that may link, from buckets (members: sig, id) that hold more than one component; None if none does."""
+def _open_members(members: DataFrame, found: DataFrame) -> DataFrame | None:
+    """sig, id, label, blocks of the buckets (members: sig, id) that hold more than one component; None if none does."""
     named = found.select(F.col("node").alias("id"), "label")
-    tagged = join_checked(members, named, "id", "left", found.count())
-    tagged = stored(tagged.select("sig", "id", F.coalesce("label", "id").alias("label")), "tagged")
+    tagged = join_checked(members, named, "id", "left", found.count()).select("sig", "id", F.coalesce("label", "id").alias("label"))
     apart = tagged.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("k")).where("low <> high")
     apart = stored(apart.select("sig", F.ceil(F.col("k") / SPLIT).cast("int").alias("blocks")), "apart")
     n_apart = apart.count()
-    if not n_apart:
-        return None
-    open_ = join_checked(tagged, apart, "sig", "inner", n_apart).distinct()
-    sizes = about.where("n > 0").join(open_.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id", "digest"]).select("id", "n", "sketch")
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").cast("bigint").alias("side"), "id", "label")
-    open_ = open_.join(sizes, "id").select("sig", "i", "j", "side", "id", "label", "n", "sketch")
-    return open_.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_across(join, whole), "a bigint, b bigint").distinct()
+    return stored(join_checked(tagged, apart, "sig", "inner", n_apart).distinct(), "open") if n_apart else None
+
+
+def _open_pairs(about: DataFrame, members: DataFrame, join: Join, whole: bool) -> DataFrame:
+    """Pairs (a, b) of ids that may link, from different components of an open bucket."""
+    sizes = about.where("n > 0").join(members.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id", "digest"]).select("id", "n", "sketch")
+    rows = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").cast("bigint").alias("side"), "id", "label")
+    rows = rows.join(sizes, "id").select("sig", "i", "j", "side", "id", "label", "n", "sketch")
+    return map_batches(rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j"), _across(join, whole), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", risk: float = RISK) -> DataFrame:
     """id, n_shingles, class_id (smallest id with the same set), component_id of every document."""
     docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    about = docs.select("id", F.arrow_udf(_describe(words), "struct<n:bigint,digest:binary,sketch:binary>")("text").alias("s"))
+    about = docs.select("id", array_udf(_describe(words), "struct<n:bigint,digest:binary,sketch:binary>")("text").alias("s"))
     about = stored(about.select("id", "s.n", "s.digest", "s.sketch"), "sets-about")
     real = about.where("n > 0 AND id IS NOT NULL").select("id", "digest")
     # ids whose set a smaller id also has; an id with several texts is tied to all of its classes by links below
@@ -557,10 +558,11 @@ def near_duplicates(docs: DataFrame, words: int, num: int, den: int, id_col: str
     members, tested = represented(shared.select("sig", "id"), "id"), star
     # between components that the stars left apart: a spanning forest of each bucket, then every pair that can still link
     for whole in (False, True):
-        more = _open_pairs(about, members, found, join, whole)
-        if more is None:
+        open_ = _open_members(members, found)
+        if open_ is None:
             break
-        more = stored(more.join(tested, ["a", "b"], "left_anti"), "more")
+        members = open_.select("sig", "id")  # a bucket of one component stays one
+        more = stored(_open_pairs(about, open_, join, whole).join(tested, ["a", "b"], "left_anti"), "more")
         if more.limit(1).count():
             links = stored(links.unionByName(verified(docs, about, more, join)), "links")
             tested = tested.unionByName(more)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.bpe import TEXT_CHARS, WindowMerger, byte_alphabet
-from corpusmill.llm.common import MARK, RARE_SPACE, Memo, own, plain_word, short_and, stored
+from corpusmill.llm.common import MARK, RARE_SPACE, Memo, map_batches, own, plain_word, release, short_and, stored
 
 CAPACITY = 4096
 OPEN_BINS = 1024
@@ -37,7 +37,7 @@ END_ID = 1
 #: Remainder pieces that one task of the second round packs.
 PIECES_A_TASK = 100_000
 #: Words whose ids a worker remembers, and the longest of them.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 MEMO_CHARS = 48
 
 
@@ -149,6 +149,7 @@ def word_tokens(path: str) -> WordTokens:
     own("packing", _WORDS.clear)
     if path not in _WORDS:
         _WORDS[path] = WordTokens(path)
+        release(True)  # the files that it was read from
     return _WORDS[path]
 
 
@@ -208,10 +209,10 @@ def _pack_bins(capacity: int, open_bins: int):
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = stored(source.mapInArrow(_pack_texts(tokenizer, capacity, open_bins), _PIECES), "packed")
+    first = stored(map_batches(source, _pack_texts(tokenizer, capacity, open_bins), _PIECES), "packed")
     left = first.where("open")
     tasks = max(1, -(-left.count() // PIECES_A_TASK))
     # neighbouring tasks' remainders share a task, whole bins stay together and arrive in order
     again = left.repartitionByRange(tasks, "bin").sortWithinPartitions("bin", "offset") if tasks > 1 else left.coalesce(1).sortWithinPartitions("bin", "offset")
-    both = first.where("NOT open").unionByName(again.mapInArrow(_pack_bins(capacity, open_bins), _PIECES))
+    both = first.where("NOT open").unionByName(map_batches(again, _pack_bins(capacity, open_bins), _PIECES))
     return both.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")

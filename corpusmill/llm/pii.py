@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import own
+from corpusmill.llm.common import array_udf, own
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
@@ -242,9 +242,9 @@ def joined(spans: Column) -> Column:
 
 def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii_spans") -> DataFrame:
     """docs with out_col: the spans of each whole text; every other column passes through."""
-    return docs.withColumn(out_col, F.arrow_udf(_spans, SPAN_TYPE)(F.col(text_col).cast("string")))
+    return docs.withColumn(out_col, array_udf(_spans, SPAN_TYPE)(F.col(text_col).cast("string")))
 
 
 def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of text_col replaced by its kind; null stays null."""
-    return docs.withColumn(text_col, F.arrow_udf(_redacted, "string")(F.col(text_col).cast("string")))
+    return docs.withColumn(text_col, array_udf(_redacted, "string")(F.col(text_col).cast("string")))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import join_checked, packed, stored, unpacked
+from corpusmill.llm.common import array_udf, join_checked, own, packed, stored, unpacked
 
 #: Most labelled documents that the model is fitted on.
 SAMPLE = 5000
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_label"))
     drawn = stored(ids.orderBy(F.xxhash64("_id", F.lit("quality sample")), "_id").limit(SAMPLE), "quality-sample")
     rows = join_checked(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")), drawn, "_id", "inner", SAMPLE)
-    found = rows.select("_label", F.arrow_udf(_features, "array<double>")("_text").alias("x")).collect()
+    found = rows.select("_label", array_udf(_features, "array<double>")("_text").alias("x")).collect()
     found = sorted((r["_label"], r["x"]) for r in found)  # one order whatever the partitions
     return solve(np.array([x for _, x in found]).reshape(-1, FEATURES), np.array([y for y, _ in found]))
 
@@ -135,12 +135,13 @@ def score(docs: DataFrame, model: Classifier, host: Column, path: Column, text_c
     """docs without their text, with _p (document alone), _site (posterior of its path), _score (combined, 0 to 1) and _keep."""
 
     def run(texts: pa.Array) -> pa.Array:
+        own("quality")
         rows = np.array([features(t) for t in texts.to_pylist()]).reshape(-1, FEATURES)
         return pa.array(model.probabilities(rows), pa.float64())
 
     names = [c for c in docs.columns if c != text_col]
     named = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
-    marked = docs.select(packed(docs, names).alias("row"), named(host).alias("host"), named(path).alias("path"), F.arrow_udf(run, "double")(F.col(f"`{text_col}`").cast("string")).alias("p"))
+    marked = docs.select(packed(docs, names).alias("row"), named(host).alias("host"), named(path).alias("path"), array_udf(run, "double")(F.col(f"`{text_col}`").cast("string")).alias("p"))
     marked = stored(marked, "scored")
     paths = stored(marked.groupBy("host", "path").agg(F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("squares"), F.count(F.lit(1)).cast("double").alias("n")), "paths")
     hosts = stored(paths.groupBy("host").agg(F.sum("s").alias("host_s"), F.sum("n").alias("host_n"), F.sum(F.col("n") * F.col("n")).alias("path_n2")), "hosts")

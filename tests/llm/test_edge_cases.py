@@ -286,6 +286,19 @@ def test_next_document_across_ranges(spark, monkeypatch):
     assert {r._id: r._next for r in fingerprint.with_next(df).collect()} == want
 
 
+@pytest.mark.parametrize("borders", [256, 3])
+def test_next_documents_over_many_ranges(spark, monkeypatch, borders):
+    """The next document by id, whatever the ranges: gaps, one range, many borders in two steps."""
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 7)
+    monkeypatch.setattr(fingerprint, "BORDERS", borders)
+    r = random.Random(9)
+    ids = r.sample(range(-500, 10**6), 150) + [None]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "_id long, _text string").repartition(5)
+    order = sorted(ids, key=lambda i: (i is not None, i or 0))
+    got = {x._id: (x._next_id, x._next) for x in fingerprint.with_next(df).collect()}
+    assert got == {i: (order[(k + 1) % len(order)], f"t{order[(k + 1) % len(order)]}") for k, i in enumerate(order)}
+
+
 def test_pii_of_any_length_and_secrets():
     assert [x[:3] for x in pii.find_spans("1.2.3." + "0" * 5000)] == [("ip", 0, 5006)]
     assert pii.find_spans("1.2.3." + "9" * 5000) == []
