@@ -122,3 +122,25 @@ def test_body(spark, size, sections, want):
 
 def test_between(spark):
     assert one(spark, T.between(F.col("v"), "Abstract", ["\nVideo\n", "\nPoster"]), v="Top Abstract\nwords here\nPoster\nVideo\nmore") == "words here"
+
+
+def test_running_text_of_pages(spark, sf):
+    """The reader's text of every page against one made by patterns: the article's text between tags, line by line."""
+    import html
+    import re
+
+    from corpusmill.plans import registry
+
+    def plain(page):
+        body = re.search(r"<article\b[^>]*>(.*)</article>", page, re.S)[1]
+        body = re.sub(r"<!--.*?-->", "", body, flags=re.S)
+        body = re.sub(r"<(script|style|nav|header|footer|aside)\b.*?</\1>", "", body, flags=re.S)
+        lines = [html.unescape(x) for x in re.split(r"<[^>]+>", body)]
+        return "\n".join(y.strip() for x in lines for y in x.splitlines() if y.strip())
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    found = {r.page_id: r for r in registry.QUERIES["html_main_text"](spark, sf).collect()}
+    assert set(found) == set(pages)
+    for page_id, page in pages.items():
+        assert found[page_id].text == plain(page), page_id
+        assert found[page_id].accepted is False or len(found[page_id].text) >= 4000
