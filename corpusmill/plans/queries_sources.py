@@ -156,11 +156,11 @@ def composed_venue(spark, sf):
     return out.select("title", "abstract", F.col("official_title_observed").alias("official"), "seed_only")
 
 
-@query("SELECT CASE WHEN c_custkey % 2 = 0 THEN 'https://dblp.org/db/conf/kdd/kdd2024-' || c_custkey || '.xml' ELSE 'https://dblp.org/db/conf/kdd/kdd2024b' || c_custkey || '.xml' END AS url FROM customer WHERE c_custkey % 3 <> 0")
+@query("SELECT CASE WHEN c_custkey % 2 = 0 THEN 'https://dblp.org/db/conf/kdd/kdd2024-' || c_custkey || '.xml' ELSE 'https://dblp.org/db/conf/kdd/kdd2024b' || c_custkey || '.xml' END AS url FROM customer")
 def volume_links(spark, sf):
     """Every volume of a year that a venue's index pages link to."""
     html = F.expr("concat('<a href=\"', CASE WHEN c_custkey % 2 = 0 THEN concat('kdd2024-', c_custkey) ELSE concat('/db/conf/kdd/kdd2024b', c_custkey) END, '.html#x\">v</a><a href=\"index.html\">2024</a><a href=\"kdd2023.html\">2023</a>')")
-    index = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.lit("https://dblp.org/db/conf/kdd/index.html").alias("url"), html.alias("html"))
+    index = table(spark, sf, "customer").select(F.lit("https://dblp.org/db/conf/kdd/index.html").alias("url"), html.alias("html"))
     return venues.volume_links(index, "kdd", 2024)
 
 
@@ -274,3 +274,48 @@ def first_sources(spark, sf):
     pool = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
     two = venues.from_first(cust, F.col("k") > 0, pool).agg(F.count(F.lit(1)).alias("n")).select(F.lit(2).alias("source"), "n")
     return one.unionByName(two)
+
+
+@query("SELECT c_name || ' accepted' AS title, 'https://k.org/p/' || c_custkey AS url FROM customer")
+def title_pools(spark, sf):
+    """An official list of accepted titles, each once; a list with too few is none."""
+    html = F.expr("concat('<ul><li><a href=\"/p/', c_custkey, '\">', c_name, ' accepted</a></li><li><a href=\"/p/x\">', upper(c_name), ' Accepted.</a></li><a href=\"/about\">About this list</a></ul>')")
+    index = table(spark, sf, "customer").select(F.lit("https://k.org/list").alias("url"), html.alias("html"))
+    poor = table(spark, sf, "supplier").select(F.lit("https://k.org/other").alias("url"), F.expr("concat('<a href=\"/q/', s_suppkey, '\">', s_name, ' accepted</a>')").alias("html"))
+    every = index.unionByName(poor)
+    return venues.title_pool(every, venues.TitlePool("/p/")).unionByName(venues.title_pool(every, venues.TitlePool("/q/", least=1 << 30)))
+
+
+@query(
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Ada L|Alan T' WHEN 1 THEN 'Grace H' WHEN 2 THEN 'Kurt G|Emmy N' ELSE 'Org A|Org B' END AS authors FROM customer"""
+)
+def page_authors(spark, sf):
+    """Authors of pages: cited, from a creator field, from structured data, or the organizers' line."""
+    html = F.expr(
+        """CASE c_custkey % 4 WHEN 0 THEN '<meta name="citation_author" content="Ada L"><meta name="citation_author" content=" Alan  T"><meta name="author" content="No One">'
+        WHEN 1 THEN '<meta name="dc.creator" content="Grace H;">' WHEN 2 THEN '<script type="application/ld+json">[{"@type": "Article", "author": [{"name": "Kurt G"}, "Emmy  N"]}]</script>'
+        ELSE '<p class="event-organizers">Org A &sdot; Org B</p>' END"""
+    )
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(pages.authors(pages.parsed(html)), "|").alias("authors"))
+
+
+@query("SELECT 'https://aclanthology.org/2024.emnlp-main.' || p_partkey || '/' AS url FROM part UNION ALL SELECT 'https://aclanthology.org/2024.emnlp-findings.' || p_partkey || '/' FROM part WHERE p_partkey % 2 = 0")
+def findings_union(spark, sf):
+    """Main volumes and the findings volume of one conference, each paper once."""
+    document = "concat('<paper id=\"', p_partkey, '\"><title>', p_name, '</title></paper>')"
+    part = table(spark, sf, "part")
+    main = files.anthology_rows(_xml(part, document, files.ANTHOLOGY), "EMNLP", 2024)
+    findings = files.anthology_rows(_xml(part.where("p_partkey % 2 = 0"), document, files.ANTHOLOGY), "EMNLP", 2024, "findings")
+    return main.unionByName(main).unionByName(findings).dropDuplicates(["url"]).select("url")
+
+
+@query("SELECT c_custkey AS k, c_name AS name FROM customer")
+def json_documents(spark, sf):
+    """One document a file; a path that isn't there gives no row."""
+    at = scratch(spark, "documents")
+    rows = table(spark, sf, "customer").select(F.to_json(F.struct(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))).alias("value"))
+    for f in range(4):  # documents, each a list
+        some = rows.where(F.pmod(F.xxhash64("value"), F.lit(4)) == f)
+        some.agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ",\n "), F.lit("]")).alias("value")).write.text(f"{at}/there/{f}")
+    kind = "k bigint, name string"
+    return files.json_document(spark, f"{at}/there/*", kind).unionByName(files.json_document(spark, f"{at}/none", kind))

@@ -219,3 +219,90 @@ def published_texts(spark, sf):
         fulltext.publish(items, at)
     papers = spark.read.parquet(f"{at}/texts").groupBy("digest").agg(F.count(F.lit(1)).alias("papers"))
     return papers.join(spark.read.parquet(f"{at}/aliases").groupBy("digest").agg(F.count(F.lit(1)).alias("aliases")), "digest")
+
+
+@query(
+    """SELECT * FROM (VALUES ('whole', 'ok'), ('limited', 'refused'), ('filtered', 'refused'), ('two_years', 'refused'), ('odd_year', 'refused'), ('no_scope', 'refused'), ('undecided', 'refused'), ('no_days', 'refused'), ('stops_early', 'metadata'),
+    ('goes_on', 'metadata,shortlist,fulltext,reading,recommendation'), ('done', '0'), ('gaps', '2'), ('text_gaps', '0')) AS t(plan, verdict)"""
+)
+def plan_verdicts(spark, sf):
+    """Plans that may run and plans that may not, the stages that they allow, and what lets a step count as done."""
+    import copy
+
+    from corpusmill.plans import plan as P
+
+    whole = {
+        "request_scope": {"user_specified_time": True, "user_specified_channels": True, "as_of_date": "2024-06-01"},
+        "workflow": {"mode": "focused", "rationale": "r", "research_question": "q"},
+        "channel_decisions": [{"channel": "eccv", "decision": "include", "reason": "r"}],
+        "sources": [{"type": "venue", "venue": "ECCV", "years": [2024], "complete_catalog": True}],
+    }
+
+    def changed(path, value):
+        out = copy.deepcopy(whole)
+        at = out
+        for step in path[:-1]:
+            at = at[step]
+        at[path[-1]] = value
+        return out
+
+    source = whole["sources"][0]
+    plans = {
+        "whole": whole, "limited": changed(("sources", 0, "limit"), 5), "filtered": changed(("sources", 0, "tracks"), ["x"]), "two_years": changed(("sources", 0, "years"), [2022, 2024]), "odd_year": changed(("sources", 0, "years"), [2023]),
+        "no_scope": changed(("request_scope",), None), "undecided": changed(("channel_decisions",), [{"channel": "eccv", "decision": "maybe", "reason": "r"}]), "no_days": changed(("sources", 0), {**source, "type": "arxiv"}),
+    }
+    out = []
+    for name, plan in plans.items():
+        try:
+            P.validate(plan)
+            out.append((name, "ok"))
+        except P.PlanError:
+            out.append((name, "refused"))
+    for name, stop in (("stops_early", "metadata"), ("goes_on", "recommendation")):
+        flow = P.validate(changed(("workflow", "stop_after"), stop))["workflow"]
+        out.append((name, ",".join(s for s in P.STAGES if P.stage_allowed(flow, s))))
+    out += [("done", str(P.exit_status("metadata", "complete"))), ("gaps", str(P.exit_status("metadata", "complete_with_gaps"))), ("text_gaps", str(P.exit_status("fulltext", "complete_with_gaps")))]
+    return spark.createDataFrame(out, "plan string, verdict string")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, (p_partkey * 7919) % 1000 / 25.0 AS s FROM part QUALIFY row_number() OVER (ORDER BY s DESC, 'doi:10.1/' || p_partkey) <= 40),
+    r AS (SELECT 'doi:10.1/' || p_partkey AS identity, CAST(p_partkey % 11 AS DOUBLE) AS final_score FROM p WHERE p_partkey % 2 = 0)
+    SELECT identity, final_score, row_number() OVER (ORDER BY final_score DESC, identity) AS rank FROM r QUALIFY rank <= 5"""
+)
+def whole_run(spark, sf):
+    """A run from its plan over audited metadata, scores, full texts and validated reads to its ranking, through every gate."""
+    from corpusmill.operators.fulltext import ATTEMPT
+    from corpusmill.plans.queries_records import READ
+    from corpusmill.plans.run import Run
+
+    plan = {
+        "request_scope": {"user_specified_time": True, "user_specified_channels": True, "as_of_date": "2024-06-01"},
+        "workflow": {"mode": "focused", "rationale": "r", "research_question": "q", "shortlist_target": 40, "final_target": 5},
+        "channel_decisions": [{"channel": "acl", "decision": "include", "reason": "r"}],
+        "sources": [{"type": "venue", "venue": "ACL", "years": [2024], "complete_catalog": True}],
+    }
+    key, doi = F.col("p_partkey").cast("string"), F.expr("concat('10.1/', p_partkey)")
+    title = F.concat(F.lit("A Paper "), key)
+    part = table(spark, sf, "part")
+    papers = part.select(
+        title.alias("title"), F.lit("This is a real abstract with many more than eight words and over fifty characters.").alias("abstract"), F.array(F.lit("A B")).alias("authors"), F.lit("2024-01-01").alias("published"), F.lit("https://x").alias("url"),
+        F.lit(None).cast("string").alias("pdf_url"), F.lit("ACL").alias("venue"), F.create_map(F.lit("doi"), doi).alias("identifiers"),
+    )
+    run = Run(spark, scratch(spark, "run"))
+    run.metadata(plan, [papers])
+    identity = F.concat(F.lit("doi:"), doi).alias("identity")
+    fit = F.expr("(p_partkey * 7919) % 1000 / 25.0").cast("double")
+    parts = F.struct(fit.alias("topic_fit"), F.lit(20.0).alias("transferability_potential"), F.lit(10.0).alias("abstract_specificity"))
+    run.shortlist(part.select(identity, parts.alias("components"), (fit + 30).alias("metadata_score"), F.lit("r").alias("reason"), F.lit("u").alias("uncertainty")))
+    even = F.col("p_partkey") % 2 == 0
+    run.fulltext(part.select(identity, F.lit("ACL").alias("venue"), F.when(even, "ready").otherwise("missing").alias("status"), even.alias("full_text_available"), F.when(even, F.concat(F.lit("/t/"), key)).alias("text_path"), F.create_map().cast(f"map<string,array<{ATTEMPT}>>").alias("attempts")))
+    body = F.concat(F.lit("\n- **来源：** ACL 2024\n- **论文链接：** URL：u；PDF：p\n"), *[x for name, text in READ.items() for x in (F.lit(f"## {name}\n{text} "), key, F.lit("\n"))])
+    run.validate_reads(part.select(identity, F.concat(F.lit("# "), title, body).alias("text"), F.concat(F.lit("/r/"), key).alias("read_path"), F.col("p_partkey").alias("position")))
+    ready = run.table("fulltext").where("full_text_available").select("identity")
+    match = (F.col("p_partkey") % 11).cast("double")
+    card = part.select(
+        identity, match.alias("match_score"), F.lit(0.0).alias("transferability_score"), match.alias("final_score"), F.lit("s").alias("summary"), *[F.array(F.lit("x")).alias(n) for n in ("decisive_evidence", "limitations", "borrowable_elements")],
+        F.lit("high").alias("confidence"), F.concat(F.lit("/t/"), key).alias("full_text_path"), F.concat(F.lit("/r/"), key).alias("read_path"),
+    )
+    return run.finalize(card.join(ready, "identity")).select("identity", "final_score", "rank")

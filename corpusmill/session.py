@@ -32,7 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on any store that Spark reads."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)  # a pattern, too
+    return found is not None and len(found) > 0
 
 
 def shared_dir(spark: SparkSession) -> str:
