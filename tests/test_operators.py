@@ -303,3 +303,36 @@ def test_indexes(spark, tmp_path):
     lines = spark.createDataFrame([("d", i, t) for i, t in enumerate(["Session A", "A first long title", "x", "Track B", "A second long title"])], "document string, n int, line string")
     assert {(x.title, x.track) for x in indexes.program_titles(lines, least=2).collect()} == {("A first long title", "Session A"), ("A second long title", "Track B")}
     assert indexes.program_titles(lines, least=3).count() == 0
+
+
+def test_shared_runs(spark, monkeypatch):
+    from corpusmill.operators import overlap
+
+    run = "one two three four five six seven eight nine ten"
+    texts = spark.createDataFrame([(1, f"before {run.title()}, after"), (2, run.replace(" five", " 5 five")), (3, None), (4, "short")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, run), (8, "nothing in common with any of the texts above here now"), (9, None)], "item_id long, text string")
+    for most in (overlap.BROADCAST_HASHES, 0):
+        monkeypatch.setattr(overlap, "BROADCAST_HASHES", most)
+        assert {tuple(r) for r in overlap.shared_runs(texts, items, "doc_id", "item_id").collect()} == {(1, 7), (2, 7)}
+    assert overlap.shared_runs(texts.limit(0), items, "doc_id", "item_id").count() == 0
+
+
+def test_titles_fold_case(spark):
+    from corpusmill.functions import text as T
+
+    df = spark.createDataFrame([("Straße",), ("ΟΔΟΣ – Road",), ("Plain -  Title!",), (None,)], "v string")
+    assert [r[0] for r in df.select(T.normalized_title(F.col("v"))).collect()] == ["strasse", "οδοσ-road", "plain-title", ""]
+
+
+def test_metadata_gate(spark, tmp_path):
+    """A catalog that fails its audit reaches no later step, and the number of sources must agree."""
+    from corpusmill.plans.run import Run
+    from tests.test_run import focused, papers
+
+    run = Run(spark, str(tmp_path / "run"))
+    with pytest.raises(ValueError, match="2 sources"):
+        run.metadata(focused("shortlist"), [papers(spark, 0, 2, 2023)])
+    bad = papers(spark, 10, 3, 2023).withColumn("abstract", F.lit("tbd"))
+    assert run.metadata(focused("shortlist"), [papers(spark, 0, 2, 2023), bad]) == "complete_with_gaps"
+    assert run.table("papers").count() == 2 and run.table("raw").count() == 5
+    assert run.state()["warnings"] == ["source 1: the catalog fails its audit"]
