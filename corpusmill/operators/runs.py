@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.scans import rolling_count
+from corpusmill.session import checkpointed
+
 
 def warning_history(snapshots: DataFrame) -> DataFrame:
     """run_id, at, stage, action, message: what each snapshot raised and resolved against the one before."""
@@ -36,20 +39,46 @@ def append_round(rounds: DataFrame, path: str) -> None:
     rounds.write.mode("append").parquet(path)
 
 
-def lineage(runs: DataFrame, depth: int = 8) -> DataFrame:
-    """run_id, ancestor, distance along parent_run_id, nearest first."""
-    step = runs.select("run_id", F.col("parent_run_id").alias("ancestor"), F.lit(1).alias("distance")).where("ancestor IS NOT NULL")
-    out, up = step, runs.select(F.col("run_id").alias("ancestor"), F.col("parent_run_id").alias("_next"))
-    for d in range(2, depth + 1):
-        step = step.join(up, "ancestor").where("_next IS NOT NULL").select("run_id", F.col("_next").alias("ancestor"), F.lit(d).alias("distance"))
-        out = out.unionByName(step)
-    return out
+def lineage(runs: DataFrame) -> DataFrame:
+    """run_id, ancestor, distance along parent_run_id, however long the chain; a run that is its own ancestor is an error.
+
+    Paths double in each round: what is known up to distance 2^k, carried on from the ancestor at that distance,
+    is known up to 2^(k+1). A chain of a thousand takes ten rounds. An ancestor that is no run ends its chain.
+    """
+    step = runs.where("run_id IS NOT NULL AND parent_run_id IS NOT NULL").select("run_id", F.col("parent_run_id").alias("ancestor"), F.lit(1).cast("bigint").alias("distance")).distinct()
+    paths, reach = checkpointed(step), 1
+    while True:
+        looped = paths.where("run_id = ancestor").select("run_id").distinct().orderBy("run_id").limit(5).collect()
+        if looped:
+            raise ValueError("runs that are their own ancestors: " + ", ".join(str(r.run_id) for r in looped))
+        jump = paths.where(F.col("distance") == reach).select("run_id", F.col("ancestor").alias("_at"))
+        onward = paths.select(F.col("run_id").alias("_at"), "ancestor", (F.col("distance") + reach).alias("distance"))
+        more = checkpointed(jump.join(onward, "_at").select("run_id", "ancestor", "distance").distinct())
+        if more.isEmpty():
+            return paths
+        paths, reach = checkpointed(paths.unionByName(more)), 2 * reach
+
+
+def inherited(settings: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """run_id, name, value, origin: settings that a run's ancestors locked; of one name the nearest one's.
+
+    settings: run_id, name, value, locked. A run's own settings are not among them: see broken_locks.
+    """
+    held = settings.where("locked").select(F.col("run_id").alias("ancestor"), "name", "value")
+    each = ancestors.join(held, "ancestor")
+    order = F.struct("distance", "ancestor", "value")
+    return each.groupBy("run_id", "name").agg(F.min_by("value", order).alias("value"), F.min_by("ancestor", order).alias("origin"))
+
+
+def broken_locks(settings: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """run_id, name of inherited settings that a run's own plan sets otherwise, or not at all."""
+    own = settings.select("run_id", "name", F.col("value").alias("_own"))
+    return inherited(settings, ancestors).join(own, ["run_id", "name"], "left").where("NOT (_own <=> value)").select("run_id", "name")
 
 
 def rolling_quota(requests: DataFrame, by: list[str], at: str = "ts", limit: int = 60) -> DataFrame:
-    """requests with in_last_hour (this one included) and whether the quota was kept."""
-    frame = Window.partitionBy(*by).orderBy(F.unix_timestamp(F.col(at).cast("timestamp"))).rangeBetween(-3600, 0)
-    return requests.withColumn("in_last_hour", F.count(F.lit(1)).over(frame)).withColumn("within_quota", F.col("in_last_hour") <= limit)
+    """requests with in_last_hour (this one included) and whether the quota was kept; a busy service is many tasks."""
+    return rolling_count(requests, by, at).withColumn("within_quota", F.col("in_last_hour") <= limit)
 
 
 def retry_after(value: Column, now: Column, cap: int = 86400) -> Column:

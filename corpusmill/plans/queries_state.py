@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import dedup, fulltext, progress, runs, shards
+from corpusmill.operators import dedup, fulltext, progress, runs, scans, shards
 from corpusmill.plans.catalog import REAL, query
 from corpusmill.session import scratch, table
 from corpusmill.sources import paged
@@ -24,13 +24,54 @@ def retry_after_values(spark, sf):
 
 
 @query(
-    """WITH RECURSIVE l AS (SELECT n_nationkey AS run_id, n_nationkey - 5 AS ancestor, 1 AS distance FROM nation WHERE n_nationkey >= 5
-    UNION ALL SELECT run_id, ancestor - 5, distance + 1 FROM l WHERE ancestor >= 5) SELECT * FROM l"""
+    """WITH RECURSIVE l AS (SELECT c_custkey AS run_id, c_custkey - 1 AS ancestor, CAST(1 AS BIGINT) AS distance FROM customer WHERE c_custkey % 50 <> 0
+    UNION ALL SELECT run_id, ancestor - 1, distance + 1 FROM l WHERE ancestor % 50 <> 0) SELECT * FROM l"""
 )
 def run_lineage(spark, sf):
-    """Ancestors of every run."""
-    key = F.col("n_nationkey")
-    return runs.lineage(table(spark, sf, "nation").select(key.alias("run_id"), F.when(key >= 5, key - 5).alias("parent_run_id")))
+    """Ancestors of every run, in chains of up to fifty."""
+    key = F.col("c_custkey")
+    return runs.lineage(table(spark, sf, "customer").select(key.alias("run_id"), F.when(key % 50 != 0, key - 1).alias("parent_run_id")))
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT c_custkey AS run_id, c_custkey AS ancestor FROM customer UNION ALL SELECT run_id, ancestor - 1 FROM l WHERE ancestor % 50 <> 0),
+    h AS (SELECT run_id, max(ancestor) AS origin FROM l WHERE ancestor < run_id AND ancestor % 7 = 0 GROUP BY 1)
+    SELECT run_id, origin, (SELECT c_mktsegment FROM customer WHERE c_custkey = origin) AS value, CASE WHEN run_id % 7 = 0 THEN (SELECT c_mktsegment FROM customer WHERE c_custkey = origin) <> (SELECT c_mktsegment FROM customer WHERE c_custkey = run_id) ELSE run_id % 3 <> 0 END AS broken FROM h"""
+)
+def inherited_settings(spark, sf):
+    """Settings that ancestors locked (every seventh run), of one name the nearest one's; and the runs whose own plan breaks them."""
+    cust = table(spark, sf, "customer")
+    key = F.col("c_custkey")
+    up = runs.lineage(cust.select(key.alias("run_id"), F.when(key % 50 != 0, key - 1).alias("parent_run_id")))
+    own = cust.select(key.alias("run_id"), F.lit("reading").alias("name"), F.col("c_mktsegment").alias("value"), (key % 7 == 0).alias("locked"))
+    held = runs.inherited(own, up)
+    # every third run that locks nothing itself takes over what it inherits
+    follows = held.where("run_id % 3 = 0 AND run_id % 7 <> 0").select("run_id", F.col("value").alias("_held"))
+    plans = own.join(follows, "run_id", "left").withColumn("value", F.coalesce("_held", F.when(F.col("locked"), F.col("value")))).drop("_held")
+    broken = runs.broken_locks(plans, up).select("run_id", F.lit(True).alias("broken"))
+    return held.join(broken, "run_id", "left").select("run_id", "origin", "value", F.coalesce("broken", F.lit(False)).alias("broken"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, CASE WHEN user_id % 10 < 7 THEN 'busy' ELSE 's' || user_id % 10 END AS service, epoch_us(ts) AS t, event_type = 'error' AS failed FROM events),
+    r AS (SELECT *, CASE WHEN service = 'busy' THEN 300000000 ELSE 5100000 END AS gap, row_number() OVER (PARTITION BY service ORDER BY t, event_id) AS n FROM e),
+    g AS (SELECT service, n, event_id, t, t AS starts_at, greatest(t + gap, CASE WHEN failed THEN t + 3600000000 ELSE 0 END) AS allowed FROM r WHERE n = 1
+        UNION ALL SELECT r.service, r.n, r.event_id, r.t, greatest(r.t, g.allowed), greatest(greatest(r.t, g.allowed) + gap, CASE WHEN failed THEN r.t + 3600000000 ELSE 0 END) FROM g JOIN r ON r.service = g.service AND r.n = g.n + 1)
+    SELECT event_id, service, CAST(starts_at AS BIGINT) AS starts_at, CAST(starts_at - t AS BIGINT) AS waited FROM g"""
+)
+def governed_starts(spark, sf):
+    """When requests may start, spaced by service and held back by cooldowns; most of them go to one busy service."""
+    service = F.when(F.col("user_id") % 10 < 7, "busy").otherwise(F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")))
+    requests = table(spark, sf, "events").withColumn("service", service)
+    gap, hold = F.when(F.col("service") == "busy", 300_000_000).otherwise(5_100_000), F.when(F.col("event_type") == "error", F.lit(3_600_000_000))
+    return scans.governed_starts(requests, ["service"], gap, hold, "ts", "event_id").select("event_id", "service", "starts_at", "waited")
+
+
+@query("SELECT event_id, count(*) OVER w AS in_last_hour FROM (SELECT *, CASE WHEN user_id % 10 < 7 THEN 'busy' ELSE 's' || user_id % 10 END AS service FROM events) WINDOW w AS (PARTITION BY service ORDER BY floor(epoch(ts)) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)")
+def busy_service_quota(spark, sf):
+    """Requests in the last hour, most of them to one service."""
+    service = F.when(F.col("user_id") % 10 < 7, "busy").otherwise(F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")))
+    return scans.rolling_count(table(spark, sf, "events").withColumn("service", service), ["service"]).select("event_id", "in_last_hour")
 
 
 @query("SELECT event_id AS identity FROM events WHERE event_id % 11 = 0 OR event_id % 13 = 0")
