@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.plans.catalog import query
 from corpusmill.session import scratch, table
-from corpusmill.sources import files, indexes, pages, pdf, scholarly, venues
+from corpusmill.sources import files, indexes, pages, pdf, pdf_made, scholarly, venues
 
 
 def _xml(rows: DataFrame, document: str, schema: str) -> DataFrame:
@@ -240,13 +240,59 @@ def scanned_shards(spark, sf):
     return scan.groupBy(F.col("day").cast("string").alias("day"), "status").agg(F.count("title").alias("papers"))
 
 
-@query("SELECT c_custkey AS k, c_name || chr(10) || 'costs (' || c_custkey || ') in all' AS text FROM customer")
+_MADE = """'A difficult offer of the office of ' || c_name || ', first in all'"""
+
+
+@query(
+    f"""SELECT c_custkey AS k, 'ok' AS status, 2 AS n_pages, {_MADE} || chr(10) || 'left (' || c_custkey || ') flat' || chr(10) || 'the affair ends' || chr(10) || 'left \\ three' || chr(10) || c_name || chr(10) || 'right two' || chr(10) || 'café'
+    || chr(10) || chr(10) || 'Page two of ' || lower(c_mktsegment) || chr(10) || 'one column only' || chr(10) || 'and its end' AS text FROM customer"""
+)
 def pdf_texts(spark, sf):
-    """Text of PDF files: lines by their height on the page."""
-    stream = F.expr(r"concat('BT /F1 10 Tf 72 700 Td (', c_name, ') Tj 0 -12 Td [(costs \\(', c_custkey, '\\)) -300 (in) -300 (all)] TJ ET')")
-    content = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< /Length 1 >>\nstream\n"), stream, F.lit("\nendstream\nendobj\n")).cast("binary")
-    text = F.regexp_replace(pdf.text(content), r"\)\s*in\s*all", ") in all")
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), text.alias("text"))
+    """Text of PDF files of two pages, with a heading over two columns, ligatures, one-byte and composite fonts, classic and
+    packed cross references, form XObjects; all compressed."""
+    made = _MADE.replace("||", ",").strip()
+    one = F.struct(F.array(F.expr(f"concat({made})")).alias("head"), F.expr("array(concat('left (', c_custkey, ') flat'), 'the affair ends', 'left \\\\ three')").alias("left"), F.expr("array(c_name, 'right two', 'café')").alias("right"))
+    two = F.struct(F.expr("array(concat('Page two of ', lower(c_mktsegment)))").alias("head"), F.expr("array('one column only', 'and its end')").alias("left"), F.expr("cast(array() as array<string>)").alias("right"))
+    files = table(spark, sf, "customer").select(F.col("c_custkey").alias("path"), pdf_made.of_lines(F.array(one, two), F.col("c_custkey") % 3).alias("content"))
+    return pdf.texts(files).select(F.col("path").alias("k"), "status", "n_pages", "text")
+
+
+@query("SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN 'not_pdf' WHEN 1 THEN 'repaired' WHEN 2 THEN 'damaged' WHEN 3 THEN 'encrypted' ELSE 'ok' END AS status, c_custkey % 5 IN (1, 4) AS whole FROM customer")
+def pdf_statuses(spark, sf):
+    """What becomes of files that are cut off, damaged, encrypted, or none."""
+    text = "repeat(concat('line of ', c_name, ' '), 9)"
+    page = F.struct(F.array(F.expr("c_name")).alias("head"), F.expr(f"array({text})").alias("left"), F.expr("cast(array() as array<string>)").alias("right"))
+    made = pdf_made.of_lines(F.array(page), F.lit(0))
+    said = F.decode(made, "ISO-8859-1")
+    # a byte in the middle of the compressed content is another one
+    content = F.regexp_replace(said, r"(?s)(/Filter /FlateDecode  >>\nstream\n.{60}).{4}", "$1    ")
+    cases = F.when(F.col("k") % 5 == 0, F.substring(said, 9, 999)).when(F.col("k") % 5 == 1, F.regexp_replace(said, "startxref", "startxxxx")).when(F.col("k") % 5 == 2, content).when(F.col("k") % 5 == 3, F.replace(said, F.lit("/Root"), F.lit("/Encrypt << /V 1 >> /Root"))).otherwise(said)
+    files = table(spark, sf, "customer").withColumn("k", F.col("c_custkey")).select(F.col("k").alias("path"), "c_name", F.expr(text).alias("want"), F.encode(cases, "ISO-8859-1").alias("content"))
+    found = pdf.texts(files.select("path", "content")).join(files.select("path", F.concat("c_name", F.lit("\n"), F.trim("want")).alias("want")), "path")
+    return found.select(F.col("path").alias("k"), "status", (F.col("text") == F.col("want")).alias("whole"))
+
+
+@query(
+    """SELECT p_brand AS program, 'The ' || p_name || ' study ' || p_partkey AS title, CASE WHEN p_partkey % 3 = 0 THEN 'Short' ELSE 'Full' END AS track, 'Ada L|Alan T' AS authors,
+    CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'We describe how parts of one kind are told apart from other parts ' || p_partkey || ' and show that it holds for many kinds of parts in practice.' END AS abstract
+    FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_partkey % 11 <> 0 GROUP BY 1 HAVING count(*) >= 5) AND p_partkey % 11 <> 0"""
+)
+def program_papers(spark, sf):
+    """Papers of conference programs, PDF files of two columns: title with its track, authors over two lines, abstract."""
+    part = table(spark, sf, "part").where("p_partkey % 11 <> 0")
+    lines = F.expr(
+        """array(concat('The ', p_name, ' study'), concat(p_partkey, CASE WHEN p_partkey % 3 = 0 THEN ' [Short]' ELSE ' [Full]' END), '', 'Ada L (Some University (Home));', 'Alan T (Other Place)', '',
+        CASE WHEN p_partkey % 4 = 0 THEN 'No abstract.' ELSE 'We describe how parts of one kind are told' END, CASE WHEN p_partkey % 4 = 0 THEN 'Program' ELSE concat('apart from other parts ', p_partkey) END,
+        CASE WHEN p_partkey % 4 = 0 THEN '12' ELSE 'and show that it holds' END, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'for many kinds of parts in practice.' END, 'Room 1 · Hall A · Monday 9:00', 'left out', '')"""
+    )
+    # a page for two papers: one in each column
+    numbered = part.select("p_brand", "p_partkey", lines.alias("lines"))
+    sides = numbered.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "lines"))).alias("papers"))
+    pair = lambda i: F.struct(F.array(F.lit("")).alias("head"), F.get("papers", i * 2)["lines"].alias("left"), F.coalesce(F.get("papers", i * 2 + 1)["lines"], F.array().cast("array<string>")).alias("right"))
+    pages = F.transform(F.sequence(F.lit(0), ((F.size("papers") - 1) / 2).cast("int")), pair)
+    files = sides.select(F.col("p_brand").alias("path"), pdf_made.of_lines(pages, F.length("p_brand") % 3).alias("content"))
+    out = indexes.program_papers(pdf.paragraphs(files), least=5)
+    return out.select(F.col("document").alias("program"), "title", "track", F.array_join("authors", "|").alias("authors"), "abstract")
 
 
 @query(

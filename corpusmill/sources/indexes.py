@@ -89,3 +89,52 @@ def program_titles(lines: DataFrame, track_pattern: str = r"^(?:Session|Track)\b
     titles = lines.withColumn("track", track).where(~heading & T.looks_like_title(F.col("line"))).select("document", T.clean(F.col("line")).alias("title"), "track")
     enough = titles.groupBy("document").count().where(F.col("count") >= least)
     return titles.join(enough, "document", "left_semi")
+
+
+# Marks that end a paper's title in a program, days, and lines that belong to no paper.
+_TRACK = r"(?i)\[(Full|Short|Industry|Resource|Reproducibility|Demo|Low-Resource|Perspective|TOIS)\]\s*$"
+_DAYS = "(?:Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)"
+_RUNNING = r"(?i)^(?:SIGIR\s*\d{4}|Program|\d+)$"
+#: Lines in which authors may stand, and least characters of an abstract.
+AUTHOR_LINES, LEAST_ABSTRACT = 40, 80
+
+
+def program_papers(blocks: DataFrame, least: int = 100) -> DataFrame:
+    """document, title, track, authors, abstract, page of the papers in a program's paragraphs (path, page, n, lines).
+
+    A title ends with its track's mark; its paragraph begins a paper. Authors follow, each with an affiliation in
+    parentheses, up to the first line at which all parentheses are closed and no further author is announced;
+    the rest is the abstract, up to the next session's line. A program with too few papers, or one without
+    authors, wasn't understood: then it gives none.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("path").orderBy("page", "n").rowsBetween(Window.unboundedPreceding, 0)  # a program is one document
+    flat = T.clean(F.array_join("lines", " "))
+    title = T.clean(F.regexp_replace(flat, _TRACK, ""))
+    rows = blocks.withColumn("_title", F.when(flat.rlike(_TRACK) & T.looks_like_title(title), title)).withColumn("_track", F.regexp_extract(flat, _TRACK, 1))
+    rows = rows.withColumn("_paper", F.count("_title").over(order)).where("_paper > 0")
+    heads = F.struct("page", "n", "_title", "_track")
+    body = F.transform(F.array_sort(F.collect_list(F.when(F.col("_title").isNull(), F.struct("page", "n", "lines")))), lambda b: b["lines"])
+    papers = rows.groupBy("path", "_paper").agg(F.min(F.when(F.col("_title").isNotNull(), heads)).alias("h"), F.flatten(body).alias("lines"))
+    papers = papers.withColumn("lines", F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: x != ""))
+
+    lines = F.col("lines")
+    count = lambda value, mark: F.length(value) - F.length(F.replace(value, F.lit(mark), F.lit("")))
+
+    def closed(k: Column) -> Column:
+        told, line = F.array_join(F.slice(lines, 1, k), " "), F.get(lines, k - 1)
+        return told.contains("(") & (count(told, "(") == count(told, ")")) & line.rlike(r"\)\s*$")
+
+    places = F.when(F.size(lines) > 0, F.sequence(F.lit(1), F.least(F.size(lines), F.lit(AUTHOR_LINES)))).otherwise(F.array().cast("array<int>"))
+    papers = papers.withColumn("_end", F.coalesce(F.get(F.filter(places, closed), F.lit(0)), F.lit(0)))
+    said = F.array_join(F.slice(lines, 1, F.when(F.col("_end") > 0, F.col("_end")).otherwise(F.least(F.size(lines), F.lit(AUTHOR_LINES)))), " ")
+    authors = F.filter(F.transform(F.split(said, ";"), lambda a: T.clean(F.substring_index(a, "(", 1))), lambda a: a != "")
+    rest = F.slice(lines, F.col("_end") + 1, F.size(lines))
+    session = rf"(?i)·\s*[^·]+\s*·\s*{_DAYS}\b"
+    stop = F.coalesce(F.array_min(F.filter(F.transform(rest, lambda x, i: F.when(x.rlike(session), i)), lambda i: i.isNotNull())), F.size(rest))
+    kept = F.filter(F.slice(rest, F.lit(1), stop), lambda x: ~x.rlike(_RUNNING))
+    abstract = T.clean(F.regexp_replace(F.regexp_replace(F.array_join(kept, " "), r"(?i)^\\begin\{abstract\}\s*", ""), r"(?i)\\end\{abstract\}\s*$", ""))
+    out = papers.select(F.col("path").alias("document"), F.col("h._title").alias("title"), F.col("h._track").alias("track"), authors.alias("authors"), F.when(F.length(abstract) >= LEAST_ABSTRACT, abstract).otherwise("").alias("abstract"), F.col("h.page").alias("page"))
+    understood = out.groupBy("document").agg(F.count(F.lit(1)).alias("_n"), F.min(F.size("authors")).alias("_least")).where((F.col("_n") >= least) & (F.col("_least") > 0))
+    return out.join(understood, "document", "left_semi")

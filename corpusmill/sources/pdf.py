@@ -1,125 +1,189 @@
-"""Text of PDF files, without any PDF library: content streams are inflated and their text operators read.
+"""Text of PDF files, without any PDF library: files become pages, pages become lines in reading order.
 
-Enough for papers whose fonts write Latin text in a one-byte encoding; other pages give little or nothing,
-which the acceptance of full texts then refuses. A line is a run of text at one height; blocks of two columns
-are told by a gap in the middle of the page and read left column first.
+Pages are read through cross-reference tables and streams, object streams and the page tree; text through fonts'
+encodings and ToUnicode maps (one-byte and composite fonts), form XObjects included. A page is cut into blocks
+at gutters that no text crosses, where need be below a heading that crosses them; blocks are read from the left,
+lines from the top. Ligatures become letters. Turned text is left out.
+
+A file's status: ok, empty (no text), not_pdf, encrypted, broken; or with what could be read, damaged (a stream ends
+early), oversized (a stream is larger than may be inflated), filter (a kind of compression that isn't known),
+repaired (the cross references were wrong). Null content is empty.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that a stream may inflate to, and width of a page in points.
-MOST_STREAM, WIDTH = 64 << 20, 612.0
-_STREAM = re.compile(rb"<<((?:[^<>]|<<(?:[^<>]|<<[^<>]*>>)*>>|<[^<>]*>)*)>>\s*stream\r?\n", re.S)
-_TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s<>\[\]()/]+|[-+]?[0-9]*\.?[0-9]+|[A-Za-z'\"*]+", re.S)
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _string(raw: bytes) -> str:
-    if raw[:1] == b"<":
-        digits = re.sub(rb"\s", b"", raw[1:-1])
-        value = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-        if len(value) > 1 and not len(value) % 2 and not any(value[::2]):
-            return value.decode("utf-16-be", "replace")
-    else:
-        value = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1][-1:] == b"\n" else _ESCAPES.get(m[1], m[1]), raw[1:-1], flags=re.S)
-    return value.decode("cp1252", "replace")
-
-
-def _streams(raw: bytes) -> Iterator[bytes]:
-    """Inflated content streams, in file order; broken or other ones are passed over."""
-    for m in _STREAM.finditer(raw):
-        end = raw.find(b"endstream", m.end())
-        data = raw[m.end() : end if end >= 0 else len(raw)]
-        if b"/Image" in m[1] or b"/FontFile" in m[1] or b"/Length1" in m[1]:
-            continue
-        if b"FlateDecode" in m[1]:
-            try:
-                data = zlib.decompressobj().decompress(data, MOST_STREAM)
-            except zlib.error:
-                continue
-        if b"BT" in data and (b"Tj" in data or b"TJ" in data or b"'" in data):
-            yield data
-
-
-def _pieces(stream: bytes) -> Iterator[tuple[float, float, str]]:
-    """(x, y, text) of every shown text, from the text matrix and its moves."""
-    stack: list = []
-    x = y = line_x = line_y = lead = 0.0
-    number = lambda i: float(stack[i]) if len(stack) >= -i and isinstance(stack[i], float) else 0.0
-    for token in _TOKEN.findall(stream):
-        if token[:1] in b"(<":
-            stack.append(_string(token))
-        elif token in (b"[", b"]") or token[:1] == b"/":
-            continue
-        elif token[:1] in b"-+.0123456789":
-            stack.append(float(token))
+from corpusmill.sources.pdf_objects import Document, PdfError, Piece, shown
+
+#: In sizes of the text: a gap that is a space, one that parts two segments of a line, how far base lines of one line may differ.
+SPACE, APART, SAME_LINE = 0.17, 1.0, 0.4
+#: The distance of base lines that parts two paragraphs.
+PARAGRAPH = 1.8
+#: Lines that a column has at least.
+COLUMN_LINES = 2
+
+
+def segments(pieces: list[Piece]) -> list[Piece]:
+    """Pieces of one base line joined where they are near each other, with spaces where there are gaps."""
+    out: list[Piece] = []
+    lines: list[list[Piece]] = []
+    for p in sorted(pieces, key=lambda p: -p.base):
+        if lines and abs(lines[-1][0].base - p.base) <= SAME_LINE * min(p.size, lines[-1][0].size):
+            lines[-1].append(p)
         else:
-            if token == b"BT":
-                x = y = line_x = line_y = 0.0
-            elif token == b"Tm":
-                x, y = line_x, line_y = number(-2), number(-1)
-            elif token in (b"Td", b"TD"):
-                line_x, line_y = line_x + number(-2), line_y + number(-1)
-                x, y = line_x, line_y
-                lead = -number(-1) if token == b"TD" else lead
-            elif token == b"TL":
-                lead = number(-1)
-            elif token in (b"T*", b"'", b'"'):
-                line_y -= lead
-                x, y = line_x, line_y
-            if token in (b"Tj", b"TJ", b"'", b'"'):
-                said = "".join(s if isinstance(s, str) else " " if s < -200 else "" for s in stack)
-                if said.strip():
-                    yield x, y, said
-            stack = []
-
-
-def lines_of(raw: bytes) -> list[list[str]]:
-    """Lines of every page: columns from the left, each from the top."""
-    out = []
-    for stream in _streams(raw):
-        rows: dict[tuple[int, int], list[tuple[float, str]]] = {}
-        for x, y, said in _pieces(stream):
-            rows.setdefault((round(-y), 0), []).append((x, said))
-        whole = [(key[0], sorted(parts)) for key, parts in sorted(rows.items())]
-        right = sum(1 for _, p in whole if any(x >= WIDTH / 2 for x, _ in p))
-        columns: list[list[tuple[int, str]]] = [[], []]
-        two = right * 4 >= len(whole) > 8  # text begins in the right half of many lines
-        for height, parts in whole:
-            for side in (0, 1):
-                own = [said for x, said in parts if (two and x >= WIDTH / 2) == bool(side)]
-                if own:
-                    columns[side].append((height, " ".join(" ".join(own).split())))
-        page = [s for column in columns for _, s in column if s]
-        if page:
-            out.append(page)
+            lines.append([p])
+    for line in lines:
+        last = None
+        for p in sorted(line, key=lambda p: p.left):
+            size = min(p.size, last.size) if last else p.size
+            if last and p.left - last.right <= APART * size:
+                gap = " " if p.left - last.right > SPACE * size and not last.text.endswith(" ") and not p.text.startswith(" ") else ""
+                last = Piece(last.left, max(last.right, p.right), last.base, max(last.size, p.size), last.text + gap + p.text)
+                out[-1] = last
+            else:
+                last = p
+                out.append(p)
+    return out
+
+
+def _gutter(parts: list[Piece]) -> float | None:
+    """The middle of the widest gap from left to right that no segment crosses, with lines enough on both sides."""
+    best, reach = None, None
+    for p in sorted(parts, key=lambda p: p.left):
+        if reach is not None and p.left - reach > APART * p.size and (best is None or p.left - reach > best[0]):
+            sides = [len({round(q.base) for q in parts if (q.left >= p.left) == right}) for right in (False, True)]
+            if min(sides) >= COLUMN_LINES:
+                best = (p.left - reach, (p.left + reach) / 2)
+        reach = p.right if reach is None else max(reach, p.right)
+    return best and best[1]
+
+
+def _merged(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Spans without overlaps."""
+    out: list[tuple[float, float]] = []
+    for left, right in sorted(spans):
+        if out and left <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], right))
+        else:
+            out.append((left, right))
+    return out
+
+
+def blocks(parts: list[Piece]) -> list[list[Piece]]:
+    """Segments of a page as blocks in reading order, by cuts at gutters."""
+    middle = _gutter(parts)
+    if middle is not None:
+        return blocks([p for p in parts if p.left < middle]) + blocks([p for p in parts if p.left >= middle])
+    # no gutter through all lines: the most lines below each other that have one
+    heights = sorted({p.base for p in parts}, reverse=True)
+    rows: dict[float, list[Piece]] = {y: [] for y in heights}
+    for p in parts:
+        rows[p.base].append(p)
+    best = None
+    for low in range(len(heights)):
+        if best and len(heights) - low <= best[1] - best[0]:
+            break
+        taken: list[tuple[float, float]] = []
+        parted = []  # whether the lines from low on leave a gap, by their last
+        for y in heights[low:]:
+            taken = _merged([*taken, *((p.left, p.right) for p in rows[y])])
+            parted.append(len(taken) > 1)
+        for high in range(len(heights), low + COLUMN_LINES - 1, -1):
+            if best and high - low <= best[1] - best[0]:
+                break
+            if parted[high - 1 - low] and _gutter([p for y in heights[low:high] for p in rows[y]]) is not None:
+                best = (low, high)
+                break
+    if best is None:
+        return [parts] if parts else []
+    top, bottom = heights[best[0]], heights[best[1] - 1]
+    above, inside, below = ([p for p in parts if test(p)] for test in (lambda p: p.base > top, lambda p: bottom <= p.base <= top, lambda p: p.base < bottom))
+    return blocks(above) + blocks(inside) + blocks(below)
+
+
+def blocks_of(pieces: list[Piece]) -> list[list[str]]:
+    """Lines of a page's paragraphs, in reading order."""
+    out: list[list[str]] = []
+    for block in blocks(segments(pieces)):
+        before = None
+        for p in sorted(block, key=lambda p: (-p.base, p.left)):
+            said = " ".join(p.text.split())
+            if not said:
+                continue
+            if before is not None and before.base == p.base:
+                out[-1][-1] += " " + said
+            elif before is None or before.base - p.base > PARAGRAPH * max(p.size, before.size):
+                out.append([said])
+            else:
+                out[-1].append(said)
+            before = p
     return out
 
 
-def _text(files: pa.Array) -> pa.Array:
-    return pa.array(["\n".join("\n".join(page) for page in lines_of(raw)) if raw else "" for raw in files.to_pylist()], pa.string())
+def pages_of(raw: bytes | None) -> tuple[str, list[list[list[str]]]]:
+    """Status and every page of a file: its paragraphs, each a list of lines."""
+    try:
+        doc = Document(raw or b"")
+        out = []
+        for page in doc.pages():
+            out.append(blocks_of(list(shown(doc, doc.contents(page), doc.get(page.get("/Resources")) or {}))))
+        out = out or [blocks_of(list(shown(doc, data, {}))) for data in doc.loose()]
+    except PdfError as e:
+        return (str(e) if str(e) in ("not_pdf", "encrypted") else "broken"), []
+    except (ValueError, IndexError, KeyError, TypeError, AttributeError, OverflowError, RecursionError, zlib.error):
+        return "broken", []
+    worst = [s for s in ("damaged", "oversized", "filter", "repaired") if s in doc.notes]
+    return ("broken" if not out else worst[0] if worst else "ok" if any(out) else "empty"), out
+
+
+_PAGES = "struct<status: string, pages: array<array<array<string>>>>"
+
+
+def pages(content: Column) -> Column:
+    """Struct of status and pages of a file given as bytes; a page is an array of paragraphs, each an array of lines."""
+
+    def read_all(files: pa.Array) -> pa.Array:
+        found = [pages_of(raw) for raw in files.to_pylist()]
+        kind = pa.list_(pa.list_(pa.list_(pa.string())))
+        return pa.StructArray.from_arrays([pa.array([s for s, _ in found], pa.string()), pa.array([p for _, p in found], kind)], names=["status", "pages"])
+
+    return F.arrow_udf(read_all, _PAGES)(content)
+
+
+def joined(found: Column) -> Column:
+    """The text of a file's pages: lines by line ends, pages by an empty line."""
+    return F.array_join(F.transform(found, lambda page: F.array_join(F.flatten(page), "\n")), "\n\n")
 
 
 def text(content: Column) -> Column:
     """Text of PDF files given as bytes; empty if there is none."""
-    return F.arrow_udf(_text, "string")(content)
+    return joined(pages(content)["pages"])
+
+
+def texts(files: DataFrame) -> DataFrame:
+    """path, status, n_pages, text of files (path, content)."""
+    out = files.select("path", pages(F.col("content")).alias("found"))
+    return out.select("path", "found.status", F.size("found.pages").alias("n_pages"), joined(F.col("found.pages")).alias("text"))
+
+
+def paragraphs(files: DataFrame) -> DataFrame:
+    """path, page, n, lines of files (path, content): a row a paragraph, in reading order, pages and paragraphs from 0."""
+    each = files.select("path", F.posexplode(pages(F.col("content"))["pages"]).alias("page", "found"))
+    return each.select("path", "page", F.posexplode("found").alias("n", "lines"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """path, text of every PDF file below path."""
+    """path, status, n_pages, text of every PDF file below path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(path)
-    return files.select("path", text(F.col("content")).alias("text"))
+    return texts(files.select("path", "content"))
 
 
 def program_lines(files: DataFrame) -> DataFrame:
-    """document, n, line of conference programs (path, content), in reading order of their columns."""
-    lines = F.split(text(F.col("content")), "\n")
-    return files.select(F.col("path").alias("document"), F.posexplode(lines).alias("n", "line")).where(F.trim("line") != "")
+    """document, n, line of conference programs (path, content), in reading order of their columns, all pages through."""
+    every = F.flatten(F.flatten(pages(F.col("content"))["pages"]))
+    return files.select(F.col("path").alias("document"), F.posexplode(every).alias("n", "line")).where(F.trim("line") != "")
