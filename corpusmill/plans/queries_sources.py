@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.plans.catalog import query
-from corpusmill.session import scratch, table
+from corpusmill.session import checkpointed, pushed_filters, scratch, table
 from corpusmill.sources import files, indexes, pages, pdf, pdf_made, scholarly, venues
 
 
@@ -216,30 +216,56 @@ def wrapped_values(spark, sf):
 )
 def scanned_shards(spark, sf):
     """A scan of day shards under the reuse policy: every wanted day with its papers, or why it can't be used."""
-    at = scratch(spark, "shards").removeprefix("file://")
-    paper = F.struct(F.lit("T").alias("title"), F.lit("A").alias("abstract"), F.array(F.lit("N")).alias("authors"), F.struct(F.col("event_id").cast("string").alias("arxiv_id")).alias("identifiers"))
-    day = F.date_format("ts", "yyyy-MM-dd")
-    days = table(spark, sf, "events").groupBy(day.alias("date")).agg(F.collect_list(paper).alias("papers"))
-    of_month = F.dayofmonth(F.col("date").cast("date"))
-    fetched = F.when(of_month % 7 == 0, "2024-01-01T00:00:00").otherwise("2024-02-09T00:00:00")
-    shard = F.struct(F.when(of_month % 5 == 0, 1).otherwise(2).alias("schema_version"), F.lit("arxiv").alias("source"), "date", F.lit(True).alias("complete"), F.lit(False).alias("provisional"), fetched.alias("fetched_at"), "papers")
-
-    def write(rows):
-        import os
-
-        folder = f"{at}/arxiv/all"
-        os.makedirs(folder, exist_ok=True)
-        for row in rows:
-            with open(f"{folder}/{row.date}.json", "w", encoding="utf-8") as f:
-                f.write(row.shard)
-
-    days.select("date", F.to_json(shard).alias("shard")).foreachPartition(write)  # a source of one mount, as its reader's
-    spark.dataSource.register(scholarly.ScholarlySource)
+    at, events = scratch(spark, "shards"), table(spark, sf, "events")
+    of_month = F.dayofmonth("ts")
+    for some, version, fetched in ((of_month % 5 == 0, "1", "2024-02-09"), ((of_month % 5 != 0) & (of_month % 7 == 0), "2", "2024-02-01"), ((of_month % 5 != 0) & (of_month % 7 != 0), "2", "2024-02-09")):
+        _shards(events.where(some), F.lit("all")).write.format("scholarly").options(path=at, source="arxiv", now=f"{fetched}T00:00:00", schemaVersion=version).mode("append").save()
     options = {"path": at, "source": "arxiv", "start": "2023-12-30", "end": "2024-02-02", "now": "2024-02-10T00:00:00", "daysPerPartition": "10"}
     scan = spark.read.format("scholarly").options(**options).load()
     return scan.groupBy(F.col("day").cast("string").alias("day"), "status").agg(F.count("title").alias("papers"))
 
 
+def _shards(events: DataFrame, category) -> DataFrame:
+    """Events as papers of day shards."""
+    events.sparkSession.dataSource.register(scholarly.ScholarlySource)
+    ids = F.create_map(F.lit("arxiv_id"), F.col("event_id").cast("string"))
+    return events.select(category.alias("category"), F.to_date("ts").alias("day"), F.lit("T").alias("title"), F.lit("A").alias("abstract"), F.array(F.lit("N")).alias("authors"), ids.alias("identifiers"))
+
+
+@query(
+    """WITH RECURSIVE d AS (SELECT event_type AS category, CAST(CAST(ts AS DATE) - DATE '2024-01-01' AS INT) AS i, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-02-01' GROUP BY 1, 2),
+    m AS (SELECT 2 * max(n) + 1 AS ceiling FROM d), k AS (SELECT DISTINCT category FROM d),
+    r AS (SELECT category, 0 AS a, 30 AS b, (SELECT sum(n) FROM d WHERE d.category = k.category) AS total FROM k
+        UNION ALL SELECT category, lo, hi, (SELECT coalesce(sum(n), 0) FROM d WHERE d.category = h.category AND i BETWEEN lo AND hi)
+        FROM (SELECT category, CASE WHEN side = 0 THEN a ELSE (a + b) // 2 + 1 END AS lo, CASE WHEN side = 0 THEN (a + b) // 2 ELSE b END AS hi FROM r, (VALUES (0), (1)) s(side), m WHERE total >= ceiling) h)
+    SELECT category, CAST(DATE '2024-01-01' + a AS VARCHAR) AS first_day, CAST(DATE '2024-01-01' + b AS VARCHAR) AS last_day, CAST(total AS BIGINT) AS papers FROM r, m WHERE total < ceiling"""
+)
+def bisected_scan(spark, sf):
+    """Ranges of days that a scan reads as one partition each: halved, by the shards' index, until each has few enough rows."""
+    at, events = scratch(spark, "bisected"), table(spark, sf, "events").where("ts < TIMESTAMP '2024-02-01'")
+    _shards(events, F.col("event_type")).write.format("scholarly").options(path=at, source="arxiv", now="2024-02-09T00:00:00").mode("append").save()
+    most = events.groupBy("event_type", F.to_date("ts")).count().agg(F.max("count")).first()[0]
+    kinds = ",".join(sorted(r.event_type for r in events.select("event_type").distinct().collect()))  # a handful of categories
+    options = {"path": at, "source": "arxiv", "categories": kinds, "start": "2024-01-01", "end": "2024-01-31", "now": "2024-02-10T00:00:00", "ceiling": str(2 * most + 1)}
+    scan = spark.read.format("scholarly").options(**options).load()
+    ranges = scan.groupBy(F.spark_partition_id().alias("range"), "category").agg(F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"), F.count("title").alias("papers"))
+    return ranges.drop("range")
+
+
+@query(
+    """SELECT event_type AS category, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS papers FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12' AND event_type IN ('click', 'error') GROUP BY 1, 2"""
+)
+def narrowed_scan(spark, sf):
+    """A scan whose filters on day, category and status leave shards unopened."""
+    at, events = scratch(spark, "narrowed"), table(spark, sf, "events")
+    _shards(events, F.col("event_type")).write.format("scholarly").options(path=at, source="arxiv", now="2024-02-09T00:00:00").mode("append").save()
+    kinds = ",".join(sorted(r.event_type for r in events.select("event_type").distinct().collect()))  # a handful of categories
+    with pushed_filters(spark):
+        scan = scholarly.scan(spark, path=at, source="arxiv", categories=kinds, start="2023-12-01", end="2024-03-01", now="2024-02-10T00:00:00")
+        rows = scan.where((F.col("day") >= F.lit("2024-01-05").cast("date")) & (F.col("day") < F.lit("2024-01-12").cast("date")) & F.col("category").isin("click", "error") & (F.col("status") == "ok"))
+        return checkpointed(rows.groupBy("category", F.col("day").cast("string").alias("day")).agg(F.count("title").alias("papers")))
+
+
 _MADE = """'A difficult offer of the office of ' || c_name || ', first in all'"""
 
 

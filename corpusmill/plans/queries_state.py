@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators import dedup, fulltext, progress, runs, scans, shards
 from corpusmill.plans.catalog import REAL, query
 from corpusmill.session import scratch, table
-from corpusmill.sources import paged
+from corpusmill.sources import paged, staged
 from corpusmill.streaming import days
 
 
@@ -129,6 +129,23 @@ def staged_rows(spark, sf):
     return paged.rows_of(pages, paged.ranges(pages)).select("key", "event_id", "position")
 
 
+@query(
+    f"""{STAGED}, e AS (SELECT user_id AS key, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS position FROM events)
+    SELECT 'u/' || key AS key, event_id, position, CAST(CASE WHEN key % 3 = 1 THEN greatest((n + 9) // 10 - 2, 0) ELSE 0 END AS BIGINT) AS staged FROM e JOIN r USING (key) WHERE position < rows"""
+)
+def streamed_pages(spark, sf):
+    """Staged pages by a stream that breaks off and goes on: rows up to the first gap, and how many pages are still staged."""
+    spark.dataSource.register(staged.StagedPages)
+    at = scratch(spark, "pages")
+    pages = _pages(spark, sf).select(F.concat(F.lit("u/"), F.col("key").cast("string")).alias("key"), "start", "total", F.to_json("items").alias("items"))
+    for some in (F.col("start") % 20 == 0, F.col("start") % 20 != 0):  # the second page of each pair comes later
+        pages.where(some).write.format("staged_pages").option("path", f"{at}/staged").mode("append").save()
+        out = staged.publish(spark, f"{at}/staged", f"{at}/out", f"{at}/state", pagesPerBatch="2")
+    left = spark.createDataFrame([(k, len(v)) for k, v in staged.staged(f"{at}/staged").items()], "key string, left bigint")  # file names, as the source lists them
+    out = out.join(left, "key", "left")
+    return out.select("key", F.get_json_object("item", "$.event_id").cast("bigint").alias("event_id"), "position", F.coalesce("left", F.lit(0)).alias("staged"))
+
+
 @query(f"{STAGED} SELECT key, CAST(rows AS BIGINT) AS start FROM r WHERE error <> ''")
 def resumed_pages(spark, sf):
     """Where reading goes on."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -52,6 +53,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def pushed_filters(spark: SparkSession):
+    """While this holds, filters reach Python data sources; the session's own setting comes back."""
+    name = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpointed(rows: DataFrame) -> DataFrame:
     """rows written once to the shared folder: evaluated once, and safe when executors are lost."""
     context = rows.sparkSession.sparkContext

@@ -184,6 +184,7 @@ class Document:
         self.raw, self.places, self.trailer, self.notes = raw, {}, {}, set()
         self._held: dict[int, object] = {}
         self._packs: dict[int, dict[int, object]] = {}
+        self.fonts: dict[int, Font] = {}
         try:
             self._cross_references()
             if not isinstance(self.get(self.trailer.get("/Root")), dict):
@@ -501,6 +502,18 @@ def font_of(doc: Document, entries: dict) -> Font:
     return out
 
 
+def font_at(doc: Document, ref) -> Font:
+    """The font that a reference stands for, read once a file."""
+    number = ref.number if isinstance(ref, Ref) else -1
+    if number not in doc.fonts:
+        entries = doc.get(ref)
+        found = font_of(doc, entries) if isinstance(entries, dict) else Font()
+        if number < 0:
+            return found
+        doc.fonts[number] = found
+    return doc.fonts[number]
+
+
 Matrix = tuple[float, float, float, float, float, float]
 ONE: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
@@ -566,8 +579,7 @@ def shown(doc: Document, data: bytes, resources: dict, matrix: Matrix = ONE, ins
         elif x == "Tf":
             name = next((s for s in stack if isinstance(s, str)), "")
             if name not in fonts:
-                entries = doc.get((doc.get(resources.get("/Font")) or {}).get(name))
-                fonts[name] = font_of(doc, entries) if isinstance(entries, dict) else Font()
+                fonts[name] = font_at(doc, (doc.get(resources.get("/Font")) or {}).get(name))
             state["font"], state["size"] = fonts[name], numbers(1)[0]
         elif x in ("Tc", "Tw", "TL", "Ts"):
             state[{"Tc": "char", "Tw": "word", "TL": "lead", "Ts": "rise"}[x]] = numbers(1)[0]

@@ -1,31 +1,43 @@
-"""A batch DataSource over day shards: one input partition a range of days, under a cache policy.
+"""A batch DataSource over day shards: scans under a cache policy, and publication of whole days.
 
     spark.dataSource.register(ScholarlySource)
     spark.read.format("scholarly").option("path", ...).option("source", "arxiv").option("start", ...).option("end", ...).load()
+    rows.write.format("scholarly").option("path", ...).option("source", "arxiv").mode("append").save()
 
-Shards are JSON files `<path>/<source>/<category>/<day>.json` on storage that every executor mounts, each an
-envelope with its papers; use shards.read_range for published parquet shards on other stores. A category's
-`index.json` may tell how many rows each day has: ranges are then halved until each has fewer than `ceiling`.
+A shard is a JSON envelope `<path>/<source>/<category>/<day>.json`, on any store that Arrow reaches (file, s3, gs, hdfs);
+use shards.read_range for published parquet shards on others. Its papers stand in it (`papers`), or in files of
+lines that it names (`parts`). A category's `index.json` may tell how many rows each day has: ranges are then
+halved until each has fewer than `ceiling`.
 
 No shard is passed over in silence. A wanted day whose shard can't be used gives one row with its status
 (missing, invalid or stale) and no paper; `papers` refuses a table that has such rows, `to_fetch` lists them.
 Policies: reuse takes valid shards that are fresh enough (maxAgeDays; closed days of biorxiv don't age but for
 their recheck), refresh only those that were fetched since `now`, so that all others are listed to be fetched
 again, only takes every valid closed shard and fails on any other.
+
+Filters on day and category leave out the shards that they rule out, and one on status the rows, before any shard
+is opened for them, in a session with spark.sql.python.filterPushdown.enabled (see scan; Spark applies them again).
+They change which days are wanted, never whether a shard counts as whole.
+
+Writing has two phases. Tasks write lines into parts of their own, as many as they have days; a day may come from any
+number of tasks. Commit then writes one envelope for each day, empty days of `start` to `end` too, each atomically and
+after its parts; abort removes the parts. A reader sees a day's old shard or its new one, never part of one.
 """
 
 from __future__ import annotations
 
 import json
-import os
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from corpusmill.operators.shards import RECHECK_AGE, RECHECK_DAYS, SCHEMA_VERSION, bisect
+from corpusmill.sources import store
 
 SCHEMA = (
     "source string, category string, day date, status string, complete boolean, provisional boolean, title string, abstract string, authors array<string>, "
@@ -34,6 +46,17 @@ SCHEMA = (
 POLICIES = ("reuse", "refresh", "only")
 
 
+#: Filters on the day that can be told before a shard is opened.
+DAY_TESTS = {
+    EqualTo: lambda day, values: day in values,
+    In: lambda day, values: day in values,
+    GreaterThan: lambda day, values: day > values[0],
+    GreaterThanOrEqual: lambda day, values: day >= values[0],
+    LessThan: lambda day, values: day < values[0],
+    LessThanOrEqual: lambda day, values: day <= values[0],
+}
+
+
 class DayRange(InputPartition):
     def __init__(self, category: str, days: list[str]):
         self.category, self.days = category, days
@@ -69,16 +92,15 @@ class ShardReader(DataSourceReader):
         self.max_age = float(options.get("maxagedays") or 7.0)
         self.days_a_partition = int(options.get("daysperpartition") or 31)
         self.ceiling = int(options.get("ceiling") or 10_000)
+        self.statuses: set | None = None
+        self._tests: list[tuple] = []
 
     def _counts(self, category: str) -> dict[str, int]:
-        try:
-            with open(os.path.join(self.path, self.source, category, "index.json"), encoding="utf-8") as f:
-                return {str(k): int(v) for k, v in json.load(f).items()}
-        except FileNotFoundError:
-            return {}
+        return {str(k): int(v) for k, v in (store.read_json(f"{self.path}/{self.source}/{category}/index.json") or {}).items()}
 
     def partitions(self) -> list[DayRange]:
-        days = [(self.first + timedelta(i)).isoformat() for i in range((self.last - self.first).days + 1)]
+        every = [self.first + timedelta(i) for i in range((self.last - self.first).days + 1)]
+        days = [d.isoformat() for d in every if all(test(d, values) for test, values in self._tests)]
         out = []
         for category in self.categories:
             counts = self._counts(category)
@@ -103,12 +125,16 @@ class ShardReader(DataSourceReader):
         return closed and age <= self.max_age
 
     def _shard(self, category: str, day: str) -> tuple[str, dict]:
+        folder = f"{self.path}/{self.source}/{category}"
         try:
-            with open(os.path.join(self.path, self.source, category, f"{day}.json"), encoding="utf-8") as f:
-                shard = json.load(f)
-        except FileNotFoundError:
-            return "missing", {}
-        except ValueError:
+            shard = store.read_json(f"{folder}/{day}.json")
+            if shard is None:
+                return "missing", {}
+            if isinstance(shard, dict) and isinstance(shard.get("parts"), list):
+                shard["papers"] = [p for part in shard["parts"] for p in store.read_lines(f"{folder}/{part}")]
+                if len(shard["papers"]) != shard.get("row_count"):
+                    return "invalid", {}
+        except (ValueError, FileNotFoundError):
             return "invalid", {}
         if not shard_valid(shard, self.source, category, day):
             return "invalid", {}
@@ -120,7 +146,8 @@ class ShardReader(DataSourceReader):
             if status != "ok":
                 if self.policy == "only":
                     raise ValueError(f"shard {self.source}/{partition.category}/{day} is {status}")
-                yield (self.source, partition.category, date.fromisoformat(day), status, False, None, None, None, None, None, None, None)
+                if self.statuses is None or status in self.statuses:
+                    yield (self.source, partition.category, date.fromisoformat(day), status, False, None, None, None, None, None, None, None)
             for p in shard.get("papers") or []:
                 yield (
                     self.source,
@@ -138,6 +165,118 @@ class ShardReader(DataSourceReader):
                 )
 
 
+class NarrowedReader(ShardReader):
+    """A reader that takes filters; Spark allows one only while it pushes filters to Python sources."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Narrows days, categories and statuses; every filter goes back to Spark, which applies it as well."""
+        for f in filters:
+            name, values = ".".join(getattr(f, "attribute", ())), getattr(f, "value", None)
+            values = list(values) if isinstance(f, In) else [values]
+            if name == "day" and type(f) in DAY_TESTS and all(isinstance(v, date) for v in values):
+                self._tests.append((DAY_TESTS[type(f)], values))
+            elif name == "category" and isinstance(f, (EqualTo, In)):
+                self.categories = [c for c in self.categories if c in values]
+            elif name == "status" and isinstance(f, (EqualTo, In)):
+                self.statuses = set(values) if self.statuses is None else self.statuses & set(values)
+            yield f
+
+
+#: Parts that a task writes to at a time.
+MOST_OPEN = 64
+
+
+@dataclass
+class Part(WriterCommitMessage):
+    """What a task wrote: rows and file name of each category and day."""
+
+    files: list[tuple[str, str, str, int]]
+
+
+class ShardWriter(DataSourceWriter):
+    """Publishes days. Rows: category, day, title, abstract, authors, url, pdf_url, identifiers; others are left out.
+
+    Options: path, source, now (fetched_at, and which days are closed), start, end and categories (days that get a
+    shard even without rows), schemaVersion, exhaustionProof. Commit also keeps each category's index.json. A row without a category goes to `all`, one without a day is an error.
+    """
+
+    def __init__(self, options: dict):
+        options = {k.lower(): v for k, v in options.items()}
+        self.path, self.source = options["path"], options.get("source", "arxiv")
+        self.now = options.get("now") or datetime.now().isoformat(timespec="seconds")
+        self.version = int(options.get("schemaversion") or SCHEMA_VERSION)
+        self.proof = options.get("exhaustionproof", "")
+        self.days, self.categories = [], [c for c in options.get("categories", "all").split(",") if c]
+        if options.get("start") and options.get("end"):
+            first, last = date.fromisoformat(options["start"]), date.fromisoformat(options["end"])
+            self.days = [(first + timedelta(i)).isoformat() for i in range((last - first).days + 1)]
+        self.batch = uuid.uuid4().hex
+
+    def _folder(self, category: str) -> str:
+        return f"{self.path}/{self.source}/{category}"
+
+    def write(self, iterator: Iterator) -> Part:
+        mine, done = uuid.uuid4().hex, []
+        open_files: dict[tuple[str, str], list] = {}
+
+        def close(key) -> None:
+            f, name, n = open_files.pop(key)
+            f.close()
+            done.append((*key, name, n))
+
+        try:
+            for row in iterator:
+                row = row.asDict(True)
+                if row.get("day") is None:
+                    raise ValueError("a row without a day belongs to no shard")
+                key = (row.get("category") or "all", str(row["day"])[:10])
+                if key not in open_files:
+                    if len(open_files) >= MOST_OPEN:
+                        close(next(iter(open_files)))  # if more of it comes, it gets another part
+                    system, inner = store.at(self._folder(key[0]))
+                    name = f"parts-{self.batch}/{key[1]}-{mine}-{len(done) + len(open_files)}.jsonl"
+                    system.create_dir(f"{inner}/parts-{self.batch}", recursive=True)
+                    open_files[key] = [system.open_output_stream(f"{inner}/{name}"), name, 0]
+                paper = {k: row.get(k) for k in ("title", "abstract", "authors", "url", "pdf_url", "identifiers")}
+                out = open_files[key]
+                out[0].write(json.dumps(paper, ensure_ascii=False).encode("utf-8") + b"\n")
+                out[2] += 1
+        finally:
+            for key in list(open_files):
+                close(key)
+        return Part(done)
+
+    def commit(self, messages: list) -> None:
+        shards: dict[tuple[str, str], list[tuple[str, int]]] = {(c, d): [] for c in self.categories for d in self.days}
+        for message in messages:
+            for category, day, name, n in message.files:
+                shards.setdefault((category, day), []).append((name, n))
+        today, old, counts = self.now[:10], set(), {}
+        for (category, day), parts in sorted(shards.items()):
+            place, rows = f"{self._folder(category)}/{day}.json", sum(n for _, n in parts)
+            try:
+                before = store.read_json(place) or {}
+            except ValueError:
+                before = {}
+            old |= {f"{self._folder(category)}/{p}" for p in before.get("parts") or []}
+            closed = day < today
+            envelope = {
+                "schema_version": self.version, "source": self.source, "category": category, "date": day, "complete": closed, "provisional": not closed, "temporal_status": "closed" if closed else "provisional",
+                "fetched_at": self.now, "row_count": rows, "server_total": rows, "exhaustion_proof": self.proof, "parts": sorted(p for p, _ in parts),
+            }
+            store.write(place, json.dumps(envelope).encode("utf-8"))
+            counts.setdefault(category, {})[day] = rows
+        for category, days in counts.items():
+            place = f"{self._folder(category)}/index.json"
+            store.write(place, json.dumps((store.read_json(place) or {}) | days).encode("utf-8"))
+        for path in old:  # no envelope names them any more
+            store.remove(path)
+
+    def abort(self, messages: list) -> None:
+        for category in {*self.categories, *store.names(f"{self.path}/{self.source}", folders=True)}:
+            store.remove(f"{self._folder(category)}/parts-{self.batch}")
+
+
 class ScholarlySource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -147,7 +286,19 @@ class ScholarlySource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> ShardReader:
-        return ShardReader(dict(self.options))
+        options = dict(self.options)
+        narrowed = any(k.lower() == "pushfilters" and v.lower() == "true" for k, v in options.items())
+        return (NarrowedReader if narrowed else ShardReader)(options)
+
+    def writer(self, schema, overwrite: bool) -> ShardWriter:
+        return ShardWriter(dict(self.options))
+
+
+def scan(spark: SparkSession, **options: str) -> DataFrame:
+    """A scan that takes filters if the session pushes them."""
+    spark.dataSource.register(ScholarlySource)
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("scholarly").options(**options, pushFilters=pushed).load()
 
 
 def to_fetch(rows: DataFrame) -> DataFrame:
