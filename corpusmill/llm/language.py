@@ -8,28 +8,33 @@ language is solved in landmark space. Prediction folds landmarks and regressions
 each n-gram and language and scores batches of texts as matrix products.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; labels that are null are not
-learned from; repeated rows are predicted one by one; with no labelled row at all everything is `und`;
-an empty table gives no rows; other columns pass through; of equally frequent labels and of rows with equal
-hashes the smaller come first.
+learned from; repeated rows are predicted one by one, and count once in the sample; null and repeated ids don't
+matter, as the sample goes by id and text; with no labelled row at all everything is `und`; an empty table gives no
+rows; other columns pass through; of equally frequent labels the smaller come first; labels beyond the most frequent
+MOST_LANGUAGES aren't learned: a warning names their number, and so does the model.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import array_udf, crc_remainder, own
 
 GRAMS = (1, 2, 3, 4)
 DOMAIN_BITS = 17
-#: Bounds of the training sample and of the landmarks in it, for each language, and of languages: the most frequent labels.
-SAMPLE_A_LANGUAGE = 250
-LANDMARKS_A_LANGUAGE = 60
+#: Bounds of the training sample and of the landmarks in it, for each language and for all, and of languages: the most
+#: frequent labels. With them the driver's share stays below 1 GB, however many documents or labels there are.
+SAMPLE_A_LANGUAGE, MOST_SAMPLE = 250, 12_000
+LANDMARKS_A_LANGUAGE, MOST_LANDMARKS = 60, 3000
 MOST_LANGUAGES = 200
+#: Rows of a block in the driver's products.
+BLOCK = 256
 RIDGE = 0.01
 #: Sharpness of the score: margins times this go through a softmax.
 SHARPNESS = 6.0
@@ -76,11 +81,12 @@ def grams(text: str | None) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, and weights (n-grams of the landmarks x languages) found through `column`."""
+    """Languages, weights (n-grams of the landmarks x languages) found through `column`, and how many labels weren't learned."""
 
     languages: tuple[str, ...]
     column: np.ndarray
     weights: np.ndarray
+    unlearned: int = 0
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """Margins, a row a text and a column a language: presences times weights."""
@@ -101,54 +107,75 @@ class Model:
         return (share - chance) / max(1 - chance, 1e-9)
 
 
-def solve(sample: list[tuple[str, np.ndarray]]) -> Model:
-    """Nyström ridge regressions, one language against the rest, from (language, n-grams) rows."""
-    languages = tuple(sorted({lang for lang, _ in sample}))
-    landmarks = [g for lang in languages for g in [x for name, x in sample if name == lang][:LANDMARKS_A_LANGUAGE]]
+def solve(sample: list[tuple[str, np.ndarray]], unlearned: int = 0) -> Model:
+    """Nyström ridge regressions, one language against the rest, from (language, n-grams) rows, in blocks of rows."""
+    by: dict[str, list[np.ndarray]] = {}
+    for lang, ids in sample:
+        by.setdefault(lang, []).append(ids)
+    languages = tuple(sorted(by))
+    each = min(LANDMARKS_A_LANGUAGE, max(1, MOST_LANDMARKS // max(1, len(languages))))
+    landmarks = [g for lang in languages for g in by[lang][:each]]
     used = np.unique(np.concatenate(landmarks)) if landmarks else np.zeros(0, np.int32)
     column = np.full(1 << DOMAIN_BITS, -1, np.int32)
     column[used] = np.arange(len(used), dtype=np.int32)
     if not landmarks:
-        return Model(languages, column, np.zeros((0, len(languages)), np.float32))
-
-    def rows(sets: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(sets), len(used)), np.float32)
-        for k, ids in enumerate(sets):
-            found = column[ids]
-            out[k, found[found >= 0]] = 1 / np.sqrt(max(len(ids), 1))
-        return out
-
-    marks = rows(landmarks)
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+        return Model(languages, column, np.zeros((0, len(languages)), np.float32), unlearned)
+
+    def blocks(sets: list[np.ndarray]):
+        """Presences over the roots of set sizes, BLOCK sets at a time."""
+        for at in range(0, len(sets), BLOCK):
+            out = np.zeros((min(BLOCK, len(sets) - at), len(used)), np.float32)
+            for k, ids in enumerate(sets[at : at + BLOCK]):
+                found = column[ids]
+                out[k, found[found >= 0]] = 1 / np.sqrt(max(len(ids), 1))
+            yield at, out
+
+    def kernel(rows: np.ndarray) -> np.ndarray:
+        """Kernels of some rows with every landmark."""
+        return np.concatenate([rows @ marks.T for _, marks in blocks(landmarks)], 1).astype(np.float64)
+
+    values, vectors = np.linalg.eigh(np.concatenate([kernel(rows) for _, rows in blocks(landmarks)]))
     kept = values > 1e-6 * values.max()
     half = vectors[:, kept] / np.sqrt(values[kept])  # K_mm to the power -1/2
-    features = rows([g for _, g in sample]) @ marks.T @ half
-    target = np.array([[1.0 if lang == name else -1.0 for name in languages] for lang, _ in sample])
-    gram = features.T @ features + RIDGE * len(sample) * np.eye(features.shape[1]) / 100
-    alpha = np.linalg.solve(gram, features.T @ target)
-    return Model(languages, column, (marks.T @ (half @ alpha)).astype(np.float32))
-
-
-def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
-    """A model from at most SAMPLE_A_LANGUAGE documents of each of the MOST_LANGUAGES most frequent labels, where `train` holds.
-
-    The sample is drawn by a hash of the id, at a rate for each label that its count sets; only n-gram ids
-    of whole sampled texts reach the driver, so its share is bounded by both numbers.
+    gram = RIDGE * len(sample) * np.eye(half.shape[1]) / 100
+    goal = np.zeros((half.shape[1], len(languages)))
+    told = np.array([languages.index(lang) for lang, _ in sample])
+    for at, rows in blocks([g for _, g in sample]):
+        features = kernel(rows) @ half
+        gram += features.T @ features
+        goal += features.T @ np.where(told[at : at + len(rows), None] == np.arange(len(languages)), 1.0, -1.0)
+    alpha = half @ np.linalg.solve(gram, goal)
+    weights = np.zeros((len(used), len(languages)))
+    for at, marks in blocks(landmarks):
+        weights += marks.T @ alpha[at : at + len(marks)]
+    return Model(languages, column, weights.astype(np.float32), unlearned)
+
+
+def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most_languages: int = MOST_LANGUAGES) -> Model:
+    """A model from at most SAMPLE_A_LANGUAGE documents of each of the most frequent labels, where `train` holds.
+
+    The sample of a label are the rows with the smallest hashes of id and text, equal rows once; only n-gram ids
+    of whole sampled texts reach the driver, so its share is bounded by the sample.
     """
     rows = docs.where(train & F.col(label_col).isNotNull()).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), F.col(f"`{label_col}`").cast("string").alias("_label"))
-    most = rows.groupBy("_label").count().orderBy(F.col("count").desc(), "_label").limit(MOST_LANGUAGES)
-    counts = {r["_label"]: r["count"] for r in most.collect()}
-    if not counts:
+    rows = rows.withColumn("_order", F.xxhash64("_id", "_text", F.lit("language sample")))
+    counts = rows.groupBy("_label").count()
+    most = [r["_label"] for r in counts.orderBy(F.col("count").desc(), "_label").limit(most_languages).collect()]
+    if not most:
         return solve([])
-    order = F.pmod(F.xxhash64("_id", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rates = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.5 * SAMPLE_A_LANGUAGE / n))])
-    drawn = rows.withColumn("_order", order).where(F.col("_order") < F.try_element_at(rates, F.col("_label")))
-    found = drawn.select("_label", "_order", array_udf(_gram_bytes, "binary")("_text").alias("_grams")).collect()
-    sample: list[tuple[str, np.ndarray]] = []
-    for label in counts:
-        own = sorted((r["_order"], bytes(r["_grams"])) for r in found if r["_label"] == label and r["_grams"])
-        sample += [(label, np.frombuffer(g, np.int32)) for _, g in own[:SAMPLE_A_LANGUAGE]]
-    return solve(sample)
+    unlearned = counts.count() - len(most)
+    if unlearned:
+        warnings.warn(f"{unlearned} labels beyond the {len(most)} most frequent ones are not learned", stacklevel=2)
+    size = min(SAMPLE_A_LANGUAGE, max(1, MOST_SAMPLE // len(most)))
+    # hashes alone are ranked; each task keeps `size` of a label before they move
+    rank = F.row_number().over(Window.partitionBy("_label").orderBy("_order"))
+    hashes = rows.where(F.col("_label").isin(most)).select("_label", "_order").distinct().withColumn("_rank", rank).where(F.col("_rank") <= size)
+    last = {r["_label"]: r["last"] for r in hashes.groupBy("_label").agg(F.max("_order").alias("last")).collect()}
+    until = F.try_element_at(F.create_map(*[F.lit(x) for pair in last.items() for x in pair]), F.col("_label"))
+    drawn = rows.where(F.col("_order") <= until).groupBy("_label", "_order").agg(F.first("_text").alias("_text"))
+    found = drawn.select("_label", "_order", array_udf(_gram_bytes, "binary")("_text").alias("_grams")).collect()  # `size` rows a label
+    sample = [(r["_label"], np.frombuffer(bytes(r["_grams"]), np.int32)) for r in sorted(found, key=lambda r: (most.index(r["_label"]), r["_order"])) if r["_grams"]]
+    return solve(sample, unlearned)
 
 
 def _gram_bytes(texts: pa.Array) -> pa.Array:

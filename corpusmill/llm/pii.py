@@ -2,7 +2,8 @@
 
 Kinds with a fixed contract ("base" spans): email, ip, card, phone. The method adds iban (mod-97), ssn
 and secret (keys, tokens and passwords: known formats, assignments, and strings whose entropy is high).
-Words near a span raise its score or lower it. An added span needs LEAST_SCORE to count at all; a base
+Words near a span raise its score or lower it; what a checksum has proven (cards, IBANs) no word lowers below
+PROVEN_SCORE, and a phone number with its country code or an address with its domain outweighs one word. An added span needs LEAST_SCORE to count at all; a base
 span is always told, but it is redacted only from that score on.
 
 Edge cases: a null or empty text has no spans (redacted: null stays null, empty stays empty); repeated rows
@@ -29,8 +30,10 @@ KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 CONTEXT_WINDOW = 40
 LEAST_SCORE = 0.5
 #: A kind's own confidence, and what a word for or against it changes.
-CONFIDENCE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.3}
+CONFIDENCE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.8, "iban": 0.8, "ssn": 0.3, "secret": 0.3}
 SHIFT = 0.3
+#: Kinds that a checksum proves, and the least score that leaves them.
+PROVEN, PROVEN_SCORE = ("card", "iban"), 0.6
 #: Confidence in a secret of a known format or one that is assigned to a name.
 TOLD = 0.7
 FOR = {
@@ -189,7 +192,7 @@ def score(text: str, kind: str, start: int, end: int, sure: float | None = None)
     sure = CONFIDENCE[kind] if sure is None else sure
     for words, shift in zip(_NEAR[kind], (SHIFT, -SHIFT)):
         sure += shift * (words.search(near) is not None)
-    return min(1.0, max(0.0, round(sure, 6)))
+    return min(1.0, max(PROVEN_SCORE if kind in PROVEN else 0.0, round(sure, 6)))
 
 
 def find_spans(text: str) -> list[tuple[str, int, int, float, bool]]:
@@ -209,7 +212,8 @@ def find_spans(text: str) -> list[tuple[str, int, int, float, bool]]:
 
 
 def redact(text: str, spans=None) -> str:
-    """The text with every span of LEAST_SCORE replaced by its kind in brackets; overlapping spans become one, named by the first."""
+    """The text with every span of LEAST_SCORE replaced by its kind in brackets; overlapping spans become one, named by the
+    first; of several that begin at one place, by the first of KINDS."""
     spans = find_spans(text) if spans is None else spans
     out, at = [], 0
     for kind, start, end, sure, *_ in spans:

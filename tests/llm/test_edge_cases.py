@@ -317,7 +317,8 @@ def test_pii_words_change_scores_of_every_kind():
         for words, sign in ((pii.FOR, 1), (pii.AGAINST, -1)):
             said = f"{words[kind][0]} {text}"
             changed = pii.score(said, kind, len(said) - len(text), len(said))
-            assert changed == pytest.approx(min(1, max(0, plain + sign * pii.SHIFT)))
+            least = pii.PROVEN_SCORE if kind in pii.PROVEN else 0  # no word outweighs a checksum
+            assert changed == pytest.approx(min(1, max(least, plain + sign * pii.SHIFT)))
     assert pii.redact("version 1.2.3.4, server 1.2.3.4" + " " * 40) != pii.redact("server 1.2.3.4, server 1.2.3.4" + " " * 40)
 
 
@@ -534,3 +535,64 @@ def test_pipeline_against_brute_force(spark, sf):
     for r in corpus_pipeline.run(spark, sf).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got == want
+
+
+def test_a_proven_number_outweighs_a_word():
+    """No word near a card or an IBAN keeps it in a text; what only looks like an address may stay."""
+    told = pii.redact("My order: pay with 4111 1111 1111 1111 today, serial DE89 3704 0044 0532 0130 00, invoice +1 (555) 010-2030, version 1.2.3.4")
+    assert told == "My order: pay with [CARD] today, serial [IBAN], invoice [PHONE], version 1.2.3.4"
+    for word in pii.AGAINST["card"]:
+        assert "4111" not in pii.redact(f"{word} 4111-1111-1111-1111 {word}")
+
+
+LABELLED = [f"{a} {b} {c}" for a in ("the house", "a river", "this road") for b in ("and the", "of that", "with a") for c in ("morning light", "old stone", "winter rain", "small boat")]
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "own"])
+def test_language_sample_goes_by_rows(spark, ids):
+    """Null ids, one id for all, ids of their own: the sample is never empty and never all rows."""
+    rows = [(None if ids == "null" else 26 if ids == "one" else k, f"{LABELLED[k % len(LABELLED)]} {k // len(LABELLED)}" if k % 2 else f"дом стоит {'у реки' if k % 3 else 'на горе'} под снегом {'ива' * (k % 17)}", "en" if k % 2 else "ru") for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    seen = []
+    kept = language.solve
+    try:
+        language.solve = lambda sample, *more: seen.append(len(sample)) or kept(sample, *more)
+        model = language.fit(df, F.lit(True))
+    finally:
+        language.solve = kept
+    assert model.languages == ("en", "ru") and 100 < seen[0] <= 2 * language.SAMPLE_A_LANGUAGE
+    told = language.predict(df, model)
+    assert told.where("language.lang <> lang").count() == 0
+
+
+def test_more_labels_than_may_be_learned(spark):
+    rows = [(k, f"{LABELLED[k % 12]} {chr(97 + k % 7) * 5}", f"l{k % 7}") for k in range(140)] + [(999, "only one", "rare")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.warns(UserWarning, match="5 labels beyond the 3"):
+        model = language.fit(df, F.lit(True), most_languages=3)
+    assert model.unlearned == 5 and model.languages == ("l0", "l1", "l2")
+    assert language.fit(df, F.lit(True)).unlearned == 0
+
+
+def test_blocks_of_the_solution_change_nothing(monkeypatch):
+    r = random.Random(4)
+    sample = [(lang, language.grams(" ".join(r.choice(WORDS[i * 300 : i * 300 + 400]) for _ in range(40)))) for i, lang in enumerate("abc") for _ in range(70)]
+    whole = language.solve(sample)
+    monkeypatch.setattr(language, "BLOCK", 7)
+    parts = language.solve(sample)
+    assert np.allclose(whole.weights, parts.weights, atol=1e-4) and whole.languages == parts.languages
+    monkeypatch.setattr(language, "MOST_LANDMARKS", 30)
+    few = language.solve(sample)
+    texts = [g for _, g in sample]
+    assert (few.scores(texts).argmax(1) == whole.scores(texts).argmax(1)).mean() > 0.95
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    """A row goes for its own text only: others of its id stay, and so do their columns."""
+    a, b, c = long_text(11), long_text(12), long_text(13)
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b + " more"), (None, c), (4, c + " more"), (None, ""), (5, None), (6, a[: len(a) // 2])]
+    df = spark.createDataFrame([(k, t, 7) for k, t in rows], "doc_id long, text string, row int")
+    kept = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text, r.row) for r in kept.collect()) == Counter((k, t, 7) for k, t in rows if t not in (a + " more", b + " more", c))
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
