@@ -12,6 +12,7 @@ from public_tokenizers import path as vocabulary
 
 from corpusmill.llm import exact_dedup, language, near_dedup, packing, pii
 from corpusmill.llm.common import join_checked, packed, small_batches, stored, table, unpacked
+from corpusmill.llm.resampling import numbered
 
 #: A text whose best margin and share of known n-grams are both below these has none of the languages.
 #: Neither depends on how many languages the labels have.
@@ -41,11 +42,22 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; null ids, null and empty texts stay."""
+    """The document with the smallest id of each group of near duplicates; null and empty texts stay.
+
+    Documents are told apart by rows, not by ids: where an id is null or occurs again, rows are numbered by id
+    (nulls last) and text first, and the first of each group stays.
+    """
     small_batches(spark)
-    found = near_dedup.near_duplicates(docs, SHINGLE_WORDS, *SIMILAR)
-    gone = stored(found.where("component_id <> id").select(F.col("id").alias("doc_id")).distinct(), "gone")
-    return join_checked(docs, gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count()
+    if not again:
+        found = near_dedup.near_duplicates(docs, SHINGLE_WORDS, *SIMILAR)
+        gone = stored(found.where("component_id <> id").select(F.col("id").alias("doc_id")).distinct(), "gone")
+        return join_checked(docs, gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = numbered(rows, F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).select("row", "_place", "text")
+    found = near_dedup.near_duplicates(rows, SHINGLE_WORDS, *SIMILAR, id_col="_place")
+    gone = stored(found.where("component_id <> id").select(F.col("id").alias("_place")), "gone")
+    return unpacked(join_checked(rows, gone, "_place", "left_anti"), "row", docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
