@@ -94,16 +94,16 @@ def binding_audit(rows: DataFrame, year: int, venue: str) -> DataFrame:
 def catalog_contract(rows: DataFrame, receipt: DataFrame, channel: str, year: int, schema_version: int = 1, minimum: int = 0, require_categories: bool = False, adapter: str = "") -> DataFrame:
     """One row of booleans on a catalog that is to be kept: receipt, binding, rows, size and completeness; `complete` if all hold.
 
-    receipt: one row of status, complete_catalog, exhaustion_proof, count, discovered_count, requested_years,
+    receipt: exactly one row (else it doesn't count) of status, complete_catalog, exhaustion_proof, count, discovered_count, requested_years,
     effective_years, channel, schema_version, adapter.
     """
     from corpusmill.operators.records import canonical_channel
 
     found = venue_audit(rows, None, require_categories).crossJoin(binding_audit(rows, year, channel))  # one row each
-    one = found.join(receipt.limit(1).select(*[F.col(c).alias(f"r_{c}") for c in receipt.columns]), F.lit(True), "left")
+    one = found.crossJoin(receipt.agg(F.count(F.lit(1)).alias("r__n"), *[F.first(c).alias(f"r_{c}") for c in receipt.columns]))  # one row each
     years = F.array(F.lit(year))
     holds = {
-        "receipt_ok": (F.col("r_status") == "complete") & F.col("r_complete_catalog") & ~T.missing(F.col("r_exhaustion_proof")),
+        "receipt_ok": (F.col("r__n") == 1) & (F.col("r_status") == "complete") & F.col("r_complete_catalog") & ~T.missing(F.col("r_exhaustion_proof")),
         "payload_binding_ok": (canonical_channel(F.col("r_channel")) == channel) & (F.col("r_schema_version") == schema_version),
         "receipt_binding_ok": (F.col("r_count") == F.col("record_count")) & (F.col("r_discovered_count") == F.col("record_count")) & (F.col("r_requested_years") == years) & (F.col("r_effective_years") == years),
         "row_binding_ok": (F.col("record_count") > 0) & (F.col("wrong_year_count") == 0) & (F.col("wrong_venue_count") == 0) & (F.col("wrong_type_count") == 0),

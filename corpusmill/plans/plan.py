@@ -12,6 +12,10 @@ from dataclasses import dataclass
 from datetime import date
 from typing import Any
 
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # What a plan may say.
 SOURCE_TYPES = {"venue", "arxiv", "biorxiv"}
 MODES = {"comprehensive", "focused", "incremental", "metadata_only"}
@@ -172,6 +176,31 @@ def validate(plan: Any) -> dict:
     return {**plan, "sources": sources, "workflow": workflow, "request_scope": {**plan["request_scope"], "as_of_date": scope.as_of}}
 
 
+def checked(documents: Column) -> Column:
+    """Struct of problem (the first rule that a plan given as JSON breaks; empty if none) and stages that it allows."""
+
+    def check(values: pa.Array) -> pa.Array:
+        out = []
+        for value in values.to_pylist():
+            try:
+                flow = validate(json.loads(value or ""))["workflow"]
+                out.append({"problem": "", "stages": [s for s in STAGES if stage_allowed(flow, s)]})
+            except PlanError as e:
+                out.append({"problem": str(e), "stages": []})
+            except ValueError:
+                out.append({"problem": "no JSON", "stages": []})
+        return pa.array(out, pa.struct([("problem", pa.string()), ("stages", pa.list_(pa.string()))]))
+
+    return F.arrow_udf(check, "struct<problem: string, stages: array<string>>")(documents)
+
+
+def exit_statuses(step: Column, outcome: Column) -> Column:
+    """exit_status of every row."""
+    known = F.create_map(*[x for name, done in DONE.items() for x in (F.lit(name), F.array(*[F.lit(o) for o in sorted(done)]))])
+    done = F.try_element_at(known, step)
+    return F.when(F.coalesce(F.array_contains(done, outcome), ~outcome.isin(*sorted(NOT_DONE))), 0).otherwise(2)
+
+
 def stage_allowed(workflow: dict, stage: str) -> bool:
     """A run goes no further than its plan says."""
     return STAGES.index(stage) <= STAGES.index(workflow["stop_after"])

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import acquire, audit, dedup, enrich, fulltext, reads, records, score
+from corpusmill.operators import acquire, audit, catalogs, dedup, enrich, fulltext, reads, records, score, winners
 from corpusmill.plans.catalog import REAL, query
-from corpusmill.session import table
+from corpusmill.session import scratch, table
 from corpusmill.sources import channels
 
 KINDS = ["neurips", "icml", "acl", "cvpr", "ijcai", "eccv", "iclr", "kdd", "arxiv", "biorxiv"]
@@ -183,6 +183,98 @@ def catalog_contract(spark, sf):
     return audit.catalog_contract(rows, receipt, "acl", 2024, minimum=1)
 
 
+_BROKEN = {
+    "whole": "", "receipt": "receipt_ok", "channel": "payload_binding_ok", "count": "receipt_binding_ok", "year": "row_binding_ok", "minimum": "minimum_ok", "adapter": "adapter_ok", "abstract": "metadata_completeness_ok",
+}
+_RULES = ("receipt_ok", "payload_binding_ok", "receipt_binding_ok", "row_binding_ok", "minimum_ok", "adapter_ok", "metadata_completeness_ok")
+
+
+@query(
+    """WITH n AS (SELECT count(*) AS n, count(*) FILTER (c_custkey % 9 = 0) AS odd, count(*) FILTER (c_custkey % 4 = 0) AS bare FROM customer), v(variant) AS (VALUES ('whole'), ('receipt'), ('channel'), ('count'), ('year'), ('minimum'), ('adapter'), ('abstract')),
+    r AS (SELECT variant, n AS record_count, variant <> 'receipt' AS receipt_ok, variant <> 'channel' AS payload_binding_ok, n = CASE variant WHEN 'count' THEN n + 1 ELSE n END AS receipt_binding_ok,
+        CASE variant WHEN 'year' THEN odd ELSE 0 END = 0 AS row_binding_ok, n >= CASE variant WHEN 'minimum' THEN n + 1 ELSE 1 END AS minimum_ok, variant <> 'adapter' AS adapter_ok, CASE variant WHEN 'abstract' THEN bare ELSE 0 END = 0 AS metadata_completeness_ok FROM n, v)
+    SELECT *, receipt_ok AND payload_binding_ok AND receipt_binding_ok AND row_binding_ok AND minimum_ok AND adapter_ok AND metadata_completeness_ok AS complete FROM r"""
+)
+def broken_contracts(spark, sf):
+    """The contract of a catalog, whole and with each of its rules broken once."""
+    cust = table(spark, sf, "customer")
+    n, out = cust.count(), None
+    for variant in _BROKEN:
+        is_ = lambda name, yes, no, variant=variant: yes if variant == name else no
+        key = F.col("c_custkey")
+        abstract = F.when((key % 4 == 0) & F.lit(variant == "abstract"), "").otherwise("This is a real abstract with many more than eight words and over fifty characters.")
+        rows = cust.select(
+            key.alias("identity"), F.col("c_name").alias("title"), abstract.alias("abstract"), F.array(F.lit("A")).alias("authors"), F.lit("https://x").alias("url"), F.lit("").alias("pdf_url"),
+            F.when((key % 9 == 0) & F.lit(variant == "year"), 2023).otherwise(2024).alias("year"), F.lit(None).cast("date").alias("published"), F.lit("ACL").alias("venue"), F.lit("venue").alias("source_type"),
+        )
+        told = n + is_("count", 1, 0)
+        receipt = spark.createDataFrame(
+            [(is_("receipt", "partial", "complete"), True, "all pages", told, told, [2024], [2024], is_("channel", "EMNLP", "ACL"), 1, is_("adapter", "other", "acl"))],
+            "status string, complete_catalog boolean, exhaustion_proof string, count long, discovered_count long, requested_years array<int>, effective_years array<int>, channel string, schema_version int, adapter string",
+        )
+        one = audit.catalog_contract(rows, receipt, "acl", 2024, minimum=is_("minimum", n + 1, 1), adapter="acl").withColumn("variant", F.lit(variant))
+        out = one if out is None else out.unionByName(one)
+    return out.select("variant", "record_count", *_RULES, "complete")
+
+
+@query(
+    """SELECT c_nationkey, count(*) FILTER (c_custkey % 3 = 0) AS wrong_year_count, count(*) FILTER (c_custkey % 5 = 0) AS wrong_venue_count, count(*) FILTER (c_custkey % 7 = 0) AS wrong_type_count FROM customer WHERE c_nationkey < 4 GROUP BY 1"""
+)
+def binding_counts(spark, sf):
+    """Rows of a wrong year, venue or type in catalogs that are meant to hold one of each."""
+    key, out = F.col("c_custkey"), None
+    for nation in range(4):
+        rows = table(spark, sf, "customer").where(F.col("c_nationkey") == nation).select(
+            F.when(key % 2 == 0, F.when(key % 3 == 0, 2020).otherwise(2024)).alias("year"), F.when(key % 2 != 0, F.when(key % 3 != 0, F.lit("2024-05-01").cast("date"))).alias("published"),
+            F.when(key % 5 != 0, " a.C-l ").alias("venue"), F.when(key % 7 == 0, "preprint").otherwise(" Venue").alias("source_type"),
+        )
+        one = audit.binding_audit(rows, 2024, "acl").withColumn("c_nationkey", F.lit(nation))
+        out = one if out is None else out.unionByName(one)
+    return out.select("c_nationkey", "wrong_year_count", "wrong_venue_count", "wrong_type_count")
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, {PAPER_TEXT} FROM documents), r AS (SELECT doc_id, {REAL} AS ok FROM p), n AS (SELECT count(*) AS n, count(*) FILTER (ok) AS good, count(*) FILTER (ok AND doc_id % 4 = 0) AS odd FROM r)
+    SELECT 'whole' AS catalog, 'complete' AS status, '' AS broken, good AS record_count, good AS kept FROM n
+    UNION ALL SELECT 'short', CASE WHEN good < n THEN 'incomplete' ELSE 'complete' END, CASE WHEN good < n THEN 'abstracts,completeness' ELSE '' END, n, CASE WHEN good < n THEN 0 ELSE n END FROM n
+    UNION ALL SELECT 'missing', 'incomplete', 'discovered', good, 0 FROM n UNION ALL SELECT 'foreign', CASE WHEN odd > 0 THEN 'refused' ELSE 'complete' END, CASE WHEN odd > 0 THEN 'binding' ELSE '' END, good, CASE WHEN odd > 0 THEN 0 ELSE good END FROM n
+    UNION ALL SELECT 'empty', 'authoritative_empty', '', 0, 0"""
+)
+def published_catalogs(spark, sf):
+    """Catalogs audited by the pass that writes them: kept, or removed with the rules that they break."""
+    at, docs = scratch(spark, "catalogs"), table(spark, sf, "documents")
+    rows = docs.select(
+        F.col("doc_id").alias("identity"), F.lit("A title").alias("title"), F.col("text").alias("abstract"), F.array(F.lit("A")).alias("authors"), F.lit("https://x").alias("url"), F.lit(None).cast("string").alias("pdf_url"),
+        F.lit(2024).alias("year"), F.lit(None).cast("date").alias("published"), F.lit("ACL").alias("venue"),
+    )
+    good = rows.where(T.abstract_is_real(F.col("abstract")))
+    n = good.count()
+    tried = {
+        "whole": (good, catalogs.Receipt()), "short": (rows, catalogs.Receipt()), "missing": (good, catalogs.Receipt(discovered=n + 1)), "empty": (rows.where("identity < 0"), catalogs.Receipt(minimum=5)),
+        "foreign": (good.withColumn("year", F.when(F.col("identity") % 4 == 0, 2023).otherwise(2024)), catalogs.Receipt()),
+    }
+    out = []
+    for name, (some, receipt) in tried.items():
+        got = catalogs.publish(some, f"{at}/{name}", "acl", 2024, receipt, F.lit("2024-06-01").cast("timestamp"))
+        kept = catalogs.current(spark, f"{at}/{name}", "acl", 2024)
+        out.append((name, got.status, ",".join(got.broken), got.metrics["record_count"], kept.count() if kept is not None else 0))
+    return spark.createDataFrame(out, "catalog string, status string, broken string, record_count long, kept long")
+
+
+@query(
+    """WITH p AS (SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n, source || '|' || (length(text) % 97) AS identity FROM documents),
+    r AS (SELECT identity, doc_id, min(doc_id) OVER (PARTITION BY identity) AS first, row_number() OVER (PARTITION BY identity ORDER BY n DESC, doc_id) AS place FROM p)
+    SELECT identity, doc_id, first FROM r WHERE place = 1"""
+)
+def merged_winners(spark, sf):
+    """Keep-longest day by day, in four days, the third of them twice: the same winners and first places as at once."""
+    at, docs = scratch(spark, "winners"), table(spark, sf, "documents")
+    rows = docs.select(F.concat_ws("|", "source", (F.length("text") % 97).cast("string")).alias("identity"), "doc_id", F.col("text").alias("abstract"), F.lit(0).alias("_source_index"), F.col("doc_id").alias("_source_pos"))
+    for day in (2, 0, 3, 1, 3):
+        winners.merge(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == day), at, 64)
+    return winners.winners(spark, at).select("identity", "doc_id", F.col("first_position._source_pos").alias("first"))
+
+
 @query(
     f"""WITH p AS (SELECT doc_id, {PAPER_TEXT} FROM documents), b AS (SELECT 'T' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS t FROM p WHERE NOT {REAL} ORDER BY t LIMIT 5)
     SELECT (SELECT count(*) FROM p) AS record_count, (SELECT coalesce(string_agg(t, ' ' ORDER BY t), '') FROM b) AS examples"""

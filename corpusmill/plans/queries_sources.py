@@ -81,6 +81,41 @@ def article_texts(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(files.article_text(page), 256).alias("body"))
 
 
+@query(
+    """SELECT c_custkey AS k, 'Über ' || c_name || chr(10) || 'x < ' || c_custkey || ' & y > z' || chr(10) || 'kept <b>' || lower(c_mktsegment) || '</b> &amp; as it stands' || chr(10) || 'joined, not parted' || chr(10) || 'after' AS text FROM customer"""
+)
+def article_entities(spark, sf):
+    """Character data of XML articles: entities named, decimal and hexadecimal, CDATA sections, comments and instructions."""
+    page = F.expr(
+        """concat('<?xml version="1.0"?><!DOCTYPE article [<!ELEMENT p ANY>]><article><title>&#220;ber ', c_name, '</title><!-- a <p>comment</p> --><p>x &lt; ', c_custkey, ' &amp; y &#x3E; z</p>',
+        '<p><![CDATA[kept <b>', lower(c_mktsegment), '</b> &amp; as it stands]]></p><p>joined<![CDATA[, not]]> parted</p><?go on?><p>after<![CDATA[]]></p></article>')"""
+    )
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), files.article_text(page).alias("text"))
+
+
+@query(
+    """SELECT page_id, 'Heading of ' || page_id || chr(10) || 'It says "a < b" &  more.' || chr(10) || url AS text, length(url) > 0 AS has FROM pages"""
+)
+def made_main_text(spark, sf):
+    """Running text of pages with menus, scripts and notices around their article, or in main, or in the body alone."""
+    kind = F.element_at(F.array(F.lit("article"), F.lit("main"), F.lit("section")), (F.col("page_id") % 3 + 1).cast("int"))
+    body = F.concat(F.lit("<h1>Heading of "), F.col("page_id").cast("string"), F.lit("</h1>\n<script>var a = '<p>no</p>';</script><p>It says &quot;a &lt; b&quot; &amp;  more.</p><aside>Not this</aside><p>"), F.col("url"), F.lit("</p>"))
+    html = F.concat(
+        F.lit("<html><head><title>T</title><style>p {}</style></head><body><nav><a href='/'>Home</a></nav><header><p>Top</p></header><"), kind, F.lit(">"), body, F.lit("</"), kind,
+        F.lit("><footer><p>Bottom</p></footer></body></html>"),
+    )
+    return table(spark, sf, "pages").select("page_id", pages.main_text(html).alias("text"), (F.length("url") > 0).alias("has"))
+
+
+@query("SELECT event_type AS kind, CAST(sum(length(CAST(event_id AS VARCHAR)) + 1) AS BIGINT) AS bytes FROM events GROUP BY 1")
+def run_inventory(spark, sf):
+    """Files below a folder and their sizes, contents unread."""
+    at = scratch(spark, "inventory")
+    table(spark, sf, "events").select("event_type", F.col("event_id").cast("string").alias("value")).write.partitionBy("event_type").text(at)
+    found = files.inventory(spark, at).where("path LIKE '%/part-%'")
+    return found.groupBy(F.regexp_extract("path", "event_type=(\\w+)/", 1).alias("kind")).agg(F.sum("length").alias("bytes"))
+
+
 @query("SELECT c_custkey AS k, c_name AS name FROM customer")
 def object_lines(spark, sf):
     """Objects line by line, blank lines aside."""

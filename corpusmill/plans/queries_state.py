@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import dedup, fulltext, progress, runs, scans, shards
 from corpusmill.plans.catalog import REAL, query
-from corpusmill.session import scratch, table
+from corpusmill.session import conf, scratch, table
 from corpusmill.sources import paged, staged
 from corpusmill.streaming import days
 
@@ -191,7 +191,9 @@ def results_in_asked_order(spark, sf):
 
     asked = with_positions(table(spark, sf, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("identity"), "c_acctbal"), [F.col("c_acctbal"), F.col("identity")])
     done = table(spark, sf, "customer").select(F.col("c_custkey").alias("identity"))
-    return with_positions(progress.in_asked_order(done.join(asked.select("identity", "c_acctbal"), "identity"), asked), [F.col("c_acctbal"), F.col("identity")]).select("identity", "position")
+    shuffled = done.repartition(7, F.xxhash64("identity"))
+    ordered = progress.in_asked_order(shuffled, asked).withColumn("place", F.monotonically_increasing_id())  # as the operator's rows come
+    return with_positions(ordered, [F.col("place")]).select("identity", "position")
 
 
 @query("SELECT p_partkey, '/new/run/' || p_partkey AS own, '/old/runs/' || p_partkey AS other, '/new/run|relative/old/run' AS inner_paths FROM part")
@@ -223,6 +225,30 @@ def streamed_incidents(spark, sf):
     return _streamed(spark, sf, "incidents", twice)
 
 
+@query(
+    """WITH e AS (SELECT user_id, ts, event_id, list_distinct([event_type, 'e' || (event_id % 3)]) AS w FROM events WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 3 DAY FROM events)),
+    b AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY user_id ORDER BY ts, event_id), []) AS p FROM e)
+    SELECT CAST(user_id AS VARCHAR) AS run_id, CAST(event_id AS VARCHAR) AS stage, 'raised' AS action, unnest(list_filter(w, lambda x: NOT list_contains(p, x))) AS message FROM b
+    UNION ALL SELECT CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR), 'resolved', unnest(list_filter(p, lambda x: NOT list_contains(w, x))) FROM b"""
+)
+def streamed_warnings(spark, sf):
+    """Warnings raised and resolved, by a stream whose snapshots come up to two days late over six batches."""
+    at, events = scratch(spark, "snapshots"), table(spark, sf, "events")
+    late = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + (F.col("event_id") * 7919) % 172_800 * 1_000_000)
+    snaps = events.select(
+        F.col("user_id").alias("run_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_id").alias("stage"), F.array("event_type", F.concat(F.lit("e"), (F.col("event_id") % 3).cast("string"))).alias("warnings"),
+        F.least(F.floor(F.datediff(late, F.lit("2024-01-01").cast("date")) / 6), F.lit(5)).alias("batch"),
+    )
+    for batch in range(6):
+        snaps.where(F.col("batch") == batch).drop("batch").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    with conf(spark, "spark.sql.streaming.stateStore.providerClass", days.STATE_STORE):
+        stream = spark.readStream.schema(snaps.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        out = days.ordered_warnings(stream)
+        run = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out").select("run_id", "stage", "action", "message")
+
+
 @query(
     """WITH m AS (SELECT max(ts) - INTERVAL 3 DAY AS mark FROM events), d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS row_count FROM events GROUP BY 1, 2)
     SELECT CAST(day AS VARCHAR) AS day, event_type, row_count FROM d, m WHERE day + INTERVAL 1 DAY <= mark"""
@@ -323,6 +349,84 @@ def plan_verdicts(spark, sf):
     return spark.createDataFrame(out, "plan string, verdict string")
 
 
+@query(
+    """WITH v AS (SELECT c_custkey AS k, c_custkey % 12 AS form, CASE c_custkey % 5 WHEN 0 THEN 'metadata' WHEN 1 THEN 'shortlist' WHEN 2 THEN 'fulltext' WHEN 3 THEN 'reading' ELSE 'recommendation' END AS stop FROM customer)
+    SELECT k, CASE form WHEN 1 THEN 'sources[0] must not limit its results' WHEN 2 THEN 'sources[0] must not filter by topic' WHEN 3 THEN 'sources[0] needs exactly one year' WHEN 4 THEN CASE WHEN k % 2 = 1 THEN 'sources[0]: that venue meets in even years' ELSE '' END
+        WHEN 5 THEN 'a plan needs request_scope' WHEN 6 THEN 'channel_decisions[0] needs channel, decision and reason' WHEN 7 THEN 'sources[0] needs start_date and end_date' WHEN 8 THEN 'unknown stage somewhere'
+        WHEN 9 THEN 'workflow.shortlist_target must be a positive integer' WHEN 10 THEN 'no JSON' ELSE '' END AS problem,
+    CASE WHEN form IN (0, 11) OR form = 4 AND k % 2 = 0 THEN CASE c_mod WHEN 0 THEN 'metadata' WHEN 1 THEN 'metadata,shortlist' WHEN 2 THEN 'metadata,shortlist,fulltext' WHEN 3 THEN 'metadata,shortlist,fulltext,reading' ELSE 'metadata,shortlist,fulltext,reading,recommendation' END ELSE '' END AS stages
+    FROM (SELECT *, k % 5 AS c_mod FROM v)"""
+)
+def checked_plans(spark, sf):
+    """Plans made of table rows: the rule that each breaks, or the stages that it allows."""
+    from corpusmill.plans import plan as P
+
+    key = "c_custkey"
+    year = f"CASE c_custkey % 12 WHEN 3 THEN '2022, 2024' WHEN 4 THEN concat('', 2024 - {key} % 2) ELSE '2024' END"
+    more = "CASE c_custkey % 12 WHEN 1 THEN ', \"limit\": 5' WHEN 2 THEN ', \"tracks\": [\"x\"]' ELSE '' END"
+    stop = "CASE c_custkey % 5 WHEN 0 THEN 'metadata' WHEN 1 THEN 'shortlist' WHEN 2 THEN 'fulltext' WHEN 3 THEN 'reading' ELSE 'recommendation' END"
+    document = F.expr(
+        f"""concat('{{', CASE WHEN {key} % 12 = 5 THEN '' ELSE '"request_scope": {{"user_specified_time": true, "user_specified_channels": true, "as_of_date": "2024-06-01"}}, ' END,
+        '"workflow": {{"mode": "focused", "rationale": "r", "research_question": "q", "stop_after": "', CASE WHEN {key} % 12 = 8 THEN 'somewhere' ELSE {stop} END, '"', CASE WHEN {key} % 12 = 9 THEN ', "shortlist_target": 0' ELSE '' END, '}}, ',
+        '"channel_decisions": [{{"channel": "eccv", "decision": "', CASE WHEN {key} % 12 = 6 THEN 'maybe' ELSE 'include' END, '", "reason": "r"}}], "sources": [{{"type": "', CASE WHEN {key} % 12 = 7 THEN 'arxiv' ELSE 'venue' END,
+        '", "venue": "ECCV", "years": [', {year}, '], "complete_catalog": true', {more}, '}}]', CASE WHEN {key} % 12 = 10 THEN '' ELSE '}}' END)"""
+    )
+    found = P.checked(document)
+    return table(spark, sf, "customer").select(F.col(key).alias("k"), found.alias("found")).select("k", "found.problem", F.array_join("found.stages", ",").alias("stages"))
+
+
+@query(
+    """SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'metadata' WHEN 1 THEN 'fulltext' WHEN 2 THEN 'inspect' ELSE 'validate_reads' END AS step, c_mktsegment AS outcome,
+    CASE WHEN c_custkey % 3 = 0 THEN 0 WHEN c_custkey % 3 = 1 THEN CASE WHEN c_custkey % 4 IN (1, 2) THEN 0 ELSE 2 END ELSE 2 END AS exit_status FROM customer"""
+)
+def exit_statuses(spark, sf):
+    """What lets a step count as done: the outcomes of many steps."""
+    from corpusmill.plans import plan as P
+
+    key = F.col("c_custkey")
+    step = F.element_at(F.array(*[F.lit(x) for x in ("metadata", "fulltext", "inspect", "validate_reads")]), (key % 4 + 1).cast("int"))
+    outcome = F.element_at(F.array(*[F.lit(x) for x in ("complete", "complete_with_gaps", "blocked")]), (key % 3 + 1).cast("int"))
+    return table(spark, sf, "customer").select(key.alias("k"), step.alias("step"), F.col("c_mktsegment").alias("outcome"), P.exit_statuses(step, outcome).alias("exit_status"))
+
+
+@query("SELECT 'unchanged' AS state, 'shortlist of ' || least(count(*), 40) AS outcome FROM part UNION ALL VALUES ('papers changed', 'papers has changed'), ('plan changed', 'the plan has changed'), ('no metadata', 'the run has no plan')")
+def stale_steps(spark, sf):
+    """Steps on a run whose tables or plan have changed since they were recorded are refused."""
+    import json
+
+    from corpusmill.plans.run import Run, StaleError
+
+    plan = {
+        "request_scope": {"user_specified_time": True, "user_specified_channels": True, "as_of_date": "2024-06-01"},
+        "workflow": {"mode": "focused", "rationale": "r", "research_question": "q", "shortlist_target": 40},
+        "channel_decisions": [{"channel": "acl", "decision": "include", "reason": "r"}],
+        "sources": [{"type": "venue", "venue": "ACL", "years": [2024], "complete_catalog": True}],
+    }
+    part = table(spark, sf, "part")
+    doi = F.expr("concat('10.1/', p_partkey)")
+    papers = part.select(
+        F.concat(F.lit("A Paper "), F.col("p_partkey").cast("string")).alias("title"), F.lit("This is a real abstract with many more than eight words and over fifty characters.").alias("abstract"), F.array(F.lit("A B")).alias("authors"), F.lit("2024-01-01").alias("published"),
+        F.lit("https://x").alias("url"), F.lit(None).cast("string").alias("pdf_url"), F.lit("ACL").alias("venue"), F.create_map(F.lit("doi"), doi).alias("identifiers"),
+    )
+    parts = F.struct(F.lit(30.0).alias("topic_fit"), F.lit(20.0).alias("transferability_potential"), F.lit(10.0).alias("abstract_specificity"))
+    scores = part.select(F.concat(F.lit("doi:"), doi).alias("identity"), parts.alias("components"), F.lit(60.0).alias("metadata_score"), F.lit("r").alias("reason"), F.lit("u").alias("uncertainty"))
+    out = []
+    for state in ("unchanged", "papers changed", "plan changed", "no metadata"):
+        run = Run(spark, scratch(spark, "run"))
+        if state != "no metadata":
+            run.metadata(plan, [papers])
+        if state == "papers changed":
+            run.table("papers").limit(1).write.mode("append").parquet(f"{run.path}/papers")
+        if state == "plan changed":
+            facts = run.state()["facts"]
+            run.log("metadata_ready", facts=json.loads(json.dumps({"plan": {**facts["plan"], "note": "changed"}})))
+        try:
+            out.append((state, f"shortlist of {run.shortlist(scores).count()}"))
+        except StaleError as e:
+            out.append((state, str(e)))
+    return spark.createDataFrame(out, "state string, outcome string")
+
+
 @query(
     """WITH p AS (SELECT p_partkey, (p_partkey * 7919) % 1000 / 25.0 AS s FROM part QUALIFY row_number() OVER (ORDER BY s DESC, 'doi:10.1/' || p_partkey) <= 40),
     r AS (SELECT 'doi:10.1/' || p_partkey AS identity, CAST(p_partkey % 11 AS DOUBLE) AS final_score FROM p WHERE p_partkey % 2 = 0)

@@ -382,7 +382,9 @@ def page_details(spark, sf):
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    """Objects within objects, line by line."""
+    line = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "props": '), F.col("props"), F.lit("}"))
+    return files.jsonl_rows(table(spark, sf, "events").select(line.alias("value")), "event_id bigint, props struct<k: bigint>").select("event_id", "props.k")
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE contains(lower('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}'), 'tion_1')")

@@ -11,7 +11,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators import audit, dedup, fulltext, reads, records, runs, sample, score
+from corpusmill.operators import audit, catalogs, dedup, fulltext, reads, records, runs, sample, score
 from corpusmill.plans import plan as P
 from corpusmill.session import exists
 
@@ -101,26 +101,31 @@ class Run:
 
     # steps
 
-    def metadata(self, plan: dict, sources: list[DataFrame], errors: dict[int, str] | None = None) -> str:
+    def metadata(self, plan: dict, sources: list[DataFrame], errors: dict[int, str] | None = None, discovered: dict[int, int] | None = None) -> str:
         """Reads every source of the plan, audits it before any filter, deduplicates; returns the status.
 
-        errors: what is known to be wrong with a source, by its place. A catalog that fails its audit is a gap,
-        too: its rows stay in the raw table and reach no later step.
+        Sources are evaluated once: what their audits count is observed while their rows are written.
+        errors: what is known to be wrong with a source, by its place; discovered: how many records its crawl saw.
+        A catalog that fails its audit is a gap, too: its rows stay in the raw table and reach no later step.
         """
         plan, errors = P.validate(plan), dict(errors or {})
         if len(sources) != len(plan["sources"]):
             raise ValueError(f"the plan has {len(plan['sources'])} sources, {len(sources)} were given")
-        rows = [records.normalize(s, str(spec["type"]).lower()) for s, spec in zip(sources, plan["sources"])]
-        raw = self._write("raw", dedup.union_sources(rows))
-        coverage = self._write("receipts", audit.field_coverage(raw, ["_source_index"]))
-        notices = audit.coverage_notices(coverage, ["_source_index"]).count()
-        audits = self._write("audits", audit.venue_audit(raw, ["_source_index"]))
-        whole = {r["_source_index"]: r["metadata_completeness_ok"] for r in audits.collect()}  # a row a source
-        failed = [i for i, spec in enumerate(plan["sources"]) if str(spec["type"]).lower() == "venue" and not whole.get(i)]
-        for i in failed:
-            errors.setdefault(i, "the catalog fails its audit")
+        watched = [catalogs.observed(records.normalize(s, str(spec["type"]).lower())) for s, spec in zip(sources, plan["sources"])]
+        raw = self._write("raw", dedup.union_sources([rows for rows, _ in watched]))
+        seen = [{k: int(v or 0) for k, v in watch.get.items()} for _, watch in watched]
+        notices = audit.coverage_notices(self._write("receipts", self._coverage(seen)), ["_source_index"]).count()
+        unique = {r["_source_index"]: r["n"] for r in raw.groupBy("_source_index").agg(F.count_distinct("identity").alias("n")).collect()}  # a row a source
+        failed, audits = [], []
+        for i, (spec, counts) in enumerate(zip(plan["sources"], seen)):
+            found = catalogs.judged(counts, unique.get(i, 0), catalogs.Receipt(discovered=(discovered or {}).get(i), minimum=spec.get("minimum_catalog_records")))
+            audits.append((i, found.status, found.broken, found.metrics))
+            if str(spec["type"]).lower() == "venue" and found.status != "complete":
+                failed.append(i)
+                errors.setdefault(i, "the catalog is empty" if found.status == "authoritative_empty" else f"the catalog fails its audit ({', '.join(found.broken)})")
+        self._write("audits", self.spark.createDataFrame(audits, "_source_index int, status string, broken array<string>, metrics map<string,bigint>"))
         papers = self._write("papers", dedup.keep_longest_abstract(raw.where(~F.col("_source_index").isin(failed))))
-        n, m = papers.count(), raw.count()
+        n, m = papers.count(), sum(c["record_count"] for c in seen)
         warnings = sorted(f"source {i}: {e}" for i, e in errors.items())
         status = "complete" if n and not warnings else "complete_with_gaps" if n else "blocked"
         facts = {"plan": plan, "plan_fingerprint": P.fingerprint(plan), "papers_fingerprint": table_fingerprint(papers), "metadata_status": status}
@@ -128,6 +133,13 @@ class Run:
         self.log(stage, "active" if n else "blocked", {"raw_papers": m, "metadata_papers": n, "coverage_notices": notices}, warnings, facts)
         return status
 
+    def _coverage(self, seen: list[dict[str, int]]) -> DataFrame:
+        """The rows of audit.field_coverage, from what was observed of each source."""
+        names = ["record_count", *[f"{f}_count" for f in audit.FIELDS if all(f"{f}_count" in c for c in seen)]]
+        rows = self.spark.createDataFrame([(i, *[c[n] for n in names]) for i, c in enumerate(seen)], ", ".join(["_source_index int", *[f"{n} bigint" for n in names]]))
+        share = lambda n: F.when(F.col("record_count") > 0, F.round(F.col(n) / F.greatest("record_count", F.lit(1)), 6)).otherwise(0.0)
+        return rows.withColumns({n.replace("_count", "_coverage"): share(n) for n in names[1:]})
+
     def _ready_papers(self, facts: dict) -> DataFrame:
         if facts.get("metadata_status") != "complete":
             raise StaleError("metadata is incomplete")

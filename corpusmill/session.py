@@ -37,6 +37,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def _on_store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def move(spark: SparkSession, source: str, to: str) -> None:
+    """A folder to a place that is free, in one step where the store can."""
+    store, at = _on_store(spark, source)
+    place = spark._jvm.org.apache.hadoop.fs.Path(to)
+    store.mkdirs(place.getParent())
+    if store.exists(place) or not store.rename(at, place):
+        raise OSError(f"could not move {source} to {to}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder with all in it; nothing if it isn't there."""
+    store, at = _on_store(spark, path)
+    store.delete(at, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; where that is unset and the master is local, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,15 +74,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def pushed_filters(spark: SparkSession):
-    """While this holds, filters reach Python data sources; the session's own setting comes back."""
-    name = "spark.sql.python.filterPushdown.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+def conf(spark: SparkSession, name: str, value: str):
+    """While this holds, the session has a setting; its own one comes back."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def pushed_filters(spark: SparkSession):
+    """While this holds, filters reach Python data sources."""
+    return conf(spark, "spark.sql.python.filterPushdown.enabled", "true")
 
 
 def checkpointed(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.functions.entities import unescape
 from corpusmill.session import exists
 
 JSON_SCORE = "identity string, metadata_score string, components struct<topic_fit:string,transferability_potential:string,abstract_specificity:string>, reason string, uncertainty string"
@@ -216,9 +217,14 @@ def article_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def article_text(value: Column) -> Column:
-    """Character data of an XML article, tags as line ends."""
-    bare = F.regexp_replace(F.regexp_replace(value, r"<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<![^>]*>", " "), r"<[^>]+>", "\n")
-    return T.strip(F.regexp_replace(F.regexp_replace(bare, r"[ \t\x0b\f\r]+", " "), r"\s*\n\s*", "\n"))
+    """Character data of an XML article, tags as line ends; entities decoded, CDATA sections as they stand."""
+    escaped = lambda part: F.replace(F.replace(F.replace(part, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    parts = F.split(value, r"<!\[CDATA\[")
+    inside = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.concat(escaped(F.substring_index(p, "]]>", 1)), F.when(F.instr(p, F.lit("]]>")) > 0, F.substring(p, F.instr(p, F.lit("]]>")) + 3, F.length(p))).otherwise("")))
+    plain = F.concat(F.get(parts, F.lit(0)), F.array_join(inside, ""))
+    bare = F.regexp_replace(F.regexp_replace(plain, r"<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<!DOCTYPE[^\[>]*(?:\[[\s\S]*?\]\s*)?>|<![^>]*>", " "), r"<[^>]+>", "\n")
+    lines = T.strip(F.regexp_replace(F.regexp_replace(bare, r"[ \t\x0b\f\r]+", " "), r"\s*\n\s*", "\n"))
+    return unescape(lines)
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:

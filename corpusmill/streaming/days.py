@@ -27,9 +27,9 @@ def distinct_incidents(rows: DataFrame, key: str = "incident_id", column: str =
 
 
 def warning_log(snapshots: DataFrame) -> DataFrame:
-    """action (raised or resolved), message, stage, at from ordered snapshots of active warnings (run_id, at, stage, warnings).
+    """action (raised or resolved), message, stage, at from snapshots of active warnings (run_id, at, stage, warnings).
 
-    A state for each run: the warnings of its last snapshot.
+    A state for each run: the warnings of its last snapshot. For snapshots that come in order; see ordered_warnings.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -48,3 +48,73 @@ def warning_log(snapshots: DataFrame) -> DataFrame:
 
     schema = "run_id string, action string, message string, stage string, at timestamp"
     return snapshots.groupBy("run_id").applyInPandasWithState(step, schema, "active array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def _warnings_processor():
+    """Built where it is used: the class travels to the workers."""
+    from pyspark.sql import Row
+    from pyspark.sql.streaming import StatefulProcessor
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+    waiting = StructType([StructField("at", LongType()), StructField("seq", LongType()), StructField("stage", StringType()), StructField("warnings", ArrayType(StringType()))])
+    active = StructType([StructField("warnings", ArrayType(StringType())), StructField("n", IntegerType())])
+
+    class Warnings(StatefulProcessor):
+        """Snapshots wait, as a list in state, until the watermark says that none before them can come; a timer then
+        tells them apart from the one before, in their order."""
+
+        def init(self, handle):
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", waiting)
+            self.active = handle.getValueState("active", active)
+
+        def handleInputRows(self, key, rows, timerValues):
+            for r in rows:
+                self.waiting.appendValue((r.at_us, r.seq, r.stage, list(r.warnings or [])))
+                self.handle.registerTimer(-(-r.at_us // 1000))
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            until = timerValues.getCurrentWatermarkInMs() * 1000
+            held = sorted(tuple(x) for x in self.waiting.get())
+            ready = [x for x in held if x[0] <= until]
+            if not ready:
+                return
+            before = list(self.active.get()[0]) if self.active.exists() else []
+            for at, _, stage, now in ready:
+                for action, here, there in (("raised", now, before), ("resolved", before, now)):
+                    for message in dict.fromkeys(here):
+                        if message not in there:
+                            yield Row(run_id=key[0], action=action, message=message, stage=stage, at_us=at)
+                before = now
+            self.active.update((before, len(before)))
+            rest = [x for x in held if x[0] > until]
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+
+        def close(self):
+            pass
+
+    return Warnings()
+
+
+#: The state store that list state and timers need.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def ordered_warnings(snapshots: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """run_id, action, message, stage, at from snapshots (run_id, at, seq, stage, warnings) that come in any order within the lateness.
+
+    A snapshot counts once the watermark has passed it; those of one time go by seq. What the batch form
+    (runs.warning_history) says of the same snapshots comes out, each change once. One later than the lateness is
+    dropped. The session needs STATE_STORE as its provider.
+    """
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    schema = StructType([StructField(n, LongType() if n == "at_us" else StringType()) for n in ("run_id", "action", "message", "stage", "at_us")])
+    rows = event_time(snapshots, "at").withWatermark("at", lateness)
+    rows = rows.select(F.col("run_id").cast("string").alias("run_id"), "at", F.unix_micros("at").alias("at_us"), F.col("seq").cast("bigint").alias("seq"), F.col("stage").cast("string").alias("stage"), "warnings")
+    out = rows.groupBy("run_id").transformWithState(_warnings_processor(), schema, "Append", "EventTime")
+    return out.withColumn("at", F.timestamp_micros("at_us")).drop("at_us")
