@@ -13,15 +13,20 @@ the slot's element is in a valid class, these decide: a slot outside marked arti
 links goes, though nothing in its marks says so; a slot that holds most of the host's text stays, though
 class words speak against it.
 
+Hosts with too few pages share the template of their domain's other small hosts, whose classes run over all their
+pages. On pages without a marked article the template also tells where the text begins and ends: of the slots whose
+element is in a valid class, the one that holds most text and least of it links is the main one; small slots that
+stand before it and the page's first heading, or after its last record, on average, are no part of the text (a line
+above the heading, a notice below). No word is needed for that, and none can undo it.
+
 A page's text is what its slots hold, without template texts and without elements that are no article by
 their meaning (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments; told
 by tag, role or class words). Inside a marked article few class words do so alone, other words and ids only
 on block elements of which half of the text or more is template or links; headings are never dropped by
 words. The template is deduced and taken off on every page, inside marked articles too; all slots that it
-leaves stay, in page order. The host's main slot (most text, least of it links) is told beside the
-template and cuts nothing.
+leaves stay, in page order.
 
-Edge cases: a null or empty html gives an empty text; a page without a url, or of a host with few pages,
+Edge cases: a null or empty html gives an empty text; a page without a url, or of a host and domain with few pages,
 has no template; a page that the template covers whole keeps its blocks; unclosed or misnested tags never
 lose text; repeated rows are extracted one by one and count once in vectors; an empty table gives no rows;
 other columns pass through, whatever their names; one named like the result gives way.
@@ -48,6 +53,8 @@ CLASS_SHARE = 0.5
 CLASS_PAGES = 4
 #: Share of links from which a slot is no text, share below which it can be, and share of a host's text that outweighs class words.
 LINK_SLOT, TEXT_SLOT, MOST_TEXT = 0.6, 0.3, 0.5
+#: Share of a host's text up to which a slot outside the main one's span is none of the text.
+SMALL_SLOT = 0.2
 #: Template tokens, of all hosts, up to which templates are broadcast (eight bytes each).
 BROADCAST_TOKENS = 1_000_000
 
@@ -272,8 +279,9 @@ def _text_token(block: Block) -> int:
     return _hash("text", block.path, block.text)
 
 
+_HEADED = re.compile(r">h[1-6]\b[^>]*$")
 _MARKED = re.compile(r">(?:article|main)\b")
-_TOKENS = "host string, kind string, token bigint, page bigint, n int, place double, chars bigint, links bigint, path string"
+_TOKENS = "host string, kind string, token bigint, page bigint, n int, place double, chars bigint, links bigint, path string, last double"
 
 
 def _slot(block: Block) -> str:
@@ -281,9 +289,10 @@ def _slot(block: Block) -> str:
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct token of each page; kind p: path, t: text, s: slot, w: slot that only words speak against, n: the page itself."""
+    """A row for each distinct token of each page; kind p: path, t: text, s: slot, w: slot that only words speak against, n: the page itself,
+    h: its first heading."""
     names = [c.split()[0] for c in _TOKENS.split(", ")]
-    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
     for batch in batches:
         rows = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -293,34 +302,37 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = max(1, len(paths) + len(blocks))
             # pages that differ only in what has no token (scripts, comments, dropped texts) are copies, too
             key = _hash("page", str(size), *(f"{p} {n}" for p, n in paths.items()), *(x for b in blocks if not b.dropped or b.worded for x in (b.path, b.text, str(b.link_chars))))
-            rows.append((host, "n", 0, key, 1, 0.0, 0, 0, None))
-            rows += [(host, "p", _hash("path", p), key, n, i / size, 0, 0, None) for i, (p, n) in enumerate(paths.items())]
+            rows.append((host, "n", 0, key, 1, 0.0, 0, 0, None, 0.0))
+            rows += [(host, "p", _hash("path", p), key, n, i / size, 0, 0, None, 0.0) for i, (p, n) in enumerate(paths.items())]
             texts = Counter(_text_token(b) for b in blocks if not b.dropped)
-            rows += [(host, "t", t, key, n, i / size, 0, 0, None) for i, (t, n) in enumerate(texts.items())]
-            slots: dict[tuple[str, str], list[int]] = {}
-            for b in blocks:
+            rows += [(host, "t", t, key, n, i / size, 0, 0, None, 0.0) for i, (t, n) in enumerate(texts.items())]
+            slots: dict[tuple[str, str], list[int]] = {}  # characters, those in links, first and last block
+            for i, b in enumerate(blocks):
                 if not b.dropped or b.worded:
-                    held = slots.setdefault(("w" if b.dropped else "s", _slot(b)), [0, 0])
+                    held = slots.setdefault(("w" if b.dropped else "s", _slot(b)), [0, 0, i, i])
                     held[0] += len(b.text)
                     held[1] += b.link_chars
-            rows += [(host, kind, _hash("path", p), key, 1, 0.0, n, links, p) for (kind, p), (n, links) in slots.items()]
+                    held[3] = i
+            heading = next((i for i, b in enumerate(blocks) if not b.dropped and _HEADED.search(b.path)), None)
+            if heading is not None:
+                rows.append((host, "h", 0, key, 1, heading / len(blocks), 0, 0, None, 0.0))
+            rows += [(host, kind, _hash("path", p), key, 1, a / len(blocks), n, links, p, z / len(blocks)) for (kind, p), (n, links, a, z) in slots.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, tokens (of valid classes: token, kind, class, place, depth), texts (their text tokens), gone and kept
-    (paths of slots that their statistics decide), main_slot.
+    (paths of slots that their statistics decide), main_slot, and beside (paths of small slots outside its span).
 
     pages: host, html. A token that stands on at least half of a host's pages is one of a bounded number:
     at most twice as many as a page has on average, so a template is never larger than pages are.
     """
     rows = map_batches(pages, _emit, _TOKENS).distinct()  # copies of a page give equal rows and count once
     tokens = rows.groupBy("host", "kind", "token").agg(
-        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count(F.lit(1)).alias("support"), F.avg("place").alias("place"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.first("path").alias("path")
+        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count(F.lit(1)).alias("support"), F.avg("place").alias("place"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.first("path").alias("path"), F.avg("last").alias("last")
     )
-    tokens = stored(tokens.where("kind IN ('n', 's', 'w') OR support > 1"), "tokens")
+    tokens = stored(tokens.where("kind IN ('n', 's', 'w', 'h') OR support > 1"), "tokens")
     hosts = tokens.where("kind = 'n'").select("host", F.col("support").alias("pages"))
-    slots = tokens.where("kind = 's'").groupBy("host").agg(F.max_by("path", F.struct(F.col("chars") - 3 * F.col("links"), "path")).alias("main_slot"))
     often = (F.col("support") >= CLASS_PAGES) & (F.col("support") >= F.ceil(F.col("pages") * CLASS_SHARE))
     frequent = tokens.where("kind IN ('p', 't')").join(hosts.where(F.col("pages") >= CLASS_PAGES), "host").where(often)
     member = F.struct("place", "token", "kind")
@@ -339,15 +351,32 @@ def templates(pages: DataFrame) -> DataFrame:
     gone = (F.col("kind") == "s") & (links >= LINK_SLOT) & ~F.col("path").rlike(_MARKED.pattern)
     kept = (F.col("kind") == "w") & (links < TEXT_SLOT) & (F.col("chars") > F.col("total") * MOST_TEXT)
     told = held.join(hosts, "host").where(often).join(total, "host").where(gone | kept).groupBy("host").agg(F.collect_list(F.struct("kind", "token", "path")).alias("told"))
-    out = nested.join(slots, "host", "left").join(told, "host", "left").select("host", "tokens", of_kind("t").alias("texts"), of_kind("p").alias("paths"), "main_slot", F.coalesce("told", F.array().cast(told.schema["told"].dataType)).alias("told"))
+    # slots whose element is in a class, and where the one with most text begins and ends
+    framed = tokens.where("kind = 's'").join(hosts, "host").where(often).select("host", "token", "path", "chars", "links", F.col("place").alias("first"), "last")
+    framed = framed.join(frequent_paths(nested), ["host", "token"], "left_semi")
+    main = framed.groupBy("host").agg(F.max_by(F.struct("path", "first", "last"), F.struct(F.col("chars") - 3 * F.col("links"), "path")).alias("main"))
+    headed = tokens.where("kind = 'h'").select("host", F.col("place").alias("heading"))
+    main = main.join(headed, "host", "left").withColumn("begin", F.least("main.first", "heading"))
+    outside = (F.col("first") < F.col("begin")) | (F.col("first") > F.col("main.last"))
+    small = F.col("chars") <= F.col("total") * SMALL_SLOT
+    beside = framed.join(main, "host").join(total, "host").where(outside & small).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("beside"))
+    out = nested.join(main, "host", "left").join(beside, "host", "left").join(told, "host", "left")
+    out = out.select("host", "tokens", of_kind("t").alias("texts"), of_kind("p").alias("paths"), F.col("main.path").alias("main_slot"), F.coalesce("beside", F.array().cast("array<string>")).alias("beside"), F.coalesce("told", F.array().cast(told.schema["told"].dataType)).alias("told"))
     named = lambda k: F.array_sort(F.transform(F.filter("told", lambda x: (x["kind"] == k) & F.array_contains("paths", x["token"])), lambda x: x["path"]))
-    return out.select("host", "tokens", "texts", named("s").alias("gone"), named("w").alias("kept"), "main_slot")
+    return out.select("host", "tokens", "texts", named("s").alias("gone"), named("w").alias("kept"), "main_slot", "beside")
+
+
+def frequent_paths(nested: DataFrame) -> DataFrame:
+    """host, token of the paths in valid classes."""
+    return nested.select("host", F.explode("tokens").alias("t")).where("t.kind = 'p'").select("host", "t.token")
 
 
-def main_text(page: str | None, texts=None, gone=None, kept=None) -> str:
+def main_text(page: str | None, texts=None, gone=None, kept=None, beside=None) -> str:
     """Blocks of the slots that the host's template leaves, joined by line ends."""
     gone, kept, known = set(gone or ()), set(kept or ()), set(texts or ())
     blocks = [b for b in parse(page or "")[0] if (not b.dropped and _slot(b) not in gone) or (b.worded and b.worded in kept)]
+    if beside and not any(_MARKED.search(b.path) for b in blocks):
+        blocks = [b for b in blocks if _slot(b) not in beside] or blocks
     own = [_text_token(b) not in known for b in blocks]
     size, proof = Counter(), Counter()
     for b, new in zip(blocks, own):
@@ -366,13 +395,23 @@ def _extract(*columns: pa.Array) -> pa.Array:
     return pa.array([main_text(*row) for row in zip(*(c.to_pylist() for c in columns))], pa.string())
 
 
+def grouped(pages: DataFrame) -> DataFrame:
+    """pages (row, host, page) with `host` replaced by the group that shares a template: the host, or `*.` and its
+    domain for hosts with fewer pages than a class needs."""
+    hosts = pages.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    domain = F.concat(F.lit("*."), F.regexp_extract("host", r"([^.]*\.?[^.]+)$", 1))
+    hosts = stored(hosts.select("host", F.when(F.col("pages") >= CLASS_PAGES, F.col("host")).otherwise(domain).alias("group")), "hosts")
+    return join_checked(pages, hosts, "host", "left").select("row", F.coalesce("group", "host").alias("host"), "page")
+
+
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "text") -> DataFrame:
     """pages with out_col: the main text of each whole page."""
     url, page = F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")
-    known = stored(templates(pages.select(host_of(url).alias("host"), page.alias("html"))).drop("tokens", "main_slot"), "templates")
+    rows = grouped(pages.select(packed(pages).alias("row"), host_of(url).alias("host"), page.alias("page")))
+    known = stored(templates(rows.select("host", F.col("page").alias("html"))).drop("tokens", "main_slot"), "templates")
     # hosts and their tokens: a broadcast is bounded by both
-    size = known.agg(F.count(F.lit(1)), F.sum(F.size("texts") + 8 * F.size("gone") + 8 * F.size("kept"))).first()
-    rows = size[0] if (size[1] or 0) <= BROADCAST_TOKENS else 1 << 60
-    out = join_checked(pages.select(packed(pages).alias("row"), host_of(url).alias("host"), page.alias("page")), known, "host", "left", rows, limit=20_000)
-    out = out.select("row", array_udf(_extract, "string")("page", "texts", "gone", "kept").alias("text"))
+    size = known.agg(F.count(F.lit(1)), F.sum(F.size("texts") + 8 * (F.size("gone") + F.size("kept") + F.size("beside")))).first()
+    n = size[0] if (size[1] or 0) <= BROADCAST_TOKENS else 1 << 60
+    out = join_checked(rows, known, "host", "left", n, limit=20_000)
+    out = out.select("row", array_udf(_extract, "string")("page", "texts", "gone", "kept", "beside").alias("text"))
     return unpacked(out, "row", pages.columns, **{out_col: F.col("text")})

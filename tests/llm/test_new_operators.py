@@ -267,3 +267,42 @@ def test_markup_errors():
         licenses.parsed("a [b")
     with pytest.raises(ValueError, match="two words"):
         licenses.Scanner((("x", "alone [more]"),))
+
+
+def bare(page):
+    """A page without marks: no class, id or role, no article or main element."""
+    page = re.sub(r"</?(article|main)\b[^>]*>", "", page or "")
+    return re.sub(r"\s(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+
+
+def test_templates_find_the_text_of_pages_without_marks(spark, sf):
+    """Nothing but the template tells where the text begins and ends; hosts with few pages share their domain's."""
+    from corpusmill.llm import html
+
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()
+    want = {r.page_id: html.main_text(r.html) for r in rows}  # by the marks
+    made = spark.createDataFrame([(r.page_id, r.url, bare(r.html)) for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(made).collect()}
+    assert sum(got[k] == want[k] for k in want) >= 0.95 * len(want)
+    without = {r.page_id: html.main_text(r.html) for r in made.collect()}
+    assert sum(without[k] == want[k] for k in want) == 0
+    marked = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows)).collect()}
+    assert marked == want
+
+
+def test_slots_beside_the_main_one(spark):
+    """Lines above the heading and below the text go, one in its midst stays, and so does a large slot wherever it is."""
+    from corpusmill.llm import html
+
+    def page(k, above="", below=""):
+        body = "".join(f"<p>Paragraph {i} of page {k}, with some words in it.</p>" for i in range(3 + k % 4))
+        return f"<html><body><div>{above or f'Line {k}'}</div><h1>Title {k}</h1>{body}<section>In the midst {k}</section><p>Last of {k}.</p><center>{below or f'Below {k}'}</center></body></html>"
+
+    for many, host in ((8, "https://big.example.com/"), (1, "https://h{}.example.org/")):
+        rows = [(k, host.format(k) + str(k), page(k)) for k in range(8)]
+        got = {r.page_id: r.text.split("\n") for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        for k in range(8):
+            assert got[k][0] == f"Title {k}" and got[k][-1] == f"Last of {k}." and f"In the midst {k}" in got[k] and len(got[k]) == 6 + k % 4
+    large = [(k, f"https://big.example.com/{k}", page(k, above=f"A long introduction to {k} that is as much text as the rest of it. " * 9)) for k in range(8)]
+    out = html.extract(spark.createDataFrame(large, "page_id long, url string, html string").withColumns({"host": F.lit("x"), "row": F.lit(1), "beside": F.lit(2)}))
+    assert all(r.text.startswith("A long introduction") for r in out.collect())
