@@ -3,14 +3,18 @@
 Lookahead. Let the bytes from some place on be unknown. Merging in rank order, what is unknown spreads to
 the left only when a rule (A, B) joins the known token A, which ends where the unknown part begins, to a
 B that begins there; it spreads by len(A). A later rule (A2, B2) spreads it on only if its rank is
-higher and the token that now begins at the border, A, lies on the left edge of B2. So the longest chain
+higher and the token that now begins at the border, A, lies on the left edge of B2. So the heaviest chain
 of rules with rising ranks, each A on the left edge of the next B, bounds how far to the left unknown
-bytes can change tokens. `sufficient_lookahead` computes it from the merge list.
+bytes can change tokens: `sufficient_lookahead` computes that bound from the merge list. A stream's known bytes
+are its state: the tokens of a chain must stand before its border one after the other, so `Lookahead` follows
+the chains that these bytes allow, and how far the farthest one gets is all that the state needs; mostly a few bytes.
 
-Transducer. Bytes of a pre-token enter a buffer; when it exceeds lookahead + block, it is merged and the
-tokens that end at least the lookahead before its end are stable: they are emitted and leave the buffer.
-No merge crosses the border of a final token, so the rest can be merged by itself later. Memory is
-constant in the text's length.
+Transducer. Streams of bytes, each a pre-token with its end, run side by side, a row each. In every step a row
+reads on until its window is full or its end is read; the windows are merged; tokens that end at least the row's
+lookahead before the window's end are stable, all of them if the end is read. Stable tokens are emitted and their bytes
+leave. No merge crosses the border of a final token, so the rest can be merged by itself in the next step. A row
+that has nothing stable reads on with a wider window. Windows are bounded by twice the sufficient lookahead, so
+memory is constant in the length of texts.
 
 Edge cases: a null text is empty and has no tokens; special tokens written in a text become their ids, as
 the library does by default; repeated rows are encoded one by one; an empty table gives no rows.
@@ -21,7 +25,9 @@ from __future__ import annotations
 import codecs
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -43,10 +49,9 @@ MEMO_CHARS = 48
 WIDTHS = (2, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64)
 #: Windows merged at a time: their matrices stay in a core's cache.
 ROWS = 4096
-#: Characters of a text, and of a chunk without a cut, read at a time; bytes fed at a time.
+#: Characters of a text, and of a chunk without a cut, read at a time.
 TEXT_CHARS = 1 << 20
 PORTION_CHARS = 1 << 14
-PORTION_BYTES = 1 << 14
 #: Characters at a portion's end on which the cut before them can depend.
 MARGIN = 8
 
@@ -63,7 +68,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
-    """Bytes after a token's end that decide it for good: the heaviest chain of rules (see above)."""
+    """Bytes after a token's end that decide it for good, whatever it is: the heaviest chain of rules (see above)."""
     left_of = {a + b: a for a, b in merges}
     best: dict[str, int] = {}
     for a, b in merges:  # in rank order: chains through earlier rules are complete
@@ -75,6 +80,44 @@ def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
     return max(best.values(), default=0)
 
 
+class Lookahead:
+    """How far before the end of known bytes what follows them can change tokens."""
+
+    def __init__(self, tokens: dict[bytes, int], merges: list[tuple[int, int, int]]):
+        """tokens: id of each token's bytes; merges: left, right and joined id of each rule, in rank order."""
+        self.tokens, self.longest = tokens, max(map(len, tokens), default=0)
+        self.first: dict[int, int] = {}  # the least rank of the rules that a token is the left side of
+        self.onward: dict[int, list[int]] = {}  # ranks of the rules (A2, B2) with A on the left edge of B2, by A2 and A
+        left_of = {joined: left for left, _, joined in merges}
+        for rank, (left, right, _) in enumerate(merges):
+            self.first.setdefault(left, rank)
+            edge: int | None = right
+            while edge is not None:
+                self.onward.setdefault(left << 32 | edge, []).append(rank)
+                edge = left_of.get(edge)
+
+    def _before(self, known: bytes, end: int) -> Iterator[tuple[int, int]]:
+        """Where a token begins that ends there, and its id."""
+        for start in range(end - 1, max(-1, end - self.longest - 1), -1):
+            if (token := self.tokens.get(known[start:end])) is not None:
+                yield start, token
+
+    def of(self, known: bytes) -> int:
+        """The bytes that the farthest chain covers: of each place and token only the least rank needs to go on."""
+        least: dict[tuple[int, int], int] = {}
+        todo = [(start, token, self.first[token]) for start, token in self._before(known, len(known)) if token in self.first]
+        while todo:
+            at, token, rank = todo.pop()
+            if least.get((at, token), rank + 1) <= rank:
+                continue
+            least[at, token] = rank
+            for start, before in self._before(known, at):
+                ranks = self.onward.get(before << 32 | token)
+                if ranks and ranks[-1] > rank:
+                    todo.append((start, before, ranks[bisect_right(ranks, rank)]))
+        return len(known) - min((at for at, _ in least), default=len(known))
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary file: ids, ranks, special tokens and the lookahead of its merge list."""
 
@@ -84,8 +127,8 @@ class Vocabulary:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ids: dict[str, int] = model["vocab"]
         self.rank = {pair: i for i, pair in enumerate(merges)}
-        self.lookahead = sufficient_lookahead(merges)
         alphabet = byte_alphabet()
+        self.lookahead = sufficient_lookahead(merges)
         self.of_byte = {b: c for c, b in alphabet.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes = {i: bytes(alphabet[c] for c in token) for token, i in self.ids.items()}
@@ -93,23 +136,24 @@ class Vocabulary:
 
 
 class Transducer:
-    """Streaming merges of pre-tokens: feed() bytes, collect ids as they become stable, finish() a pre-token.
+    """Streams of bytes to ids. run() takes many whole streams, a row each; feed() and finish() one, a portion at a time.
 
-    run() takes many whole pre-tokens at once: those that fit one window are fed and finished together as
-    rows of a matrix, longer ones window by window. `emitted` counts all ids that came out.
+    `emitted` counts the ids of the emission step, through which every id comes.
     """
 
     def __init__(self, vocabulary: Vocabulary, block: int = BLOCK_BYTES):
-        self.lookahead, self.limit = vocabulary.lookahead, vocabulary.lookahead + block
+        self.vocabulary, self.limit = vocabulary, vocabulary.lookahead + block
         self.start = [vocabulary.ids[vocabulary.of_byte[b]] for b in range(256)]
-        self.size = [len(vocabulary.bytes.get(i, b"")) for i in range(max(vocabulary.bytes) + 1)]
+        self.sizes = np.zeros(max(vocabulary.bytes) + 2, np.int32)  # the last is that of padding
+        for i, raw in vocabulary.bytes.items():
+            self.sizes[i] = len(raw)
         self.rules = {(vocabulary.ids[a], vocabulary.ids[b]): (rank, vocabulary.ids[a + b]) for (a, b), rank in vocabulary.rank.items()}
         self.windows = WindowMerger(vocabulary.ids, list(vocabulary.rank))
         self._starts = np.array(self.start, np.int32)
-        self.buffer, self.emitted = b"", 0
+        self.buffer, self.emitted, self.widest = b"", 0, 0
 
     def merge(self, window: bytes) -> list[int]:
-        """Merges in rank order, equal ranks from the left: a heap of places over a linked list."""
+        """Merges in rank order, equal ranks from the left: a heap of places over a linked list. For wide windows."""
         tokens: list = [self.start[b] for b in window]
         n = len(tokens)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -131,37 +175,80 @@ class Transducer:
                 heappush(heap, (rule[0], h, (tokens[h], joined), rule[1]))
         return [t for t in tokens if t is not None]
 
-    def _out(self, ids: list[int]) -> bytes:
-        self.emitted += len(ids)
-        return np.array(ids, "<u4").tobytes()
+    @cached_property
+    def states(self) -> Lookahead:
+        """Made when a stream is longer than its window, for the first time."""
+        ids = self.vocabulary.ids
+        tokens = {raw: i for i, raw in self.vocabulary.bytes.items() if i not in self.vocabulary.special.values()}
+        return Lookahead(tokens, [(ids[a], ids[b], ids[a + b]) for a, b in self.vocabulary.rank])
+
+    def lookahead(self, known: bytes) -> int:
+        """How far before their end bytes that follow these can change tokens."""
+        return self.states.of(known)
+
+    def emit(self, tokens: np.ndarray, until: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The emission step: of merged rows (padded with -1) the ids of the tokens that end by `until`, and their bytes' number."""
+        sizes = self.sizes[tokens]
+        ends = np.cumsum(sizes, 1)
+        stable = (tokens >= 0) & (ends <= until[:, None])
+        counts = stable.sum(1)
+        self.emitted += int(counts.sum())
+        raw, width = tokens.astype("<u4").tobytes(), tokens.shape[1] * 4
+        read = np.where(counts > 0, ends[np.arange(len(tokens)), np.maximum(counts - 1, 0)], 0)
+        return [raw[k * width : k * width + n * 4] for k, n in enumerate(counts.tolist())], read
+
+    def _step(self, windows: list[bytes], until: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Merges windows and emits what ends by `until`."""
+        out: list[bytes] = [b""] * len(windows)
+        read = np.zeros(len(windows), np.int64)
+        lengths = np.array([len(w) for w in windows])
+        self.widest = max(self.widest, int(lengths.max(initial=0)))
+        for chosen, tokens in self.windows.merged(windows, self._starts):
+            ids, done = self.emit(tokens, until[chosen])
+            read[chosen] = done
+            for i, x in zip(chosen.tolist(), ids):
+                out[i] = x
+        for i in np.flatnonzero(lengths > WIDTHS[-1]).tolist():
+            ids, done = self.emit(np.array([self.merge(windows[i])], np.int64), until[i : i + 1])
+            out[i], read[i] = ids[0], done[0]
+        return out, read
+
+    def run(self, streams: list[bytes]) -> list[bytes]:
+        """Ids (little-endian unsigned 32-bit) of each whole stream."""
+        out: list[list[bytes]] = [[] for _ in streams]
+        first = lambda raw: WIDTHS[-1] if len(raw) <= 4 * WIDTHS[-1] else self.limit
+        rows = [(i, 0, first(raw)) for i, raw in enumerate(streams) if raw]  # stream, place, width of the window
+        while rows:
+            windows = [streams[i][at : at + width] for i, at, width in rows]
+            ended = np.array([at + len(w) == len(streams[i]) for (i, at, _), w in zip(rows, windows)])
+            until = np.array([len(w) for w in windows])
+            for k in np.flatnonzero(~ended).tolist():
+                until[k] -= self.lookahead(windows[k])
+            ids, read = self._step(windows, until)
+            more = []
+            for k, ((i, at, width), x, n) in enumerate(zip(rows, ids, read.tolist())):
+                out[i].append(x)
+                if not ended[k]:
+                    more.append((i, at + n, width if n else 2 * width))
+            rows = more
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
     def feed(self, raw: bytes) -> bytes:
-        """Ids (little-endian unsigned 32-bit) that no later byte can change."""
-        self.buffer += raw
-        out: list[int] = []
-        at = 0
-        while len(self.buffer) - at > self.limit:
-            stable = at + self.limit - self.lookahead
-            for token in self.merge(self.buffer[at : at + self.limit]):
-                if at + self.size[token] > stable:
-                    break
-                at += self.size[token]
-                out.append(token)
-        self.buffer = self.buffer[at:]
-        return self._out(out)
+        """Ids that no later byte can change, of one stream."""
+        out: list[bytes] = []
+        for k in range(0, len(raw), BLOCK_BYTES):
+            self.buffer += raw[k : k + BLOCK_BYTES]
+            while len(self.buffer) > self.limit:
+                window = self.buffer[: self.limit]
+                ids, read = self._step([window], np.array([len(window) - self.lookahead(window)]))
+                out += ids
+                self.buffer = self.buffer[int(read[0]) :]
+        return b"".join(out)
 
     def finish(self) -> bytes:
-        out = self.merge(self.buffer)
+        """The rest of the stream that was fed."""
+        out = self.run([self.buffer])[0]
         self.buffer = b""
-        return self._out(out)
-
-    def run(self, pre_tokens: list[bytes]) -> list[bytes]:
-        """Ids of each whole pre-token."""
-        out = self.windows.ids(pre_tokens, self._starts)
-        self.emitted += sum(map(len, out)) // 4
-        for i, raw in enumerate(pre_tokens):
-            if len(raw) > WIDTHS[-1]:
-                out[i] = b"".join([*(self.feed(raw[k : k + PORTION_BYTES]) for k in range(0, len(raw), PORTION_BYTES)), self.finish()])
         return out
 
 
@@ -236,6 +323,17 @@ class WindowMerger:
             first = at > 0
             ranks[each[first], at[first] - 1] = self.rank(tokens[each[first], at[first] - 1], tokens[each[first], at[first]])
 
+    def merged(self, windows: list[bytes], start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows of bytes merged, those of about one width at a time: their numbers, and rows of ids padded with -1."""
+        lengths = np.array([len(w) for w in windows])
+        for low, high in zip((0, *WIDTHS), WIDTHS):
+            chosen = np.flatnonzero((lengths > low) & (lengths <= high))
+            for part in (chosen[i : i + ROWS] for i in range(0, len(chosen), ROWS)):
+                size = lengths[part]
+                tokens = np.full((len(part), int(size.max())), -1, np.int32)
+                tokens[np.arange(tokens.shape[1])[None, :] < size[:, None]] = start[np.frombuffer(b"".join([windows[i] for i in part]), np.uint8)]
+                yield part, self.merge(tokens)
+
     def ids(self, windows: list[bytes], start: np.ndarray, last: np.ndarray | None = None) -> list[bytes]:
         """Ids (little-endian unsigned 32-bit) of windows of bytes; start: id of each byte, last: id of a final byte."""
         out: list[bytes] = [b""] * len(windows)
@@ -269,8 +367,8 @@ class Encoder:
     """Ids of whole texts, as the library gives them.
 
     A text is cut before each space that a non-space follows, where the pre-tokenizer always cuts too. What
-    the transducer emitted for a short chunk is remembered; other chunks are cut into pre-tokens (plain ones
-    here, others by the library's pre-tokenizer), and every pre-token runs through the transducer. Texts and
+    the transducer emitted for a short chunk is remembered (memo=0: nothing is); other chunks are cut into
+    pre-tokens (plain ones here, others by the library's pre-tokenizer), which run through the transducer. Texts and
     chunks without a cut are read a portion at a time.
     """
 
@@ -280,7 +378,7 @@ class Encoder:
         self.vocabulary = Vocabulary(path)
         self.transducer = Transducer(self.vocabulary, block)
         self.pre = Tokenizer.from_file(path).pre_tokenizer
-        self.memo = Memo(memo, MEMO_CHARS if memo else 0)
+        self.memo = Memo(memo, MEMO_CHARS) if memo else None
         special = self.vocabulary.special
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self._byte = {c: bytes([b]) for b, c in self.vocabulary.of_byte.items()}
@@ -288,30 +386,40 @@ class Encoder:
     def _raw(self, symbols: str) -> bytes:
         return b"".join([self._byte[c] for c in symbols])
 
-    def learn(self, keys: list[str]) -> dict[str, bytes]:
-        """Ids of distinct chunks that the memo lacks."""
-        words: list[str] = []
-        cut: dict[str, list[bytes]] = {}
-        out: dict[str, bytes] = {}
-        for key in keys:
+    def _streams(self, keys: list[str]) -> tuple[dict[int, bytes], dict[int, list[bytes]]]:
+        """By place: ids of chunks that are read a portion at a time, and the pre-tokens of all others."""
+        done: dict[int, bytes] = {}
+        cut: dict[int, list[bytes]] = {}
+        for i, key in enumerate(keys):
             if plain_word(key):
-                words.append(key)
+                cut[i] = [b" " + key.encode()]
                 continue
             bare = key[:1] == RAW
             chunk = key[1:] if bare else " " + key
             if bare and plain_word(chunk):
-                cut[key] = [chunk.encode()]
+                cut[i] = [chunk.encode()]
             elif len(chunk) > PORTION_CHARS:
-                out[key] = b"".join(self.unbroken(chunk))
+                done[i] = b"".join(self.unbroken(chunk))
             else:
-                cut[key] = [self._raw(symbols) for symbols, _ in self.pre.pre_tokenize_str(chunk)]
-        out.update(zip(words, self.transducer.run([b" " + word.encode() for word in words])))
+                cut[i] = [self._raw(symbols) for symbols, _ in self.pre.pre_tokenize_str(chunk)]
+        return done, cut
+
+    def learn(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of distinct chunks that the memo lacks; each distinct pre-token runs once."""
+        done, cut = self._streams(keys)
         new = list(dict.fromkeys(chain.from_iterable(cut.values())))
         known = dict(zip(new, self.transducer.run(new)))
-        for key, parts in cut.items():
-            out[key] = b"".join([known[raw] for raw in parts])
+        out = {keys[i]: ids for i, ids in done.items()}
+        for i, parts in cut.items():
+            out[keys[i]] = known[parts[0]] if len(parts) == 1 else b"".join([known[raw] for raw in parts])
         return out
 
+    def each(self, keys: list[str]) -> list[bytes]:
+        """Ids of chunks without a memo: every pre-token of every chunk runs, however often it occurs."""
+        done, cut = self._streams(keys)
+        ids = iter(self.transducer.run(list(chain.from_iterable(cut.values()))))
+        return [done[i] if i in done else b"".join([next(ids) for _ in cut[i]]) for i in range(len(keys))]
+
     def unbroken(self, chunk: str) -> Iterator[bytes]:
         """Ids of a chunk of any length, a portion at a time.
 
@@ -380,12 +488,14 @@ class Encoder:
         if self._special is not None and "<" in text and self._special.search(text):
             parts = enumerate(self._special.split(text))
             return b"".join([self.vocabulary.special[p].to_bytes(4, "little") if i % 2 else self.encode(p) for i, p in parts])
-        return b"".join([b"".join(self.memo.values(keys, self.learn)) for keys in self.portions(text)])
+        return b"".join([b"".join(self.memo.values(keys, self.learn) if self.memo is not None else self.each(keys)) for keys in self.portions(text)])
 
     def encode_array(self, texts: pa.Array) -> pa.BinaryArray:
         """Ids of each text. Texts with nothing but single spaces and line ends between words are cut all at once:
         a line end is a chunk, and so are a word and the marks behind it."""
         texts = pc.fill_null(texts, "")
+        if self.memo is None:
+            return pa.array([self.encode(text) for text in texts.to_pylist()], pa.binary())
         even = short_and(texts, _UNEVEN, TEXT_CHARS)
         plain = texts if even.all() else pc.if_else(pa.array(even), texts, "")
         plain = pc.replace_substring_regex(plain, pattern=MARK, replacement=rf"\1 {RAW}\2\3")
