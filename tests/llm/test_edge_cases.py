@@ -490,31 +490,84 @@ def test_exact_dedup(docs, empty):
     assert sum(r._kept for r in exact_dedup.exact_dedup(twice).collect()) == 1
 
 
+SLOTS = ("remainders", "occupied", "continuation", "shifted", "counter", "used")
+
+
+def some_prints(r, n, crowded):
+    """Distinct fingerprints: anywhere, or crowded into few quotients."""
+    high = r.integers(0, 1 << 64, n, np.uint64)
+    if crowded:
+        high = (high & np.uint64((1 << 40) - 1)) | (r.integers(0, 5, n).astype(np.uint64) << np.uint64(58))
+    return np.unique(high)
+
+
 @pytest.mark.parametrize("seed", range(12))
-def test_counting_filters_merge_without_loss(seed):
-    """Slots and bits give back what was put in, through blocks and merges, whatever the load and the counts."""
+def test_counting_quotient_filters_merge_without_loss(seed):
+    """Any sizes and counts: packed and unpacked alike, at most LOAD taken, merged over different geometries."""
     Filter, r = exact_dedup.CountingQuotientFilter, np.random.default_rng(seed)
-    filters, want = [], Counter()
-    for _ in range(r.integers(1, 6)):
-        high = int(r.choice([2**64 - 1, 2**50, 2**20]))
-        prints = r.integers(0, high, int(r.integers(0, 3000)), dtype=np.uint64)
-        prints = np.unique(np.concatenate([prints, np.full(1, 2**64 - 1, np.uint64)]))
-        counts = r.choice([1, 1, 1, 2, 5, 2**48, 2**50], len(prints)).astype(np.int64)
-        made = Filter.of(prints, counts)
-        got = Filter.of_block(0, made.quotients, *made.block())
-        for x in ("remainders", "occupied", "continuation", "shifted", "counter", "used"):
+    bits = (0, 8, 12)[seed % 3]
+    filters, want, shared = [], Counter(), some_prints(r, 200, seed % 2)
+    for n in (0, 1, 30, 700, 20_000)[: 3 + seed % 3]:
+        prints = np.unique(np.concatenate([some_prints(r, n, seed % 2), r.choice(shared, min(n, 50))]))
+        prints = prints & np.uint64((1 << (64 - bits)) - 1) | np.uint64(5 << (64 - bits) if bits else 0)
+        prints = np.unique(prints)
+        counts = r.choice([1, 1, 1, 2, 3, 1 << 20, (1 << 40) + 7], len(prints)).astype(np.int64)
+        made = Filter.of(prints, counts, 5 if bits else 0, bits)
+        assert made.load <= exact_dedup.LOAD and len(made) == len(prints)
+        got = Filter.unpacked(bits, *made.packed())
+        for x in SLOTS:
             assert (getattr(made, x) == getattr(got, x)).all()
-        assert len(got) == len(prints)
+        wider = got.resized(got.quotient_bits + 3)
+        assert wider.remainder_bits == got.remainder_bits - 3 and all((x == y).all() for x, y in zip(wider.entries(), got.entries()))
         filters.append(got)
         want.update(dict(zip(prints.tolist(), counts.tolist())))
-    prints, counts = Filter.merged(filters).entries()
-    assert dict(zip(prints.tolist(), counts.tolist())) == dict(want) and (np.diff(prints.astype(object)) > 0).all()
+        for p in prints[:: max(1, n // 60)].tolist():
+            assert made.count(p) == dict(zip(prints.tolist(), counts.tolist()))[p] and (p ^ 1 in prints or made.count(p ^ 1) == 0)
+    whole = Filter.merged(filters)
+    prints, counts = whole.entries()
+    assert dict(zip(prints.tolist(), counts.tolist())) == dict(want) and (np.diff(prints.astype(object)) > 0).all() and whole.load <= exact_dedup.LOAD
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_insertion_gives_what_bulk_loading_gives(seed):
+    """Slot by slot the same filter, through clusters that run into each other and through resizes."""
+    Filter, r = exact_dedup.CountingQuotientFilter, np.random.default_rng(seed)
+    one, want, fullest = Filter.of(np.zeros(0, np.uint64), np.zeros(0, np.int64)), Counter(), 0.0
+    pool = some_prints(r, 150, seed % 2)
+    for p in r.choice(pool, 400).tolist():
+        times = int(r.choice([1, 1, 1, 5, 1 << 33, (1 << 61) + 1])) if want[p] < 1 << 61 else 1
+        one = one.insert(p, times)
+        want[p] += times
+        fullest = max(fullest, one.load)
+        assert one.count(p) == want[p]
+    prints = np.array(sorted(want), np.uint64)
+    bulk = Filter.of_keys(prints, np.array([want[p] for p in prints.tolist()]), 0, 0, one.quotient_bits)
+    for x in SLOTS:
+        n = min(len(getattr(one, x)), len(getattr(bulk, x)))
+        assert (getattr(one, x)[:n] == getattr(bulk, x)[:n]).all() and not getattr(one, x)[n:].any()
+    assert 0.5 < fullest <= exact_dedup.LOAD
+    assert all(one.count(p) == want[p] for p in pool.tolist())
+
+
+def test_full_filters_shift_little():
+    """A task's worth of fingerprints: nearly all slots of a full table are in use, and runs stay near their own slots."""
+    Filter, r = exact_dedup.CountingQuotientFilter, np.random.default_rng(1)
+    n = int(0.949 * (1 << 18))
+    made = Filter.of(np.unique(r.integers(0, 1 << 64, n, np.uint64)), np.ones(n, np.int64))
+    assert 0.94 < made.load <= exact_dedup.LOAD and len(made.used) - (1 << 18) < 1000
+    assert made.quotient_bits == 18 and made.remainder_bits == 46
 
 
 def test_filter_blocks_hold_remainders_only():
-    prints = np.unique(np.random.default_rng(1).integers(0, 2**64 - 1, 20_000, dtype=np.uint64))
-    block = exact_dedup.CountingQuotientFilter.of(prints, np.ones(len(prints), np.int64)).block()
-    assert sum(map(len, block)) < 8 * len(prints)
+    """What travels of a million fingerprints in 256 blocks: six bytes of remainder each and a few bits."""
+    prints = np.unique(np.random.default_rng(3).integers(0, 1 << 64, 1_000_000, np.uint64))
+    block, size = prints >> np.uint64(56), 0
+    for k in range(256):
+        own = prints[block == k]
+        made = exact_dedup.CountingQuotientFilter.of(own, np.ones(len(own), np.int64), k, 8)
+        assert 0.4 < made.load <= exact_dedup.LOAD
+        size += sum(map(len, made.packed()[2:]))
+    assert size < 6.6 * len(prints)
 
 
 def test_chat(spark):
