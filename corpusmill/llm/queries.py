@@ -29,8 +29,8 @@ def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host: the document's source; path: its language under that source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    out = quality.score(docs, model, F.col("source"), F.col("lang"))
+    labels = table(spark, sf_dir, "labels")
+    out = quality.score(docs, quality.fit(docs, labels), F.col("source"), F.col("lang"), labels=labels)
     return out.select("doc_id", F.col("_p").alias("doc_score"), F.col("_site").alias("site_score"), F.col("_score").alias("score"), F.col("_keep").alias("keep"))
 
 

@@ -213,10 +213,48 @@ def test_quality_learns_and_shrinks(spark, sf):
     assert sum(not rows[x.doc_id].keep for x in bad) >= 0.9 * len(bad)
 
 
+def area(scores, labels):
+    """Area under the curve of hits against false alarms."""
+    order = np.argsort(scores, kind="stable")
+    place = np.empty(len(order))
+    place[order] = np.arange(1, len(order) + 1)
+    labels = np.asarray(labels)
+    good = labels.sum()
+    return (place[labels == 1].sum() - good * (good + 1) / 2) / (good * (len(labels) - good))
+
+
+def test_quality_of_held_out_labels(spark):
+    """Fitted on half of the labels, the other half: by the document alone, and with its site."""
+    at = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text", "source", "lang")
+    labels = spark.read.parquet(f"{at}/labels.parquet").where("quality IS NOT NULL")
+    half = labels.where("doc_id % 2 = 0")
+    rows = {r.doc_id: r for r in quality.score(docs, quality.fit(docs, half), F.col("source"), F.col("lang"), labels=half).collect()}
+    held = [r for r in labels.where("doc_id % 2 = 1").collect() if r.doc_id in rows]
+    marks = [r.quality for r in held]
+    alone, both = (area(np.array([getattr(rows[r.doc_id], c) for r in held]), marks) for c in ("_p", "_score"))
+    assert min(alone, both) > 0.98
+
+
+def test_words_tell_where_the_surface_is_alike():
+    """Texts that differ in their words only: runs of words tell them apart on texts not learned from."""
+    r = random.Random(5)
+    kinds = [[f"{a}{b}" for a in ("ba", "ce", "di") for b in "aeiou"], [f"{a}{b}" for a in ("fo", "gu", "ha") for b in "aeiou"]]
+    texts = [" ".join(r.choice(kinds[k % 2] if r.random() < 0.6 else kinds[0] + kinds[1]) for _ in range(60)) + "." for k in range(600)]
+    labels = np.array([k % 2 for k in range(600)], float)
+    first, second = pa.array(texts[:300]), pa.array(texts[300:])
+    with_words = quality.solve(quality.surface(first), labels[:300], quality.run_shares(first))
+    without = quality.solve(quality.surface(first), labels[:300])
+    assert area(with_words.probabilities(with_words.evidence(second)), labels[300:]) > 0.95
+    assert area(without.probabilities(without.evidence(second)), labels[300:]) < 0.7
+    want = quality.run_shares(second) @ with_words.grams
+    assert np.allclose(quality.run_means(second, with_words.grams), want)
+
+
 def test_quality_sites(spark):
     """A sparse site's posterior stays nearer to the global mean than a dense one's of the same raw share."""
-    model = quality.solve(np.zeros((0, quality.FEATURES)), np.zeros(0))
-    model = quality.Classifier(model.mean, model.scale, np.r_[np.zeros(quality.FEATURES - 1), -8.0], 3.0)
+    model = quality.solve(np.zeros((0, quality.SURFACE)), np.zeros(0))
+    model = quality.Classifier(model.mean, model.scale, np.r_[np.zeros(quality.SURFACE - 1), -8.0, 0.0], 3.0, np.zeros(quality.BUCKETS))
     rows = [(i, "x y", "rest", "p") for i in range(200)] + [(1000 + i, "x|y|z|", "many", "p") for i in range(60)] + [(2000, "x|y|z|", "few", "p")]
     df = spark.createDataFrame(rows, "doc_id long, text string, h string, p string")
     site = {r.h: r._site for r in quality.score(df, model, F.col("h"), F.col("p")).collect()}
