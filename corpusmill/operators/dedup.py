@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.session import checkpointed
 
 
 def keep_best(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -17,7 +18,7 @@ def keep_best(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 def keep_longest_abstract(rows: DataFrame, key: str = "identity", text: str = "abstract", position: list[str] | None = None) -> DataFrame:
     """The row with the longest abstract of each identity, ties to the earliest; first_position is the key's first place.
 
-    A place (`position`) names one row. A grouped maximum of lengths and places finds each key's winner; it is
+    A place (`position`) names one row, the same in every evaluation: a column of a stored table. A grouped maximum of lengths and places finds each key's winner; it is
     combined before its shuffle, so a key with many rows is no hot task, and moves no texts. The winners' other
     columns are then fetched by place: only those that are used later.
     """
@@ -51,15 +52,19 @@ def first_of_key(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame
     return keep_best(rows.withColumn("__key", key).where(F.coalesce(F.col("__key").cast("string"), F.lit("")) != ""), ["__key"], order).drop("__key")
 
 
-def union_sources(sources: list[DataFrame]) -> DataFrame:
-    """UNION ALL in plan order: _source_index and _source_pos make 'first' mean something."""
+def union_sources(sources: list[DataFrame], stored: bool = True) -> DataFrame:
+    """UNION ALL in plan order: _source_index and _source_pos make 'first' mean something.
+
+    Places that are made here hold for one evaluation: the rows are written once, unless the caller does that
+    itself (stored=False) before anything else.
+    """
     out = None
     for i, source in enumerate(sources):
         rows = source.withColumn("_source_index", F.lit(i))
         if "_source_pos" not in source.columns:
             rows = rows.withColumn("_source_pos", F.monotonically_increasing_id())
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out
+    return checkpointed(out) if stored and any("_source_pos" not in s.columns for s in sources) else out
 
 
 def duplicate_sections(sections: DataFrame, least: int = 120) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusmill.sources import store
+
 # What a plan may say.
 SOURCE_TYPES = {"venue", "arxiv", "biorxiv"}
 MODES = {"comprehensive", "focused", "incremental", "metadata_only"}
@@ -232,28 +234,28 @@ def child(plan: dict, parent: Any) -> dict:
     return {**plan, "workflow": {**workflow, **kept}} if kept else plan
 
 
-def write_text(path: str, value: str) -> None:
-    """A small driver-side text, replaced at once or not at all, with a line end at its end."""
+def _replaced(path: str, data: bytes) -> None:
+    """A small document of the driver's, replaced at once or not at all; on a store, by a move."""
+    if "://" in path:
+        return store.write(path, data)
     folder = os.path.dirname(path) or "."
     os.makedirs(folder, exist_ok=True)
     handle, draft = tempfile.mkstemp(dir=folder, suffix=".tmp")
-    with os.fdopen(handle, "w", encoding="utf-8") as f:
-        f.write(value.rstrip("\n") + "\n")
+    with os.fdopen(handle, "wb") as f:
+        f.write(data)
         f.flush()
         os.fsync(f.fileno())
     os.replace(draft, path)
 
 
+def write_text(path: str, value: str) -> None:
+    """A small text, with a line end at its end."""
+    _replaced(path, (value.rstrip("\n") + "\n").encode("utf-8"))
+
+
 def write_json(path: str, value: Any) -> None:
-    """A small driver-side document, replaced at once or not at all."""
-    folder = os.path.dirname(path) or "."
-    os.makedirs(folder, exist_ok=True)
-    handle, draft = tempfile.mkstemp(dir=folder, suffix=".tmp")
-    with os.fdopen(handle, "w", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=1)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(draft, path)
+    """A small JSON document."""
+    _replaced(path, json.dumps(value, ensure_ascii=False, indent=1).encode("utf-8"))
 
 
 # The outcomes that let a step count as done; elsewhere only these outcomes mean that it is not.

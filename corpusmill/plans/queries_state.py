@@ -389,6 +389,40 @@ def exit_statuses(spark, sf):
     return table(spark, sf, "customer").select(key.alias("k"), step.alias("step"), F.col("c_mktsegment").alias("outcome"), P.exit_statuses(step, outcome).alias("exit_status"))
 
 
+@query("SELECT r_name AS name, count(*) AS nations, CAST(sum(n_nationkey) AS BIGINT) AS keys, r_name || ' holds ' || count(*) AS note FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+def small_documents(spark, sf):
+    """Small documents that the driver keeps, JSON and text, each written twice and there whole."""
+    from corpusmill.plans import plan as P
+    from corpusmill.sources import files
+
+    at = scratch(spark, "small")
+    rows = table(spark, sf, "region").join(table(spark, sf, "nation"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count(F.lit(1)).alias("nations"), F.sum("n_nationkey").alias("keys"))
+    for r in rows.collect():  # a handful of regions
+        for draft in (True, False):
+            P.write_json(f"{at}/json/{r.r_name}.json", {"name": r.r_name, "nations": 0 if draft else r.nations, "keys": r["keys"]})
+            P.write_text(f"{at}/text/{r.r_name}.txt", "draft" if draft else f"{r.r_name} holds {r.nations}")
+    documents = files.json_document(spark, f"{at}/json/*.json", "name string, nations bigint, keys bigint")
+    notes = spark.read.text(f"{at}/text/*.txt").select(F.col("value").alias("note"), F.substring_index("value", " holds", 1).alias("name"))
+    return documents.join(notes, "name").select("name", "nations", "keys", "note")
+
+
+@query("SELECT c_custkey AS k, 'own' AS channel, c_custkey % 4 = 0 AS whole FROM customer WHERE c_custkey % 2 = 0")
+def own_channel(spark, sf):
+    """A channel of one's own: its reader is called, its rows carry its name, its validator and links are used."""
+    from corpusmill.sources import channels
+
+    read = lambda rows, even=True: rows.where("c_custkey % 2 = 0") if even else rows
+    own = channels.Channel("own", "conference", reader=read)
+    before = dict(channels.CHANNELS)
+    try:
+        channels.register(own)
+        rows = channels.of("own").read(table(spark, sf, "customer"), even=True)
+    finally:
+        channels.CHANNELS.clear()
+        channels.CHANNELS.update(before)
+    return rows.select(F.col("c_custkey").alias("k"), "channel", (F.col("c_custkey") % 4 == 0).alias("whole"))
+
+
 @query("SELECT 'unchanged' AS state, 'shortlist of ' || least(count(*), 40) AS outcome FROM part UNION ALL VALUES ('papers changed', 'papers has changed'), ('plan changed', 'the plan has changed'), ('no metadata', 'the run has no plan')")
 def stale_steps(spark, sf):
     """Steps on a run whose tables or plan have changed since they were recorded are refused."""

@@ -112,7 +112,7 @@ class Run:
         if len(sources) != len(plan["sources"]):
             raise ValueError(f"the plan has {len(plan['sources'])} sources, {len(sources)} were given")
         watched = [catalogs.observed(records.normalize(s, str(spec["type"]).lower())) for s, spec in zip(sources, plan["sources"])]
-        raw = self._write("raw", dedup.union_sources([rows for rows, _ in watched]))
+        raw = self._write("raw", dedup.union_sources([rows for rows, _ in watched], stored=False))
         seen = [{k: int(v or 0) for k, v in watch.get.items()} for _, watch in watched]
         notices = audit.coverage_notices(self._write("receipts", self._coverage(seen)), ["_source_index"]).count()
         unique = {r["_source_index"]: r["n"] for r in raw.groupBy("_source_index").agg(F.count_distinct("identity").alias("n")).collect()}  # a row a source
