@@ -301,6 +301,35 @@ def narrowed_scan(spark, sf):
         return checkpointed(rows.groupBy("category", F.col("day").cast("string").alias("day")).agg(F.count("title").alias("papers")))
 
 
+@query(
+    """WITH d AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, day(CAST(ts AS DATE)) % 2 = 0 AS late FROM events GROUP BY 1, 3)
+    SELECT 'only' AS policy, day, 'ok' AS status, n AS papers FROM d UNION ALL SELECT 'refresh', day, CASE WHEN late THEN 'ok' ELSE 'stale' END, CASE WHEN late THEN n ELSE 0 END FROM d
+    UNION ALL SELECT 'only, with a gap', NULL, 'refused', 0"""
+)
+def policy_scans(spark, sf):
+    """Scans under the policies that take every closed shard, or none that is older than now; the first refuses a gap."""
+    at, events = scratch(spark, "policies"), table(spark, sf, "events")
+    for even, fetched in ((True, "2024-02-10"), (False, "2024-02-01")):
+        _shards(events.where((F.dayofmonth("ts") % 2 == 0) == even), F.lit("all")).write.format("scholarly").options(path=at, source="arxiv", now=f"{fetched}T00:00:00").mode("append").save()
+    first, last = events.agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+    out = None
+    for policy in ("only", "refresh"):
+        scan = spark.read.format("scholarly").options(path=at, source="arxiv", policy=policy, start=str(first), end=str(last), now="2024-02-10T00:00:00").load()
+        one = scan.groupBy(F.col("day").cast("string").alias("day"), "status").agg(F.count("title").alias("papers")).select(F.lit(policy).alias("policy"), "day", "status", "papers")
+        out = one if out is None else out.unionByName(one)
+    try:
+        spark.read.format("scholarly").options(path=at, source="arxiv", policy="only", start="2023-12-01", end=str(last), now="2024-02-10T00:00:00").load().count()
+        told = "taken"
+    except Exception as e:
+        told = "refused" if "is missing" in str(e) else str(e)
+    return out.unionByName(spark.createDataFrame([("only, with a gap", None, told, 0)], out.schema))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small table over all cores: files are read one by one, and each takes its time."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 _MADE = """'A difficult offer of the office of ' || c_name || ', first in all'"""
 
 
@@ -314,7 +343,7 @@ def pdf_texts(spark, sf):
     made = _MADE.replace("||", ",").strip()
     one = F.struct(F.array(F.expr(f"concat({made})")).alias("head"), F.expr("array(concat('left (', c_custkey, ') flat'), 'the affair ends', 'left \\\\ three')").alias("left"), F.expr("array(c_name, 'right two', 'café')").alias("right"))
     two = F.struct(F.expr("array(concat('Page two of ', lower(c_mktsegment)))").alias("head"), F.expr("array('one column only', 'and its end')").alias("left"), F.expr("cast(array() as array<string>)").alias("right"))
-    files = table(spark, sf, "customer").select(F.col("c_custkey").alias("path"), pdf_made.of_lines(F.array(one, two), F.col("c_custkey") % 3).alias("content"))
+    files = _spread(table(spark, sf, "customer")).select(F.col("c_custkey").alias("path"), pdf_made.of_lines(F.array(one, two), F.col("c_custkey") % 3).alias("content"))
     return pdf.texts(files).select(F.col("path").alias("k"), "status", "n_pages", "text")
 
 
@@ -328,7 +357,7 @@ def pdf_statuses(spark, sf):
     # a byte in the middle of the compressed content is another one
     content = F.regexp_replace(said, r"(?s)(/Filter /FlateDecode  >>\nstream\n.{60}).{4}", "$1    ")
     cases = F.when(F.col("k") % 5 == 0, F.substring(said, 9, 999)).when(F.col("k") % 5 == 1, F.regexp_replace(said, "startxref", "startxxxx")).when(F.col("k") % 5 == 2, content).when(F.col("k") % 5 == 3, F.replace(said, F.lit("/Root"), F.lit("/Encrypt << /V 1 >> /Root"))).otherwise(said)
-    files = table(spark, sf, "customer").withColumn("k", F.col("c_custkey")).select(F.col("k").alias("path"), "c_name", F.expr(text).alias("want"), F.encode(cases, "ISO-8859-1").alias("content"))
+    files = _spread(table(spark, sf, "customer")).withColumn("k", F.col("c_custkey")).select(F.col("k").alias("path"), "c_name", F.expr(text).alias("want"), F.encode(cases, "ISO-8859-1").alias("content"))
     found = pdf.texts(files.select("path", "content")).join(files.select("path", F.concat("c_name", F.lit("\n"), F.trim("want")).alias("want")), "path")
     return found.select(F.col("path").alias("k"), "status", (F.col("text") == F.col("want")).alias("whole"))
 

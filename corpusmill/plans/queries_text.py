@@ -119,6 +119,22 @@ def full_text_identity(spark, sf):
     return rows.select("p_partkey", T.best_title(F.col("t"), F.col("v"))["similarity"].alias("similarity"), T.identity_ok(F.col("t"), authors, F.col("v")).alias("same_paper"))
 
 
+@query(
+    """WITH p AS (SELECT p_partkey, [34, 35, 38, 39, 40, 41, 45, 46][p_partkey % 8 + 1] AS m, (p_partkey // 8) % 6 AS a FROM part)
+    SELECT p_partkey, m / 50.0 AS similarity, CASE WHEN a = 5 THEN m >= 46 ELSE m >= 41 AND a >= 1 OR m >= 39 AND a >= 2 OR m >= 35 AND a >= 4 END AS same_paper FROM p"""
+)
+def identity_thresholds(spark, sf):
+    """Titles that share 34 to 46 of 50 words with a text, and none to four of its authors: every bound of the acceptance."""
+    k = F.col("p_partkey")
+    m = F.element_at(F.array(*[F.lit(x) for x in (34, 35, 38, 39, 40, 41, 45, 46)]), (k % 8 + 1).cast("int"))
+    a = (F.floor(k / 8) % 6).cast("int")
+    words, names = F.array(*[F.lit(f"q{x}") for x in range(10, 60)]), F.array(*[F.lit(x) for x in ("Ada One", "Bob Two", "Cy Three", "Di Four")])
+    front = F.concat(F.array_join(F.slice(words, F.lit(1), m), " "), F.lit("\nby "), F.array_join(F.slice(names, F.lit(1), F.when(a == 5, 0).otherwise(a)), ", "), F.lit("\nAbstract\nOf words."))
+    authors = F.when(a == 5, F.array().cast("array<string>")).otherwise(names)
+    title = F.array_join(words, " ")
+    return table(spark, sf, "part").select("p_partkey", T.best_title(title, front)["similarity"].alias("similarity"), T.identity_ok(title, authors, front).alias("same_paper"))
+
+
 @query("SELECT c_custkey, 'a b ' || lower(c_mktsegment) || ' b' AS abstract FROM customer")
 def abstract_of_inverted_index(spark, sf):
     """A text from the positions of its words."""
