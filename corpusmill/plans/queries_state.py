@@ -306,18 +306,20 @@ def published_texts(spark, sf):
 
 
 @query(
-    """SELECT * FROM (VALUES ('whole', 'ok'), ('limited', 'refused'), ('filtered', 'refused'), ('two_years', 'refused'), ('odd_year', 'refused'), ('no_scope', 'refused'), ('undecided', 'refused'), ('no_days', 'refused'), ('stops_early', 'metadata'),
-    ('goes_on', 'metadata,shortlist,fulltext,reading,recommendation'), ('done', '0'), ('gaps', '2'), ('text_gaps', '0')) AS t(plan, verdict)"""
+    """SELECT c_custkey AS k, plan, verdict FROM customer, (VALUES ('whole', 'ok'), ('limited', 'refused'), ('filtered', 'refused'), ('two_years', 'refused'), ('odd_year', 'refused'), ('no_scope', 'refused'), ('undecided', 'refused'),
+    ('no_days', 'refused'), ('stops_early', 'metadata'), ('goes_on', 'metadata,shortlist,fulltext,reading,recommendation'), ('done', '0'), ('gaps', '2'), ('text_gaps', '0')) AS t(plan, verdict)"""
 )
 def plan_verdicts(spark, sf):
-    """Plans that may run and plans that may not, the stages that they allow, and what lets a step count as done."""
+    """For every customer's question: plans that may run and plans that may not, the stages that they allow, and what lets a
+    step count as done."""
     import copy
+    import json
 
     from corpusmill.plans import plan as P
 
     whole = {
         "request_scope": {"user_specified_time": True, "user_specified_channels": True, "as_of_date": "2024-06-01"},
-        "workflow": {"mode": "focused", "rationale": "r", "research_question": "q"},
+        "workflow": {"mode": "focused", "rationale": "r", "research_question": "@question"},
         "channel_decisions": [{"channel": "eccv", "decision": "include", "reason": "r"}],
         "sources": [{"type": "venue", "venue": "ECCV", "years": [2024], "complete_catalog": True}],
     }
@@ -334,19 +336,15 @@ def plan_verdicts(spark, sf):
     plans = {
         "whole": whole, "limited": changed(("sources", 0, "limit"), 5), "filtered": changed(("sources", 0, "tracks"), ["x"]), "two_years": changed(("sources", 0, "years"), [2022, 2024]), "odd_year": changed(("sources", 0, "years"), [2023]),
         "no_scope": changed(("request_scope",), None), "undecided": changed(("channel_decisions",), [{"channel": "eccv", "decision": "maybe", "reason": "r"}]), "no_days": changed(("sources", 0), {**source, "type": "arxiv"}),
+        "stops_early": changed(("workflow", "stop_after"), "metadata"), "goes_on": changed(("workflow", "stop_after"), "recommendation"),
     }
-    out = []
-    for name, plan in plans.items():
-        try:
-            P.validate(plan)
-            out.append((name, "ok"))
-        except P.PlanError:
-            out.append((name, "refused"))
-    for name, stop in (("stops_early", "metadata"), ("goes_on", "recommendation")):
-        flow = P.validate(changed(("workflow", "stop_after"), stop))["workflow"]
-        out.append((name, ",".join(s for s in P.STAGES if P.stage_allowed(flow, s))))
-    out += [("done", str(P.exit_status("metadata", "complete"))), ("gaps", str(P.exit_status("metadata", "complete_with_gaps"))), ("text_gaps", str(P.exit_status("fulltext", "complete_with_gaps")))]
-    return spark.createDataFrame(out, "plan string, verdict string")
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("plan"), F.lit(json.dumps(plan)).alias("json")) for name, plan in plans.items()]))
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), "c_name", each.alias("p")).select("k", "p.plan", F.replace("p.json", F.lit("@question"), F.col("c_name")).alias("json"))
+    found = rows.select("k", "plan", P.checked(F.col("json")).alias("found"))
+    told = F.when(F.col("found.problem") != "", "refused").when(F.col("plan").isin("stops_early", "goes_on"), F.array_join("found.stages", ",")).otherwise("ok")
+    steps = F.explode(F.array(*[F.struct(F.lit(n).alias("plan"), F.lit(step).alias("step"), F.lit(outcome).alias("outcome")) for n, step, outcome in (("done", "metadata", "complete"), ("gaps", "metadata", "complete_with_gaps"), ("text_gaps", "fulltext", "complete_with_gaps"))]))
+    ended = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), steps.alias("s")).select("k", "s.plan", P.exit_statuses(F.col("s.step"), F.col("s.outcome")).cast("string").alias("verdict"))
+    return found.select("k", "plan", told.alias("verdict")).unionByName(ended)
 
 
 @query(
