@@ -90,11 +90,14 @@ def clean_authors(names: Column) -> Column:
     return F.coalesce(F.filter(F.transform(names, clean), lambda a: a != ""), F.array().cast("array<string>"))
 
 
+def _title_words(value: Column) -> Column:
+    words = F.transform(F.regexp_extract_all(text(value), F.lit("[A-Za-z0-9]{2,}"), F.lit(0)), F.lower)
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(TITLE_STOPS)))
+
+
 def title_tokens(value: Column) -> Column:
     """Distinct lower-case words of two or more letters or digits, stop words out, sorted."""
-    words = F.transform(F.regexp_extract_all(clean(value), F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
-    stops = F.array(*[F.lit(w) for w in TITLE_STOPS])
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 2) & ~F.array_contains(stops, w))))
+    return F.sort_array(_title_words(value))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -256,37 +259,68 @@ def body_ok(value: Column, require_sections: bool = False) -> Column:
 def front_lines(value: Column) -> Column:
     """Up to 36 lines before the abstract, each at most 240 characters."""
     lines = F.transform(F.split(text(value), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.rtrim(F.substring(F.trim(F.regexp_replace(x, SPACES, " ")), 1, 240)))
-    lines = F.filter(lines, lambda x: x != "")
     starts = lambda x, words: F.lower(x).rlike("^(?:" + "|".join(words) + ")")
-    stop = F.array_min(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), (starts(x, ["abstract", "references", "acknowledgments", "acknowledgements"]) | (starts(x, ["keywords", "introduction"]) & (i > 0))).alias("end"))), lambda s: s["end"]), lambda s: s["i"]))
-    return F.slice(lines, F.lit(1), F.least(F.coalesce(stop, F.size(lines)), F.lit(36)))
+    ends = lambda x, i: starts(x, ["abstract", "references", "acknowledgments", "acknowledgements"]) | (starts(x, ["keywords", "introduction"]) & (i > 0))
+
+    def front(kept: Column) -> Column:
+        first = F.array_position(F.concat(F.transform(kept, ends), F.array(F.lit(True))), True)  # after the last line if none ends it
+        return F.slice(kept, F.lit(1), first.cast("int") - 1)
+
+    return let(F.slice(F.filter(lines, lambda x: x != ""), 1, 36), front)
+
+
+def _best(lines: Column, wanted: Column) -> Column:
+    """struct(similarity, order, candidate) of the best window of one to ten lines for a title's tokens.
+
+    What is used more than once is bound by let: inside lambdas Spark makes every mention of an expression anew.
+    """
+
+    def join(i: Column, n: Column) -> Column:
+        whole = lambda c: F.regexp_replace(F.regexp_replace(c, r"([A-Za-z]{2,})-\s+([A-Za-z]{1,3})(?=\b)", "$1$2"), r"([A-Za-z])-\s+([A-Za-z])", "$1 $2")
+        return let(F.array_join(F.slice(lines, i, n), " "), lambda c: F.when(c.contains("- "), whole(c)).otherwise(c))
+
+    def likeness(t: Column) -> Column:  # jaccard of distinct words
+        common = F.size(F.array_intersect(wanted, t))
+        return let(common, lambda n: F.when(n == 0, 0.0).otherwise(n / (F.size(wanted) + F.size(t) - n)))
+
+    def window(i: Column, n: Column) -> Column:
+        return let(join(i, n), lambda c: F.struct(let(_title_words(c), likeness).alias("similarity"), (-(i * 100 + n)).alias("order"), c.alias("candidate")))
+
+    starts = F.sequence(F.lit(1), F.greatest(F.least(F.size(lines), F.lit(10)), F.lit(1)))
+    counts = lambda i: F.sequence(F.lit(1), F.greatest(F.least(F.size(lines) - i + 1, F.lit(10)), F.lit(1)))
+    return F.array_max(F.flatten(F.transform(starts, lambda i: F.transform(counts(i), lambda n: window(i, n)))))
+
+
+def identity(title: Column, authors: Column, value: Column) -> Column:
+    """struct(similarity, candidate, same_paper): the best title among a text's front lines, and whether the text is the
+    paper by it and by the authors that stand there. Each part is made once a row."""
+    given = F.struct(front_lines(value).alias("lines"), title_tokens(title).alias("wanted"), family_names(authors).alias("names"))
+
+    def judged(x: Column) -> Column:
+        seen = F.transform(F.regexp_extract_all(F.array_join(x["lines"], " "), F.lit("[A-Za-z][A-Za-z-]+"), F.lit(0)), F.lower)
+        found = F.struct(_best(x["lines"], x["wanted"]).alias("top"), F.size(F.array_intersect(x["names"], seen)).alias("overlap"))
+
+        def told(y: Column) -> Column:
+            similarity, overlap = y["top"]["similarity"], y["overlap"]
+            with_authors = ((similarity >= 0.82) & (overlap >= 1)) | ((similarity >= 0.78) & (overlap >= 2)) | ((similarity >= 0.70) & (overlap >= 4))
+            same = (F.size(x["wanted"]) > 0) & F.when(F.size(x["names"]) == 0, similarity >= 0.92).otherwise(with_authors)
+            return F.struct(similarity.alias("similarity"), F.when(similarity > 0, y["top"]["candidate"]).otherwise("").alias("candidate"), same.alias("same_paper"))
+
+        return let(found, told)
+
+    return let(given, judged)
 
 
 def best_title(title: Column, value: Column) -> Column:
     """struct(similarity, candidate) of the best window of one to ten front lines; the earliest of equals."""
 
-    def join(lines: Column, i: Column, n: Column) -> Column:
-        c = F.array_join(F.slice(lines, i, n), " ")
-        c = F.regexp_replace(c, r"([A-Za-z]{2,})-\s+([A-Za-z]{1,3})(?=\b)", "$1$2")
-        return clean(F.regexp_replace(c, r"([A-Za-z])-\s+([A-Za-z])", "$1 $2"))
-
-    def best(x: Column) -> Column:
-        lines, wanted = x["lines"], x["wanted"]
-        starts = F.sequence(F.lit(1), F.greatest(F.least(F.size(lines), F.lit(10)), F.lit(1)))
-        counts = lambda i: F.sequence(F.lit(1), F.greatest(F.least(F.size(lines) - i + 1, F.lit(10)), F.lit(1)))
-        window = lambda i, n: let(join(lines, i, n), lambda c: F.struct(jaccard(wanted, title_tokens(c)).alias("similarity"), (-(i * 100 + n)).alias("order"), c.alias("candidate")))
-        top = F.array_max(F.flatten(F.transform(starts, lambda i: F.transform(counts(i), lambda n: window(i, n)))))
-        return F.when((F.size(lines) > 0) & (top["similarity"] > 0), F.struct(top["similarity"].alias("similarity"), top["candidate"].alias("candidate")))
+    def best(top: Column) -> Column:
+        return F.struct(top["similarity"].alias("similarity"), F.when(top["similarity"] > 0, top["candidate"]).otherwise("").alias("candidate"))
 
-    found = let(F.struct(front_lines(value).alias("lines"), title_tokens(title).alias("wanted")), best)
-    return F.coalesce(found, F.struct(F.lit(0.0).alias("similarity"), F.lit("").alias("candidate")))
+    given = F.struct(front_lines(value).alias("lines"), title_tokens(title).alias("wanted"))
+    return let(given, lambda x: let(_best(x["lines"], x["wanted"]), best))
 
 
 def identity_ok(title: Column, authors: Column, value: Column) -> Column:
     """Whether a full text is the paper: title similarity and author overlap before its abstract."""
-    similarity = best_title(title, value)["similarity"]
-    seen = F.transform(F.regexp_extract_all(F.array_join(front_lines(value), " "), F.lit("[A-Za-z][A-Za-z-]+"), F.lit(0)), F.lower)
-    wanted = family_names(authors)
-    overlap = F.size(F.array_intersect(wanted, seen))
-    with_authors = ((similarity >= 0.82) & (overlap >= 1)) | ((similarity >= 0.78) & (overlap >= 2)) | ((similarity >= 0.70) & (overlap >= 4))
-    return (F.size(title_tokens(title)) > 0) & F.when(F.size(wanted) == 0, similarity >= 0.92).otherwise(with_authors)
+    return identity(title, authors, value)["same_paper"]

@@ -116,7 +116,7 @@ def full_text_identity(spark, sf):
     )
     rows = table(spark, sf, "part").withColumn("t", title).withColumn("v", F.concat(front, F.lit("\nAbstract\nDeep learning of everything.")))
     authors = F.array(F.lit("Ada Lovelace"), F.lit("Alan Turing"))
-    return rows.select("p_partkey", T.best_title(F.col("t"), F.col("v"))["similarity"].alias("similarity"), T.identity_ok(F.col("t"), authors, F.col("v")).alias("same_paper"))
+    return rows.select("p_partkey", T.identity(F.col("t"), authors, F.col("v")).alias("found")).select("p_partkey", "found.similarity", "found.same_paper")
 
 
 @query(
@@ -132,7 +132,7 @@ def identity_thresholds(spark, sf):
     front = F.concat(F.array_join(F.slice(words, F.lit(1), m), " "), F.lit("\nby "), F.array_join(F.slice(names, F.lit(1), F.when(a == 5, 0).otherwise(a)), ", "), F.lit("\nAbstract\nOf words."))
     authors = F.when(a == 5, F.array().cast("array<string>")).otherwise(names)
     title = F.array_join(words, " ")
-    return table(spark, sf, "part").select("p_partkey", T.best_title(title, front)["similarity"].alias("similarity"), T.identity_ok(title, authors, front).alias("same_paper"))
+    return table(spark, sf, "part").select("p_partkey", T.identity(title, authors, front).alias("found")).select("p_partkey", "found.similarity", "found.same_paper")
 
 
 @query("SELECT c_custkey, 'a b ' || lower(c_mktsegment) || ' b' AS abstract FROM customer")

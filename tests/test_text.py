@@ -144,3 +144,13 @@ def test_running_text_of_pages(spark, sf):
     for page_id, page in pages.items():
         assert found[page_id].text == plain(page), page_id
         assert found[page_id].accepted is False or len(found[page_id].text) >= 4000
+
+
+def test_identity_makes_each_part_once(spark):
+    """What Spark would make anew at every mention stands once in the plan: front lines, a window's words, the best window."""
+    df = spark.createDataFrame([("A Study of Deep Networks", ["Ada Lovelace"], "A Study of Deep Networks\nAda Lovelace\nAbstract\nx")], "t string, a array<string>, v string")
+    for found in (T.identity(F.col("t"), F.col("a"), F.col("v")), T.best_title(F.col("t"), F.col("v")), T.identity_ok(F.col("t"), F.col("a"), F.col("v"))):
+        plan = df.select(found.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("acknowledgements") == 1 and plan.count("[A-Za-z0-9]{2,}") == 2 and plan.count("array_max(") == 1
+    row = df.select(T.identity(F.col("t"), F.col("a"), F.col("v")).alias("x")).select("x.*").first()
+    assert (row.similarity, row.candidate, row.same_paper) == (1.0, "A Study of Deep Networks", True)
