@@ -84,15 +84,16 @@ def read_range(spark: SparkSession, path: str, first: str, last: str, day: str =
     return spark.read.parquet(f"{path}/data").where(F.col(day).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
 
 
-def bisect(counts: dict[str, int], first: int, last: int, days: list[str], ceiling: int = 10_000) -> list[tuple[str, str]]:
-    """Day ranges below the ceiling, halving what is above; a single day above it is an error. For partition planning."""
+def bisect(counts: dict[str, int], first: int, last: int, days: list[str], ceiling: int = 10_000, whole_days: bool = False) -> list[tuple[str, str]]:
+    """Day ranges below the ceiling, halving what is above. A single day above it is an error, as a server gives no more
+    at once, or with whole_days a range of its own, as for days that are here already. For partition planning."""
     total = sum(counts.get(d, 0) for d in days[first : last + 1])
-    if total < ceiling:
+    if total < ceiling or (whole_days and first == last):
         return [(days[first], days[last])]
     if first == last:
         raise ValueError(f"{days[first]} alone has {total} rows")
     middle = (first + last) // 2
-    return bisect(counts, first, middle, days, ceiling) + bisect(counts, middle + 1, last, days, ceiling)
+    return bisect(counts, first, middle, days, ceiling, whole_days) + bisect(counts, middle + 1, last, days, ceiling, whole_days)
 
 
 def cache_inventory(listing: DataFrame) -> DataFrame:

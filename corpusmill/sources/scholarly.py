@@ -7,7 +7,8 @@
 A shard is a JSON envelope `<path>/<source>/<category>/<day>.json`, on any store that Arrow reaches (file, s3, gs, hdfs);
 use shards.read_range for published parquet shards on others. Its papers stand in it (`papers`), or in files of
 lines that it names (`parts`). A category's `index.json` may tell how many rows each day has: ranges are then
-halved until each has fewer than `ceiling`.
+halved until each has fewer than `ceiling`; a day with more is a range of its own, whose files of lines are read
+twice, once to be checked and once for their papers, so that no task holds them.
 
 No shard is passed over in silence. A wanted day whose shard can't be used gives one row with its status
 (missing, invalid or stale) and no paper; `papers` refuses a table that has such rows, `to_fetch` lists them.
@@ -26,6 +27,7 @@ after its parts; abort removes the parts. A reader sees a day's old shard or its
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Iterable, Iterator
@@ -62,21 +64,25 @@ class DayRange(InputPartition):
         self.category, self.days = category, days
 
 
-def shard_valid(shard: object, source: str, category: str, day: str) -> bool:
-    """The known version, of this source, category and day, with a list of rows that each have a title, an abstract and
-    authors, none twice; a biorxiv shard also holds as many rows as its server told."""
+def shard_valid(shard: object, source: str, category: str, day: str, papers: Iterable | None = None) -> bool:
+    """The known version, of this source, category and day, with rows (its list, or those given) that each have a title,
+    an abstract and authors, none twice; a biorxiv shard also holds as many rows as its server told."""
     if not isinstance(shard, dict) or shard.get("schema_version") != SCHEMA_VERSION or shard.get("source") != source or shard.get("date") != day:
         return False
-    papers = shard.get("papers")
-    if not isinstance(papers, list) or shard.get("category", category) != category:
+    papers = shard.get("papers") if papers is None else papers
+    if (not isinstance(papers, list) and not isinstance(papers, Iterator)) or shard.get("category", category) != category:
         return False
-    seen = set()
+    seen, n = set(), 0  # 16 bytes a row
     for p in papers:
         ids = p.get("identifiers") if isinstance(p, dict) else None
         if not isinstance(ids, dict) or not all(str(p.get(k) or "").strip() for k in ("title", "abstract")) or not p.get("authors"):
             return False
-        seen.add((str(ids.get("arxiv_id") or ids.get("doi") or "").lower(), str(ids.get("biorxiv_version") or "")))
-    return len(seen) == len(papers) and ("", "") not in seen and (source != "biorxiv" or shard.get("server_total") == len(papers))
+        key = (str(ids.get("arxiv_id") or ids.get("doi") or "").lower(), str(ids.get("biorxiv_version") or ""))
+        if key == ("", ""):
+            return False
+        seen.add(hashlib.blake2b(repr(key).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        n += 1
+    return len(seen) == n and (source != "biorxiv" or shard.get("server_total") == n)
 
 
 class ShardReader(DataSourceReader):
@@ -106,7 +112,7 @@ class ShardReader(DataSourceReader):
             counts = self._counts(category)
             for i in range(0, len(days), self.days_a_partition):
                 own = days[i : i + self.days_a_partition]
-                out += [DayRange(category, own[own.index(a) : own.index(b) + 1]) for a, b in bisect(counts, 0, len(own) - 1, own, self.ceiling)]
+                out += [DayRange(category, own[own.index(a) : own.index(b) + 1]) for a, b in bisect(counts, 0, len(own) - 1, own, self.ceiling, whole_days=True)]
         return out
 
     def _usable(self, shard: dict, day: str) -> bool:
@@ -131,12 +137,23 @@ class ShardReader(DataSourceReader):
             if shard is None:
                 return "missing", {}
             if isinstance(shard, dict) and isinstance(shard.get("parts"), list):
-                shard["papers"] = [p for part in shard["parts"] for p in store.read_lines(f"{folder}/{part}")]
-                if len(shard["papers"]) != shard.get("row_count"):
+                lines = lambda: (p for part in shard["parts"] for p in store.read_lines(f"{folder}/{part}"))
+                rows = shard.get("row_count")
+                if not isinstance(rows, int):
                     return "invalid", {}
+                if rows < self.ceiling:
+                    shard["papers"] = list(lines())
+                    valid = len(shard["papers"]) == rows and shard_valid(shard, self.source, category, day)
+                else:
+                    counted = enumerate(lines(), 1)
+                    last = [0]
+                    valid = shard_valid(shard, self.source, category, day, (p for last[0], p in counted)) and last[0] == rows
+                    shard["papers"] = lines()
+            else:
+                valid = shard_valid(shard, self.source, category, day)
         except (ValueError, FileNotFoundError):
             return "invalid", {}
-        if not shard_valid(shard, self.source, category, day):
+        if not valid:
             return "invalid", {}
         return ("ok", shard) if self._usable(shard, day) else ("stale", {})
 
@@ -226,7 +243,7 @@ class ShardWriter(DataSourceWriter):
 
         try:
             for row in iterator:
-                row = row.asDict(True)
+                row = dict(zip(row.__fields__, row))
                 if row.get("day") is None:
                     raise ValueError("a row without a day belongs to no shard")
                 key = (row.get("category") or "all", str(row["day"])[:10])
@@ -237,7 +254,7 @@ class ShardWriter(DataSourceWriter):
                     name = f"parts-{self.batch}/{key[1]}-{mine}-{len(done) + len(open_files)}.jsonl"
                     system.create_dir(f"{inner}/parts-{self.batch}", recursive=True)
                     open_files[key] = [system.open_output_stream(f"{inner}/{name}"), name, 0]
-                paper = {k: row.get(k) for k in ("title", "abstract", "authors", "url", "pdf_url", "identifiers")}
+                paper = {k: row.get(k) for k in ("title", "abstract", "authors", "url", "pdf_url", "identifiers")}  # no structs in them
                 out = open_files[key]
                 out[0].write(json.dumps(paper, ensure_ascii=False).encode("utf-8") + b"\n")
                 out[2] += 1

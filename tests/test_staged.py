@@ -126,3 +126,19 @@ def test_filters_open_fewer_shards(spark, tmp_path, monkeypatch):
         scan = scholarly.scan(spark, path=str(tmp_path), **{**OPTIONS, "now": "2024-02-02T00:00:00"})
         assert scan.where("day > DATE'2024-01-02' AND day <= DATE'2024-01-04' AND title <> 'T2'").count() == 19
     assert spark.conf.get("spark.sql.python.filterPushdown.enabled") == "false"
+
+
+def test_a_day_above_the_ceiling_is_read_whole(spark, tmp_path):
+    """A day with more rows than a range may have is a range of its own, checked and read in two passes; one with a paper twice stays invalid."""
+    papers(spark, 40).write.format("scholarly").options(path=str(tmp_path), **{**OPTIONS, "now": "2024-02-01T00:00:00"}).mode("append").save()
+    want = {**OPTIONS, "now": "2024-02-02T00:00:00"}
+    whole = sorted(map(str, scholarly.scan(spark, path=str(tmp_path), **want).collect()))
+    assert len(whole) >= 40 and sorted(map(str, scholarly.scan(spark, path=str(tmp_path), **want, ceiling="2").collect())) == whole
+    day = next(p for p in sorted(tmp_path.rglob("20*.json")) if json.loads(p.read_text())["parts"])
+    envelope = json.loads(day.read_text())
+    twice = {**envelope, "parts": envelope["parts"] * 2, "row_count": envelope["row_count"] * 2}
+    for changed in (twice, {**envelope, "row_count": envelope["row_count"] + 1}):
+        day.write_text(json.dumps(changed))
+        for ceiling in ("2", "10000"):
+            told = scholarly.to_fetch(scholarly.scan(spark, path=str(tmp_path), **want, ceiling=ceiling)).collect()
+            assert [(r.day.isoformat(), r.status) for r in told] == [(day.stem, "invalid")]
