@@ -374,7 +374,7 @@ def program_papers(spark, sf):
     sides = numbered.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "lines"))).alias("papers"))
     pair = lambda i: F.struct(F.array(F.lit("")).alias("head"), F.get("papers", i * 2)["lines"].alias("left"), F.coalesce(F.get("papers", i * 2 + 1)["lines"], F.array().cast("array<string>")).alias("right"))
     pages = F.transform(F.sequence(F.lit(0), ((F.size("papers") - 1) / 2).cast("int")), pair)
-    files = sides.select(F.col("p_brand").alias("path"), pdf_made.of_lines(pages, F.length("p_brand") % 3).alias("content"))
+    files = _spread(sides).select(F.col("p_brand").alias("path"), pdf_made.of_lines(pages, F.length("p_brand") % 3).alias("content"))
     out = indexes.program_papers(pdf.paragraphs(files), least=5)
     return out.select(F.col("document").alias("program"), "title", "track", F.array_join("authors", "|").alias("authors"), "abstract")
 

@@ -153,3 +153,15 @@ def test_programs_that_are_not_understood(spark):
     found = {r.title: (r.document, r.track, r.authors, len(r.abstract) > 0, r.page) for r in indexes.program_papers(blocks, 1).collect()}
     assert found == {"A title of a paper": ("p", "Full", ["Ada", "Alan"], True, 0), "Another paper here": ("p", "demo", ["Kurt"], False, 1)}
     assert indexes.program_papers(blocks, 3).count() == 0 and indexes.program_papers(blocks.limit(0), 1).count() == 0
+
+
+def test_cross_references_of_large_files():
+    """Files of more than 16 MB or of more than 65,536 packed objects need wider cross references."""
+    for fill, n in ((b"<< /A 1 >>", 66_000), (None, 3)):
+        w = pdf_made.Writer(True)
+        for _ in range(n):
+            w.add(fill or b"", None if fill else random.Random(n).randbytes(6 << 20))
+        content = w.add(b"", b"BT ET")
+        page = w.add(b"<< /Type /Page /Resources << >> /Contents %d 0 R >>" % content)
+        tree = w.add(b"<< /Type /Pages /Kids [%d 0 R] /Count 1 /MediaBox [0 0 612 792] >>" % page)
+        assert pdf.pages_of(w.file(w.add(b"<< /Type /Catalog /Pages %d 0 R >>" % tree))) == ("empty", [[]])
