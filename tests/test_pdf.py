@@ -165,3 +165,15 @@ def test_cross_references_of_large_files():
         page = w.add(b"<< /Type /Page /Resources << >> /Contents %d 0 R >>" % content)
         tree = w.add(b"<< /Type /Pages /Kids [%d 0 R] /Count 1 /MediaBox [0 0 612 792] >>" % page)
         assert pdf.pages_of(w.file(w.add(b"<< /Type /Catalog /Pages %d 0 R >>" % tree))) == ("empty", [[]])
+
+
+def test_plain_objects_are_read_as_any_others():
+    """The one pattern for plain objects against what stands behind it, and codes that a font looks up once."""
+    said = b" 12 -3.5 .5 7 0 R 8 0 RG (a b) (a\\051(b)) <4 1> <414> <41> true null nulls T* ' \" %x\n% y\r1.2.3 +4 /N 5/M[1(x)]<</A 1>>"
+    lexer, out = Lexer(said), []
+    while (x := lexer.next()) is not None:
+        out.append(x)
+    assert out == [12, -3.5, 0.5, Ref(7), 8, 0, "RG", b"a b", b"a)(b)", b"A", b"A@", b"A", True, "null", "nulls", "T*", "'", '"', "1.2.3", 4, "/N", 5, "/M", [1, b"x"], {"/A": 1}]
+    font, looked = Font(texts={65: "x"}), []
+    letter, font._letter = font._letter, lambda one: (looked.append(one), letter(one))[1]
+    assert [t for _, t, _ in font.read(b"ABABA")] == ["x", "B", "x", "B", "x"] and looked == [b"A", b"B"]
