@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators import acquire, audit, catalogs, dedup, enrich, fulltext, reads, records, score, winners
 from corpusmill.plans.catalog import REAL, query
-from corpusmill.session import scratch, table
+from corpusmill.session import scratch, spread, table
 from corpusmill.sources import channels
 
 KINDS = ["neurips", "icml", "acl", "cvpr", "ijcai", "eccv", "iclr", "kdd", "arxiv", "biorxiv"]
@@ -357,7 +357,7 @@ def _reads(spark, sf, *changes: tuple[str, str]):
     body = "\n- **来源：** ACL 2024\n- **论文链接：** URL：u；PDF：p\n" + "".join(f"## {k}\n{v}\n" for k, v in READ.items())
     bodies = [body, *(body.replace(a, b) for a, b in changes)]
     text = F.concat(F.lit("# "), F.initcap("p_name"), F.element_at(F.array(*[F.lit(b) for b in bodies]), (F.col("p_partkey") % len(bodies) + 1).cast("int")))
-    return table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("title"), text.alias("text"))
+    return spread(table(spark, sf, "part")).select("p_partkey", F.col("p_name").alias("title"), text.alias("text"))
 
 
 @query(

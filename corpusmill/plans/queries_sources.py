@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.plans.catalog import query
-from corpusmill.session import checkpointed, pushed_filters, scratch, table
+from corpusmill.session import checkpointed, pushed_filters, scratch, spread, table
 from corpusmill.sources import files, indexes, pages, pdf, pdf_made, scholarly, venues
 
 
@@ -195,7 +195,7 @@ def composed_venue(spark, sf):
 def volume_links(spark, sf):
     """Every volume of a year that a venue's index pages link to."""
     html = F.expr("concat('<a href=\"', CASE WHEN c_custkey % 2 = 0 THEN concat('kdd2024-', c_custkey) ELSE concat('/db/conf/kdd/kdd2024b', c_custkey) END, '.html#x\">v</a><a href=\"index.html\">2024</a><a href=\"kdd2023.html\">2023</a>')")
-    index = table(spark, sf, "customer").select(F.lit("https://dblp.org/db/conf/kdd/index.html").alias("url"), html.alias("html"))
+    index = spread(table(spark, sf, "customer")).select(F.lit("https://dblp.org/db/conf/kdd/index.html").alias("url"), html.alias("html"))
     return venues.volume_links(index, "kdd", 2024)
 
 
@@ -319,11 +319,6 @@ def policy_scans(spark, sf):
     return out
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Rows of a small table over all cores: files are read one by one, and each takes its time."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
-
-
 _MADE = """'A difficult offer of the office of ' || c_name || ', first in all'"""
 
 
@@ -337,7 +332,7 @@ def pdf_texts(spark, sf):
     made = _MADE.replace("||", ",").strip()
     one = F.struct(F.array(F.expr(f"concat({made})")).alias("head"), F.expr("array(concat('left (', c_custkey, ') flat'), 'the affair ends', 'left \\\\ three')").alias("left"), F.expr("array(c_name, 'right two', 'café')").alias("right"))
     two = F.struct(F.expr("array(concat('Page two of ', lower(c_mktsegment)))").alias("head"), F.expr("array('one column only', 'and its end')").alias("left"), F.expr("cast(array() as array<string>)").alias("right"))
-    files = _spread(table(spark, sf, "customer")).select(F.col("c_custkey").alias("path"), pdf_made.of_lines(F.array(one, two), F.col("c_custkey") % 3).alias("content"))
+    files = spread(table(spark, sf, "customer")).select(F.col("c_custkey").alias("path"), pdf_made.of_lines(F.array(one, two), F.col("c_custkey") % 3).alias("content"))
     return pdf.texts(files).select(F.col("path").alias("k"), "status", "n_pages", "text")
 
 
@@ -351,7 +346,7 @@ def pdf_statuses(spark, sf):
     # a byte in the middle of the compressed content is another one
     content = F.regexp_replace(said, r"(?s)(/Filter /FlateDecode  >>\nstream\n.{60}).{4}", "$1    ")
     cases = F.when(F.col("k") % 5 == 0, F.substring(said, 9, 999)).when(F.col("k") % 5 == 1, F.regexp_replace(said, "startxref", "startxxxx")).when(F.col("k") % 5 == 2, content).when(F.col("k") % 5 == 3, F.replace(said, F.lit("/Root"), F.lit("/Encrypt << /V 1 >> /Root"))).otherwise(said)
-    files = _spread(table(spark, sf, "customer")).withColumn("k", F.col("c_custkey")).select(F.col("k").alias("path"), "c_name", F.expr(text).alias("want"), F.encode(cases, "ISO-8859-1").alias("content"))
+    files = spread(table(spark, sf, "customer")).withColumn("k", F.col("c_custkey")).select(F.col("k").alias("path"), "c_name", F.expr(text).alias("want"), F.encode(cases, "ISO-8859-1").alias("content"))
     found = pdf.texts(files.select("path", "content")).join(files.select("path", F.concat("c_name", F.lit("\n"), F.trim("want")).alias("want")), "path")
     return found.select(F.col("path").alias("k"), "status", (F.col("text") == F.col("want")).alias("whole"))
 
@@ -374,7 +369,7 @@ def program_papers(spark, sf):
     sides = numbered.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "lines"))).alias("papers"))
     pair = lambda i: F.struct(F.array(F.lit("")).alias("head"), F.get("papers", i * 2)["lines"].alias("left"), F.coalesce(F.get("papers", i * 2 + 1)["lines"], F.array().cast("array<string>")).alias("right"))
     pages = F.transform(F.sequence(F.lit(0), ((F.size("papers") - 1) / 2).cast("int")), pair)
-    files = _spread(sides).select(F.col("p_brand").alias("path"), pdf_made.of_lines(pages, F.length("p_brand") % 3).alias("content"))
+    files = spread(sides).select(F.col("p_brand").alias("path"), pdf_made.of_lines(pages, F.length("p_brand") % 3).alias("content"))
     out = indexes.program_papers(pdf.paragraphs(files), least=5)
     return out.select(F.col("document").alias("program"), "title", "track", F.array_join("authors", "|").alias("authors"), "abstract")
 
@@ -410,7 +405,7 @@ def first_sources(spark, sf):
 def title_pools(spark, sf):
     """An official list of accepted titles, each once; a list with too few is none."""
     html = F.expr("concat('<ul><li><a href=\"/p/', c_custkey, '\">', c_name, ' accepted</a></li><li><a href=\"/p/x\">', upper(c_name), ' Accepted.</a></li><a href=\"/about\">About this list</a></ul>')")
-    index = table(spark, sf, "customer").select(F.lit("https://k.org/list").alias("url"), html.alias("html"))
+    index = spread(table(spark, sf, "customer")).select(F.lit("https://k.org/list").alias("url"), html.alias("html"))
     poor = table(spark, sf, "supplier").select(F.lit("https://k.org/other").alias("url"), F.expr("concat('<a href=\"/q/', s_suppkey, '\">', s_name, ' accepted</a>')").alias("html"))
     every = index.unionByName(poor)
     return venues.title_pool(every, venues.TitlePool("/p/")).unionByName(venues.title_pool(every, venues.TitlePool("/q/", least=1 << 30)))

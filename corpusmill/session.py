@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Small rows that each take their time, over all cores: a table of few row groups is few tasks."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on any store that Spark reads."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -43,3 +43,10 @@ def test_same_rows_as_sql(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_gives_rows(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() > 0
+
+
+def test_rows_that_take_their_time_are_many_tasks(spark, sf):
+    """Tables of one row group are one task; rows with costly steps are dealt over all cores first."""
+    for name in ("title_pools", "volume_links", "plan_verdicts", "read_checks"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan, name
