@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.functions.entities import clean_decoded
 from corpusmill.plans.catalog import query
-from corpusmill.session import table
+from corpusmill.session import spread, table
 
 TITLE = "CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'Abstract' ELSE concat('  ', upper(p_name), ' – Straße  ') END"
 
@@ -114,7 +114,7 @@ def full_text_identity(spark, sf):
         "CASE p_partkey % 4 WHEN 0 THEN concat('Venue 2024\\n', t, '\\nAda Lovelace, Alan Turing') WHEN 1 THEN concat(t, '\\nNobody Else') "
         "WHEN 2 THEN 'Gardens and birds\\nAda Lovelace' ELSE concat(regexp_replace(t, ' models', '\\n models'), '\\nAda Lovelace') END"
     )
-    rows = table(spark, sf, "part").withColumn("t", title).withColumn("v", F.concat(front, F.lit("\nAbstract\nDeep learning of everything.")))
+    rows = spread(table(spark, sf, "part")).withColumn("t", title).withColumn("v", F.concat(front, F.lit("\nAbstract\nDeep learning of everything.")))
     authors = F.array(F.lit("Ada Lovelace"), F.lit("Alan Turing"))
     return rows.select("p_partkey", T.identity(F.col("t"), authors, F.col("v")).alias("found")).select("p_partkey", "found.similarity", "found.same_paper")
 
@@ -132,7 +132,7 @@ def identity_thresholds(spark, sf):
     front = F.concat(F.array_join(F.slice(words, F.lit(1), m), " "), F.lit("\nby "), F.array_join(F.slice(names, F.lit(1), F.when(a == 5, 0).otherwise(a)), ", "), F.lit("\nAbstract\nOf words."))
     authors = F.when(a == 5, F.array().cast("array<string>")).otherwise(names)
     title = F.array_join(words, " ")
-    return table(spark, sf, "part").select("p_partkey", T.identity(title, authors, front).alias("found")).select("p_partkey", "found.similarity", "found.same_paper")
+    return spread(table(spark, sf, "part")).select("p_partkey", T.identity(title, authors, front).alias("found")).select("p_partkey", "found.similarity", "found.same_paper")
 
 
 @query("SELECT c_custkey, 'a b ' || lower(c_mktsegment) || ' b' AS abstract FROM customer")

@@ -50,3 +50,9 @@ def test_rows_that_take_their_time_are_many_tasks(spark, sf):
     for name in ("title_pools", "volume_links", "plan_verdicts", "read_checks"):
         plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan, name
+
+
+def test_identities_are_judged_in_many_tasks(spark, sf):
+    for name in ("full_text_identity", "identity_thresholds"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan, name
