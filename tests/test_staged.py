@@ -47,6 +47,26 @@ def test_pages_that_are_refused_stay(spark, tmp_path):
     assert published(spark, tmp_path / "none") == []
 
 
+def test_batches_list_their_folder_once(tmp_path, monkeypatch):
+    """What waits is listed when a reader begins and when what it knows is used up; many keys share a task."""
+    for key in range(20):
+        for start in range(8):
+            page = {"schema_version": 1, "key": f"k{key}", "start": start, "total": 8, "items": [start]}
+            store.write(f"{tmp_path}/k{key}/{start}-1.json", json.dumps(page).encode())
+    listed, list_ = [], staged.staged
+    monkeypatch.setattr(staged, "staged", lambda path: listed.append(path) or list_(path))
+    reader = staged.PageReader({"path": str(tmp_path), "pagesPerBatch": "2", "tasks": "3"})
+    at, rows, batches = reader.initialOffset(), [], 0
+    while (to := reader.latestOffset()) != at:
+        parts = reader.partitions(at, to)
+        assert len(parts) == 3
+        rows += [(r[0], r[1]) for p in parts for r in reader.read(p)]
+        reader.commit(to)
+        at, batches = to, batches + 1
+    assert batches == 4 and len(listed) == 2 and list_(str(tmp_path)) == {}
+    assert sorted(rows) == sorted((f"k{key}", i) for key in range(20) for i in range(8))
+
+
 def test_keys_as_folders():
     for key in ("a/b", "..", "x=y", "ä ö%2F", "plain-1_2.3", ""):
         assert staged.key_of(staged.folder_of(key)) == key and "/" not in staged.folder_of(key)
