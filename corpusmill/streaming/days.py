@@ -50,18 +50,28 @@ def warning_log(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("run_id").applyInPandasWithState(step, schema, "active array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Snapshots that wait in one entry of a state.
+SNAPSHOTS_AN_ENTRY = 1000
+
+
 def _warnings_processor():
     """Built where it is used: the class travels to the workers."""
     from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-    waiting = StructType([StructField("at", LongType()), StructField("seq", LongType()), StructField("stage", StringType()), StructField("warnings", ArrayType(StringType()))])
+    columns = {"at": LongType(), "seq": LongType(), "stage": StringType(), "warnings": ArrayType(StringType())}
+    waiting = StructType([StructField(n, ArrayType(t)) for n, t in columns.items()])  # many snapshots an entry: each entry has its price
+    change = Row("run_id", "action", "message", "stage", "at_us")
     active = StructType([StructField("warnings", ArrayType(StringType())), StructField("n", IntegerType())])
 
+    def entries(snapshots):
+        return [tuple(map(list, zip(*snapshots[i : i + SNAPSHOTS_AN_ENTRY]))) for i in range(0, len(snapshots), SNAPSHOTS_AN_ENTRY)]
+
     class Warnings(StatefulProcessor):
         """Snapshots wait, as a list in state, until the watermark says that none before them can come; a timer then
-        tells them apart from the one before, in their order."""
+        tells them apart from the one before, in their order. A timer stands for the earliest of many, so the list is
+        written once a batch and read once for all that are ready."""
 
         def init(self, handle):
             self.handle = handle
@@ -69,14 +79,15 @@ def _warnings_processor():
             self.active = handle.getValueState("active", active)
 
         def handleInputRows(self, key, rows, timerValues):
-            for r in rows:
-                self.waiting.appendValue((r.at_us, r.seq, r.stage, list(r.warnings or [])))
-                self.handle.registerTimer(-(-r.at_us // 1000))
+            new = [(r.at_us, r.seq, r.stage, list(r.warnings or [])) for r in rows]
+            if new:
+                self.waiting.appendList(entries(new))
+                self.handle.registerTimer(-(-min(x[0] for x in new) // 1000))
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             until = timerValues.getCurrentWatermarkInMs() * 1000
-            held = sorted(tuple(x) for x in self.waiting.get())
+            held = sorted(x for entry in self.waiting.get() for x in zip(*entry))
             ready = [x for x in held if x[0] <= until]
             if not ready:
                 return
@@ -85,12 +96,13 @@ def _warnings_processor():
                 for action, here, there in (("raised", now, before), ("resolved", before, now)):
                     for message in dict.fromkeys(here):
                         if message not in there:
-                            yield Row(run_id=key[0], action=action, message=message, stage=stage, at_us=at)
+                            yield change(key[0], action, message, stage, at)
                 before = now
             self.active.update((before, len(before)))
-            rest = [x for x in held if x[0] > until]
+            rest = held[len(ready) :]
             if rest:
-                self.waiting.put(rest)
+                self.waiting.put(entries(rest))
+                self.handle.registerTimer(-(-rest[0][0] // 1000))  # beyond the watermark
             else:
                 self.waiting.clear()
 

@@ -130,6 +130,22 @@ def test_snapshots_out_of_order_over_batches(spark, tmp_path):
     assert got == sorted((x.run_id, x.stage, x.action, x.message) for x in batch.collect()) and len(got) > 100
 
 
+def test_a_batch_of_snapshots_costs_few_state_calls(spark):
+    """The list of what waits is written once for all of a batch and read once for all that are ready."""
+    from types import SimpleNamespace as N
+
+    calls, held, timers, mark = [], [], set(), 10_000
+    waiting = N(appendList=lambda x: (calls.append("append"), held.extend(x)), get=lambda: (calls.append("get"), list(held))[1], put=lambda x: (calls.append("put"), held.clear(), held.extend(x)), clear=held.clear)
+    active = N(exists=lambda: False, get=lambda: None, update=lambda x: None)
+    p = days._warnings_processor()
+    p.init(N(getListState=lambda *a: waiting, getValueState=lambda *a: active, registerTimer=timers.add))
+    rows = [N(at_us=1000 * (2500 - i) * 8, seq=i, stage=str(i), warnings=[f"w{i % 7}"]) for i in range(2500)]
+    assert list(p.handleInputRows(("r",), iter(rows), None)) == [] and calls == ["append"] and len(held) == 3 and timers == {8}
+    out = list(p.handleExpiredTimer(("r",), N(getCurrentWatermarkInMs=lambda: mark), None))
+    assert calls == ["append", "get", "put"] and timers == {8, 10_008}  # the earliest that still waits
+    assert len(out) == 2 * 1250 - 1 and [r.at_us for r in out] == sorted(r.at_us for r in out)
+
+
 def test_character_data(spark):
     cases = {
         "<p>x &lt; y &amp; z</p><p><![CDATA[kept text]]></p>": "x < y & z\nkept text",
