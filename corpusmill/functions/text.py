@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Acceptance lists and patterns of the record contracts.
@@ -206,6 +206,17 @@ def abstract_of_full_text(value: Column) -> Column:
     return clean(F.regexp_extract(text(value), r"(?is)\babstract\b\s*[:.—-]?\s*(.{50,5000}?)(?=\n\s*(?:\d+\.?\s*)?(?:introduction|keywords|index terms|ccs concepts)\b|\Z)", 1))
 
 
+def inverted_index(rows: DataFrame, words: Column, name: str = "index") -> DataFrame:
+    """rows with the positions (from 0) of each word, a map, made where the words stand: nothing is shuffled."""
+    at = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at")))
+    out = rows.withColumn("__sorted", F.array_sort(at))  # a word's places are a run
+    first = lambda x, i: F.when((i == 0) | (x["word"] != F.get("__sorted", i - 1)["word"]), i)
+    out = out.withColumn("__starts", F.filter(F.transform("__sorted", first), lambda i: i.isNotNull()))
+    end = lambda j: F.coalesce(F.get("__starts", j + 1), F.size("__sorted"))
+    places = F.transform("__starts", lambda i, j: F.transform(F.slice("__sorted", i + 1, end(j) - i), lambda x: x["at"]))
+    return out.withColumn(name, F.map_from_arrays(F.transform("__starts", lambda i: F.get("__sorted", i)["word"]), places)).drop("__sorted", "__starts")
+
+
 def from_inverted_index(index: Column) -> Column:
     """map<word, positions> back to its text."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))

@@ -396,8 +396,7 @@ def catalog_search(spark, sf):
 def inverted_index_roundtrip(spark, sf):
     """Text to a map of positions by word, and back."""
     words = F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")
-    each = table(spark, sf, "documents").select("doc_id", F.posexplode(words).alias("at", "word"))
-    index = each.groupBy("doc_id", "word").agg(F.collect_list("at").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
+    index = T.inverted_index(table(spark, sf, "documents").select("doc_id", "text"), words)
     return index.select("doc_id", F.sha2(T.from_inverted_index(F.col("index")), 256).alias("text_sha256"))
 
 

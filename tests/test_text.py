@@ -64,6 +64,15 @@ def test_inverted_index(spark):
     assert one(spark, T.from_inverted_index(F.col("v")), v={"b": [1, 3], "a": [0], "c": [2]}) == "a b c b"
 
 
+def test_inverted_index_is_made_in_place(spark):
+    texts = ["a b c b", "a", "", None, "b a b a", "x " * 3000 + "y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, v string")
+    out = T.inverted_index(df, F.filter(F.split("v", " "), lambda w: w != ""))
+    want = [None if v is None else {w: [i for i, x in enumerate(v.split()) if x == w] for w in v.split()} for v in texts]
+    assert [r["index"] for r in out.orderBy("k").collect()] == want
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def formula_error(text):
     scrubbed = re.sub(r"```[\s\S]*?```|~~~[\s\S]*?~~~|`[^`\n]*`", "", text)
     opened, i = "", 0
