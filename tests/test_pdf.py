@@ -177,3 +177,16 @@ def test_plain_objects_are_read_as_any_others():
     font, looked = Font(texts={65: "x"}), []
     letter, font._letter = font._letter, lambda one: (looked.append(one), letter(one))[1]
     assert [t for _, t, _ in font.read(b"ABABA")] == ["x", "B", "x", "B", "x"] and looked == [b"A", b"B"]
+
+
+def test_lists_of_numbers_are_read_at_once(monkeypatch):
+    """A list of widths is one step; what its pattern can't read is read an object at a time, with the same result."""
+    r = random.Random(5)
+    for _ in range(300):
+        words = [r.choice([b"0", b"12", b"-7", b"+3", b".5", b"-.25", b"6.", b"1.75", b"007", b"3 0 R", b"/a", b"(1)", b"null", b"1-2", b"- 1", b"[1 2]", b"%c\n9"][: r.choice((9, 17))]) for _ in range(r.randint(0, 6))]
+        raw = b"[" + r.choice((b"", b" ", b"\n")) + r.choice((b" ", b"\r\n", b"\x00")).join(words) + r.choice((b"", b" ")) + r.choice((b"]", b"")) + b" 5"
+        slow, quick = Lexer(raw, 1), Lexer(raw)
+        assert (slow._until("]"), slow.at) == (quick.next(), quick.at), raw
+    calls, real = [], Lexer.next
+    monkeypatch.setattr(Lexer, "next", lambda self: calls.append(1) or real(self))
+    assert Lexer(b"[%s]" % b" ".join([b"500"] * 256)).next() == [500] * 256 and len(calls) == 1
