@@ -10,6 +10,7 @@ TITLE_STOPS = ["a", "an", "and", "for", "in", "of", "on", "the", "to", "toward",
 NOT_TITLES = ["view paper", "view details", "paper details", "download pdf", "abstract", "title tbd"]
 FUNCTION_WORDS = ["a", "an", "and", "are", "as", "by", "for", "from", "in", "is", "of", "on", "our", "that", "the", "this", "to", "we", "which", "with"]
 SPACES = r"(?U)[\s\x1c-\x1f]+"
+NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
 UI_CONTROLS = r"(?i)(?:\s*(?:show\s+(?:more|less)|read\s+(?:more|less)|显示更多|显示较少|展开|收起)\s*[。. ]?\s*)+$"
 PLACEHOLDER = r"(?i)^(?:abstract\s*)?(?:not\s+available|unavailable|none|n/?a|tbd|to\s+be\s+(?:added|announced|determined)|coming\s+soon)\.?$"
 CORRECTION_FORM = "correct abstract if needed. retain xml formatting tags"
@@ -41,12 +42,17 @@ def strip(value: Column) -> Column:
 
 
 def clean_abstract(value: Column) -> Column:
-    """Without trailing expand and collapse controls of web pages."""
-    return F.trim(F.regexp_replace(clean(value), UI_CONTROLS, ""))
+    """Without trailing expand and collapse controls of web pages.
+
+    The last control of a cleaned text stands in its last 32 characters; only a text that has one is searched.
+    """
+    bare = lambda t: F.when(F.substring(t, -32, 32).rlike(UI_CONTROLS), F.trim(F.regexp_replace(t, UI_CONTROLS, ""))).otherwise(t)
+    return let(clean(value), bare)
 
 
 def missing(value: Column) -> Column:
-    return clean(value) == ""
+    """Null, empty or nothing but white space."""
+    return ~text(value).rlike(NOT_SPACE)
 
 
 def date_text(value: Column) -> Column:
@@ -117,9 +123,17 @@ def word_count(value: Column) -> Column:
 
 
 def abstract_is_real(value: Column) -> Column:
-    """At least 50 characters and 8 words, no placeholder, no form text, no citation line."""
-    t = clean_abstract(value)
-    return (F.length(t) >= 50) & (word_count(t) >= 8) & ~t.rlike(PLACEHOLDER) & ~F.lower(t).startswith(CORRECTION_FORM) & ~t.rlike(BIBLIOGRAPHIC)
+    """At least 50 characters and 8 words, no placeholder, no form text, no citation line.
+
+    A text is cleaned once (filters and observations would clean it for every mention), and all its words are counted
+    only if its beginning has too few.
+    """
+
+    def real(t: Column) -> Column:
+        wordy = (word_count(F.substring(t, 1, 400)) >= 8) | (word_count(t) >= 8)
+        return (F.length(t) >= 50) & wordy & ~t.rlike(PLACEHOLDER) & ~F.lower(F.substring(t, 1, 100)).startswith(CORRECTION_FORM) & ~t.rlike(BIBLIOGRAPHIC)
+
+    return let(clean_abstract(value), real)
 
 
 def looks_like_title(value: Column) -> Column:

@@ -163,3 +163,19 @@ def test_identity_makes_each_part_once(spark):
         assert plan.count("acknowledgements") == 1 and plan.count("[A-Za-z0-9]{2,}") == 2 and plan.count("array_max(") == 1
     row = df.select(T.identity(F.col("t"), F.col("a"), F.col("v")).alias("x")).select("x.*").first()
     assert (row.similarity, row.candidate, row.same_paper) == (1.0, "A Study of Deep Networks", True)
+
+
+def test_abstracts_are_cleaned_once_and_judged_as_before(spark):
+    """The shortcuts of abstract_is_real and missing against what they stand for; no expression cleans a text twice."""
+    long = "seven words and many more of them stand here, one after another"
+    values = [None, "", " \n ", "　\x1c", " x ", "\x00", "a-b' " * 200, "- " * 300 + "one two three four five six seven eight", "-' " * 300 + "one two three four five six seven",
+              "x" * 500 + " " + "word " * 7, "word " * 6 + "x" * 600, long, long + " Show  more", long + " show less。 Read more.", long + "\n展开 。 收起", long + " show more" * 30, "show more " + long, long + " show moreover",
+              "Not available", "Correct abstract if needed. Retain XML formatting tags " + long, long + ". Proceedings of the X, 2020.", "word " * 8, "show more" * 20, "étude " * 9, "字 " * 60]
+    t = F.trim(F.regexp_replace(T.clean(F.col("v")), T.UI_CONTROLS, ""))
+    whole = (F.length(t) >= 50) & (T.word_count(t) >= 8) & ~t.rlike(T.PLACEHOLDER) & ~F.lower(t).startswith(T.CORRECTION_FORM) & ~t.rlike(T.BIBLIOGRAPHIC)
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    pairs = [(T.clean_abstract(F.col("v")), t), (T.abstract_is_real(F.col("v")), whole), (T.missing(F.col("v")), T.clean(F.col("v")) == "")]
+    for r in rows.select("v", *[F.array(x, y) for x, y in pairs]).collect():
+        assert all(x == y and x is not None for x, y in r[1:]), r
+    plan = rows.where(T.abstract_is_real(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"[\s\x1c-\x1f]+") == 1
