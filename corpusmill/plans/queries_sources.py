@@ -347,8 +347,8 @@ def pdf_statuses(spark, sf):
     content = F.regexp_replace(said, r"(?s)(/Filter /FlateDecode  >>\nstream\n.{60}).{4}", "$1    ")
     cases = F.when(F.col("k") % 5 == 0, F.substring(said, 9, 999)).when(F.col("k") % 5 == 1, F.regexp_replace(said, "startxref", "startxxxx")).when(F.col("k") % 5 == 2, content).when(F.col("k") % 5 == 3, F.replace(said, F.lit("/Root"), F.lit("/Encrypt << /V 1 >> /Root"))).otherwise(said)
     files = spread(table(spark, sf, "customer")).withColumn("k", F.col("c_custkey")).select(F.col("k").alias("path"), "c_name", F.expr(text).alias("want"), F.encode(cases, "ISO-8859-1").alias("content"))
-    found = pdf.texts(files.select("path", "content")).join(files.select("path", F.concat("c_name", F.lit("\n"), F.trim("want")).alias("want")), "path")
-    return found.select(F.col("path").alias("k"), "status", (F.col("text") == F.col("want")).alias("whole"))
+    known = F.struct("path", F.concat("c_name", F.lit("\n"), F.trim("want")).alias("want"))  # goes along with its file
+    return pdf.texts(files.select(known.alias("path"), "content")).select(F.col("path.path").alias("k"), "status", (F.col("text") == F.col("path.want")).alias("whole"))
 
 
 @query(

@@ -190,3 +190,10 @@ def test_lists_of_numbers_are_read_at_once(monkeypatch):
     calls, real = [], Lexer.next
     monkeypatch.setattr(Lexer, "next", lambda self: calls.append(1) or real(self))
     assert Lexer(b"[%s]" % b" ".join([b"500"] * 256)).next() == [500] * 256 and len(calls) == 1
+
+
+def test_what_is_known_of_a_file_goes_along_with_it(spark, sf):
+    """No join of files with texts made of the same rows; Spark took the made texts for small and sent them through the driver."""
+    from corpusmill.plans import registry
+
+    assert "Join" not in registry.QUERIES["pdf_statuses"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
