@@ -11,13 +11,13 @@ NOT_TITLES = ["view paper", "view details", "paper details", "download pdf", "ab
 FUNCTION_WORDS = ["a", "an", "and", "are", "as", "by", "for", "from", "in", "is", "of", "on", "our", "that", "the", "this", "to", "we", "which", "with"]
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # what SPACES takes
 UI_CONTROLS = r"(?i)(?:\s*(?:show\s+(?:more|less)|read\s+(?:more|less)|显示更多|显示较少|展开|收起)\s*[。. ]?\s*)+$"
 PLACEHOLDER = r"(?i)^(?:abstract\s*)?(?:not\s+available|unavailable|none|n/?a|tbd|to\s+be\s+(?:added|announced|determined)|coming\s+soon)\.?$"
 CORRECTION_FORM = "correct abstract if needed. retain xml formatting tags"
 BIBLIOGRAPHIC = r"(?is)\.\s+(?:proceedings|findings)\s+of\s+the\b.*\b(?:19|20)\d{2}\.?$"
 WORD = r"(?U)\b[\w'-]+\b"
 ENGLISH_WORD = r"[A-Za-z]+(?:[-'][A-Za-z]+)*"
-CJK = r"[\u3400-\u9fff]"
 PROTECTED = r"```[\s\S]*?```|~~~[\s\S]*?~~~|`[^`\n]*`|\$\$[\s\S]*?\$\$|\\\[[\s\S]*?\\\]|\\\([^\n]*?\\\)|(?<!\\)\$[^$\n]*?(?<!\\)\$"
 
 
@@ -38,7 +38,7 @@ def clean(value: Column) -> Column:
 
 def strip(value: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text(value), r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(text(value), F.lit(BLANKS))
 
 
 def clean_abstract(value: Column) -> Column:
@@ -142,7 +142,12 @@ def looks_like_title(value: Column) -> Column:
 
 
 def cjk_count(value: Column) -> Column:
-    return F.size(F.regexp_extract_all(text(value), F.lit(CJK), F.lit(0)))
+    return F.length(F.regexp_replace(text(value), r"[^\u3400-\u9fff]+", ""))
+
+
+def latin_count(value: Column) -> Column:
+    """Letters of ASCII; null of null."""
+    return F.length(F.regexp_replace(value, "[^A-Za-z]+", ""))
 
 
 def english_words(value: Column) -> Column:
@@ -188,7 +193,7 @@ def long_english_prose(value: Column) -> Column:
 
 def translation_issue(value: Column, source: Column) -> Column:
     """Why a Chinese text is no translation of an English one; empty if it may be."""
-    chinese, latin = cjk_count(value), F.size(F.regexp_extract_all(text(value), F.lit("[A-Za-z]"), F.lit(0)))
+    chinese, latin = cjk_count(value), latin_count(text(value))
     thin = (chinese < 4) | ((latin > 0) & (chinese / (chinese + latin) < 0.15))
     return F.when(thin, "little_chinese").when(copied(source, value), "copies_source").when(long_english_prose(value), "english_sentences").otherwise("")
 
@@ -238,8 +243,8 @@ def from_inverted_index(index: Column) -> Column:
 
 
 def unresolved_latex(value: Column) -> Column:
-    """LaTeX commands outside code and formulas."""
-    return F.regexp_replace(text(value), PROTECTED, " ").rlike(r"\\[A-Za-z]+")
+    """LaTeX commands outside code and formulas; a text without any command isn't searched for those."""
+    return text(value).rlike(r"\\[A-Za-z]") & F.regexp_replace(text(value), PROTECTED, " ").rlike(r"\\[A-Za-z]+")
 
 
 def formula_error(value: Column) -> Column:
@@ -247,7 +252,8 @@ def formula_error(value: Column) -> Column:
 
     A fold over the tokens that matter: escapes, line ends, single and double dollars.
     """
-    scrubbed = F.regexp_replace(text(value), r"```[\s\S]*?```|~~~[\s\S]*?~~~|`[^`\n]*`", "")
+    code = text(value).contains("`") | text(value).contains("~~~")
+    scrubbed = F.when(code, F.regexp_replace(text(value), r"```[\s\S]*?```|~~~[\s\S]*?~~~|`[^`\n]*`", "")).otherwise(text(value))
     tokens = F.regexp_extract_all(scrubbed, F.lit(r"\\[\s\S]|\$\$|\$|\n"), F.lit(0))
     start = F.struct(F.lit("").alias("open"), F.lit("").alias("error"))
 

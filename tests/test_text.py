@@ -179,3 +179,21 @@ def test_abstracts_are_cleaned_once_and_judged_as_before(spark):
         assert all(x == y and x is not None for x, y in r[1:]), r
     plan = rows.where(T.abstract_is_real(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"[\s\x1c-\x1f]+") == 1
+
+
+def test_letters_are_counted_without_a_list_of_them(spark):
+    rows = spark.createDataFrame([(v,) for v in (None, "", "abc 中文 Zz9é", "㐀鿿㏿ꀀ𠀀", "\n中\n", "x" * 99 + "字" * 77)], "v string")
+    for r in rows.select("v", T.cjk_count(F.col("v")).alias("cjk"), T.latin_count(T.text(F.col("v"))).alias("latin")).collect():
+        assert (r.cjk, r.latin) == (len(re.findall("[㐀-鿿]", r.v or "")), len(re.findall("[A-Za-z]", r.v or "")))
+    plan = rows.select(T.cjk_count(F.col("v")), T.translation_issue(F.col("v"), F.lit("x")))._jdf.queryExecution().analyzed().toString()
+    assert "regexp_extract_all" not in plan.split("copies_source")[0].split("little_chinese")[0]
+
+
+def test_texts_are_stripped_at_their_ends_alone(spark):
+    """strip against white space as SPACES has it, for every character of the basic plane; its middle is never searched."""
+    blank = F.col("c").rlike(r"(?U)[\s\x1c-\x1f]")
+    rows = spark.range(1, 0x10000).where("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.expr("unhex(lpad(hex(id), 4, '0'))"), "UTF-16BE").alias("c"))
+    assert rows.where((T.strip(F.concat("c", F.lit("x y"), "c")) == "x y") != blank).count() == 0 and rows.where(blank).count() == 29
+    assert "regexp" not in rows.select(T.strip(F.col("c")))._jdf.queryExecution().analyzed().toString().lower()
+    found = rows.limit(1).select(T.strip(F.lit("\n　 字 a\n\x85")), T.strip(F.lit(" \t ")), T.unresolved_latex(F.lit("a \\x $\\y$")), T.unresolved_latex(F.lit("a $\\y$ `\\z`")), T.unresolved_latex(F.lit("a \\1")), T.formula_error(F.lit("`$` ~~~ $ ~~~ a")), T.formula_error(F.lit("a $x"))).first()
+    assert tuple(found) == ("字 a", "", True, False, False, "", "formula_left_open")
