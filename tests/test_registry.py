@@ -60,7 +60,7 @@ def test_identities_are_judged_in_many_tasks(spark, sf):
         assert "REPARTITION_BY_NUM" in plan, name
 
 
-@pytest.mark.parametrize("name", ["whole_run"])
+@pytest.mark.parametrize("name", ["whole_run", "stale_steps"])
 def test_papers_of_a_run_are_dealt_over_all_cores(spark, sf, name):
     """Papers of a small table of one row group are normalized, audited and written by as many tasks as there are cores."""
     runs = lambda: set(pathlib.Path(shared_dir(spark).removeprefix("file://")).glob("corpusmill/run-*/raw"))
