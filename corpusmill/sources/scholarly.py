@@ -20,9 +20,9 @@ Filters on day and category leave out the shards that they rule out, and one on
 is opened for them, in a session with spark.sql.python.filterPushdown.enabled (see scan; Spark applies them again).
 They change which days are wanted, never whether a shard counts as whole.
 
-Writing has two phases. Tasks write lines into parts of their own, as many as they have days; a day may come from any
-number of tasks. Commit then writes one envelope for each day, empty days of `start` to `end` too, each atomically and
-after its parts; abort removes the parts. A reader sees a day's old shard or its new one, never part of one.
+Writing has two phases. Tasks write lines into parts of their own, as many as they have days, or more of days that fill
+what a task may hold, whatever the order of the rows; a day may come from any number of tasks. Commit then writes one
+envelope for each day, empty days of `start` to `end` too, each atomically and after its parts; abort removes the parts. A reader sees a day's old shard or its new one, never part of one.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
@@ -199,8 +200,8 @@ class NarrowedReader(ShardReader):
             yield f
 
 
-#: Parts that a task writes to at a time.
-MOST_OPEN = 64
+#: Days, and bytes of their lines, that a task holds at a time.
+MOST_OPEN, MOST_HELD = 4096, 32 << 20
 
 
 @dataclass
@@ -234,33 +235,35 @@ class ShardWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator) -> Part:
         mine, done = uuid.uuid4().hex, []
-        open_files: dict[tuple[str, str], list] = {}
-
-        def close(key) -> None:
-            f, name, n = open_files.pop(key)
-            f.close()
-            done.append((*key, name, n))
-
-        try:
-            for row in iterator:
-                row = dict(zip(row.__fields__, row))
-                if row.get("day") is None:
-                    raise ValueError("a row without a day belongs to no shard")
-                key = (row.get("category") or "all", str(row["day"])[:10])
-                if key not in open_files:
-                    if len(open_files) >= MOST_OPEN:
-                        close(next(iter(open_files)))  # if more of it comes, it gets another part
-                    system, inner = store.at(self._folder(key[0]))
-                    name = f"parts-{self.batch}/{key[1]}-{mine}-{len(done) + len(open_files)}.jsonl"
-                    system.create_dir(f"{inner}/parts-{self.batch}", recursive=True)
-                    open_files[key] = [system.open_output_stream(f"{inner}/{name}"), name, 0]
-                paper = {k: row.get(k) for k in ("title", "abstract", "authors", "url", "pdf_url", "identifiers")}  # no structs in them
-                out = open_files[key]
-                out[0].write(json.dumps(paper, ensure_ascii=False).encode("utf-8") + b"\n")
-                out[2] += 1
-        finally:
-            for key in list(open_files):
-                close(key)
+        held: dict[tuple[str, str], bytearray] = {}  # rows come in any order
+        rows: Counter = Counter()
+        total = 0
+
+        def write_part(key) -> int:
+            lines = held.pop(key)
+            system, inner = store.at(self._folder(key[0]))
+            name = f"parts-{self.batch}/{key[1]}-{mine}-{len(done)}.jsonl"
+            system.create_dir(f"{inner}/parts-{self.batch}", recursive=True)
+            with system.open_output_stream(f"{inner}/{name}") as f:
+                f.write(lines)
+            done.append((*key, name, rows.pop(key)))
+            return len(lines)
+
+        for row in iterator:
+            row = dict(zip(row.__fields__, row))
+            if row.get("day") is None:
+                raise ValueError("a row without a day belongs to no shard")
+            key = (row.get("category") or "all", str(row["day"])[:10])
+            paper = {k: row.get(k) for k in ("title", "abstract", "authors", "url", "pdf_url", "identifiers")}  # no structs in them
+            line = json.dumps(paper, ensure_ascii=False).encode("utf-8") + b"\n"
+            if total + len(line) > MOST_HELD or (key not in held and len(held) >= MOST_OPEN):
+                for full in sorted(held, key=lambda k: len(held[k]), reverse=True)[: (len(held) + 1) // 2]:
+                    total -= write_part(full)  # if more of it comes, it gets another part
+            held.setdefault(key, bytearray()).extend(line)
+            rows[key] += 1
+            total += len(line)
+        for key in list(held):
+            write_part(key)
         return Part(done)
 
     def commit(self, messages: list) -> None:

@@ -118,6 +118,18 @@ def test_many_days_in_one_task(spark, tmp_path, monkeypatch):
     assert any(row[3] == "invalid" for p in reader.partitions() for row in reader.read(p))  # a shard whose part is gone
 
 
+def test_parts_of_rows_in_any_order(spark, tmp_path, monkeypatch):
+    """A task whose days come in turn writes a part a day, and more only of days that fill what it may hold."""
+    rows = papers(spark, 1000, 100).collect()
+    write = lambda: scholarly.ShardWriter({"path": str(tmp_path), "now": "2025-01-01T00:00:00"}).write(iter(rows))
+    assert len(write().files) == 100
+    line = len(open(next(tmp_path.rglob("*.jsonl"))).readline())
+    monkeypatch.setattr(scholarly, "MOST_HELD", 400 * line)
+    files = write().files
+    assert 100 < len(files) < 300 and sum(n for *_, n in files) == 1000
+    assert sum(len(list(open(tmp_path / "arxiv/cs.AI" / name))) for _, _, name, _ in files) == 1000
+
+
 def test_filters_open_fewer_shards(spark, tmp_path, monkeypatch):
     papers(spark, 60, 6).write.format("scholarly").options(path=str(tmp_path), **{**OPTIONS, "now": "2024-02-01T00:00:00"}).mode("append").save()
     opened = []
