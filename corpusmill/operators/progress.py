@@ -47,10 +47,11 @@ def compact_fulltext(results: DataFrame) -> DataFrame:
     return compact(results, FULLTEXT, full_text_results_path=F.concat("run_dir", F.lit("/full_text_results.json")))
 
 
-def counters(rows: DataFrame, by: list[str], phase: str, field: str = "abstract") -> DataFrame:
-    """How far an enrichment is: total, complete and remaining rows of each group."""
-    have = F.count_if(~T.missing(F.col(field)))
-    return rows.groupBy(*by).agg(F.lit(phase).alias("phase"), F.count(F.lit(1)).alias("total"), have.alias(f"{field}s_complete"), (F.count(F.lit(1)) - have).alias("remaining"))
+def counters(rows: DataFrame, by: list[str], phase: str, field: str = "abstract", known: Column | None = None) -> DataFrame:
+    """How far an enrichment is: total, complete and remaining rows of each group; where `known` doesn't hold, rows count in the total alone."""
+    known, lacks = F.lit(True) if known is None else known, T.missing(F.col(field))
+    have, left = F.count_if(known & ~lacks), F.count_if(known & lacks)
+    return rows.groupBy(*by).agg(F.lit(phase).alias("phase"), F.count(F.lit(1)).alias("total"), have.alias(f"{field}s_complete"), left.alias("remaining"))
 
 
 def in_asked_order(results: DataFrame, asked: DataFrame, key: str = "identity") -> DataFrame:

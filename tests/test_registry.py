@@ -68,3 +68,14 @@ def test_papers_of_a_run_are_dealt_over_all_cores(spark, sf, name):
     registry.QUERIES[name](spark, sf).collect()
     written = [len(list(raw.glob("*.parquet"))) for raw in runs() - before]
     assert written and min(written) >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["progress_counters"])
+def test_same_rows_as_sql_with_blank_documents(spark, sf, tmp_path, name):
+    """Texts that are null, empty, white space of any kind or a page's control; an id and a source that are null."""
+    said = [None, "", "  ", "\n\t", "\xa0\u2003", "\x1c", "Show more", "A text."]
+    odd = spark.createDataFrame([(None if i == 9 else 1000 + i, said[i % 8], "en", "web1" if i % 2 else None, 1) for i in range(24)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.read.parquet(f"{sf}/documents.parquet").unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert rows(registry.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(registry.ORACLE_SQL[name]).df())
