@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.plans.catalog import query
-from corpusmill.session import checkpointed, pushed_filters, scratch, spread, table
+from corpusmill.session import checkpointed, conf, pushed_filters, scratch, spread, table
 from corpusmill.sources import files, indexes, pages, pdf, pdf_made, scholarly, venues
 
 
@@ -351,26 +351,34 @@ def pdf_statuses(spark, sf):
     return pdf.texts(files.select(known.alias("path"), "content")).select(F.col("path.path").alias("k"), "status", (F.col("text") == F.col("path.want")).alias("whole"))
 
 
+#: Part numbers to a volume of a program.
+VOLUME = 5000
+
+
 @query(
     """SELECT p_brand AS program, 'The ' || p_name || ' study ' || p_partkey AS title, CASE WHEN p_partkey % 3 = 0 THEN 'Short' ELSE 'Full' END AS track, 'Ada L|Alan T' AS authors,
     CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'We describe how parts of one kind are told apart from other parts ' || p_partkey || ' and show that it holds for many kinds of parts in practice.' END AS abstract
     FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_partkey % 11 <> 0 GROUP BY 1 HAVING count(*) >= 5) AND p_partkey % 11 <> 0"""
 )
 def program_papers(spark, sf):
-    """Papers of conference programs, PDF files of two columns: title with its track, authors over two lines, abstract."""
+    """Papers of conference programs, PDF files of two columns: title with its track, authors over two lines, abstract.
+
+    A program is printed in volumes, each with the papers of so many numbers: files don't grow with the table, their number does.
+    """
     part = table(spark, sf, "part").where("p_partkey % 11 <> 0")
     lines = F.expr(
-        """array(concat('The ', p_name, ' study'), concat(p_partkey, CASE WHEN p_partkey % 3 = 0 THEN ' [Short]' ELSE ' [Full]' END), '', 'Ada L (Some University (Home));', 'Alan T (Other Place)', '',
-        CASE WHEN p_partkey % 4 = 0 THEN 'No abstract.' ELSE 'We describe how parts of one kind are told' END, CASE WHEN p_partkey % 4 = 0 THEN 'Program' ELSE concat('apart from other parts ', p_partkey) END,
-        CASE WHEN p_partkey % 4 = 0 THEN '12' ELSE 'and show that it holds' END, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'for many kinds of parts in practice.' END, 'Room 1 · Hall A · Monday 9:00', 'left out', '')"""
+        """transform(papers, p -> array(concat('The ', p.p_name, ' study'), concat(p.p_partkey, CASE WHEN p.p_partkey % 3 = 0 THEN ' [Short]' ELSE ' [Full]' END), '', 'Ada L (Some University (Home));', 'Alan T (Other Place)', '',
+        CASE WHEN p.p_partkey % 4 = 0 THEN 'No abstract.' ELSE 'We describe how parts of one kind are told' END, CASE WHEN p.p_partkey % 4 = 0 THEN 'Program' ELSE concat('apart from other parts ', p.p_partkey) END,
+        CASE WHEN p.p_partkey % 4 = 0 THEN '12' ELSE 'and show that it holds' END, CASE WHEN p.p_partkey % 4 = 0 THEN '' ELSE 'for many kinds of parts in practice.' END, 'Room 1 · Hall A · Monday 9:00', 'left out', ''))"""
     )
+    volume = F.floor(F.col("p_partkey") / VOLUME).alias("volume")
+    volumes = part.groupBy("p_brand", volume).agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))).alias("papers"))
     # a page for two papers: one in each column
-    numbered = part.select("p_brand", "p_partkey", lines.alias("lines"))
-    sides = numbered.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "lines"))).alias("papers"))
-    pair = lambda i: F.struct(F.array(F.lit("")).alias("head"), F.get("papers", i * 2)["lines"].alias("left"), F.coalesce(F.get("papers", i * 2 + 1)["lines"], F.array().cast("array<string>")).alias("right"))
-    pages = F.transform(F.sequence(F.lit(0), ((F.size("papers") - 1) / 2).cast("int")), pair)
-    files = spread(sides).select(F.col("p_brand").alias("path"), pdf_made.of_lines(pages, F.length("p_brand") % 3).alias("content"))
-    out = indexes.program_papers(pdf.paragraphs(files), least=5)
+    pair = lambda i: F.struct(F.array(F.lit("")).alias("head"), F.get("lines", i * 2).alias("left"), F.coalesce(F.get("lines", i * 2 + 1), F.array().cast("array<string>")).alias("right"))
+    pages = F.transform(F.sequence(F.lit(0), ((F.size("lines") - 1) / 2).cast("int")), pair)
+    files = spread(volumes).withColumn("lines", lines).select(F.struct("p_brand", "volume").alias("path"), pdf_made.of_lines(pages, F.length("p_brand") % 3).alias("content"))
+    with conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "16"):  # volumes that are made together
+        out = indexes.program_papers(pdf.paragraphs(files).withColumn("document", F.col("path.p_brand")), least=5)
     return out.select(F.col("document").alias("program"), "title", "track", F.array_join("authors", "|").alias("authors"), "abstract")
 
 

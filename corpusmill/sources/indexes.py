@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.session import scratch
 
 WORK = "struct<doi:string,title:string,abstract_inverted_index:map<string,array<int>>,best_oa_location:struct<pdf_url:string>,authorships:array<struct<author:struct<display_name:string>>>>"
 PIDS = "array<struct<scheme:string,value:string>>"
@@ -102,6 +103,9 @@ AUTHOR_LINES, LEAST_ABSTRACT = 40, 80
 def program_papers(blocks: DataFrame, least: int = 100) -> DataFrame:
     """document, title, track, authors, abstract, page of the papers in a program's paragraphs (path, page, n, lines).
 
+    A program may be several files: then blocks have its name as `document`, and no paper goes on in the next file. Papers
+    are stored once they are found, as programs are judged by all of theirs and reading files twice is what costs.
+
     A title ends with its track's mark; its paragraph begins a paper. Authors follow, each with an affiliation in
     parentheses, up to the first line at which all parentheses are closed and no further author is announced;
     the rest is the abstract, up to the next session's line. A program with too few papers, or one without
@@ -109,14 +113,15 @@ def program_papers(blocks: DataFrame, least: int = 100) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    order = Window.partitionBy("path").orderBy("page", "n").rowsBetween(Window.unboundedPreceding, 0)  # a program is one document
+    blocks = blocks if "document" in blocks.columns else blocks.withColumn("document", F.col("path"))
+    order = Window.partitionBy("document", "path").orderBy("page", "n").rowsBetween(Window.unboundedPreceding, 0)  # a file is one ordered group
     flat = T.clean(F.array_join("lines", " "))
     title = T.clean(F.regexp_replace(flat, _TRACK, ""))
     rows = blocks.withColumn("_title", F.when(flat.rlike(_TRACK) & T.looks_like_title(title), title)).withColumn("_track", F.regexp_extract(flat, _TRACK, 1))
     rows = rows.withColumn("_paper", F.count("_title").over(order)).where("_paper > 0")
     heads = F.struct("page", "n", "_title", "_track")
     body = F.transform(F.array_sort(F.collect_list(F.when(F.col("_title").isNull(), F.struct("page", "n", "lines")))), lambda b: b["lines"])
-    papers = rows.groupBy("path", "_paper").agg(F.min(F.when(F.col("_title").isNotNull(), heads)).alias("h"), F.flatten(body).alias("lines"))
+    papers = rows.groupBy("document", "path", "_paper").agg(F.min(F.when(F.col("_title").isNotNull(), heads)).alias("h"), F.flatten(body).alias("lines"))
     papers = papers.withColumn("lines", F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: x != ""))
 
     lines = F.col("lines")
@@ -135,6 +140,9 @@ def program_papers(blocks: DataFrame, least: int = 100) -> DataFrame:
     stop = F.coalesce(F.array_min(F.filter(F.transform(rest, lambda x, i: F.when(x.rlike(session), i)), lambda i: i.isNotNull())), F.size(rest))
     kept = F.filter(F.slice(rest, F.lit(1), stop), lambda x: ~x.rlike(_RUNNING))
     abstract = T.clean(F.regexp_replace(F.regexp_replace(F.array_join(kept, " "), r"(?i)^\\begin\{abstract\}\s*", ""), r"(?i)\\end\{abstract\}\s*$", ""))
-    out = papers.select(F.col("path").alias("document"), F.col("h._title").alias("title"), F.col("h._track").alias("track"), authors.alias("authors"), F.when(F.length(abstract) >= LEAST_ABSTRACT, abstract).otherwise("").alias("abstract"), F.col("h.page").alias("page"))
+    out = papers.select("document", F.col("h._title").alias("title"), F.col("h._track").alias("track"), authors.alias("authors"), F.when(F.length(abstract) >= LEAST_ABSTRACT, abstract).otherwise("").alias("abstract"), F.col("h.page").alias("page"))
+    at = scratch(out.sparkSession, "papers")
+    out.write.parquet(at)
+    out = out.sparkSession.read.schema(out.schema).parquet(at)
     understood = out.groupBy("document").agg(F.count(F.lit(1)).alias("_n"), F.min(F.size("authors")).alias("_least")).where((F.col("_n") >= least) & (F.col("_least") > 0))
     return out.join(understood, "document", "left_semi")

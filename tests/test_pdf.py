@@ -6,6 +6,7 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusmill.sources import indexes, pdf, pdf_made
 from corpusmill.sources.pdf_objects import Document, Font, Lexer, Ref, Stream, _cmap, _lzw, _predicted, font_of, glyph
@@ -197,3 +198,46 @@ def test_what_is_known_of_a_file_goes_along_with_it(spark, sf):
     from corpusmill.plans import registry
 
     assert "Join" not in registry.QUERIES["pdf_statuses"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_programs_of_several_files(spark):
+    """Papers are counted over all files of a program, and none goes on in the next file; one file without authors spoils its program."""
+    rows = [("p", 1, 0, 0, ["One paper of many [Full]"]), ("p", 1, 0, 1, ["Ada (U)"]), ("p", 2, 0, 0, ["of the file before"]), ("p", 2, 0, 1, ["Another paper here [Short]"]), ("p", 2, 0, 2, ["Alan (V)"])]
+    rows += [("q", 1, 0, 0, ["One more paper [Full]"]), ("q", 1, 0, 1, ["Ada (U)"]), ("q", 2, 0, 0, ["Papers of nobody [Full]"]), ("q", 2, 0, 1, [])]
+    blocks = spark.createDataFrame(rows, "document string, volume int, page int, n int, lines array<string>").withColumn("path", F.struct("document", "volume"))
+    found = {r.title: (r.document, r.authors, r.abstract) for r in indexes.program_papers(blocks, 2).collect()}
+    assert found == {"One paper of many": ("p", ["Ada"], ""), "Another paper here": ("p", ["Alan"], "")}
+    assert indexes.program_papers(blocks, 3).count() == 0
+
+
+def test_files_of_programs_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """One brand with most of the parts is many files, all of them read once."""
+    from corpusmill.plans import registry
+
+    n, seen = 24_000, []
+    part = spark.range(n).select(F.col("id").alias("p_partkey"), F.concat(F.lit("lace "), "id").alias("p_name"), F.when(F.col("id") % 100 < 99, "Brand#11").otherwise("Brand#2").alias("p_brand"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    real = pdf.paragraphs
+    monkeypatch.setattr(pdf, "paragraphs", lambda files: seen.append(files) or real(files))
+    out = registry.QUERIES["program_papers"](spark, str(tmp_path))
+    assert "Arrow" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == sum(k % 11 != 0 for k in range(n))
+    sizes = [r.n for r in seen[0].select(F.octet_length("content").alias("n")).collect()]
+    assert len(sizes) == 10 and max(sizes) < 3 << 20
+
+
+def test_a_file_of_many_pages_holds_few_objects(spark):
+    """Objects of pages that were read are let go, in all three styles, and the rows are those of the whole file."""
+    lines = [([f"head {i}"], [f"left {i}", "more"], [f"right {i}", "more"]) for i in range(1500)]
+    for style in range(3):
+        raw = pdf_made.made(lines, style)
+        doc, most = Document(raw), 0
+        for page in doc.pages():
+            doc.contents(page)
+            doc.forget()
+            most = max(most, len(doc._held))
+        assert most <= 1010
+        status, found = pdf.pages_of(raw)
+        assert (status, len(found), found[7], found[1499]) == ("ok", 1500, pdf.pages_of(pdf_made.made(lines[7:8], style))[1][0], pdf.pages_of(pdf_made.made(lines[1499:], style))[1][0])
+        files = spark.createDataFrame([("a", raw), ("b", b"none"), (None, raw)], "path string, content binary").coalesce(1)
+        got = [(r.path, r.page, r.n, r.lines) for r in pdf.paragraphs(files).collect()]
+        assert got == [(path, i, n, one) for path in ("a", None) for i, page in enumerate(found) for n, one in enumerate(page)]
