@@ -241,3 +241,20 @@ def test_a_file_of_many_pages_holds_few_objects(spark):
         files = spark.createDataFrame([("a", raw), ("b", b"none"), (None, raw)], "path string, content binary").coalesce(1)
         got = [(r.path, r.page, r.n, r.lines) for r in pdf.paragraphs(files).collect()]
         assert got == [(path, i, n, one) for path in ("a", None) for i, page in enumerate(found) for n, one in enumerate(page)]
+
+
+def test_arrays_of_words_are_read_at_once(monkeypatch):
+    """Hexadecimal strings with moves between them are one step, with the result of reading an object at a time; words are remembered within bounds."""
+    r = random.Random(7)
+    for _ in range(300):
+        words = [r.choice([b"<0041>", b"<00410042>", b"-250", b"12", b".5", b"6.", b"+3", b"<aBcD>", b"<004>", b"<>", b"(x)", b"3 0 R", b"<<>>", b"- 1", b"1-2", b"%c\n9"][: r.choice((8, 16))]) for _ in range(r.randint(0, 6))]
+        raw = b"[" + r.choice((b"", b" ", b"\n")) + r.choice((b" ", b"\r\n", b"", b"\x00")).join(words) + r.choice((b"", b" ")) + r.choice((b"]", b"")) + b" 5"
+        slow, quick = Lexer(raw, 1), Lexer(raw)
+        assert (slow._until("]"), slow.at) == (quick.next(), quick.at), raw
+    calls, real = [], Lexer.next
+    monkeypatch.setattr(Lexer, "next", lambda self: calls.append(1) or real(self))
+    assert Lexer(b"[%s]" % b" -250 ".join([b"<0041>"] * 50)).next() == [b"\0A", -250] * 49 + [b"\0A"] and len(calls) == 1
+    font = Font(texts={65: "x"}, widths={66: 7.0})
+    for i in range(5000):
+        assert font.word(b"AB%d" % i) == ("xB" + str(i), [(65, 500.0), (66, 7.0), *((ord(c), 500.0) for c in str(i))])
+    assert len(font.words) <= 4096 and font.word(b"AB7")[0] == "xB7"
